@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from payflow.session import ensure_checkpoint_dir
+
 
 def _default_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -30,6 +32,11 @@ def global_row_number(df: DataFrame, order: list[Column | str], name: str = "rn"
              .withColumn("_mid", F.monotonically_increasing_id()))
     # _mid = (partition id << 33) + position inside the partition
     local = local.withColumn("_lrn", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33) + 1)
+    # Counts and numbering must see the same partitioning. Two range exchanges of the
+    # same data may sample different boundaries, so the numbered rows are written once
+    # (reliable checkpoint in the shared checkpoint folder) and both branches read them.
+    ensure_checkpoint_dir(df.sparkSession)
+    local = local.checkpoint(eager=True)
     counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"),

@@ -63,9 +63,12 @@ class Views:
 
     @cached_property
     def currencies(self) -> DataFrame:
-        rows = [(code, name, dec, Decimal(rate)) for code, name, dec, rate in K.CURRENCIES]
-        return self.spark.createDataFrame(
-            rows, "currency_code string, name string, decimal_places int, base_rate decimal(18,8)")
+        # JVM-side literal table (no Python worker round trip)
+        rows = F.array(*[F.struct(F.lit(code).alias("currency_code"), F.lit(name).alias("name"),
+                                  F.lit(dec).cast("int").alias("decimal_places"),
+                                  F.lit(Decimal(rate)).cast("decimal(18,8)").alias("base_rate"))
+                         for code, name, dec, rate in K.CURRENCIES])
+        return self.spark.range(1).select(F.inline(rows))
 
     @cached_property
     def fx(self) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from decimal import Decimal
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from payflow import constants as K
@@ -24,6 +24,12 @@ from payflow.operators.scd2 import scd2_as_of, versions_from_snapshots
 from payflow.plans.bindings import Views
 
 
+def small_key(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Dense numbering of a dimension whose size is bounded by construction (nations,
+    payment-method combinations): a single-partition window over a few dozen rows."""
+    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("int"))
+
+
 def segment_of(decile: Column) -> Column:
     """Deciles 9-10 high_value, 5-8 mid_value, else low_value."""
     return (F.when(decile >= 9, "high_value").when(decile >= 5, "mid_value").otherwise("low_value"))
@@ -59,7 +65,7 @@ class Marts:
     @cached_property
     def dim_geography(self) -> DataFrame:
         c = self.v.countries
-        return dense_key(c, ["country_code"], "geography_sk").select(
+        return small_key(c, ["country_code"], "geography_sk").select(
             "geography_sk", "country_code", F.col("name").alias("country_name"), "region", "data_region",
             "gdpr_applies")
 
@@ -72,7 +78,7 @@ class Marts:
     @cached_property
     def dim_payment_method(self) -> DataFrame:
         combos = self.v.payment_methods.select("type", "brand").distinct()
-        return dense_key(combos, ["type", F.coalesce(F.col("brand"), F.lit(""))], "payment_method_sk").select(
+        return small_key(combos, ["type", F.coalesce(F.col("brand"), F.lit(""))], "payment_method_sk").select(
             "payment_method_sk", "type", "brand", (F.col("type") == "wallet").alias("is_digital"))
 
     @cached_property

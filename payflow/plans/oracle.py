@@ -200,6 +200,7 @@ sessions AS (
   FROM session_events GROUP BY session_id, customer_id, device_type),
 feedback AS (
   SELECT transaction_id AS feedback_id, customer_id, merchant_id, customer_country_code AS country_code,
+         transaction_id, created_at + INTERVAL 2 DAY AS submitted_at,
          CAST((transaction_id // 7) % 5 + 1 AS INTEGER) AS overall, CAST((transaction_id // 7) % 11 AS INTEGER) AS nps_score,
          CASE (transaction_id // 7) % 4 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN ['declined']
               WHEN 2 THEN ['declined', 'speed'] ELSE ['speed', 'support', 'checkout'] END AS tags
@@ -392,9 +393,10 @@ ml_flat AS (
 ALL_CTES = (VIEWS + MARTS + FEATURES).rstrip().rstrip(",")
 
 
-def wrap(body: str) -> str:
+def wrap(body: str, recursive: bool = False) -> str:
     """Prefix a query (which may start with its own ``name AS (...)`` CTEs) with the shared views."""
     body = body.strip()
+    head = "WITH RECURSIVE" if recursive else "WITH"
     if body.upper().startswith("SELECT"):
-        return f"WITH {ALL_CTES}\n{body}"
-    return f"WITH {ALL_CTES},\n{body}"
+        return f"{head} {ALL_CTES}\n{body}"
+    return f"{head} {ALL_CTES},\n{body}"
