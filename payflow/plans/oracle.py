@@ -372,11 +372,15 @@ labels AS (
   SELECT t.transaction_id,
          CASE WHEN d.status = 'lost' THEN true WHEN d.status = 'won' THEN false WHEN a.is_fraud IS NOT NULL THEN a.is_fraud
               WHEN t.created_at <= (SELECT max(created_at) FROM tx) - INTERVAL 121 DAY AND t.status = 'succeeded' THEN false
-         END AS is_fraud
+         END AS is_fraud,
+         CASE WHEN d.status = 'lost' THEN 'chargeback' WHEN d.status = 'won' THEN 'dispute_won'
+              WHEN a.is_fraud IS NOT NULL THEN 'analyst_review'
+              WHEN t.created_at <= (SELECT max(created_at) FROM tx) - INTERVAL 121 DAY AND t.status = 'succeeded'
+                THEN 'matured_no_dispute' END AS source
   FROM tx t LEFT JOIN disputes d ON d.transaction_id = t.transaction_id
   LEFT JOIN analyst_reviews a ON a.transaction_id = t.transaction_id),
 ml_flat AS (
-  SELECT f.*, l.is_fraud AS label_is_fraud, p AS fraud_probability, {_risk('p')} AS risk_level,
+  SELECT f.*, l.is_fraud AS label_is_fraud, l.source AS label_source, p AS fraud_probability, {_risk('p')} AS risk_level,
          {_action('p')} AS action_taken, '{K.MODEL_VERSION}' AS model_version,
          array_to_string(list_transform(list_slice(list_sort([
              {{'neg': -CAST(CASE WHEN geo_mismatch THEN 0.31 ELSE 0.02 END AS DOUBLE), 'idx': 0, 'feature': 'geo_mismatch'}},

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from payflow.plans import reports_docs as D
 from payflow.plans import reports_olap as O
 from payflow.plans import jobs as J
+from payflow.plans import ml as ML
+from payflow.plans import monitoring as MO
 from payflow.plans import privacy as P
 from payflow.plans import reports_oltp as T
 from payflow.plans.bindings import Views
@@ -86,6 +88,31 @@ def reports() -> dict[str, Job]:
         "residency_check": _v(P.residency_check),
         "off_hours_access": _v(P.off_hours_access),
         "subject_access_export": _v(P.subject_access_export),
+        # model evaluation and monitoring
+        "pr_curve": lambda spark, sf: ML.pr_curve(ML.labeled(stored_features(spark, sf))),
+        "auc_summary": lambda spark, sf: ML.auc_summary(ML.labeled(stored_features(spark, sf))),
+        "policy_table": lambda spark, sf: ML.policy_table(ML.labeled(stored_features(spark, sf))),
+        "classification_report": lambda spark, sf: ML.classification_report(ML.labeled(stored_features(spark, sf))),
+        "champion_challenger": lambda spark, sf: ML.champion_challenger(stored_features(spark, sf)),
+        "training_set_summary": lambda spark, sf: ML.training_set_summary(stored_features(spark, sf)),
+        "fraud_model_evaluation": lambda spark, sf: ML.model_evaluation(stored_features(spark, sf)),
+        "interaction_matrix": _v(ML.interaction_matrix),
+        "canary_assignment": _v(ML.canary_assignment),
+        "recommendation_uplift": _v(ML.recommendation_uplift),
+        "hard_rule_summary": lambda spark, sf: MO.hard_rule_summary(Views(spark, sf), stored_features(spark, sf)),
+        "feature_drift": lambda spark, sf: MO.feature_drift(stored_features(spark, sf)),
+        "fairness_block_rate": _v(MO.fairness_block_rate),
+        "proxy_rate_alerts": _v(MO.proxy_rate_alerts),
+        "merchant_churn_features": _m(MO.merchant_churn_features),
+        "region_volume_anomalies": _m(MO.region_volume_anomalies),
+        "lag_report": _m(MO.lag_report),
+        "login_failure_bursts": _v(MO.login_failure_bursts),
+        "export_bursts": _v(MO.export_bursts),
+        "revenue_yoy_quarterly": _m(MO.revenue_yoy_quarterly),
+        "revenue_by_weekday_hour": _m(MO.revenue_by_weekday_hour),
+        "amount_stats_by_currency": _v(MO.amount_stats_by_currency),
+        "merchants_with_mcc": _v(MO.merchants_with_mcc),
+        "session_buckets": _v(MO.session_buckets),
         # marts
         "dim_date": _mart("dim_date"),
         "dim_geography": _mart("dim_geography"),
