@@ -46,8 +46,10 @@ class Marts:
     @cached_property
     def dim_date(self) -> DataFrame:
         """Calendar padded 31 days on each side of the transaction and audit dates."""
-        ts = (self.v.tx.select(F.col("created_at").alias("ts"))
-              .unionByName(self.v.audit_logs.select(F.col("created_at").alias("ts"))))
+        # payments fall on their order day; audit events are the event times: the span comes
+        # from the two source calendars directly (no join needed for a min / max)
+        ts = (self.v.table("orders").select(F.col("o_orderdate").alias("ts"))
+              .unionByName(self.v.table("events").select(F.col("ts"))))
         span = ts.agg(F.date_sub(F.to_date(F.min("ts")), 31).alias("lo"),
                       F.date_add(F.to_date(F.max("ts")), 31).alias("hi"))
         d = F.col("full_date")

@@ -67,7 +67,7 @@ WAVES = [
 ]
 
 
-def write_marts(m: Marts, root: str, parallel: int = 4) -> None:
+def write_marts(m: Marts, root: str, parallel: int = 8) -> None:
     """Build and write every mart in dependency order; each table is read back before the
     next wave uses it, so no plan repeats the build of an earlier table. Independent
     tables of a wave are submitted as concurrent Spark jobs (the scheduler interleaves
