@@ -341,7 +341,11 @@ class Views:
                 .when(q % 4 == 1, F.array(F.lit("declined")))
                 .when(q % 4 == 2, F.array(F.lit("declined"), F.lit("speed")))
                 .otherwise(F.array(F.lit("speed"), F.lit("support"), F.lit("checkout"))))
+        # denormalized copy of the merchant name; some documents still carry an old name
+        name_copy = F.when(F.col("transaction_id") % 29 == 0, F.lit("renamed merchant")) \
+            .otherwise(F.concat(F.lit("Supplier#"), F.lpad(F.col("merchant_id").cast("string"), 9, "0")))
         return (t.select(F.col("transaction_id").alias("feedback_id"), "customer_id", "merchant_id",
+                        name_copy.alias("merchant_name"),
                         F.col("customer_country_code").alias("country_code"), "transaction_id",
                         F.timestamp_add("DAY", F.lit(2), F.col("created_at")).alias("submitted_at"),
                         F.struct((q % 5 + 1).cast("int").alias("overall")).alias("scores"),

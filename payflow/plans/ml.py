@@ -135,18 +135,19 @@ def train_fraud_model(feats: DataFrame, max_iter: int = 200, max_depth: int = 4,
     return model, test
 
 
-def model_evaluation(feats: DataFrame, max_iter: int = 200) -> DataFrame:
+def model_evaluation(feats: DataFrame, max_iter: int = 200, key: str = "default") -> DataFrame:
     """Train, score the held-out rows, and report AUC-PR / AUC-ROC / recall at P >= 0.8."""
     from pyspark.ml.functions import vector_to_array
-    model, test = train_fraud_model(feats, max_iter=max_iter)
+    model, test = fitted_model(feats, key, max_iter)
     scored = model.transform(test).select(
         F.round(vector_to_array("probability")[1], 4).alias("score"), (F.col("y") == 1).alias("label"))
     return auc_summary(scored)
 
 
-def feature_importance(feats: DataFrame, max_iter: int = 200) -> DataFrame:
-    """Global importance of each feature from the fitted ensemble (gain based)."""
-    model, _ = train_fraud_model(feats, max_iter=max_iter)
+def feature_importance(feats: DataFrame, max_iter: int = 200, key: str = "default") -> DataFrame:
+    """Global importance of each feature from the fitted ensemble (gain based; a
+    re-aim of per-row SHAP values, which need a tree-explainer library)."""
+    model, _ = fitted_model(feats, key, max_iter)
     imp = model.stages[-1].featureImportances.toArray().tolist()
     spark = feats.sparkSession
     return spark.createDataFrame(list(zip(FEATURES, [float(x) for x in imp])), "feature string, importance double")
@@ -199,3 +200,57 @@ def recommendation_uplift(v: Views) -> DataFrame:
     rb = F.col("conv_b") / F.col("n_b")
     return g.select("merchant_id", "n_a", "conv_a", "n_b", "conv_b", F.round(ra * 100, 3).alias("rate_a_pct"),
                     F.round(rb * 100, 3).alias("rate_b_pct"), F.round((rb - ra) * 100, 3).alias("uplift_pts"))
+
+
+# ----------------------------------------------------------------------------- N12 cache, N18, N23
+_models: dict = {}
+
+
+def fitted_model(feats: DataFrame, key: str, max_iter: int = 200):
+    """One fit per (application, input) shared by evaluation and importance."""
+    k = (feats.sparkSession.sparkContext.applicationId, key, max_iter)
+    if k not in _models:
+        _models[k] = train_fraud_model(feats, max_iter=max_iter)
+    return _models[k]
+
+
+def feature_skew(offline: DataFrame, online: DataFrame, key: str, cols: list[str], tol: float = 0.001) -> DataFrame:
+    """Per feature, share of rows whose online value differs from the offline one by
+    more than ``tol`` (relative); the target is < 0.1 %."""
+    j = offline.select(key, *[F.col(c).cast("double").alias(f"off_{c}") for c in cols]) \
+        .join(online.select(key, *[F.col(c).cast("double").alias(f"on_{c}") for c in cols]), key)
+    aggs = []
+    for c in cols:
+        a, b = F.col(f"off_{c}"), F.col(f"on_{c}")
+        bad = ~a.eqNullSafe(b) & (F.abs(a - b) > tol * F.greatest(F.abs(a), F.lit(1e-12)))
+        aggs.append(F.avg(F.coalesce(bad, F.lit(True)).cast("double")).alias(c))
+    agg = j.agg(*aggs)
+    arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("skew_rate")) for c in cols])
+    return agg.select(F.inline(arr)).withColumn("ok", F.col("skew_rate") < 0.001)
+
+
+def similar_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
+                    vec_col: str = "embedding", max_queries: int = 10_000) -> DataFrame:
+    """Top-k cosine neighbours of each query vector among all vectors.
+
+    The query set is broadcast only after its size is checked (a query batch, not the
+    corpus); scoring is one pass over the corpus, and the top k per query are kept with
+    k rounds of partial ``min`` aggregates (no per-query sort of the whole corpus)."""
+    from payflow.operators.topk import first_k_by
+    n = queries.count()
+    if n > max_queries:
+        raise ValueError(f"{n} query vectors: split the batch (limit {max_queries})")
+
+    def unit(c: Column) -> Column:
+        norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x))
+        return F.transform(c, lambda x: x / norm)
+
+    q = F.broadcast(queries.select(F.col(id_col).alias("query_id"), unit(F.col(vec_col)).alias("_q")))
+    c = vectors.select(F.col(id_col).alias("match_id"), unit(F.col(vec_col)).alias("_v"))
+    scored = (c.join(q, F.col("match_id") != F.col("query_id"))
+              .select("query_id", "match_id",
+                      F.aggregate(F.zip_with("_q", "_v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+                      .alias("cosine")))
+    ranked = scored.withColumn("_neg", -F.col("cosine"))
+    top = first_k_by(ranked, ["query_id"], ["_neg", "match_id"], "match_id", k, "neighbours")
+    return top

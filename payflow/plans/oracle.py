@@ -201,6 +201,8 @@ sessions AS (
 feedback AS (
   SELECT transaction_id AS feedback_id, customer_id, merchant_id, customer_country_code AS country_code,
          transaction_id, created_at + INTERVAL 2 DAY AS submitted_at,
+         CASE WHEN transaction_id % 29 = 0 THEN 'renamed merchant'
+              ELSE 'Supplier#' || lpad(CAST(merchant_id AS VARCHAR), 9, '0') END AS merchant_name,
          CAST((transaction_id // 7) % 5 + 1 AS INTEGER) AS overall, CAST((transaction_id // 7) % 11 AS INTEGER) AS nps_score,
          CASE (transaction_id // 7) % 4 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN ['declined']
               WHEN 2 THEN ['declined', 'speed'] ELSE ['speed', 'support', 'checkout'] END AS tags

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from payflow.plans import reports_docs as D
 from payflow.plans import reports_olap as O
+from payflow.plans import enrichment as EN
 from payflow.plans import jobs as J
 from payflow.plans import ml as ML
 from payflow.plans import monitoring as MO
@@ -95,7 +96,9 @@ def reports() -> dict[str, Job]:
         "classification_report": lambda spark, sf: ML.classification_report(ML.labeled(stored_features(spark, sf))),
         "champion_challenger": lambda spark, sf: ML.champion_challenger(stored_features(spark, sf)),
         "training_set_summary": lambda spark, sf: ML.training_set_summary(stored_features(spark, sf)),
-        "fraud_model_evaluation": lambda spark, sf: ML.model_evaluation(stored_features(spark, sf)),
+        "fraud_model_evaluation": lambda spark, sf: ML.model_evaluation(stored_features(spark, sf), key=sf),
+        "fraud_feature_importance": lambda spark, sf: ML.feature_importance(stored_features(spark, sf), key=sf),
+        "recommended_methods": _v(ML.recommend_methods),
         "interaction_matrix": _v(ML.interaction_matrix),
         "canary_assignment": _v(ML.canary_assignment),
         "recommendation_uplift": _v(ML.recommendation_uplift),
@@ -113,6 +116,15 @@ def reports() -> dict[str, Job]:
         "amount_stats_by_currency": _v(MO.amount_stats_by_currency),
         "merchants_with_mcc": _v(MO.merchants_with_mcc),
         "session_buckets": _v(MO.session_buckets),
+        # cross-store views, mart maintenance reports, document checks, privacy deadlines
+        "analyst_view": _v(EN.analyst_view),
+        "holistic_view": lambda spark, sf: EN.holistic_view(Views(spark, sf), stored_features(spark, sf)),
+        "source_row_counts": _v(EN.source_row_counts),
+        "top_products_per_merchant": _m(EN.top_products_per_merchant),
+        "merchant_name_drift": _v(EN.merchant_name_drift),
+        "fact_feedback": _m(EN.fact_feedback),
+        "document_schema_violations": _v(EN.document_schema_violations),
+        "overdue_privacy_requests": _v(P.overdue_requests),
         # marts
         "dim_date": _mart("dim_date"),
         "dim_geography": _mart("dim_geography"),
