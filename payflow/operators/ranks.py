@@ -81,3 +81,26 @@ def rank_deciles(df: DataFrame, order: list[Column | str], buckets: int = 10, na
 def dense_key(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """Dense surrogate numbering 1..n in ``order`` (unique order assumed)."""
     return global_row_number(df, order, name).withColumn(name, F.col(name).cast("int"))
+
+
+def group_row_number(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "rn",
+                     num_partitions: int | None = None) -> DataFrame:
+    """``row_number() OVER (PARTITION BY keys ORDER BY order)`` that splits a hot group.
+
+    Rows are range-partitioned on (keys, order), so one large group spans several
+    partitions; each partition numbers its rows locally, and the offset of a group in a
+    partition is the count of that group's rows in earlier partitions (a window over at
+    most ``num_partitions`` rows per group). ``order`` must make rows unique in a group.
+    """
+    n = num_partitions or _default_parts(df)
+    cols = [F.col(c) for c in keys] + [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    local = (ranged.withColumn("_pid", F.spark_partition_id())
+             .withColumn("_mid", F.monotonically_increasing_id()))
+    ensure_checkpoint_dir(df.sparkSession)
+    local = local.checkpoint(eager=True)          # one partitioning for both branches (see above)
+    firsts = local.groupBy(*keys, "_pid").agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = firsts.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")
+    out = local.join(offs, [*keys, "_pid"]).withColumn(name, F.col("_off") + F.col("_mid") - F.col("_m0") + 1)
+    return out.drop("_pid", "_mid", "_m0", "_off")

@@ -43,12 +43,13 @@ DRIFT_FEATURES = ["amount_zscore", "avg_amount_30d", "ip_reputation_score", "tra
 
 
 def feature_drift(feats: DataFrame, as_of: Column | None = None, window_days: int = 365, bins: int = 10,
-                  psi_limit: float = 0.2, ks_limit: float = 0.1) -> DataFrame:
-    """PSI (equal-width bins over the reference range) and exact KS per feature between
-    the reference period and the last ``window_days``. Retrain when > 3 features drift.
+                  psi_limit: float = 0.2, ks_limit: float = 0.1, ks_bins: int = 1000) -> DataFrame:
+    """PSI (equal-width bins over the reference range) and KS (largest CDF gap on a
+    ``ks_bins`` grid) per feature between the reference period and the last
+    ``window_days``. Retrain when > 3 features drift.
 
-    Long format (feature, value, period) keeps it one aggregate per feature; KS runs a
-    window over the distinct values of one feature.
+    Long format (feature, value, period): histograms are partial aggregates; windows run
+    over bins of one feature, never over its raw values.
     """
     as_of = as_of if as_of is not None else latest(feats, "computed_at")
     cur = F.col("computed_at") >= as_of - F.expr(f"INTERVAL {window_days} DAYS")
@@ -70,9 +71,13 @@ def feature_drift(feats: DataFrame, as_of: Column | None = None, window_days: in
     pr = F.greatest(F.col("r") / F.sum("r").over(tot), F.lit(eps))
     pc = F.greatest(F.col("c") / F.sum("c").over(tot), F.lit(eps))
     psi = h.withColumn("t", (pc - pr) * F.log(pc / pr)).groupBy("feature").agg(F.sum("t").alias("psi"))
-    d = (long.groupBy("feature", "value").agg(F.count_if(F.col("period") == "ref").alias("r"),
-                                             F.count_if(F.col("period") == "cur").alias("c")))
-    w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    # KS on a fixed grid of ks_bins cells over the reference range (values outside fall in
+    # the end cells): the running sums see at most ks_bins rows per feature whatever the data
+    cell = F.when(width == 0, 0).otherwise(F.least(F.greatest(
+        F.floor((F.col("value") - F.col("lo")) / width * ks_bins), F.lit(0)), F.lit(ks_bins - 1)))
+    d = (b.withColumn("cell", cell.cast("int")).groupBy("feature", "cell")
+         .agg(F.count_if(F.col("period") == "ref").alias("r"), F.count_if(F.col("period") == "cur").alias("c")))
+    w = Window.partitionBy("feature").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     ks = (d.withColumn("cdf_r", F.sum("r").over(w) / F.sum("r").over(tot))
           .withColumn("cdf_c", F.sum("c").over(w) / F.sum("c").over(tot))
           .groupBy("feature").agg(F.max(F.abs(F.col("cdf_r") - F.col("cdf_c"))).alias("ks")))
@@ -229,11 +234,12 @@ def merchants_with_mcc(v: Views) -> DataFrame:
 def bucket_events(v: Views, size: int = 200) -> DataFrame:
     """Session events cut into bucket documents of at most ``size`` events.
 
-    The position comes from a window over one session (a session is bounded by its
-    inactivity timeout, here one week); each gathered bucket holds <= ``size`` events."""
+    The position inside a session is a per-group row number that splits a very long
+    session across tasks (``group_row_number``); each gathered bucket holds <= ``size``
+    events, so no task ever holds a whole session."""
+    from payflow.operators.ranks import group_row_number
     se = v.session_events
-    w = Window.partitionBy("session_id").orderBy("timestamp", "event_id")
-    pos = se.withColumn("pos", F.row_number().over(w) - 1)
+    pos = group_row_number(se, ["session_id"], ["timestamp", "event_id"], "pos").withColumn("pos", F.col("pos") - 1)
     return (pos.groupBy("session_id", (F.col("pos") / size).cast("int").alias("bucket"))
             .agg(F.count(F.lit(1)).alias("events_in_bucket"), F.min("timestamp").alias("first_event"),
                  F.max("timestamp").alias("last_event"),

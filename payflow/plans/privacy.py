@@ -187,19 +187,27 @@ def off_hours_access(v: Views, start_hour: int = 0, end_hour: int = 6) -> DataFr
                                                  F.max("created_at").alias("last_event")))
 
 
-def subject_access_export(v: Views) -> DataFrame:
-    """M5: one JSON document per customer holding their rows from every store
-    (customer profile, payments, feedback). Grouped per customer: bounded by one
-    customer's history."""
-    c = v.customers.select("customer_id", "email", "country_code", "created_at")
-    t = v.tx.groupBy("customer_id").agg(F.collect_list(F.struct("transaction_id", "amount", "currency_code",
-                                                                  "status", "created_at")).alias("payments"))
-    fb = v.feedback.groupBy("customer_id").agg(F.collect_list(F.struct("feedback_id", "nps_score",
-                                                                       "submitted_at")).alias("feedback"))
+def subject_access_export(v: Views, part_size: int = 1000) -> DataFrame:
+    """M5: the data of each requesting customer from every store as JSON documents:
+    part 0 holds the profile; payments and feedback follow in parts of at most
+    ``part_size`` records (numbered per customer with a row number that splits a very
+    active customer across tasks), so no document grows with one customer's history."""
+    from payflow.operators.ranks import group_row_number
     req = v.audit_logs.filter(F.col("event_type") == "EXPORT").select(F.col("user_id").alias("customer_id")).distinct()
-    j = c.join(req, "customer_id", "left_semi").join(t, "customer_id", "left").join(fb, "customer_id", "left")
-    return j.select("customer_id", F.to_json(F.struct("email", "country_code", "created_at", "payments",
-                                                      "feedback")).alias("export_json"))
+    c = v.customers.join(req, "customer_id", "left_semi")
+    profile = c.select("customer_id", F.lit("profile").alias("store"), F.lit(0).cast("long").alias("part"),
+                       F.to_json(F.struct("email", "country_code", "created_at")).alias("export_json"))
+
+    def chunked(df: DataFrame, store: str, order: str, cols: list[str]) -> DataFrame:
+        rows = group_row_number(df.join(req, "customer_id", "left_semi"), ["customer_id"], [order], "_rn")
+        g = (rows.withColumn("part", ((F.col("_rn") - 1) / part_size).cast("long") + 1)
+             .groupBy("customer_id", "part").agg(F.array_sort(F.collect_list(F.struct(order, *cols))).alias("_r")))
+        return g.select("customer_id", F.lit(store).alias("store"), "part",
+                        F.to_json(F.struct(F.col("_r").alias(store))).alias("export_json"))
+
+    pay = chunked(v.tx, "payments", "transaction_id", ["amount", "currency_code", "status", "created_at"])
+    fb = chunked(v.feedback, "feedback", "feedback_id", ["nps_score", "submitted_at"])
+    return profile.unionByName(pay).unionByName(fb)
 
 
 # ----------------------------------------------------------------------------- M10-M14

@@ -134,3 +134,15 @@ def test_scd2_versions_apply_and_as_of(spark):
     latest = scd2_as_of(facts, once.withColumn("sk", F.concat_ws("-", "id", "category")), "id", F.col("d"), ["sk"],
                         on_miss="latest")
     assert sorted(r.sk for r in latest.collect()) == ["1-retail", "1-saas", "2-gaming"]
+
+
+def test_group_row_number_splits_hot_group(spark):
+    from payflow.operators.ranks import group_row_number
+    rnd = random.Random(9)
+    rows = [(0 if i % 4 else rnd.randint(1, 3), i, rnd.randint(0, 50)) for i in range(600)]   # group 0 is hot
+    df = spark.createDataFrame(rows, "g long, id long, t long").repartition(5)
+    got = group_row_number(df, ["g"], ["t", "id"], "rn", num_partitions=6).toPandas()
+    exp = pd.DataFrame(rows, columns=["g", "id", "t"]).sort_values(["g", "t", "id"])
+    exp["rn"] = exp.groupby("g").cumcount() + 1
+    m = got.merge(exp, on=["g", "id", "t"], suffixes=("", "_e"))
+    assert len(m) == 600 and (m.rn == m.rn_e).all()
