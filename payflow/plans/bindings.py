@@ -170,6 +170,14 @@ class Views:
                     created.alias("created_at"),
                     created.alias("updated_at")))
 
+    @cached_property
+    def tx_as_of(self) -> Column:
+        """Latest payment time as a scalar subquery. The time depends only on the order row,
+        so it is taken from ``orders`` alone (no join for a max)."""
+        o = self.table("orders")
+        k = F.col("o_orderkey")
+        return o.agg(F.max(add_seconds(F.col("o_orderdate"), ((k * 7919) % 86400).cast("int")))).scalar()
+
     @staticmethod
     def score_of(k: Column) -> Column:
         """Model score of a transaction: x = (k*37) % 1000, score = (x^3 div 10^5) / 10^4, DECIMAL(5,4)."""

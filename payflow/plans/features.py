@@ -94,7 +94,7 @@ def resolve_labels(v: Views, as_of: Column | None = None, maturity_days: int = 1
     """Delayed labels. Order: lost dispute -> fraud; won -> not fraud; analyst verdict;
     older than ``maturity_days`` and succeeded -> not fraud; else unknown."""
     tx = v.tx.select("transaction_id", "status", "created_at")
-    as_of = as_of if as_of is not None else latest(v.tx, "created_at")
+    as_of = as_of if as_of is not None else v.tx_as_of
     d = v.disputes.select("transaction_id", F.col("status").alias("_ds"), F.col("resolved_at").alias("_dr"))
     a = v.analyst_reviews.select("transaction_id", F.col("is_fraud").alias("_af"), F.col("labeled_at").alias("_al"))
     j = tx.join(d, "transaction_id", "left").join(a, "transaction_id", "left")

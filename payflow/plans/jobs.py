@@ -179,7 +179,7 @@ def quality_report(m: Marts, feats: DataFrame | None = None, as_of: Column | Non
     vals.update(stats(v.logs, bad_dates=F.count_if(F.col("timestamp").isNull())))
     if feats is not None:
         vals.update(stats(feats, n_feat=n))
-    as_of = as_of if as_of is not None else latest(tx, "created_at")
+    as_of = as_of if as_of is not None else v.tx_as_of
     row = v.spark.range(1).select(*[c.alias(k) for k, c in vals.items()])
     checks = [
         ("oltp_transactions_not_empty", F.col("n") > 0, F.col("n")),

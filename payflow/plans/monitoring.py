@@ -132,7 +132,7 @@ def merchant_churn_features(m: Marts, as_of: Column | None = None) -> DataFrame:
     no success in the last 30 days."""
     v = m.v
     t = v.tx
-    as_of = as_of if as_of is not None else latest(t, "created_at")
+    as_of = as_of if as_of is not None else v.tx_as_of
     ok = t.filter(F.col("status") == "succeeded")
     days = F.datediff(F.to_date(as_of), F.to_date("created_at"))
     daily = (ok.filter(days < 90).groupBy("merchant_id", F.to_date("created_at").alias("day"))

@@ -133,7 +133,7 @@ def retention_summary(v: Views) -> DataFrame:
     """Rows kept / anonymized per collection under the retention rules
     (logs 90 d delete, sessions 180 d delete, feedback 36 months anonymize)."""
     logs_as_of = latest(v.logs, "timestamp")
-    tx_as_of = latest(v.tx, "created_at")
+    tx_as_of = v.tx_as_of
     logs = apply_retention(v.logs, "timestamp", 90, "delete", logs_as_of)
     sess = apply_retention(v.sessions, "session_start", 180, "delete", latest(v.sessions, "session_start"))
     fb = apply_retention(v.feedback, "submitted_at", 3 * 365, "anonymize", tx_as_of)

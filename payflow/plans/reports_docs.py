@@ -155,7 +155,7 @@ def conversion_by_device(v: Views) -> DataFrame:
 
 def recommendations(v: Views, as_of: Column | None = None) -> DataFrame:
     """Monthly payment-method recommendations per merchant (3 segments)."""
-    as_of = as_of if as_of is not None else latest(v.tx, "created_at")
+    as_of = as_of if as_of is not None else v.tx_as_of
     m = v.merchants.select("merchant_id")
     start = F.trunc(F.to_date(as_of), "month")
     methods = ["card", "wallet", "bank_transfer"]
@@ -172,7 +172,7 @@ def recommendations(v: Views, as_of: Column | None = None) -> DataFrame:
 def recommendations_with_nps(v: Views, k: int = 5, as_of: Column | None = None) -> DataFrame:
     """Valid recommendations joined to the merchant's feedback NPS (merchants without
     feedback drop out, as with ``$lookup`` + ``$unwind``)."""
-    as_of = as_of if as_of is not None else latest(v.tx, "created_at")
+    as_of = as_of if as_of is not None else v.tx_as_of
     r = recommendations(v, as_of).filter(F.col("valid_until") >= F.to_date(as_of))
     nps = v.feedback.groupBy("merchant_id").agg(F.avg("nps_score").alias("_nps"), F.count(F.lit(1)).alias("feedbacks"))
     best = F.element_at("recommendations", 1)

@@ -138,7 +138,8 @@ def daily_revenue_ma7(m: Marts, days: int = 60, k: int = 21, as_of: Column | Non
     """Daily revenue from the daily aggregate, 7-row moving mean, week-over-week (7 rows)."""
     a = m.agg_daily_revenue
     d = F.broadcast(m.dim_date.select("date_sk", "full_date", "day_name", "is_weekend"))
-    as_of = as_of if as_of is not None else F.to_date(latest(m.v.tx, "created_at"))
+    # last day with payments, read from the (small) daily aggregate itself
+    as_of = as_of if as_of is not None else F.to_date(a.agg(F.max("date_sk")).scalar().cast("string"), "yyyyMMdd")
     daily = (a.join(d, "date_sk").filter(F.col("full_date") >= F.date_sub(as_of, days))
              .groupBy("full_date", "day_name", "is_weekend")
              .agg(F.sum("total_amount_usd").alias("_rev"), F.sum("succeeded_count").alias("succeeded"),

@@ -29,7 +29,7 @@ def since(ts: str, as_of: Column, days: int) -> Column:
 def tx_high_risk_recent(v: Views, days: int = 90, k: int = 20, as_of: Column | None = None) -> DataFrame:
     """Recent high / critical transactions, top k by anomaly score."""
     tx = v.tx
-    as_of = as_of if as_of is not None else latest(tx, "created_at")
+    as_of = as_of if as_of is not None else v.tx_as_of
     fi = v.fraud_indicators.filter(F.col("risk_level").isin("high", "critical")) \
         .select("transaction_id", "anomaly_score", "risk_level", "action_taken")
     m = v.merchants.select("merchant_id", F.col("name").alias("merchant_name"))
@@ -47,7 +47,7 @@ def merchant_failure_rate(v: Views, days: int = 30, min_n: int = 3, k: int = 10,
                           as_of: Column | None = None) -> DataFrame:
     """Failure rate per merchant and the dominant failure reason (mode, ties -> smallest)."""
     tx = v.tx
-    as_of = as_of if as_of is not None else latest(tx, "created_at")
+    as_of = as_of if as_of is not None else v.tx_as_of
     m = v.merchants.select("merchant_id", F.col("name").alias("merchant_name"), "category")
     g = (tx.filter(since("created_at", as_of, days)).join(m, "merchant_id")
          .groupBy("merchant_id", "merchant_name", "category")
@@ -70,7 +70,7 @@ def to_usd(tx: DataFrame, fx: DataFrame, how: str = "inner") -> DataFrame:
 def merchant_usd_volume(v: Views, days: int = 90, k: int = 10, as_of: Column | None = None) -> DataFrame:
     """Top merchants by USD volume at the day rate; distinct currencies listed in order."""
     tx = v.tx
-    as_of = as_of if as_of is not None else latest(tx, "created_at")
+    as_of = as_of if as_of is not None else v.tx_as_of
     m = v.merchants.select("merchant_id", F.col("name").alias("merchant_name"), "category", "country_code")
     co = F.broadcast(v.countries.select("country_code", F.col("name").alias("country")))
     t = to_usd(tx.filter((F.col("status") == "succeeded") & since("created_at", as_of, days)), v.fx)
