@@ -166,15 +166,17 @@ def interaction_matrix(v: Views) -> DataFrame:
                                           * F.log1p(F.col("_amt").cast("double")), 6)).drop("_amt"))
 
 
-def recommend_methods(v: Views, k: int = 3, rank: int = 4, seed: int = 7) -> DataFrame:
+def recommend_methods(v: Views, k: int = 3, rank: int = 2, seed: int = 7) -> DataFrame:
     """Implicit-feedback ALS on the interaction matrix; top-k payment types per customer,
     with the segment's most converted type as fallback for customers without history."""
     from pyspark.ml.recommendation import ALS
     im = interaction_matrix(v)
     types = F.array(*[F.lit(t) for t in ("card", "bank_transfer", "wallet")])
     im = im.withColumn("item", F.array_position(types, F.col("type")).cast("int"))
-    als = ALS(userCol="customer_id", itemCol="item", ratingCol="weight", implicitPrefs=True, rank=rank,
-              maxIter=10, seed=seed, coldStartStrategy="drop")
+    # the factor rank cannot exceed the number of items (3 payment types), or the
+    # per-user normal equations become singular
+    als = ALS(userCol="customer_id", itemCol="item", ratingCol="weight", implicitPrefs=True,
+              rank=min(rank, 3), regParam=0.1, maxIter=10, seed=seed, coldStartStrategy="drop")
     model = als.fit(im.withColumn("customer_id", F.col("customer_id").cast("int")))
     recs = model.recommendForAllUsers(k)
     return recs.select(F.col("customer_id").cast("long"),
