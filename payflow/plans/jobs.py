@@ -71,7 +71,7 @@ AFTER_SCHEMA = T.StructType([
     T.StructField("geo_country_code", T.StringType()), T.StructField("device_type", T.StringType()),
     T.StructField("created_at", T.TimestampNTZType()),
 ])
-JSON_OPTS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSS]"}
+JSON_OPTS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS"}
 ENVELOPE = T.StructType([
     T.StructField("before", AFTER_SCHEMA), T.StructField("after", AFTER_SCHEMA),
     T.StructField("source", T.StructType([T.StructField("lsn", T.LongType())])),
@@ -107,7 +107,7 @@ def cdc_messages(v: Views) -> DataFrame:
                                      F.lit(None).cast(AFTER_SCHEMA).alias("after"),
                                      F.timestamp_add("SECOND", F.lit(300), base).alias("ingested_at"))),
     )
-    e = t.select(F.explode(F.filter(ev, lambda x: x.isNotNull())).alias("e")).select("e.*")
+    e = t.select(F.explode(ev).alias("e")).filter(F.col("e").isNotNull()).select("e.*")
     value = F.to_json(F.struct("before", "after", F.struct(F.col("lsn")).alias("source"), "op"), JSON_OPTS)
     key = F.coalesce(F.col("after.transaction_id"), F.col("before.transaction_id"))
     return e.select(F.lit("stripe.public.transactions").alias("topic"), key.cast("string").alias("key"),
@@ -118,7 +118,9 @@ def parse_cdc(msgs: DataFrame) -> DataFrame:
     """A4 / K1: envelope -> typed rows (id, after.*, lsn, op). Unparsable messages keep
     a null ``_env``; see ``sources.cdc.split_dlq``."""
     env = F.from_json("value", ENVELOPE, {"mode": "PERMISSIVE", **JSON_OPTS})
-    p = msgs.withColumn("_env", env)
+    # parse once per message: a filter on a plain projected column would be pushed below
+    # the projection and inline (re-run) the parser; it cannot move below a generator
+    p = msgs.select("*", F.explode(F.array(env)).alias("_env"))
     img = F.coalesce(F.col("_env.after"), F.col("_env.before"))
     return p.filter(F.col("_env").isNotNull()).select(
         *[img[f.name].alias(f.name) for f in AFTER_SCHEMA.fields],
