@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -176,6 +176,10 @@ def quality_report(m: Marts, feats: DataFrame | None = None, as_of: Column | Non
     vals.update(stats(m.dim_customer, pii=F.count_if(F.col("email_hash").like("%@%"))))
     vals.update(stats(m.dim_merchant.filter("is_current").groupBy("merchant_id").count().filter("count > 1"),
                       multi_current=n))
+    nxt = F.lead("scd_start").over(Window.partitionBy("merchant_id").orderBy("scd_start"))
+    vals.update(stats(m.dim_merchant.withColumn("_next", nxt)
+                      .filter(F.col("_next").isNotNull() & (F.coalesce(F.col("scd_end"), F.lit("9999-12-31").cast("date"))
+                                                            > F.col("_next"))), overlaps=n))
     vals.update(stats(v.disputes, dispute_rule=F.count_if(F.col("status").isin("won", "lost")
                                                           != F.col("resolved_at").isNotNull())))
     vals.update(stats(v.logs, bad_dates=F.count_if(F.col("timestamp").isNull())))
@@ -200,6 +204,7 @@ def quality_report(m: Marts, feats: DataFrame | None = None, as_of: Column | Non
         ("olap_fact_merchant_fk", F.col("fk_merchant") == 0, F.col("fk_merchant")),
         ("olap_no_pii_email", F.col("pii") == 0, F.col("pii")),
         ("olap_scd2_single_current_version", F.col("multi_current") == 0, F.col("multi_current")),
+        ("olap_scd2_no_overlap", F.col("overlaps") == 0, F.col("overlaps")),
         ("olap_fact_recency_15min",
          (F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(F.col("last_load").cast("timestamp"))) <= 900,
          (F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(F.col("last_load").cast("timestamp")))),

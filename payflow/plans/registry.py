@@ -71,6 +71,7 @@ def reports() -> dict[str, Job]:
         "tag_rollup": _v(D.tag_rollup),
         "latency_sla": _v(D.latency_sla),
         "latency_p95_floor": _v(D.latency_p95_floor),
+        "latency_sla_approx": _v(D.latency_sla_approx),
         "precision_by_risk": _f(D.precision_by_risk),
         "recall_overall": _f(D.recall_overall),
         "checkout_funnel": _v(D.checkout_funnel),

@@ -106,6 +106,18 @@ def latency_sla(v: Views, days: int = 7, as_of: Column | None = None) -> DataFra
     return g.join(p50, "service").join(p95, "service").orderBy(F.col("p95_ms").desc(), "service")
 
 
+def latency_sla_approx(v: Views, days: int = 7, accuracy: int = 10000, as_of: Column | None = None) -> DataFrame:
+    """p50 / p95 with the approximate (sketch-based) percentile, as the reference's
+    ``$percentile: approximate`` does: constant memory per group whatever its size."""
+    logs = v.logs
+    as_of = as_of if as_of is not None else latest(logs, "timestamp")
+    f = logs.filter((F.col("meta.type") == "access") & since("timestamp", as_of, days))
+    q = F.percentile_approx("metadata.latency_ms", [0.5, 0.95], accuracy)
+    return (f.groupBy(F.col("meta.service").alias("service"))
+            .agg(F.count(F.lit(1)).alias("requests"), q.alias("_q"))
+            .select("service", "requests", F.col("_q")[0].alias("p50_ms"), F.col("_q")[1].alias("p95_ms")))
+
+
 def latency_p95_floor(v: Views) -> DataFrame:
     """Element at floor(0.95 n) of the sorted latencies per service (fallback definition)."""
     logs = v.logs.filter(F.col("meta.type") == "access").select(F.col("meta.service").alias("service"),

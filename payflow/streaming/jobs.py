@@ -45,6 +45,15 @@ def apply_changes_batch(target: str, key: str = "transaction_id", order_col: str
     return fn
 
 
+def upsert_predictions_batch(target: str, key: str = "transaction_id") -> Callable[[DataFrame, int], None]:
+    """K4: the latest scoring of a payment wins (ordered by ``predicted_at``)."""
+
+    def fn(batch: DataFrame, batch_id: int) -> None:
+        upsert(batch.sparkSession, target, batch, [key], [F.col("predicted_at")])
+
+    return fn
+
+
 def run_cdc_to_state(spark: SparkSession, src: str, target: str, checkpoint: str,
                      available_now: bool = True) -> StreamingQuery:
     """K1 + K2 + K3: stream the landing folder into the state table. ``availableNow``
