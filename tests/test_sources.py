@@ -121,3 +121,12 @@ def test_archive_compact_and_run_archive(spark, tmp):
     S.archive_run(spark.range(3), os.path.join(tmp, "runs"), "2024-01-01")
     S.archive_run(spark.range(3), os.path.join(tmp, "runs"), "2024-01-01")
     assert spark.read.parquet(os.path.join(tmp, "runs")).count() == 3
+
+
+def test_read_star_parquet_and_csv(spark, tmp):
+    spark.range(3).withColumnRenamed("id", "date_sk").write.parquet(os.path.join(tmp, "dim_date"))
+    assert R.read_star(spark, tmp, "dim_date").count() == 3
+    with open(os.path.join(tmp, "dim_currency.csv"), "w") as f:
+        f.write("currency_sk,currency_code\n1,USD\n")
+    r = R.read_star(spark, tmp, "dim_currency", "currency_sk int, currency_code string").collect()[0]
+    assert r.currency_sk == 1 and r.currency_code == "USD"
