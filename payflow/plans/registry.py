@@ -16,13 +16,14 @@ from payflow.plans import privacy as P
 from payflow.plans import reports_oltp as T
 from payflow.plans.bindings import Views
 from payflow.plans.marts import Marts
-from payflow.plans.store import stored_features, stored_marts
+from payflow.plans.store import stored_features, stored_marts, stored_views
 
 Job = Callable[[SparkSession, str], DataFrame]
 
 
 def _v(fn) -> Job:
-    return lambda spark, sf: fn(Views(spark, sf))
+    """Job over the payment views (staged transactions read from their stored copy)."""
+    return lambda spark, sf: fn(stored_views(spark, sf))
 
 
 def _m(fn) -> Job:
@@ -32,7 +33,7 @@ def _m(fn) -> Job:
 
 def _f(fn) -> Job:
     """Report over the materialized feature documents."""
-    return lambda spark, sf: fn(Views(spark, sf), feats=stored_features(spark, sf))
+    return lambda spark, sf: fn(stored_views(spark, sf), feats=stored_features(spark, sf))
 
 
 def _mart(name: str) -> Job:
@@ -46,12 +47,12 @@ def reports() -> dict[str, Job]:
         "tx_high_risk_recent": _v(T.tx_high_risk_recent),
         "merchant_failure_rate": _v(T.merchant_failure_rate),
         "merchant_usd_volume": _v(T.merchant_usd_volume),
-        "velocity_bursts": lambda spark, sf: T.velocity_bursts(T.attempts(Views(spark, sf)), 6 * 3600, 3, 15),
+        "velocity_bursts": lambda spark, sf: T.velocity_bursts(T.attempts(stored_views(spark, sf)), 6 * 3600, 3, 15),
         "risky_accounts": _v(T.risky_accounts),
         "shared_cards": _v(T.shared_cards),
         "mrr_usd": _v(T.mrr_usd),
         "sensitive_access": _v(T.sensitive_access),
-        "failed_last": lambda spark, sf: T.failed_last(Views(spark, sf).tx),
+        "failed_last": lambda spark, sf: T.failed_last(stored_views(spark, sf).tx),
         # analytical (star)
         "rev_monthly_cumulative": _m(O.rev_monthly_cumulative),
         "spend_deciles": _m(O.spend_deciles),
@@ -82,7 +83,7 @@ def reports() -> dict[str, Job]:
         "guarded_refunds": _v(J.guarded_refunds),
         "stage_transactions": _v(J.staged),
         "quality_report": lambda spark, sf: J.quality_report(stored_marts(spark, sf), stored_features(spark, sf)),
-        "volume_anomalies_daily": lambda spark, sf: J.volume_anomalies_daily(Views(spark, sf).tx),
+        "volume_anomalies_daily": lambda spark, sf: J.volume_anomalies_daily(stored_views(spark, sf).tx),
         "erased_customers": _v(P.erased_customers_report),
         "erasure_residue": _v(P.erasure_residue_report),
         "retention_summary": _v(P.retention_summary),
@@ -103,7 +104,7 @@ def reports() -> dict[str, Job]:
         "interaction_matrix": _v(ML.interaction_matrix),
         "canary_assignment": _v(ML.canary_assignment),
         "recommendation_uplift": _v(ML.recommendation_uplift),
-        "hard_rule_summary": lambda spark, sf: MO.hard_rule_summary(Views(spark, sf), stored_features(spark, sf)),
+        "hard_rule_summary": lambda spark, sf: MO.hard_rule_summary(stored_views(spark, sf), stored_features(spark, sf)),
         "feature_drift": lambda spark, sf: MO.feature_drift(stored_features(spark, sf)),
         "fairness_block_rate": _v(MO.fairness_block_rate),
         "proxy_rate_alerts": _v(MO.proxy_rate_alerts),
@@ -119,7 +120,7 @@ def reports() -> dict[str, Job]:
         "session_buckets": _v(MO.session_buckets),
         # cross-store views, mart maintenance reports, document checks, privacy deadlines
         "analyst_view": _v(EN.analyst_view),
-        "holistic_view": lambda spark, sf: EN.holistic_view(Views(spark, sf), stored_features(spark, sf)),
+        "holistic_view": lambda spark, sf: EN.holistic_view(stored_views(spark, sf), stored_features(spark, sf)),
         "source_row_counts": _v(EN.source_row_counts),
         "top_products_per_merchant": _m(EN.top_products_per_merchant),
         "merchant_name_drift": _v(EN.merchant_name_drift),
