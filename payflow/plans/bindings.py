@@ -43,9 +43,20 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self._scan_parts: dict[str, int] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A source table. An input stored as very few row groups (a small file) scans as
+        one or two tasks; it is spread round-robin over the cluster's parallelism so the
+        map-side work uses every core. Large inputs (many files / row groups) are left
+        as they are: no extra shuffle at scale. Filters and column pruning still reach
+        the scan (they are pushed below the repartition)."""
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        par = self.spark.sparkContext.defaultParallelism
+        n = self._scan_parts.get(name)
+        if n is None:
+            n = self._scan_parts[name] = df.rdd.getNumPartitions()   # planning only, no job
+        return df.repartition(par) if n < par // 2 else df
 
     # ------------------------------------------------------------------ reference data
     @cached_property
