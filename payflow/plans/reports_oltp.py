@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from payflow.functions import pct
 from payflow.operators.aggregates import mode_of
+from payflow.operators.lists import chunked_string_agg
 from payflow.operators.windows import count_in_range
 from payflow.plans.bindings import Views
 
@@ -95,7 +96,8 @@ def attempts(v: Views) -> DataFrame:
 def velocity_bursts(df: DataFrame, window_s: int = 3600, min_n: int = 3, k: int = 15) -> DataFrame:
     """(customer, merchant) pairs whose rows reach ``min_n`` in a ``window_s`` range frame.
 
-    The pair aggregate is computed first; the id list is built only for the k winners.
+    The pair aggregate is computed first; the id list is built only for the k winners,
+    in chunks of at most 1000 ids (``id_chunk``), so a hot pair never lands in one row.
     """
     w = count_in_range(df, ["customer_id", "merchant_id"], "created_at", window_s, "tx_in_window")
     hot = w.filter(F.col("tx_in_window") >= min_n)
@@ -105,10 +107,8 @@ def velocity_bursts(df: DataFrame, window_s: int = 3600, min_n: int = 3, k: int
               F.round(F.sum("amount"), 2).cast("double").alias("total_amount"))
          .orderBy(F.col("transactions_in_burst").desc(), F.col("burst_start").desc(), "customer_id", "merchant_id")
          .limit(k))
-    ids = (hot.join(g.select("customer_id", "merchant_id"), ["customer_id", "merchant_id"], "left_semi")
-           .groupBy("customer_id", "merchant_id")
-           .agg(F.array_join(F.transform(F.array_sort(F.collect_list("transaction_id")), lambda x: x.cast("string")),
-                             ", ").alias("transaction_ids")))
+    winners = hot.join(g.select("customer_id", "merchant_id"), ["customer_id", "merchant_id"], "left_semi")
+    ids = chunked_string_agg(winners, ["customer_id", "merchant_id"], F.col("transaction_id"), "transaction_ids")
     return g.join(ids, ["customer_id", "merchant_id"])
 
 
@@ -136,14 +136,19 @@ def shared_cards(v: Views) -> DataFrame:
     t = v.tx.select("transaction_id", "payment_method_id")
     fi = v.fraud_indicators.select("transaction_id", "fraud_id")
     j = pm.join(t, "payment_method_id", "left").join(fi, "transaction_id", "left")
-    return (j.groupBy("fingerprint", "brand")
-            .agg(F.countDistinct("customer_id").alias("distinct_customers"),
-                 F.array_join(F.array_sort(F.collect_set(F.col("customer_id").cast("string"))), ", ")
-                 .alias("customer_ids"),
-                 F.count("transaction_id").alias("transactions"),
-                 F.count("fraud_id").alias("fraud_flags"))
-            .filter(F.col("distinct_customers") >= 2)
-            .orderBy(F.col("distinct_customers").desc(), F.col("fraud_flags").desc(), "fingerprint"))
+    g = (j.groupBy("fingerprint", "brand")
+         .agg(F.countDistinct("customer_id").alias("distinct_customers"),
+              F.count("transaction_id").alias("transactions"),
+              F.count("fraud_id").alias("fraud_flags"))
+         .filter(F.col("distinct_customers") >= 2))
+    # a card shared by very many accounts is listed over several rows of <= 1000 ids
+    owners = pm.select("fingerprint", "brand", "customer_id").distinct() \
+        .join(g.select("fingerprint", "brand"), ["fingerprint", "brand"], "left_semi")
+    ids = chunked_string_agg(owners, ["fingerprint", "brand"], F.col("customer_id"), "customer_ids")
+    return (g.join(ids, ["fingerprint", "brand"])
+            .select("fingerprint", "brand", "distinct_customers", "id_chunk", "customer_ids", "transactions",
+                    "fraud_flags")
+            .orderBy(F.col("distinct_customers").desc(), F.col("fraud_flags").desc(), "fingerprint", "id_chunk"))
 
 
 def to_usd_latest(df: DataFrame, fx: DataFrame) -> DataFrame:

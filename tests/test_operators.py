@@ -146,3 +146,18 @@ def test_group_row_number_splits_hot_group(spark):
     exp["rn"] = exp.groupby("g").cumcount() + 1
     m = got.merge(exp, on=["g", "id", "t"], suffixes=("", "_e"))
     assert len(m) == 600 and (m.rn == m.rn_e).all()
+
+
+def test_chunked_string_agg_bounds_each_row(spark):
+    from payflow.operators.lists import chunked_string_agg
+    rows = [(1, i) for i in range(2500)] + [(2, 7), (2, 3)]
+    df = spark.createDataFrame(rows, ["g", "v"]).repartition(4)
+    out = chunked_string_agg(df, ["g"], F.col("v"), "ids", chunk=1000).collect()
+    by_g = {}
+    for r in out:
+        by_g.setdefault(r["g"], {})[r["id_chunk"]] = r["ids"].split(", ")
+    assert sorted(by_g[1]) == [0, 1, 2] and [len(by_g[1][c]) for c in range(3)] == [1000, 1000, 500]
+    # chunks concatenated in chunk order are the whole list in string order, each value once
+    whole = [s for c in range(3) for s in by_g[1][c]]
+    assert whole == sorted(str(i) for i in range(2500))
+    assert by_g[2] == {0: ["3", "7"]}
