@@ -71,6 +71,9 @@ def scd2_as_of(fact: DataFrame, dim: DataFrame, key: str, at: Column, select: li
     the key; the residual only scans one entity's few versions).
 
     ``on_miss``: "drop" (inner join) or "latest" (fall back to the current version).
+    For "latest" the dimension side is completed first (``_uncovered_spans``): every date
+    range of a key that no version covers becomes a row carrying the current version's
+    columns, so the fact passes through one left join and nothing is re-joined.
     """
     d = dim.select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"),
                    F.col("is_current").alias("_cur"), *select)
@@ -79,9 +82,20 @@ def scd2_as_of(fact: DataFrame, dim: DataFrame, key: str, at: Column, select: li
         return fact.join(d, cond, "inner").drop("_k", "_s", "_e", "_cur")
     if on_miss != "latest":
         raise ValueError(on_miss)
-    hit = fact.join(d, cond, "left")
-    miss = hit.filter(F.col("_k").isNull()).drop("_k", "_s", "_e", "_cur", *select)
-    cur = d.filter("_cur")
-    fixed = miss.join(cur, F.col(key) == F.col("_k"), "left")
-    cols = fact.columns + select
-    return hit.filter(F.col("_k").isNotNull()).select(cols).unionByName(fixed.select(cols))
+    cur = d.filter("_cur").select("_k", *select)
+    filler = _uncovered_spans(d).join(cur, "_k", "left")
+    full = d.select("_k", "_s", "_e", *select).unionByName(filler.select("_k", "_s", "_e", *select))
+    return fact.join(full, cond, "left").drop("_k", "_s", "_e")
+
+
+def _uncovered_spans(d: DataFrame) -> DataFrame:
+    """(_k, _s, _e) ranges of each key that no version covers: before the first version,
+    between non-adjacent versions, and after a closed last version (``_e`` NULL = open).
+    A per-key window over the versions of one entity (short)."""
+    w = Window.partitionBy("_k").orderBy("_s")
+    v = d.select("_k", "_s", "_e", F.lead("_s").over(w).alias("_next"), F.row_number().over(w).alias("_i"))
+    lo = F.to_date(F.lit("0001-01-01"))
+    before = v.filter(F.col("_i") == 1).select("_k", lo.alias("_s"), F.col("_s").alias("_e"))
+    gaps = v.filter(F.col("_e").isNotNull() & (F.col("_next").isNull() | (F.col("_next") > F.col("_e")))) \
+        .select("_k", F.col("_e").alias("_s"), F.col("_next").alias("_e"))
+    return before.unionByName(gaps)

@@ -161,3 +161,17 @@ def test_chunked_string_agg_bounds_each_row(spark):
     whole = [s for c in range(3) for s in by_g[1][c]]
     assert whole == sorted(str(i) for i in range(2500))
     assert by_g[2] == {0: ["3", "7"]}
+
+
+def test_scd2_as_of_latest_fills_gaps_with_current(spark):
+    D = dt.date
+    dim = spark.createDataFrame(
+        [(5, "A", D(2024, 1, 1), D(2024, 2, 1), False), (5, "B", D(2024, 3, 1), D(2024, 4, 1), False),
+         (6, "C", D(2024, 1, 1), D(2024, 2, 1), False), (6, "D", D(2024, 3, 1), None, True)],
+        "id long, sk string, scd_start date, scd_end date, is_current boolean")
+    facts = [(1, 5, D(2023, 12, 1)), (2, 5, D(2024, 2, 15)), (3, 5, D(2024, 5, 1)), (4, 5, D(2024, 3, 10)),
+             (5, 6, D(2023, 1, 1)), (6, 6, D(2024, 2, 10)), (7, 6, D(2024, 1, 5)), (8, 7, D(2024, 1, 5))]
+    f = spark.createDataFrame(facts, "fid long, id long, d date")
+    got = {r.fid: r.sk for r in scd2_as_of(f, dim, "id", F.col("d"), ["sk"], on_miss="latest").collect()}
+    # version valid on the day, else the current version, else null (no current / unknown key)
+    assert got == {1: None, 2: None, 3: None, 4: "B", 5: "D", 6: "D", 7: "C", 8: None}
