@@ -21,72 +21,105 @@ def micros(ts: Column | str) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def range_frame_aggs(df: DataFrame, keys: list[str], ts: str, lookback_s: int,
-                     aggs: dict[str, Callable[[Window], Column]], *, include_current: bool = True,
-                     bucket_s: int | None = None, peer_order: str | None = None) -> DataFrame:
-    """Add one column per ``aggs`` entry, computed over rows of the same ``keys`` whose
-    time is in ``[ts - lookback_s, ts]`` (``include_current``) or ``[ts - lookback_s, ts)``.
+COUNT = "count"
+"""Frame builder marker: a row count over the frame, computed by running sums (see ``_frame_counts``)."""
 
-    ``aggs`` maps a column name to ``lambda w: F.count(F.lit(1)).over(w)``-style builders.
-    With ``peer_order``, ``_peer_rn`` is added: the row number among rows of the same key
-    and the same instant, ordered by ``peer_order`` (same partitioning, no extra shuffle).
-    """
-    L = int(lookback_s) * 1_000_000
-    W = int(bucket_s or max(lookback_s * 4, 86_400)) * 1_000_000
-    if W < L:
+
+def _bucketed(df: DataFrame, ts: str, lookback_us: int, bucket_s: int | None, default_s: int) -> DataFrame:
+    """Rows with ``_t`` (micros), ``_b`` (time bucket) and ``_ctx`` (read-only context copy)."""
+    W = int(bucket_s or default_s) * 1_000_000
+    if W < lookback_us:
         raise ValueError("bucket must be at least as wide as the look-back")
     t = micros(ts)
     b = F.floor(t / W).cast("long")
-    # each row: its own bucket (target); if within L of the next bucket start, also a context copy there
-    copies = F.when(t + L >= (b + 1) * W,
+    # each row: its own bucket (target); if within the look-back of the next bucket start,
+    # also a context copy there
+    copies = F.when(t + lookback_us >= (b + 1) * W,
                     F.array(F.struct(b.alias("_b"), F.lit(False).alias("_ctx")),
                             F.struct((b + 1).alias("_b"), F.lit(True).alias("_ctx")))) \
         .otherwise(F.array(F.struct(b.alias("_b"), F.lit(False).alias("_ctx"))))
-    x = (df.withColumn("_t", t).withColumn("_c", F.explode(copies))
-         .withColumn("_b", F.col("_c._b")).withColumn("_ctx", F.col("_c._ctx")).drop("_c"))
-    end = 0 if include_current else -1
-    w = Window.partitionBy(*keys, "_b").orderBy("_t").rangeBetween(-L, end)
-    for name, fn in aggs.items():
-        x = x.withColumn(name, fn(w))
+    return (df.withColumn("_t", t).withColumn("_c", F.explode(copies))
+            .withColumn("_b", F.col("_c._b")).withColumn("_ctx", F.col("_c._ctx")).drop("_c"))
+
+
+def _frame_counts(x: DataFrame, keys: list[str], counts: dict[str, tuple[int, bool]]) -> DataFrame:
+    """Range-frame row counts without a sliding frame.
+
+    Spark evaluates a sliding RANGE frame by re-aggregating the rows in the frame for every
+    output row, so a dense key costs rows x frame size. A count needs no such buffer: row j
+    leaves the frame ``[t - L, t]`` of later rows once ``t > t_j + L``. Each row therefore gets
+    an expiry event at ``t_j + L`` (per look-back), and
+
+        count[t - L, t] = #rows with time <= t  -  #expiries strictly before t
+        count[t - L, t) = #rows with time <  t  -  #expiries strictly before t
+
+    Both terms are running sums (unbounded preceding), which Spark updates incrementally:
+    linear in the rows of a (key, bucket) partition. ``counts``: name -> (look-back in
+    micros, include_current)."""
+    part = [*keys, "_b"]
+    u = x.withColumn("_ev", F.lit(-1))
+    for i, (lb, _) in enumerate(counts.values()):
+        u = u.unionByName(x.select(*part, (F.col("_t") + lb).alias("_t"), F.lit(i).alias("_ev")),
+                          allowMissingColumns=True)
+    upto = Window.partitionBy(*part).orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*part).orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+    real = (F.col("_ev") == -1).cast("long")
+    for i, (name, (_, incl)) in enumerate(counts.items()):
+        gone = F.coalesce(F.sum((F.col("_ev") == i).cast("long")).over(before), F.lit(0))
+        seen = F.coalesce(F.sum(real).over(upto if incl else before), F.lit(0))    # empty frame: NULL
+        u = u.withColumn(name, (seen - gone).cast("long"))
+    return u.filter(F.col("_ev") == -1).drop("_ev")
+
+
+def _apply_frames(x: DataFrame, keys: list[str], frames: dict[str, tuple[int, bool, object]],
+                  peer_order: str | None) -> DataFrame:
+    counts = {n: (lb, incl) for n, (lb, incl, fn) in frames.items() if isinstance(fn, str) and fn == COUNT}
+    if counts:
+        x = _frame_counts(x, keys, counts)
+    base = Window.partitionBy(*keys, "_b").orderBy("_t")
+    for name, (lb, incl, fn) in frames.items():
+        if name not in counts:
+            x = x.withColumn(name, fn(base.rangeBetween(-lb, 0 if incl else -1)))
     if peer_order:
         x = x.withColumn("_peer_rn", F.row_number().over(
             Window.partitionBy(*keys, "_b", "_t").orderBy(peer_order)))
     return x.filter(~F.col("_ctx")).drop("_t", "_b", "_ctx")
 
 
+def range_frame_aggs(df: DataFrame, keys: list[str], ts: str, lookback_s: int,
+                     aggs: dict[str, Callable[[Window], Column] | str], *, include_current: bool = True,
+                     bucket_s: int | None = None, peer_order: str | None = None) -> DataFrame:
+    """Add one column per ``aggs`` entry, computed over rows of the same ``keys`` whose
+    time is in ``[ts - lookback_s, ts]`` (``include_current``) or ``[ts - lookback_s, ts)``.
+
+    ``aggs`` maps a column name to ``COUNT`` (row count, linear time) or to a
+    ``lambda w: F.avg("x").over(w)``-style builder (a sliding frame).
+    With ``peer_order``, ``_peer_rn`` is added: the row number among rows of the same key
+    and the same instant, ordered by ``peer_order`` (same partitioning, no extra shuffle).
+    """
+    L = int(lookback_s) * 1_000_000
+    x = _bucketed(df, ts, L, bucket_s, max(lookback_s * 4, 86_400))
+    return _apply_frames(x, keys, {n: (L, include_current, fn) for n, fn in aggs.items()}, peer_order)
+
+
 def multi_range_frame_aggs(df: DataFrame, keys: list[str], ts: str,
-                           frames: dict[str, tuple[int, bool, Callable[[Window], Column]]],
+                           frames: dict[str, tuple[int, bool, Callable[[Window], Column] | str]],
                            bucket_s: int | None = None, peer_order: str | None = None) -> DataFrame:
     """Several range frames of different look-backs in one pass (one shuffle).
 
-    ``frames`` maps name -> (lookback_s, include_current, builder). The bucket width is
-    at least the largest look-back, so every frame is complete.
+    ``frames`` maps name -> (lookback_s, include_current, builder or ``COUNT``). The bucket
+    width is at least the largest look-back, so every frame is complete.
     """
     L_max = max(lb for lb, _, _ in frames.values())
-    W = int(bucket_s or max(L_max * 4, 86_400))
-    t = micros(ts)
-    Wm, Lm = W * 1_000_000, L_max * 1_000_000
-    b = F.floor(t / Wm).cast("long")
-    copies = F.when(t + Lm >= (b + 1) * Wm,
-                    F.array(F.struct(b.alias("_b"), F.lit(False).alias("_ctx")),
-                            F.struct((b + 1).alias("_b"), F.lit(True).alias("_ctx")))) \
-        .otherwise(F.array(F.struct(b.alias("_b"), F.lit(False).alias("_ctx"))))
-    x = (df.withColumn("_t", t).withColumn("_c", F.explode(copies))
-         .withColumn("_b", F.col("_c._b")).withColumn("_ctx", F.col("_c._ctx")).drop("_c"))
-    base = Window.partitionBy(*keys, "_b").orderBy("_t")
-    for name, (lb, incl, fn) in frames.items():
-        x = x.withColumn(name, fn(base.rangeBetween(-int(lb) * 1_000_000, 0 if incl else -1)))
-    if peer_order:
-        x = x.withColumn("_peer_rn", F.row_number().over(
-            Window.partitionBy(*keys, "_b", "_t").orderBy(peer_order)))
-    return x.filter(~F.col("_ctx")).drop("_t", "_b", "_ctx")
+    x = _bucketed(df, ts, L_max * 1_000_000, bucket_s, max(L_max * 4, 86_400))
+    return _apply_frames(x, keys, {n: (int(lb) * 1_000_000, incl, fn) for n, (lb, incl, fn) in frames.items()},
+                         peer_order)
 
 
 def count_in_range(df: DataFrame, keys: list[str], ts: str, lookback_s: int, name: str = "n_in_range",
                    bucket_s: int | None = None) -> DataFrame:
     """SQL ``COUNT(*) OVER (PARTITION BY keys ORDER BY ts RANGE BETWEEN lookback PRECEDING AND CURRENT ROW)``."""
-    return range_frame_aggs(df, keys, ts, lookback_s, {name: lambda w: F.count(F.lit(1)).over(w)},
-                            bucket_s=bucket_s)
+    return range_frame_aggs(df, keys, ts, lookback_s, {name: COUNT}, bucket_s=bucket_s)
 
 
 def prior_count(df: DataFrame, keys: list[str], ts: str, tiebreak: str, lookback_s: int,
@@ -97,7 +130,7 @@ def prior_count(df: DataFrame, keys: list[str], ts: str, tiebreak: str, lookback
     tiebreak is smaller. = count over [ts-L, ts) + peers at ts with a smaller tiebreak.
     """
     out = range_frame_aggs(df, keys, ts, lookback_s,
-                           {"_before": lambda w: F.count(F.lit(1)).over(w)},
+                           {"_before": COUNT},
                            include_current=False, bucket_s=bucket_s, peer_order=tiebreak)
     return (out.withColumn(name, F.col("_before") + F.col("_peer_rn") - 1)
             .drop("_before", "_peer_rn"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from payflow import constants as K
 from payflow.functions import risk_action, risk_level, sigmoid
-from payflow.operators.windows import multi_range_frame_aggs, seen_before
+from payflow.operators.windows import COUNT, multi_range_frame_aggs, seen_before
 from payflow.plans.bindings import Views
 from payflow.plans.reports_oltp import latest
 
@@ -33,10 +33,9 @@ def fraud_features(v: Views) -> DataFrame:
         .select("payment_method_id", F.coalesce("_sh", F.lit(False)).alias("shared_card_fingerprint"))
     base = tx.select("transaction_id", "customer_id", "merchant_id", "payment_method_id", "amount", "currency_code",
                      "geo_country_code", "customer_country_code", "device_type", "created_at", "status")
-    cnt = lambda w: F.count(F.lit(1)).over(w)
     w = multi_range_frame_aggs(base, ["customer_id"], "created_at", {
-        "_n1h": (HOUR, False, cnt),
-        "_n24h": (DAY, False, cnt),
+        "_n1h": (HOUR, False, COUNT),
+        "_n24h": (DAY, False, COUNT),
         "_avg30": (30 * DAY, True, lambda w: F.avg(F.col("amount").cast("double")).over(w)),
         "_cty30": (30 * DAY, True, lambda w: F.size(F.collect_set("geo_country_code").over(w))),
     }, peer_order="transaction_id")
