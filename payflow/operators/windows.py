@@ -71,14 +71,52 @@ def _frame_counts(x: DataFrame, keys: list[str], counts: dict[str, tuple[int, bo
     return u.filter(F.col("_ev") == -1).drop("_ev")
 
 
+def distinct_count(col: str) -> tuple[str, str]:
+    """Frame builder marker: number of distinct non-null ``col`` values in the frame
+    (``COUNT(DISTINCT col)``), computed linearly (see ``_frame_distinct``)."""
+    return ("distinct", col)
+
+
+def _frame_distinct(x: DataFrame, keys: list[str], name: str, col: str, lb: int) -> DataFrame:
+    """``COUNT(DISTINCT col)`` over ``[t - lb, t]`` without a sliding frame.
+
+    An occurrence of value v at t_j covers ``[t_j, t_j + lb]``. Per (key, bucket, v),
+    consecutive occurrences at most ``lb`` apart merge into one interval
+    ``[first, last + lb]`` (``lag`` / ``lead``: constant work per row). The merged intervals
+    of one value are disjoint, so the distinct count at t is the number of interval
+    starts at or before t minus the interval ends before t: two running sums."""
+    part = [*keys, "_b"]
+    occ = x.filter(F.col(col).isNotNull()).select(*part, F.col(col).alias("_v"), "_t")
+    w = Window.partitionBy(*part, "_v").orderBy("_t")
+    prev, nxt = F.lag("_t").over(w), F.lead("_t").over(w)
+    runs = occ.select(*part, "_t", (prev.isNull() | (F.col("_t") - prev > lb)).alias("_first"),
+                      (nxt.isNull() | (nxt - F.col("_t") > lb)).alias("_last"))
+    starts = runs.filter("_first").select(*part, "_t", F.lit(1).alias("_ds"), F.lit(0).alias("_de"))
+    ends = runs.filter("_last").select(*part, (F.col("_t") + lb).alias("_t"), F.lit(0).alias("_ds"),
+                                       F.lit(1).alias("_de"))
+    u = (x.withColumn("_ds", F.lit(0)).withColumn("_de", F.lit(0)).withColumn("_row", F.lit(True))
+         .unionByName(starts.unionByName(ends).withColumn("_row", F.lit(False)), allowMissingColumns=True))
+    upto = Window.partitionBy(*part).orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*part).orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+    opened = F.coalesce(F.sum("_ds").over(upto), F.lit(0))
+    closed = F.coalesce(F.sum("_de").over(before), F.lit(0))
+    return u.withColumn(name, (opened - closed).cast("long")).filter("_row").drop("_ds", "_de", "_row")
+
+
 def _apply_frames(x: DataFrame, keys: list[str], frames: dict[str, tuple[int, bool, object]],
                   peer_order: str | None) -> DataFrame:
     counts = {n: (lb, incl) for n, (lb, incl, fn) in frames.items() if isinstance(fn, str) and fn == COUNT}
     if counts:
         x = _frame_counts(x, keys, counts)
+    distinct = {n: (lb, incl, fn[1]) for n, (lb, incl, fn) in frames.items()
+                if isinstance(fn, tuple) and fn[0] == "distinct"}
+    for name, (lb, incl, col) in distinct.items():
+        if not incl:
+            raise ValueError("distinct_count frames include the current row")
+        x = _frame_distinct(x, keys, name, col, lb)
     base = Window.partitionBy(*keys, "_b").orderBy("_t")
     for name, (lb, incl, fn) in frames.items():
-        if name not in counts:
+        if name not in counts and name not in distinct:
             x = x.withColumn(name, fn(base.rangeBetween(-lb, 0 if incl else -1)))
     if peer_order:
         x = x.withColumn("_peer_rn", F.row_number().over(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from payflow import constants as K
 from payflow.functions import risk_action, risk_level, sigmoid
-from payflow.operators.windows import COUNT, multi_range_frame_aggs, seen_before
+from payflow.operators.windows import COUNT, distinct_count, multi_range_frame_aggs, seen_before
 from payflow.plans.bindings import Views
 from payflow.plans.reports_oltp import latest
 
@@ -37,7 +37,7 @@ def fraud_features(v: Views) -> DataFrame:
         "_n1h": (HOUR, False, COUNT),
         "_n24h": (DAY, False, COUNT),
         "_avg30": (30 * DAY, True, lambda w: F.avg(F.col("amount").cast("double")).over(w)),
-        "_cty30": (30 * DAY, True, lambda w: F.size(F.collect_set("geo_country_code").over(w))),
+        "_cty30": (30 * DAY, True, distinct_count("geo_country_code")),
     }, peer_order="transaction_id")
     w = w.withColumn("transactions_last_1h", (F.col("_n1h") + F.col("_peer_rn") - 1).cast("int")) \
         .withColumn("transactions_last_24h", (F.col("_n24h") + F.col("_peer_rn") - 1).cast("int"))

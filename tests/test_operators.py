@@ -175,3 +175,22 @@ def test_scd2_as_of_latest_fills_gaps_with_current(spark):
     got = {r.fid: r.sk for r in scd2_as_of(f, dim, "id", F.col("d"), ["sk"], on_miss="latest").collect()}
     # version valid on the day, else the current version, else null (no current / unknown key)
     assert got == {1: None, 2: None, 3: None, 4: "B", 5: "D", 6: "D", 7: "C", 8: None}
+
+
+def test_distinct_count_frame_matches_brute_force(spark):
+    from payflow.operators.windows import COUNT, distinct_count, multi_range_frame_aggs
+    rnd = random.Random(5)
+    base = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(400):
+        k = 0 if i % 3 else rnd.randint(1, 4)                       # key 0 is hot
+        t = base + dt.timedelta(hours=rnd.randint(0, 24 * 20))      # many equal instants
+        rows.append((i, k, t, rnd.choice(["A", "B", "C", "D", None])))
+    df = spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz, c string")
+    L = 3 * 86400
+    got = multi_range_frame_aggs(df, ["k"], "ts", {"d": (L, True, distinct_count("c")), "n": (L, True, COUNT)},
+                                 bucket_s=4 * 86400).toPandas().set_index("id")
+    for i, k, t, _ in rows:
+        inside = [r for r in rows if r[1] == k and t - dt.timedelta(seconds=L) <= r[2] <= t]
+        assert got.loc[i, "d"] == len({r[3] for r in inside if r[3] is not None}), i
+        assert got.loc[i, "n"] == len(inside), i
