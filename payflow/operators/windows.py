@@ -88,14 +88,17 @@ def _frame_distinct(x: DataFrame, keys: list[str], name: str, col: str, lb: int)
     part = [*keys, "_b"]
     occ = x.filter(F.col(col).isNotNull()).select(*part, F.col(col).alias("_v"), "_t")
     w = Window.partitionBy(*part, "_v").orderBy("_t")
-    prev, nxt = F.lag("_t").over(w), F.lead("_t").over(w)
-    runs = occ.select(*part, "_t", (prev.isNull() | (F.col("_t") - prev > lb)).alias("_first"),
-                      (nxt.isNull() | (nxt - F.col("_t") > lb)).alias("_last"))
-    starts = runs.filter("_first").select(*part, "_t", F.lit(1).alias("_ds"), F.lit(0).alias("_de"))
-    ends = runs.filter("_last").select(*part, (F.col("_t") + lb).alias("_t"), F.lit(0).alias("_ds"),
-                                       F.lit(1).alias("_de"))
+    occ = occ.withColumn("_prev", F.lag("_t").over(w)).withColumn("_next", F.lead("_t").over(w))
+    prev, nxt = F.col("_prev"), F.col("_next")
+    # one pass emits both events of a run: its start (at the first row) and its end (after the last)
+    ev = F.array(F.when(prev.isNull() | (F.col("_t") - prev > lb),
+                        F.struct(F.col("_t").alias("_t"), F.lit(1).alias("_ds"), F.lit(0).alias("_de"))),
+                 F.when(nxt.isNull() | (nxt - F.col("_t") > lb),
+                        F.struct((F.col("_t") + lb).alias("_t"), F.lit(0).alias("_ds"), F.lit(1).alias("_de"))))
+    events = (occ.select(*part, F.explode(ev).alias("_e")).filter(F.col("_e").isNotNull())
+              .select(*part, "_e._t", "_e._ds", "_e._de"))
     u = (x.withColumn("_ds", F.lit(0)).withColumn("_de", F.lit(0)).withColumn("_row", F.lit(True))
-         .unionByName(starts.unionByName(ends).withColumn("_row", F.lit(False)), allowMissingColumns=True))
+         .unionByName(events.withColumn("_row", F.lit(False)), allowMissingColumns=True))
     upto = Window.partitionBy(*part).orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*part).orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
     opened = F.coalesce(F.sum("_ds").over(upto), F.lit(0))
