@@ -3,7 +3,7 @@ reconciliation, segment migrations, partial refresh, row counts, per-merchant to
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from payflow.operators.scd2 import scd2_apply
@@ -97,16 +97,24 @@ def refresh_agg(fact: DataFrame, agg_fn, path: str, days: int = 2, as_of: Column
 
 
 def top_products_per_merchant(m: Marts, k: int = 3) -> DataFrame:
-    """top-k products per merchant by revenue. Rows are first reduced to one per
-    (merchant, product), so the per-merchant window sorts products, not payments."""
+    """top-k products per merchant by revenue (ties: smaller product id first).
+
+    Rows are first reduced to one per (merchant, product); the top k are then picked by
+    k rounds of a partial ``min`` aggregate (``first_k_by``), so a merchant that sells
+    most of the catalogue is never sorted in one task."""
+    from payflow.operators.topk import first_k_by
     f = m.fact_transactions.filter(F.col("status") == "succeeded")
     mer = m.dim_merchant.select("merchant_sk", "merchant_id")
     p = m.dim_product.select("product_sk", "product_id")
     g = (f.join(mer, "merchant_sk").join(p, "product_sk").groupBy("merchant_id", "product_id")
          .agg(F.sum("amount_usd").alias("_rev"), F.count(F.lit(1)).alias("sales")))
-    w = Window.partitionBy("merchant_id").orderBy(F.col("_rev").desc(), "product_id")
-    return (g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .withColumn("revenue_usd", F.col("_rev").cast("double")).drop("_rev"))
+    g = g.select("merchant_id", "product_id", (-F.col("_rev")).alias("_neg"),
+                 F.struct("product_id", "sales", "_rev").alias("_val"))
+    top = first_k_by(g, ["merchant_id"], ["_neg", "product_id"], "_val", k, "_top")
+    return (top.select("merchant_id", F.posexplode("_top").alias("_p", "_x"))
+            .select("merchant_id", F.col("_x.product_id").alias("product_id"), F.col("_x.sales").alias("sales"),
+                    (F.col("_p") + 1).cast("int").alias("rank"),
+                    F.col("_x._rev").cast("double").alias("revenue_usd")))
 
 
 def document_schema_violations(v: Views) -> DataFrame:
