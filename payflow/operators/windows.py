@@ -22,7 +22,7 @@ def micros(ts: Column | str) -> Column:
 
 
 COUNT = "count"
-"""Frame builder marker: a row count over the frame, computed by running sums (see ``_frame_counts``)."""
+"""Frame builder marker: a row count over the frame, computed by running sums (see ``_frame_events``)."""
 
 
 def _bucketed(df: DataFrame, ts: str, lookback_us: int, bucket_s: int | None, default_s: int) -> DataFrame:
@@ -42,81 +42,80 @@ def _bucketed(df: DataFrame, ts: str, lookback_us: int, bucket_s: int | None, de
             .withColumn("_b", F.col("_c._b")).withColumn("_ctx", F.col("_c._ctx")).drop("_c"))
 
 
-def _frame_counts(x: DataFrame, keys: list[str], counts: dict[str, tuple[int, bool]]) -> DataFrame:
-    """Range-frame row counts without a sliding frame.
-
-    Spark evaluates a sliding RANGE frame by re-aggregating the rows in the frame for every
-    output row, so a dense key costs rows x frame size. A count needs no such buffer: row j
-    leaves the frame ``[t - L, t]`` of later rows once ``t > t_j + L``. Each row therefore gets
-    an expiry event at ``t_j + L`` (per look-back), and
-
-        count[t - L, t] = #rows with time <= t  -  #expiries strictly before t
-        count[t - L, t) = #rows with time <  t  -  #expiries strictly before t
-
-    Both terms are running sums (unbounded preceding), which Spark updates incrementally:
-    linear in the rows of a (key, bucket) partition. ``counts``: name -> (look-back in
-    micros, include_current)."""
-    part = [*keys, "_b"]
-    u = x.withColumn("_ev", F.lit(-1))
-    for i, (lb, _) in enumerate(counts.values()):
-        u = u.unionByName(x.select(*part, (F.col("_t") + lb).alias("_t"), F.lit(i).alias("_ev")),
-                          allowMissingColumns=True)
-    upto = Window.partitionBy(*part).orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*part).orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
-    real = (F.col("_ev") == -1).cast("long")
-    for i, (name, (_, incl)) in enumerate(counts.items()):
-        gone = F.coalesce(F.sum((F.col("_ev") == i).cast("long")).over(before), F.lit(0))
-        seen = F.coalesce(F.sum(real).over(upto if incl else before), F.lit(0))    # empty frame: NULL
-        u = u.withColumn(name, (seen - gone).cast("long"))
-    return u.filter(F.col("_ev") == -1).drop("_ev")
-
-
 def distinct_count(col: str) -> tuple[str, str]:
     """Frame builder marker: number of distinct non-null ``col`` values in the frame
-    (``COUNT(DISTINCT col)``), computed linearly (see ``_frame_distinct``)."""
+    (``COUNT(DISTINCT col)``), computed linearly (see ``_frame_events``)."""
     return ("distinct", col)
 
 
-def _frame_distinct(x: DataFrame, keys: list[str], name: str, col: str, lb: int) -> DataFrame:
-    """``COUNT(DISTINCT col)`` over ``[t - lb, t]`` without a sliding frame.
+def _run_events(x: DataFrame, part: list[str], col: str, lb: int, start_code: int, end_code: int) -> DataFrame:
+    """Interval events of the distinct values of ``col``.
 
     An occurrence of value v at t_j covers ``[t_j, t_j + lb]``. Per (key, bucket, v),
     consecutive occurrences at most ``lb`` apart merge into one interval
-    ``[first, last + lb]`` (``lag`` / ``lead``: constant work per row). The merged intervals
-    of one value are disjoint, so the distinct count at t is the number of interval
-    starts at or before t minus the interval ends before t: two running sums."""
-    part = [*keys, "_b"]
+    ``[first, last + lb]`` (``lag`` / ``lead``: constant work per row); one pass emits its
+    start event (code ``start_code`` at ``first``) and end event (``end_code`` at ``last + lb``)."""
     occ = x.filter(F.col(col).isNotNull()).select(*part, F.col(col).alias("_v"), "_t")
     w = Window.partitionBy(*part, "_v").orderBy("_t")
     occ = occ.withColumn("_prev", F.lag("_t").over(w)).withColumn("_next", F.lead("_t").over(w))
     prev, nxt = F.col("_prev"), F.col("_next")
-    # one pass emits both events of a run: its start (at the first row) and its end (after the last)
     ev = F.array(F.when(prev.isNull() | (F.col("_t") - prev > lb),
-                        F.struct(F.col("_t").alias("_t"), F.lit(1).alias("_ds"), F.lit(0).alias("_de"))),
+                        F.struct(F.col("_t").alias("_t"), F.lit(start_code).alias("_ev"))),
                  F.when(nxt.isNull() | (nxt - F.col("_t") > lb),
-                        F.struct((F.col("_t") + lb).alias("_t"), F.lit(0).alias("_ds"), F.lit(1).alias("_de"))))
-    events = (occ.select(*part, F.explode(ev).alias("_e")).filter(F.col("_e").isNotNull())
-              .select(*part, "_e._t", "_e._ds", "_e._de"))
-    u = (x.withColumn("_ds", F.lit(0)).withColumn("_de", F.lit(0)).withColumn("_row", F.lit(True))
-         .unionByName(events.withColumn("_row", F.lit(False)), allowMissingColumns=True))
+                        F.struct((F.col("_t") + lb).alias("_t"), F.lit(end_code).alias("_ev"))))
+    return (occ.select(*part, F.explode(ev).alias("_e")).filter(F.col("_e").isNotNull())
+            .select(*part, "_e._t", "_e._ev"))
+
+
+def _frame_events(x: DataFrame, keys: list[str], counts: dict[str, tuple[int, bool]],
+                  distinct: dict[str, tuple[int, str]]) -> DataFrame:
+    """Range-frame counts and distinct counts without a sliding frame, in one shuffle.
+
+    Spark evaluates a sliding RANGE frame by re-aggregating the rows in the frame for every
+    output row, so a dense key costs rows x frame size. Here every frame becomes events
+    on the time line of its (key, bucket), marked by a code in ``_ev`` (-1 = data row):
+
+    * count over ``[t - L, t]``: row j leaves the frame of later rows once ``t > t_j + L``,
+      so it gets an expiry event at ``t_j + L``; count = rows at or before t (before t
+      when the current instant is excluded) - expiries before t;
+    * distinct values: merged coverage intervals (``_run_events``); count = interval
+      starts at or before t - interval ends before t (one value's intervals are disjoint).
+
+    Data rows and all events are one union, shuffled once on (key, bucket); every term is
+    a running sum (unbounded preceding), which Spark updates incrementally: linear per
+    partition. ``counts``: name -> (look-back micros, include_current); ``distinct``:
+    name -> (look-back micros, column)."""
+    part = [*keys, "_b"]
+    u = x.withColumn("_ev", F.lit(-1))
+    for i, (lb, _) in enumerate(counts.values()):
+        u = u.unionByName(x.select(*part, (F.col("_t") + lb).alias("_t"), F.lit(i).alias("_ev")),
+                          allowMissingColumns=True)
+    for j, (lb, col) in enumerate(distinct.values()):
+        u = u.unionByName(_run_events(x, part, col, lb, 1000 + 2 * j, 1001 + 2 * j), allowMissingColumns=True)
     upto = Window.partitionBy(*part).orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*part).orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
-    opened = F.coalesce(F.sum("_ds").over(upto), F.lit(0))
-    closed = F.coalesce(F.sum("_de").over(before), F.lit(0))
-    return u.withColumn(name, (opened - closed).cast("long")).filter("_row").drop("_ds", "_de", "_row")
+
+    def n(code: int, w: Window) -> Column:          # events of one code in the frame (empty frame: 0)
+        return F.coalesce(F.sum((F.col("_ev") == code).cast("long")).over(w), F.lit(0))
+
+    for i, (name, (_, incl)) in enumerate(counts.items()):
+        u = u.withColumn(name, n(-1, upto if incl else before) - n(i, before))
+    for j, name in enumerate(distinct):
+        u = u.withColumn(name, n(1000 + 2 * j, upto) - n(1001 + 2 * j, before))
+    return u.filter(F.col("_ev") == -1).drop("_ev")
 
 
 def _apply_frames(x: DataFrame, keys: list[str], frames: dict[str, tuple[int, bool, object]],
                   peer_order: str | None) -> DataFrame:
     counts = {n: (lb, incl) for n, (lb, incl, fn) in frames.items() if isinstance(fn, str) and fn == COUNT}
-    if counts:
-        x = _frame_counts(x, keys, counts)
-    distinct = {n: (lb, incl, fn[1]) for n, (lb, incl, fn) in frames.items()
-                if isinstance(fn, tuple) and fn[0] == "distinct"}
-    for name, (lb, incl, col) in distinct.items():
-        if not incl:
-            raise ValueError("distinct_count frames include the current row")
-        x = _frame_distinct(x, keys, name, col, lb)
+    distinct = {}
+    for n, (lb, incl, fn) in frames.items():
+        if isinstance(fn, tuple) and fn[0] == "distinct":
+            if not incl:
+                raise ValueError("distinct_count frames include the current row")
+            distinct[n] = (lb, fn[1])
+    if counts or distinct:
+        x = _frame_events(x, keys, counts, distinct)
     base = Window.partitionBy(*keys, "_b").orderBy("_t")
     for name, (lb, incl, fn) in frames.items():
         if name not in counts and name not in distinct:
