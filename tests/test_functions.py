@@ -41,3 +41,16 @@ def test_risk_levels_at_thresholds(spark):
                    ("high", "review"), ("high", "review"), ("critical", "block"), ("critical", "block")]
     s = spark.range(1).select(PF.sigmoid(F.lit(0.0)).alias("s")).collect()[0].s
     assert s == 0.5
+
+
+def test_shuffle_width_comes_from_cluster_cores_not_driver(spark):
+    from payflow.session import get_spark
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        s = get_spark()                                   # no explicit count, none submitted
+        assert s.conf.get("spark.sql.shuffle.partitions") == str(max(8, 3 * s.sparkContext.defaultParallelism))
+        s = get_spark(shuffle_partitions=5)               # explicit count wins
+        assert s.conf.get("spark.sql.shuffle.partitions") == "5"
+        assert s.conf.get("spark.sql.session.timeZone") == "UTC"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
