@@ -194,3 +194,18 @@ def test_distinct_count_frame_matches_brute_force(spark):
         inside = [r for r in rows if r[1] == k and t - dt.timedelta(seconds=L) <= r[2] <= t]
         assert got.loc[i, "d"] == len({r[3] for r in inside if r[3] is not None}), i
         assert got.loc[i, "n"] == len(inside), i
+
+
+def test_frame_counts_use_running_sums_not_sliding_frames(spark):
+    """Counts and distinct counts over range frames must stay linear: the executed plan
+    has no sliding RANGE frame (lower bound = a fixed offset) for them."""
+    import re
+    from payflow.plans.bindings import Views
+    from payflow.plans.features import fraud_features
+    from payflow.plans.reports_oltp import attempts
+    sliding = re.compile(r"RangeFrame, -\d+")
+    v = Views(spark, "/root/testdata/sf0.001")
+    counts = count_in_range(attempts(v), ["customer_id", "merchant_id"], "created_at", 6 * 3600, "n")
+    assert not sliding.findall(counts._jdf.queryExecution().executedPlan().toString())
+    plan = fraud_features(v)._jdf.queryExecution().executedPlan().toString()
+    assert len(sliding.findall(plan)) == 1          # only the 30-day average (see README, open items)
