@@ -6,6 +6,8 @@ in one task. ``range_frame_aggs`` splits each key by time bucket instead: every
 is processed in its own bucket, and the rows of the previous bucket that fall inside
 the look-back are copied in as context (read-only) rows. A bucket is at least as wide
 as the look-back, so each frame is complete; the copy overhead is look-back / width.
+Inside a (key, bucket), counts and distinct counts are running sums of time-line events
+(``_frame_events``), linear in the rows; other aggregates use Spark's sliding frame.
 """
 
 from __future__ import annotations
