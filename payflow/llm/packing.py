@@ -30,12 +30,9 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from payflow.llm.common import slices
-
 CAPACITY = 2048
 END_ID = 1
 GROUP_TOKENS = 4_000_000
-CACHED_WORDS = 400_000
 #: Attention cost of a piece of n tokens, in units of one token's linear work.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 
@@ -43,26 +40,36 @@ PIECE_SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_token
                 "sequence_id long, offset long")
 
 #: Latin-1 text in lower case, cut as the tokenizer's own pattern cuts it (letters, one
-#: digit, other marks); texts with any other character go to the tokenizer whole.
+#: digit, other marks).
 LETTERS, DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
 PLAIN = bytes([9, 10, 13, *range(32, 127), *range(161, 256)])
 
 
 class WordEncoder:
-    """Token ids of texts as little-endian uint32 bytes, by a cache of words.
+    """Token ids of texts as little-endian uint32 bytes.
 
-    The tokenizer merges inside words only, so a text's ids are its words' ids in order.
+    The vocabulary is byte-pair merges inside words, its ids in merge order, with an end
+    mark on a word's last symbol. So for texts in Latin-1 the same merges run over the
+    words that ``WORD`` finds, each closed by one control byte that stands for the end mark
+    and merges first (about five times as fast as the tokenizer's own text handling). All
+    other texts go through the tokenizer itself.
     """
 
+    END = "\x01"
+
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in got]
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        symbols = byte_symbols()
+        ranks = {}
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            if token not in special:
+                body = token.removesuffix("</w>")
+                ranks[bytes(symbols[c] for c in body) + (self.END.encode() if body != token else b"")] = i
+        self.words = tiktoken.Encoding("words", pat_str=rf"[^{self.END}]+{self.END}", mergeable_ranks=ranks, special_tokens={})
 
     @staticmethod
     def _plain(text: str) -> bool:
@@ -71,20 +78,21 @@ class WordEncoder:
         except UnicodeEncodeError:
             return False
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        for a, b in slices(map(len, texts), 4_000_000):
-            split = {i: WORD.findall(texts[i].lower()) for i in range(a, b) if self._plain(texts[i])}
-            if len(self.words) > CACHED_WORDS:
-                self.words = {}
-            new = sorted(set().union(*split.values()) - self.words.keys())
-            self.words.update(zip(new, self._direct(new)))
-            for i, words in split.items():
-                out[i] = b"".join(map(self.words.__getitem__, words))
-            whole = [i for i in range(a, b) if i not in split]
-            for i, ids in zip(whole, self._direct([texts[i] for i in whole])):
-                out[i] = ids
-        return out
+    def encode(self, text: str) -> bytes:
+        if self._plain(text):
+            words = WORD.findall(text.lower())
+            ids = self.words.encode_ordinary(self.END.join(words) + self.END) if words else []
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
+
+
+def byte_symbols() -> dict[str, int]:
+    """The byte that each symbol of a byte-level vocabulary stands for: printable Latin-1
+    characters for themselves, the other bytes in order from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
 @lru_cache(maxsize=2)
@@ -161,7 +169,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
         for batch in batches:
             texts = [x or "" for x in batch["text"]]
             doc_ids = [None if pd.isna(x) else int(x) for x in batch["doc_id"]]
-            for a, b in slices(map(len, texts), 4_000_000):
+            for a, b in slices(map(len, texts), 60_000):
                 for key, got in zip(doc_ids[a:b], encode(texts[a:b])):
                     keys.append(key)
                     ids.append(got + end)
