@@ -167,15 +167,12 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
 
         encode = encoder(tokenizer).encode
         for batch in batches:
-            texts = [x or "" for x in batch["text"]]
-            doc_ids = [None if pd.isna(x) else int(x) for x in batch["doc_id"]]
-            for a, b in slices(map(len, texts), 60_000):
-                for key, got in zip(doc_ids[a:b], encode(texts[a:b])):
-                    keys.append(key)
-                    ids.append(got + end)
-                    held += len(got) // 4 + 1
-                    if held >= group_tokens:
-                        yield flush()
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                keys.append(None if pd.isna(doc_id) else int(doc_id))
+                ids.append(encode(text or "") + end)
+                held += len(ids[-1]) // 4
+                if held >= group_tokens:
+                    yield flush()
         if ids:
             yield flush()
 
