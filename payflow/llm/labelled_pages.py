@@ -61,7 +61,8 @@ class Writer:
 
     def aside(self) -> str:
         """One piece of furniture."""
-        r, p = self.r, f"<p>{self.prose(1, 3)}</p>"
+        r = self.r
+        p = f"<p>{self.prose(1, 5) if r.random() < 0.9 else self.words(1, 60)}</p>"
         kind = r.randrange(7)
         if kind == 0:
             return self.of(SIDEBARS, r.choice([f"<h3>{self.words(1, 3)}</h3>", ""]) + r.choice([self.links(), p]), 0)
@@ -92,7 +93,8 @@ class Writer:
             return f"<figure><img><figcaption>{self.sentence()}</figcaption></figure>"
         if kind == 6:
             return f'<p>{self.prose(0, 2)} <a href="#">{self.words(1, 4)}</a> {self.prose(0, 2)}</p>'
-        return r.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p><b>{}<br>", "<div>{}</div>"]).format(self.prose(1, 6))
+        prose = self.words(1, 150) if kind == 7 else self.prose(1, 6)           # also text without any marks
+        return r.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}</p>", "<p><b>{}<br>", "<div>{}</div>"]).format(prose)
 
     def page(self) -> str:
         r = self.r
@@ -100,13 +102,15 @@ class Writer:
         inner = r.choices([f"<h1>{title}</h1>", f"<header><h1>{title}</h1></header>", f"<h2>{title}</h2>", ""], [6, 1, 1, 1])[0]
         for _ in range(r.choice([1, 1, 2, 3, 5, 8])):
             inner += self.part() + (self.aside() if r.random() < 0.08 else "")
+        if r.random() < 0.2:                                          # nothing but the article
+            return f'<!DOCTYPE html><html><body>{self.of(ARTICLES[:-1], inner, 1)}</body></html>'
         out = [self.of(MENUS, self.links(), 0)] if r.random() < 0.8 else []
         if r.random() < 0.4:
             out.insert(r.randrange(len(out) + 1), self.of(HEADERS, r.choice([f"<h1>{self.words(1, 3)}</h1>", f"<p>{self.words(2, 6)}</p>", self.links()]), 0))
         out += [self.aside() for _ in range(r.choice([0, 1, 1, 2]))]
         out.append(self.of(ARTICLES, inner, 1))
         out += [self.aside() for _ in range(r.choice([0, 0, 1, 2]))]
-        if r.random() < 0.85:
+        if r.random() < 0.7:
             foot = r.choice([f"&copy; {self.word()}.example.com {r.randint(1990, 2030)}", f"<p>&copy; {self.words(1, 3)}</p>{self.links()}", self.words(2, 6)])
             out.append(self.of(FOOTERS, foot, 0))
         return f'<!DOCTYPE html><html><head><title>{title}</title></head><body {MARK}="0">{"".join(out)}</body></html>'

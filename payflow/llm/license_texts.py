@@ -91,7 +91,7 @@ NAMES = {
     "ISC": ["ISC License"],
     "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License"],
     "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License"],
-    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache 2.0 License"],
     "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0"],
     "GPL-2.0-only": ["GNU General Public License, version 2", "GPL v2"],
     "GPL-3.0-only": ["GNU General Public License, version 3", "GPL v3"],

@@ -5,8 +5,8 @@ spellings unified, punctuation and white space as single blanks) and hashed. Two
 looked up: the entire text of a document (a licence file), and every entire line of it (a
 licence notice). A unit matches if its digest is that of a known text, so the lookup is
 one equi-join. The known texts are a table of bounded size (below: the bodies in
-``BODIES`` and notices made from ``NAMES`` and ``NOTICES``); without a hint, Spark
-broadcasts it only under its size threshold, and AQE splits a hot digest otherwise.
+``BODIES`` and notices made from ``NAMES`` and ``NOTICES``), which is broadcast; a caller's own table has
+no hint, so Spark broadcasts it only under its size threshold and AQE splits a hot digest otherwise.
 
 Rows: null text is empty; empty units match nothing. A line that a document repeats is
 reported once per line. Repeated rows and null ids are reported as they are. Empty tables
@@ -58,13 +58,16 @@ def known_digests(known: DataFrame) -> DataFrame:
 
 def license_matches(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(doc_id, unit, line_no, license, digest) of every known unit; line_no counts from 0, null for a whole text."""
-    if known is None:
+    if known is None:       # the fixed table of this module is small enough to send to all tasks
         known = docs.sparkSession.createDataFrame([(a, t) for a, _, t in known_texts()], "license string, text string")
+        digests_of_known = F.broadcast(known_digests(known))
+    else:
+        digests_of_known = known_digests(known)
     forms = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
     units = forms.select("doc_id", F.posexplode(F.concat(
         F.array(canonical(F.col("lines"))), F.transform(F.split("lines", "\n"), lambda x: F.trim(x)))).alias("at", "form"))
     digests = units.where("form <> ''").select("doc_id", "at", F.sha2("form", 256).alias("digest"))
-    return (digests.join(known_digests(known), "digest")
+    return (digests.join(digests_of_known, "digest")
             .select("doc_id", F.when(F.col("at") == 0, "text").otherwise("line").alias("unit"),
                     F.when(F.col("at") > 0, F.col("at") - 1).alias("line_no"), "license", "digest"))
 

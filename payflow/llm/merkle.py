@@ -4,11 +4,11 @@ A text is cut at line breaks into paragraphs. A section ends after an empty para
 after one whose digest starts with a low byte (content-defined, about every 16th), so an
 edit moves only the borders near it. Section digests hash their paragraphs' digests, the
 root hashes the sections': roots are equal exactly for equal texts. Below a paragraph the
-leaves are content-defined chunks of about eight words, cut after a word whose last bytes
+leaves are content-defined chunks of about four words, cut after a word whose last bytes
 hash low, so half a changed paragraph still shares leaves.
 
 The fingerprint is a string: root, ``:``, then the sections joined by ``;`` as
-``digest=paragraph,paragraph``, a paragraph being its leaves' 6-digit hashes. ``likeness``
+``digest=paragraph,paragraph``, a paragraph being its leaves' 4-digit hashes. ``likeness``
 is the share of leaves that two fingerprints have in common (twice the shared number over
 the sum; 1 for equal roots), ``first_difference`` descends only branches whose digests differ.
 
@@ -35,9 +35,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SECTION_BYTE = 16          # a paragraph digest whose first byte is below this closes a section
-CHUNK_MASK = 7             # one word in eight ends a chunk
+CHUNK_MASK = 3             # one word in four ends a chunk
 CHUNK_BYTES = 512          # longer chunks are cut at this length
-LEAF_BYTES = 3
+LEAF_BYTES = 2
 
 SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
           "near_edited double, near_next double, edited_paragraph long")

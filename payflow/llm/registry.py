@@ -33,4 +33,4 @@ def llm_queries() -> dict[str, Query]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op5_licenses": licenses.oracle_sql()}
+    return {"op1_warc": warc.oracle_sql(), "op5_licenses": licenses.oracle_sql()}

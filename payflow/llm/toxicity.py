@@ -81,7 +81,8 @@ class Scorer:
     def __call__(self, texts: Iterator[str | None]) -> np.ndarray:
         of = _word_weights(tuple(sorted(self.weights.items())))
         margin = np.array([self.bias + sum(map(of.__getitem__, words(t))) for t in texts], dtype=float)
-        return 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(-margin))
 
 
 @lru_cache(maxsize=2)

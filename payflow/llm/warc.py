@@ -227,9 +227,28 @@ def spans_of(uri: str) -> list[tuple[int, int, int]]:
     return frame_spans(read_range(uri, size - 9 - 8 * count, 9 + 8 * count))
 
 
+CONTRACT = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+
+
 def archive_round_trip(pages: DataFrame) -> DataFrame:
-    """Write all pages to the shared folder and read the archives back."""
+    """Write all pages to the shared folder and read the archives back (``CONTRACT`` columns)."""
     folder = shared_folder(pages.sparkSession, "warc")
     if write_archives(pages, folder).limit(1).count():
-        return read_archives(pages.sparkSession, folder)
-    return pages.sparkSession.createDataFrame([], RECORD_SCHEMA).drop("payload")
+        return read_archives(pages.sparkSession, folder).select(CONTRACT)
+    return pages.sparkSession.createDataFrame([], RECORD_SCHEMA).select(CONTRACT)
+
+
+def oracle_sql() -> str:
+    """The round trip's rows in DuckDB SQL (base 32 from the hex digest, 20 bits at a time)."""
+    return """
+WITH d AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (
+  SELECT *, array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+    ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS digest,
+    min(page_id) OVER (PARTITION BY hex) AS first_id FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id > first_id OR (page_id IS NULL AND first_id IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first_id OR (page_id IS NULL AND first_id IS NOT NULL) THEN first_id END AS refers_to
+FROM b
+"""
