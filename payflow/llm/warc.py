@@ -244,8 +244,8 @@ def oracle_sql() -> str:
 WITH d AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS hex FROM pages),
 b AS (
-  SELECT *, array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
-    ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS digest,
+  SELECT *, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+    ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1) FOR i IN range(32)], '') AS digest,
     min(page_id) OVER (PARTITION BY hex) AS first_id FROM d)
 SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
   CASE WHEN page_id > first_id OR (page_id IS NULL AND first_id IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
