@@ -80,7 +80,7 @@ def rank_deciles(df: DataFrame, order: list[Column | str], buckets: int = 10, na
 
 def dense_key(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     """Dense surrogate numbering 1..n in ``order`` (unique order assumed)."""
-    return global_row_number(df, order, name).withColumn(name, F.col(name).cast("int"))
+    return global_row_number(df, order, name).withColumn(name, F.col(name).cast("long"))
 
 
 def group_row_number(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "rn",
@@ -104,3 +104,22 @@ def group_row_number(df: DataFrame, keys: list[str], order: list[Column | str],
     offs = firsts.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")
     out = local.join(offs, [*keys, "_pid"]).withColumn(name, F.col("_off") + F.col("_mid") - F.col("_m0") + 1)
     return out.drop("_pid", "_mid", "_m0", "_off")
+
+
+def global_running_sums(df: DataFrame, order: list[Column | str], sums: dict[str, tuple[str, str]],
+                        num_partitions: int | None = None) -> DataFrame:
+    """``SUM(x) OVER (ORDER BY order)`` and the grand total of several columns without a one-task
+    window: ``sums`` maps a column to the names of its running sum and its total. Range
+    partitions keep local running sums; one row per partition carries the earlier ones' totals."""
+    n = num_partitions or _default_parts(df)
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    ensure_checkpoint_dir(df.sparkSession)
+    local = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    totals = local.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums],
+                            *[F.sum(f"_t_{c}").over(Window.partitionBy()).alias(t) for c, (_, t) in sums.items()])
+    own = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = local.withColumns({run: F.sum(c).over(own) for c, (run, _) in sums.items()}).join(F.broadcast(offsets), "_pid")
+    return out.withColumns({run: F.col(run) + F.col(f"_o_{c}") for c, (run, _) in sums.items()}).drop(
+        "_pid", *[f"_o_{c}" for c in sums])

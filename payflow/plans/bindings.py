@@ -43,22 +43,10 @@ class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self._scan_parts: dict[str, int] = {}
 
     def table(self, name: str) -> DataFrame:
-        """A source table. An input stored as very few row groups (a small file) scans as
-        one or two tasks; it is spread round-robin so the map-side work uses several
-        cores: over the cluster's parallelism, but at most 16 partitions per input split
-        (a split holds at most one file block, so a 25-row table never becomes one task
-        per core of a large cluster). Large inputs (many files / row groups) are left
-        as they are: no extra shuffle at scale. Filters and column pruning still reach
-        the scan (they are pushed below the repartition)."""
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        par = self.spark.sparkContext.defaultParallelism
-        n = self._scan_parts.get(name)
-        if n is None:
-            n = self._scan_parts[name] = df.rdd.getNumPartitions()   # planning only, no job
-        return df.repartition(min(par, 16 * max(n, 1))) if n < par // 2 else df
+        """A source table; how it is split over tasks is left to the session's file settings."""
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     # ------------------------------------------------------------------ reference data
     @cached_property

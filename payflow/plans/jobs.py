@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from payflow import constants as K
 from payflow.operators.fold import greedy_cap
 from payflow.operators.windows import latest_per_key
+from payflow.sources.readers import TOPIC_PREFIX
 from payflow.plans.bindings import Views
 from payflow.plans.marts import Marts
 from payflow.plans.reports_oltp import latest
@@ -110,19 +111,22 @@ def cdc_messages(v: Views) -> DataFrame:
     e = t.select(F.explode(ev).alias("e")).filter(F.col("e").isNotNull()).select("e.*")
     value = F.to_json(F.struct("before", "after", F.struct(F.col("lsn")).alias("source"), "op"), JSON_OPTS)
     key = F.coalesce(F.col("after.transaction_id"), F.col("before.transaction_id"))
-    return e.select(F.lit("stripe.public.transactions").alias("topic"), key.cast("string").alias("key"),
+    return e.select(F.lit(f"{TOPIC_PREFIX}.public.transactions").alias("topic"), key.cast("string").alias("key"),
                     value.alias("value"), "ingested_at")
 
 
 def parse_cdc(msgs: DataFrame) -> DataFrame:
-    """A4 / K1: envelope -> typed rows (id, after.*, lsn, op). Unparsable messages keep
-    a null ``_env``; see ``sources.cdc.split_dlq``."""
+    """A4 / K1: envelope -> typed rows (id, after.*, lsn, op). Messages that do not parse, or
+    have no operation, position or key, are left out; ``sources.readers.split_dlq`` gives them
+    as dead letters."""
     env = F.from_json("value", ENVELOPE, {"mode": "PERMISSIVE", **JSON_OPTS})
     # parse once per message: a filter on a plain projected column would be pushed below
     # the projection and inline (re-run) the parser; it cannot move below a generator
     p = msgs.select("*", F.explode(F.array(env)).alias("_env"))
     img = F.coalesce(F.col("_env.after"), F.col("_env.before"))
-    return p.filter(F.col("_env").isNotNull()).select(
+    usable = (F.col("_env.op").isNotNull() & F.col("_env.source.lsn").isNotNull()
+              & img["transaction_id"].isNotNull())
+    return p.filter(usable).select(
         *[img[f.name].alias(f.name) for f in AFTER_SCHEMA.fields],
         F.col("_env.source.lsn").alias("lsn"), F.col("_env.op").alias("op"), "ingested_at")
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from payflow import constants as K
-from payflow.functions import date_sk, ip_to_24, salted_sha256, short_sha256, year_month_of_sk
+from payflow.functions import date_sk, ip_to_24, salted_sha256, short_sha256, surrogate_md5, year_month_of_sk
 from payflow.operators.ranks import dense_key, rank_deciles
 from payflow.operators.scd2 import scd2_as_of, versions_from_snapshots
 from payflow.plans.bindings import Views
@@ -178,14 +178,15 @@ class Marts:
              .join(cur, "currency_code"))
         ok = F.col("status") == "succeeded"
         return f.select(
-            "transaction_id", date_sk(F.col("created_at")).alias("date_sk"),
+            "transaction_id", surrogate_md5(F.col("transaction_id")).alias("transaction_sk"),
+            date_sk(F.col("created_at")).alias("date_sk"),
             F.hour("created_at").cast("smallint").alias("hour_of_day"),
             "merchant_sk", "customer_sk", "geography_sk", "payment_method_sk", "product_sk", "currency_sk",
             "status", "amount", "amount_usd", "fee_usd",
             F.when(ok, F.col("amount_usd") - F.col("fee_usd") - F.col("refund_amount_usd"))
              .otherwise(0).cast("decimal(16,2)").alias("net_amount_usd"),
             "refund_amount_usd", "is_refunded", "is_disputed", "is_fraud_flagged", "is_subscription",
-            "anomaly_score", "risk_level", "device_type",
+            "anomaly_score", "risk_level", "device_type", "created_at",
             F.timestamp_add("MINUTE", F.lit(2), F.col("created_at")).alias("loaded_at"))
 
     @cached_property

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from payflow.operators.ranks import global_running_sums
+
 from payflow.plans.bindings import Views
 from payflow.plans.features import weighted_score
 from payflow.functions import risk_level
@@ -29,13 +31,11 @@ def labeled(feats: DataFrame) -> DataFrame:
 
 
 def score_table(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Per distinct score (descending): tp, fp at that score and cumulative counts."""
+    """Per distinct score (descending): tp, fp at that score and cumulative counts. The running
+    sums are distributed, so the number of distinct scores is not limited."""
     g = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label)).alias("tp"),
                                                         F.count_if(~F.col(label)).alias("fp"))
-    w = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy()
-    return (g.withColumn("cum_tp", F.sum("tp").over(w)).withColumn("cum_fp", F.sum("fp").over(w))
-            .withColumn("P", F.sum("tp").over(tot)).withColumn("N", F.sum("fp").over(tot)))
+    return global_running_sums(g, [F.col("threshold").desc()], {"tp": ("cum_tp", "P"), "fp": ("cum_fp", "N")})
 
 
 def pr_curve(df: DataFrame) -> DataFrame:
@@ -85,12 +85,15 @@ def champion_challenger(feats: DataFrame) -> DataFrame:
     both = flat.withColumn("challenger", weighted_score(flat)).filter(F.col("label").isNotNull())
     hc = lambda c: risk_level(F.col(c)).isin("high", "critical")
     agree = F.round(F.avg((risk_level(F.col("champion")) == risk_level(F.col("challenger"))).cast("double")) * 100, 2)
-    rows = []
-    for name in ("champion", "challenger"):
-        rows.append(both.agg(F.lit(name).alias("model_version"), F.count(F.lit(1)).alias("labeled"),
-                             F.count_if(hc(name)).alias("flagged"), F.count_if(hc(name) & F.col("label"))
-                             .alias("flagged_frauds"), agree.alias("agreement_pct")))
-    return rows[0].unionByName(rows[1]).withColumn(
+    names = ("champion", "challenger")
+    # one pass over the features for both models
+    one = both.agg(F.count(F.lit(1)).alias("labeled"), agree.alias("agreement_pct"),
+                   *[F.count_if(hc(n)).alias(f"{n}_flagged") for n in names],
+                   *[F.count_if(hc(n) & F.col("label")).alias(f"{n}_frauds") for n in names])
+    rows = one.select("labeled", "agreement_pct", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("model_version"), F.col(f"{n}_flagged").alias("flagged"),
+                 F.col(f"{n}_frauds").alias("flagged_frauds")) for n in names])))
+    return rows.withColumn(
         "precision_pct", F.round(F.col("flagged_frauds") * 100.0 / F.col("flagged"), 2))
 
 
@@ -140,7 +143,7 @@ def model_evaluation(feats: DataFrame, max_iter: int = 200, key: str = "default"
     from pyspark.ml.functions import vector_to_array
     model, test = fitted_model(feats, key, max_iter)
     scored = model.transform(test).select(
-        F.round(vector_to_array("probability")[1], 4).alias("score"), (F.col("y") == 1).alias("label"))
+        vector_to_array("probability")[1].alias("score"), (F.col("y") == 1).alias("label"))
     return auc_summary(scored)
 
 
@@ -175,8 +178,10 @@ def recommend_methods(v: Views, k: int = 3, rank: int = 2, seed: int = 7) -> Dat
     im = im.withColumn("item", F.array_position(types, F.col("type")).cast("int"))
     # the factor rank cannot exceed the number of items (3 payment types), or the
     # per-user normal equations become singular
+    if rank > 3:
+        raise ValueError(f"rank {rank}: there are only 3 payment types")
     als = ALS(userCol="customer_id", itemCol="item", ratingCol="weight", implicitPrefs=True,
-              rank=min(rank, 3), regParam=0.1, maxIter=10, seed=seed, coldStartStrategy="drop")
+              rank=rank, regParam=0.1, maxIter=10, seed=seed, coldStartStrategy="drop")
     model = als.fit(im.withColumn("customer_id", F.col("customer_id").cast("int")))
     recs = model.recommendForAllUsers(k)
     return recs.select(F.col("customer_id").cast("long"),
@@ -232,27 +237,53 @@ def feature_skew(offline: DataFrame, online: DataFrame, key: str, cols: list[str
 
 
 def similar_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
-                    vec_col: str = "embedding", max_queries: int = 10_000) -> DataFrame:
-    """Top-k cosine neighbours of each query vector among all vectors.
-
-    The query set is broadcast only after its size is checked (a query batch, not the
-    corpus); scoring is one pass over the corpus, and the top k per query are kept with
-    k rounds of partial ``min`` aggregates (no per-query sort of the whole corpus)."""
-    from payflow.operators.topk import first_k_by
-    n = queries.count()
-    if n > max_queries:
-        raise ValueError(f"{n} query vectors: split the batch (limit {max_queries})")
-
-    def unit(c: Column) -> Column:
-        norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x))
-        return F.transform(c, lambda x: x / norm)
-
-    q = F.broadcast(queries.select(F.col(id_col).alias("query_id"), unit(F.col(vec_col)).alias("_q")))
-    c = vectors.select(F.col(id_col).alias("match_id"), unit(F.col(vec_col)).alias("_v"))
-    scored = (c.join(q, F.col("match_id") != F.col("query_id"))
-              .select("query_id", "match_id",
-                      F.aggregate(F.zip_with("_q", "_v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-                      .alias("cosine")))
-    ranked = scored.withColumn("_neg", -F.col("cosine"))
-    top = first_k_by(ranked, ["query_id"], ["_neg", "match_id"], "match_id", k, "neighbours")
-    return top
+                    vec_col: str = "embedding", block: int = 2_000) -> DataFrame:
+    """Top-k cosine neighbours of each query vector among all vectors (ties: smaller id).
+
+    The query set is taken in blocks of ``block`` vectors, each sent to the tasks as one
+    matrix, so any number of queries works. A task keeps k candidates per query of the
+    vectors it has seen; one window over those (tasks x k rows per query) gives the result."""
+    import numpy as np
+    import pandas as pd
+
+    schema = f"query_id {queries.schema[id_col].dataType.simpleString()}, match_id {vectors.schema[id_col].dataType.simpleString()}, cosine double"
+
+    def candidates(ids: list, matrix: np.ndarray):
+        def run(batches):
+            best: dict = {}
+            for batch in batches:
+                if not len(batch):
+                    continue
+                own = np.array(batch[vec_col].tolist(), dtype=float)
+                own = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)
+                names = batch[id_col].tolist()
+                for qi, row in zip(ids, matrix @ own.T):
+                    top = np.argpartition(-row, min(k + 1, len(row) - 1))[:k + 1] if len(row) > k + 1 else range(len(row))
+                    floor = min(row[i] for i in top)
+                    got = [(-row[i], names[i]) for i in np.flatnonzero(row >= floor) if names[i] != qi]
+                    best[qi] = sorted(best.get(qi, []) + got)[:k]
+            yield pd.DataFrame([(qi, m, -c) for qi, own in best.items() for c, m in own],
+                               columns=["query_id", "match_id", "cosine"])
+
+        return run
+
+    out, held = None, []
+
+    def flush():
+        nonlocal out
+        matrix = np.array([v for _, v in held], dtype=float)
+        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        part = vectors.select(id_col, vec_col).mapInPandas(candidates([i for i, _ in held], matrix), schema)
+        out = part if out is None else out.unionByName(part)
+        held.clear()
+
+    for r in queries.select(id_col, vec_col).toLocalIterator():
+        held.append((r[0], r[1]))
+        if len(held) == block:
+            flush()
+    if held or out is None:
+        if not held:
+            return vectors.sparkSession.createDataFrame([], schema.replace(", cosine double", ", rank int, cosine double"))
+        flush()
+    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "match_id")
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "match_id", "rank", "cosine")

@@ -65,6 +65,12 @@ def avg_round(col: str, scale_in: int, out: int = 2) -> str:
     return f"(CASE WHEN COUNT({col}) = 0 THEN NULL ELSE CAST({num} // {den} AS DOUBLE) / {10 ** out} END)"
 
 
+def avg_of(total: str, n: str, scale_in: int, out: int = 2) -> str:
+    """``avg_round`` from a DECIMAL sum and a count that are already there."""
+    t, k = f"CAST({total} * {10 ** scale_in} AS HUGEINT)", f"CAST({n} AS HUGEINT)"
+    return f"(CAST((2 * {t} * {10 ** out} + {k} * {10 ** scale_in}) // (2 * {k} * {10 ** scale_in}) AS DOUBLE) / {10 ** out})"
+
+
 CUR_VALUES = ", ".join(f"('{c}', '{n}', {d}, CAST({r} AS DECIMAL(18,8)), {i + 1})"
                        for i, (c, n, d, r) in enumerate(K.CURRENCIES))
 SCORE = _score("o.o_orderkey")
@@ -255,39 +261,41 @@ dim_customer_base AS (
          CAST(date_trunc('month', cu.created_at) AS DATE) AS acquisition_month,
          CAST(cu.created_at AS DATE) AS scd_start, CAST(NULL AS DATE) AS scd_end, true AS is_current
   FROM customers cu LEFT JOIN countries co ON co.country_code = cu.country_code),
-enriched AS (
-  SELECT t.*, CAST(t.created_at AS DATE) AS tx_date,
-         CAST(ROUND(t.amount * fx.rate_to_usd, 2) AS DECIMAL(16,2)) AS amount_usd,
-         CAST(CASE WHEN t.status = 'succeeded' THEN ROUND(t.amount * fx.rate_to_usd * 0.029 + 0.30, 2) ELSE 0 END
-              AS DECIMAL(16,2)) AS fee_usd,
-         COALESCE(CAST(ROUND(rf.refund_amount * fx.rate_to_usd, 2) AS DECIMAL(16,2)), 0) AS refund_amount_usd,
-         rf.transaction_id IS NOT NULL AS is_refunded, d.transaction_id IS NOT NULL AS is_disputed,
-         COALESCE(f.risk_level IN ('high', 'critical'), false) AS is_fraud_flagged,
-         t.subscription_id IS NOT NULL AS is_subscription, f.anomaly_score, f.risk_level
-  FROM tx t
-  LEFT JOIN fx ON fx.currency_code = t.currency_code AND fx.rate_date = CAST(t.created_at AS DATE)
-  LEFT JOIN (SELECT transaction_id, CAST(SUM(amount) AS DECIMAL(16,2)) AS refund_amount FROM refunds
-             WHERE status = 'succeeded' GROUP BY transaction_id) rf ON rf.transaction_id = t.transaction_id
-  LEFT JOIN (SELECT DISTINCT transaction_id FROM disputes) d ON d.transaction_id = t.transaction_id
-  LEFT JOIN fraud_indicators f ON f.transaction_id = t.transaction_id),
+given_back AS (
+  SELECT transaction_id, SUM(amount)::DECIMAL(16,2) AS back FROM refunds WHERE status = 'succeeded' GROUP BY transaction_id),
+day_rates AS (SELECT currency_code, rate_date AS day, rate_to_usd AS rate FROM fx),
+payment_values AS (
+  SELECT transaction_id, ROUND(amount * rate, 2)::DECIMAL(16,2) AS amount_usd,
+         (CASE status WHEN 'succeeded' THEN ROUND(amount * rate * 0.029 + 0.30, 2) ELSE 0 END)::DECIMAL(16,2) AS fee_usd,
+         ifnull(ROUND(back * rate, 2)::DECIMAL(16,2), 0) AS refund_amount_usd, back IS NOT NULL AS is_refunded
+  FROM (SELECT *, created_at::DATE AS day FROM tx) LEFT JOIN day_rates USING (currency_code, day)
+       LEFT JOIN given_back USING (transaction_id)),
+payment_risks AS (
+  SELECT transaction_id, anomaly_score, risk_level, ifnull(risk_level IN ('high', 'critical'), false) AS is_fraud_flagged,
+         transaction_id IN (SELECT transaction_id FROM disputes) AS is_disputed
+  FROM (SELECT transaction_id FROM tx) LEFT JOIN fraud_indicators USING (transaction_id)),
+instruments AS (
+  SELECT payment_method_id, payment_method_sk FROM payment_methods, dim_payment_method
+  WHERE dim_payment_method.type = payment_methods.type AND dim_payment_method.brand IS NOT DISTINCT FROM payment_methods.brand),
+-- the version of a merchant or customer that was valid on the payment's day
+seller_versions AS (
+  SELECT transaction_id, merchant_sk FROM tx JOIN dim_merchant USING (merchant_id)
+  WHERE scd_start <= created_at::DATE AND (scd_end IS NULL OR scd_end > created_at::DATE)),
+buyer_versions AS (
+  SELECT transaction_id, customer_sk FROM tx JOIN dim_customer_base USING (customer_id)
+  WHERE scd_start <= tx.created_at::DATE AND (scd_end IS NULL OR scd_end > tx.created_at::DATE)),
 fact_transactions AS (
-  SELECT e.transaction_id, CAST(strftime(e.created_at, '%Y%m%d') AS INTEGER) AS date_sk,
-         CAST(hour(e.created_at) AS SMALLINT) AS hour_of_day, m.merchant_sk, c.customer_sk, g.geography_sk,
-         dpm.payment_method_sk, p.product_sk, cur.currency_sk, e.status, e.amount, e.amount_usd, e.fee_usd,
-         CAST(CASE WHEN e.status = 'succeeded' THEN e.amount_usd - e.fee_usd - e.refund_amount_usd ELSE 0 END
-              AS DECIMAL(16,2)) AS net_amount_usd,
-         e.refund_amount_usd, e.is_refunded, e.is_disputed, e.is_fraud_flagged, e.is_subscription,
-         e.anomaly_score, e.risk_level, e.device_type, e.created_at + INTERVAL 2 MINUTE AS loaded_at
-  FROM enriched e
-  JOIN dim_merchant m ON m.merchant_id = e.merchant_id AND e.tx_date >= m.scd_start
-                     AND e.tx_date < COALESCE(m.scd_end, DATE '9999-12-31')
-  JOIN dim_customer_base c ON c.customer_id = e.customer_id AND e.tx_date >= c.scd_start
-                          AND e.tx_date < COALESCE(c.scd_end, DATE '9999-12-31')
-  JOIN dim_geography g ON g.country_code = e.geo_country_code
-  JOIN payment_methods pm ON pm.payment_method_id = e.payment_method_id
-  JOIN dim_payment_method dpm ON dpm.type = pm.type AND dpm.brand IS NOT DISTINCT FROM pm.brand
-  LEFT JOIN dim_product p ON p.product_id = e.product_id
-  JOIN dim_currency cur ON cur.currency_code = e.currency_code),
+  SELECT transaction_id, md5(transaction_id::VARCHAR) AS transaction_sk, strftime(tx.created_at, '%Y%m%d')::INTEGER AS date_sk,
+         hour(tx.created_at)::SMALLINT AS hour_of_day, merchant_sk, customer_sk, geography_sk, payment_method_sk,
+         product_sk, currency_sk, status, amount, amount_usd, fee_usd,
+         (CASE status WHEN 'succeeded' THEN amount_usd - fee_usd - refund_amount_usd ELSE 0 END)::DECIMAL(16,2) AS net_amount_usd,
+         refund_amount_usd, is_refunded, is_disputed, is_fraud_flagged, subscription_id IS NOT NULL AS is_subscription,
+         anomaly_score, risk_level, device_type, tx.created_at, tx.created_at + INTERVAL 2 MINUTE AS loaded_at
+  FROM tx JOIN payment_values USING (transaction_id) JOIN payment_risks USING (transaction_id)
+       JOIN seller_versions USING (transaction_id) JOIN buyer_versions USING (transaction_id)
+       JOIN instruments USING (payment_method_id) JOIN dim_currency USING (currency_code)
+       JOIN dim_geography ON dim_geography.country_code = tx.geo_country_code
+       LEFT JOIN (SELECT product_id, product_sk FROM dim_product) USING (product_id)),
 spend AS (
   SELECT customer_sk, SUM(amount_usd) AS spend FROM fact_transactions WHERE status = 'succeeded' GROUP BY customer_sk),
 customer_segments AS (

@@ -58,11 +58,14 @@ def get_spark(master: str | None = None, app: str = "payflow", shuffle_partition
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a scratch one only when unset (tests)."""
+    """Return the shared checkpoint folder. A scratch one is set only where it is unset and the
+    session is local (tests): on a cluster each executor would write to its own disk."""
     cur = spark.sparkContext.getCheckpointDir()
     if cur:
         return cur
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf_dir and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = conf_dir or tempfile.mkdtemp(prefix="payflow-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext.getCheckpointDir() or path

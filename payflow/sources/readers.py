@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,19 +54,23 @@ def exclude_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.drop(*cols)
 
 
-def route_topic(df: DataFrame, col: str = "topic") -> DataFrame:
-    """``stripe.public.<table>`` -> ``stripe.<table>``."""
-    return df.withColumn(col, F.regexp_replace(col, r"^stripe\.public\.(.*)$", "stripe.$1"))
+TOPIC_PREFIX = "pay"
+
+
+def route_topic(df: DataFrame, col: str = "topic", prefix: str = TOPIC_PREFIX) -> DataFrame:
+    """``<prefix>.public.<table>`` -> ``<prefix>.<table>``."""
+    return df.withColumn(col, F.regexp_replace(col, rf"^{re.escape(prefix)}\.public\.(.*)$", f"{prefix}.$1"))
 
 
 def split_dlq(msgs: DataFrame, envelope: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(parsed, dead letters). A message is dead when its value does not parse or has no
-    operation; dead letters keep topic, key, raw value and an error label."""
+    operation, position or key; dead letters keep topic, key, raw value and an error label."""
     p = msgs.withColumn("_env", F.from_json("value", envelope, {"mode": "PERMISSIVE"}))
-    bad = F.col("_env").isNull() | F.col("_env.op").isNull()
+    key = F.coalesce(F.col("_env.after.transaction_id"), F.col("_env.before.transaction_id"))
+    bad = F.col("_env.op").isNull() | F.col("_env.source.lsn").isNull() | key.isNull()
     ok = p.filter(~bad)
     dlq = p.filter(bad).select("topic", "key", "value", "ingested_at",
-                               F.lit("unparsable_or_missing_op").alias("error"))
+                               F.lit("unparsable_or_incomplete").alias("error"))
     return ok, dlq
 
 

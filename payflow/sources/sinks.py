@@ -1,14 +1,17 @@
-"""Sinks: mart writes, month-partitioned transactions, archive, idempotent upserts, compaction.
+"""Sinks: mart writes, month-partitioned transactions, archive, change-log state, compaction.
 
-Without a transactional table format (MERGE INTO is not available on plain Parquet),
-upserts write a complete new version under ``<base>/v=<n>`` and then move a pointer
-file; readers open the version the pointer names. A replay writes the same content.
+Keyed state is an append-only change log: a batch only adds its own rows, in key buckets,
+and readers take the latest row per key. Deletes stay in the log as tombstones and are
+hidden on read, so a late older change never revives a key, and there is no pointer that
+could be lost: every state of the folder between two writes reads as a valid table.
 Partition-scoped merges use dynamic partition overwrite, so only touched months are
 rewritten.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +37,9 @@ def with_year_month(df: DataFrame, ts: str = "created_at") -> DataFrame:
 
 def write_transactions(df: DataFrame, path: str, ts: str = "created_at") -> None:
     """Month partitions (``year_month=YYYY-MM``); rows without a time land in the
-    default partition (``__HIVE_DEFAULT_PARTITION__``). Touched months are replaced."""
-    (with_year_month(df, ts).repartition("year_month").write.mode("overwrite")
+    default partition (``__HIVE_DEFAULT_PARTITION__``). Touched months are replaced. Rows are
+    range-partitioned on (month, time), so a large month is written by several tasks."""
+    (with_year_month(df, ts).repartitionByRange("year_month", ts).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("year_month").parquet(path))
 
 
@@ -56,66 +60,71 @@ def archive_months(spark: SparkSession, path: str, archive_path: str, cutoff_mon
     return sorted(months)
 
 
-def current_version(spark: SparkSession, base: str) -> str | None:
-    fs, p = _fs(spark, f"{base.rstrip('/')}/_CURRENT")
-    if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        reader = spark.sparkContext._jvm.java.io.BufferedReader(
-            spark.sparkContext._jvm.java.io.InputStreamReader(stream))
-        return reader.readLine().strip()
-    finally:
-        stream.close()
-
-
-def _set_current(spark: SparkSession, base: str, version: str) -> None:
-    fs, p = _fs(spark, f"{base.rstrip('/')}/_CURRENT.tmp")
-    out = fs.create(p, True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    jvm = spark.sparkContext._jvm
-    final = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/_CURRENT")
-    fs.delete(final, False)
-    fs.rename(p, final)
+STATE_BUCKETS = 64
 
 
-def read_current(spark: SparkSession, base: str) -> DataFrame | None:
-    v = current_version(spark, base)
-    return spark.read.parquet(f"{base.rstrip('/')}/{v}") if v else None
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
 
 
 def upsert(spark: SparkSession, base: str, batch: DataFrame, keys: list[str], order: list[Column],
-           delete_col: str | None = None) -> str:
-    """Keep, per key, the row with the greatest ``order`` (LSN, predicted_at)
-    across the current version and the batch; rows whose winning image has
-    ``delete_col`` true are removed (tombstones). Writes a new version; returns its name."""
-    cur = read_current(spark, base)
-    allrows = batch if cur is None else cur.unionByName(batch, allowMissingColumns=True)
-    win = latest_per_key(allrows, keys, order)
-    if delete_col:
-        win = win.filter(~F.coalesce(F.col(delete_col), F.lit(False)))
-    prev = current_version(spark, base)
-    n = 0 if prev is None else int(prev.split("=")[1]) + 1
-    version = f"v={n}"
-    win.write.mode("overwrite").parquet(f"{base.rstrip('/')}/{version}")
-    _set_current(spark, base, version)
-    return version
+           batch_id: str | int | None = None, buckets: int = STATE_BUCKETS) -> str:
+    """Add a batch's changes to the log below ``base``; returns the batch name.
+
+    Of several changes of one key in the batch only the latest by ``order`` is kept. A batch
+    written again under the same ``batch_id`` replaces itself. Nothing else is read or
+    rewritten, so the cost of a batch does not grow with the history."""
+    name = f"b{uuid.uuid4().hex}" if batch_id is None else f"b{batch_id}"
+    latest = latest_per_key(batch, keys, order).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    (latest.withColumn("batch", F.lit(name)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch", "bucket").parquet(base))
+    return name
+
+
+def read_log(spark: SparkSession, base: str) -> DataFrame | None:
+    """All rows of the change log, tombstones included; columns that a batch lacks are null."""
+    return spark.read.option("mergeSchema", True).parquet(base) if _exists(spark, base) else None
+
+
+def read_state(spark: SparkSession, base: str, keys: list[str], order: list[Column],
+               delete_col: str | None = None) -> DataFrame | None:
+    """Latest row per key by ``order`` over the whole log, without keys whose latest row is a tombstone."""
+    log = read_log(spark, base)
+    if log is None:
+        return None
+    win = latest_per_key(log.drop("batch", "bucket"), keys, order)
+    return win.filter(~F.coalesce(F.col(delete_col), F.lit(False))) if delete_col else win
+
+
+def compact_state(spark: SparkSession, base: str, keys: list[str], order: list[Column]) -> None:
+    """Replace the log's batches by one with the latest row per key; tombstones are kept. The new
+    batch is complete before the old ones go, and a reader in between sees the same state."""
+    log = read_log(spark, base)
+    if log is None:
+        return
+    old = [r[0] for r in log.select("batch").distinct().collect()]           # batch names, not data
+    upsert(spark, base, log.drop("batch", "bucket"), keys, order)
+    fs, _ = _fs(spark, base)
+    for name in old:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/batch={name}"), True)
 
 
 def merge_partitions(spark: SparkSession, path: str, batch: DataFrame, keys: list[str], order: list[Column],
                      part_col: str = "year_month") -> None:
     """Replay-safe merge of a batch into a partitioned table: only the partitions the
-    batch touches are read, merged (latest per key) and rewritten (dynamic overwrite)."""
-    touched = batch.select(part_col).distinct()
-    try:
-        existing = spark.read.parquet(path).join(F.broadcast(touched), part_col, "left_semi")  # partition names
-        merged = latest_per_key(existing.unionByName(batch), keys, order)
-    except Exception:  # noqa: BLE001 - first load: no table yet
-        merged = batch
+    batch touches are read, merged (latest per key) and rewritten (dynamic overwrite).
+    Columns are matched by name; one that either side lacks is null there. Any failure to
+    read the table ends the merge before a row is written."""
+    merged = batch
+    if _exists(spark, path):
+        touched = batch.select(part_col).distinct()
+        existing = spark.read.option("mergeSchema", True).parquet(path).join(F.broadcast(touched), part_col, "left_semi")  # partition names
+        merged = existing.unionByName(batch, allowMissingColumns=True)
+    merged = latest_per_key(merged, keys, order)
     ensure_checkpoint_dir(spark)
     merged = merged.checkpoint(eager=True)        # the write below replaces what was read
-    (merged.repartition(part_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (merged.repartitionByRange(part_col, *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(part_col).parquet(path))
 
 

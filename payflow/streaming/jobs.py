@@ -3,7 +3,7 @@ detectors, orphan holding, raw landing, micro-batch marts.
 
 Sources are file streams here (JSON lines / Parquet); with a Kafka source only the
 ``readStream`` line changes. Sinks that must be replay-safe go through
-``foreachBatch`` and write by batch id or by versioned upsert, so a restarted batch
+``foreachBatch`` and write by batch id, so a restarted batch
 rewrites the same output instead of appending duplicates.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from payflow.functions import risk_action, risk_level
 from payflow.plans.jobs import ENVELOPE, parse_cdc
 from payflow.sources.schemas import CDC_MESSAGE
-from payflow.sources.sinks import upsert
+from payflow.sources.sinks import read_state, upsert
 
 
 def cdc_stream(spark: SparkSession, src: str, max_files: int | None = None) -> DataFrame:
@@ -36,11 +36,12 @@ def dedupe_stream(df: DataFrame, keys: list[str], ts: str = "ingested_at", delay
 
 def apply_changes_batch(target: str, key: str = "transaction_id", order_col: str = "lsn"
                         ) -> Callable[[DataFrame, int], None]:
-    """K3: last writer wins by LSN into a versioned state table; deletes are tombstones."""
+    """K3: changes into the change-log state, last writer wins by LSN; deletes are tombstones.
+    A micro-batch that runs again replaces its own rows."""
 
     def fn(batch: DataFrame, batch_id: int) -> None:
         b = batch.withColumn("_deleted", F.col("op") == "d").drop("ingested_at")
-        upsert(batch.sparkSession, target, b, [key], [F.col(order_col)], delete_col="_deleted")
+        upsert(batch.sparkSession, target, b, [key], [F.col(order_col)], batch_id)
 
     return fn
 
@@ -49,16 +50,22 @@ def upsert_predictions_batch(target: str, key: str = "transaction_id") -> Callab
     """K4: the latest scoring of a payment wins (ordered by ``predicted_at``)."""
 
     def fn(batch: DataFrame, batch_id: int) -> None:
-        upsert(batch.sparkSession, target, batch, [key], [F.col("predicted_at")])
+        upsert(batch.sparkSession, target, batch, [key], [F.col("predicted_at")], batch_id)
 
     return fn
 
 
+def read_changes_state(spark: SparkSession, target: str, key: str = "transaction_id", order_col: str = "lsn") -> DataFrame | None:
+    """The state that ``apply_changes_batch`` keeps: latest change per key, deleted keys hidden."""
+    return read_state(spark, target, [key], [F.col(order_col)], "_deleted")
+
+
 def run_cdc_to_state(spark: SparkSession, src: str, target: str, checkpoint: str,
                      available_now: bool = True) -> StreamingQuery:
-    """K1 + K2 + K3: stream the landing folder into the state table. ``availableNow``
-    processes everything present and stops (backfill / scheduled runs); otherwise a
-    processing-time trigger keeps it running."""
+    """K1 + K3: stream the landing folder into the state. Replays need no watermark here (K2,
+    ``dedupe_stream``, is for append-only sinks): the state keeps one row per key, whatever
+    arrives again or late. ``availableNow`` processes everything present and stops (backfill /
+    scheduled runs); otherwise a processing-time trigger keeps it running."""
     s = cdc_stream(spark, src)
     w = s.writeStream.foreachBatch(apply_changes_batch(target)).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
@@ -99,11 +106,12 @@ def windowed_counts(df: DataFrame, key: str, ts: str, window: str, min_count: in
 
 
 def velocity_stream(df: DataFrame, key: str = "customer_id", ts: str = "created_at",
-                    delay: str = "1 hour") -> DataFrame:
-    """K6: sliding 1 h / 5 min counts per customer (state bounded by the watermark)."""
-    return (df.withWatermark(ts, delay).groupBy(key, F.window(ts, "1 hour", "5 minutes").alias("w"))
-            .agg(F.count(F.lit(1)).alias("payments_1h"))
-            .select(key, F.col("w.end").alias("as_of"), "payments_1h"))
+                    delay: str = "1 hour", length: str = "1 hour", slide: str = "5 minutes") -> DataFrame:
+    """K6: sliding counts per customer (state bounded by the watermark): 1 h by default, 24 h
+    with ``length="24 hours", slide="1 hour"``."""
+    return (df.withWatermark(ts, delay).groupBy(key, F.window(ts, length, slide).alias("w"))
+            .agg(F.count(F.lit(1)).alias("payments"))
+            .select(key, F.col("w.end").alias("as_of"), F.lit(length).alias("look_back"), "payments"))
 
 
 def hold_orphans(children: DataFrame, parents: DataFrame, key: str, child_ts: str, parent_ts: str,

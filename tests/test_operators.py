@@ -209,3 +209,19 @@ def test_frame_counts_use_running_sums_not_sliding_frames(spark):
     assert not sliding.findall(counts._jdf.queryExecution().executedPlan().toString())
     plan = fraud_features(v)._jdf.queryExecution().executedPlan().toString()
     assert len(sliding.findall(plan)) == 1          # only the 30-day average (see README, open items)
+
+
+def test_running_sums_equal_a_window(spark):
+    import random
+
+    from payflow.operators.ranks import dense_key, global_running_sums
+    r = random.Random(4)
+    rows = [(x / 7, r.randint(0, 9)) for x in r.sample(range(10_000), 500)]
+    df = spark.createDataFrame(rows, "x double, n long")
+    got = {t.x: (t.run, t.total) for t in global_running_sums(df, [F.col("x").desc()], {"n": ("run", "total")}, 7).collect()}
+    total = run = 0
+    total = sum(n for _, n in rows)
+    for x, n in sorted(rows, reverse=True):
+        run += n
+        assert got[x] == (run, total)
+    assert dict(dense_key(df, ["x"], "k").dtypes)["k"] == "bigint"       # keys do not wrap past 2^31

@@ -40,13 +40,13 @@ def test_read_documents_extended_json_dates(spark, tmp):
 def test_route_exclude_and_dlq(spark):
     good = json.dumps({"before": None, "after": {"transaction_id": 1, "status": "succeeded"},
                        "source": {"lsn": 11}, "op": "c"})
-    msgs = spark.createDataFrame([("stripe.public.transactions", "1", good, None),
-                                  ("stripe.public.transactions", "2", "{not json", None),
-                                  ("stripe.public.refunds", "3", json.dumps({"after": {}}), None)],
+    msgs = spark.createDataFrame([("pay.public.transactions", "1", good, None),
+                                  ("pay.public.transactions", "2", "{not json", None),
+                                  ("pay.public.refunds", "3", json.dumps({"after": {}}), None)],
                                  "topic string, key string, value string, ingested_at timestamp_ntz")
     ok, dlq = R.split_dlq(R.route_topic(msgs), ENVELOPE)
     assert ok.count() == 1 and dlq.count() == 2
-    assert {r.topic for r in dlq.collect()} == {"stripe.transactions", "stripe.refunds"}
+    assert {r.topic for r in dlq.collect()} == {"pay.transactions", "pay.refunds"}
     assert "value" not in R.exclude_columns(msgs, ["value"]).columns
 
 
@@ -73,17 +73,45 @@ def test_evidence_metadata_hashes(spark, tmp):
     assert r.sha256 == "2cf24dba5fb0a30e26e83b2ac5b9e29e1b161e5c1fa7425e73043362938b9824"
 
 
-def test_upsert_idempotent_and_tombstones(spark, tmp):
-    base = os.path.join(tmp, "state")
-    b1 = spark.createDataFrame([(1, 11, "a", False), (2, 21, "b", False)], "id long, lsn long, v string, d boolean")
-    S.upsert(spark, base, b1, ["id"], [F.col("lsn")], "d")
-    b2 = spark.createDataFrame([(1, 12, "a2", False), (2, 23, None, True), (1, 10, "old", False)],
-                               "id long, lsn long, v string, d boolean")
-    S.upsert(spark, base, b2, ["id"], [F.col("lsn")], "d")
-    first = sorted(map(tuple, S.read_current(spark, base).select("id", "v").collect()))
-    S.upsert(spark, base, b2, ["id"], [F.col("lsn")], "d")              # replay
-    again = sorted(map(tuple, S.read_current(spark, base).select("id", "v").collect()))
-    assert first == again == [(1, "a2")]
+def test_change_log_state(spark, tmp):
+    base, order = os.path.join(tmp, "state"), [F.col("lsn")]
+    schema = "id long, lsn long, v string, d boolean"
+    state = lambda: sorted((r.id, r.v) for r in S.read_state(spark, base, ["id"], order, "d").collect())
+    assert S.read_state(spark, base, ["id"], order, "d") is None
+    S.upsert(spark, base, spark.createDataFrame([(1, 11, "a", False), (2, 21, "b", False)], schema), ["id"], order, 0)
+    b2 = spark.createDataFrame([(1, 12, "a2", False), (2, 23, None, True), (1, 10, "old", False)], schema)
+    S.upsert(spark, base, b2, ["id"], order, 1)
+    rows = S.read_log(spark, base).count()
+    assert state() == [(1, "a2")]
+    S.upsert(spark, base, b2, ["id"], order, 1)                         # replay of the batch: nothing is added
+    assert state() == [(1, "a2")] and S.read_log(spark, base).count() == rows
+    S.upsert(spark, base, spark.createDataFrame([(2, 22, "late", False)], schema), ["id"], order, 2)
+    assert state() == [(1, "a2")]                                       # an older change after the delete
+    S.compact_state(spark, base, ["id"], order)
+    assert state() == [(1, "a2")] and S.read_log(spark, base).count() == 2
+    S.upsert(spark, base, spark.createDataFrame([(2, 22, "late", False, 1)], schema + ", extra int"), ["id"], order, 3)
+    assert state() == [(1, "a2")]                                       # the tombstone outlives compaction, columns may come
+    # a write that stopped half-way leaves only files that no reader takes
+    os.makedirs(os.path.join(base, "_temporary", "0"))
+    assert state() == [(1, "a2")]
+
+
+def test_merge_keeps_rows_when_columns_differ(spark, tmp):
+    path = os.path.join(tmp, "m")
+    old = spark.createDataFrame([(1, "a", "2024-01"), (2, "b", "2024-01"), (3, "c", "2024-02")], "id long, v string, year_month string")
+    S.merge_partitions(spark, path, old, ["id"], [F.col("v")])
+    new = spark.createDataFrame([("2024-01", 2, "z", 5)], "year_month string, id long, v string, extra int")
+    for _ in range(2):
+        S.merge_partitions(spark, path, new, ["id"], [F.col("v")])
+        got = sorted((r.id, r.v) for r in spark.read.parquet(path).collect())
+        assert got == [(1, "a"), (2, "z"), (3, "c")]
+    import pytest
+    with open(os.path.join(path, "year_month=2024-01", "broken.parquet"), "w") as f:
+        f.write("no parquet")
+    with pytest.raises(Exception):
+        S.merge_partitions(spark, path, new, ["id"], [F.col("v")])
+    os.remove(os.path.join(path, "year_month=2024-01", "broken.parquet"))
+    assert spark.read.parquet(path).count() == 3                        # the failed merge wrote nothing
 
 
 def test_partitioned_transactions_prune_and_merge(spark, tmp):

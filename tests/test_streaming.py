@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from payflow.plans.bindings import Views
 from payflow.plans.jobs import cdc_messages, parse_cdc, stage_transactions
-from payflow.sources.sinks import read_current
 from payflow.streaming import jobs as SJ
 
 
@@ -21,14 +20,14 @@ def test_cdc_stream_into_state_equals_batch(spark, tmp):
     msgs.filter(F.col("key").cast("long") % 2 == 1).write.json(os.path.join(land, "b"))
     q = SJ.run_cdc_to_state(spark, os.path.join(land, "*"), os.path.join(tmp, "state"), os.path.join(tmp, "ck"))
     q.awaitTermination(300)
-    state = read_current(spark, os.path.join(tmp, "state")).select("transaction_id", "status", "lsn")
+    state = SJ.read_changes_state(spark, os.path.join(tmp, "state")).select("transaction_id", "status", "lsn")
     batch = stage_transactions(parse_cdc(msgs)).select("transaction_id", "status", "lsn")
     assert state.count() == batch.count()
     assert state.exceptAll(batch).count() == 0 and batch.exceptAll(state).count() == 0
     # rerunning over the same files with the same checkpoint processes nothing new
     q2 = SJ.run_cdc_to_state(spark, os.path.join(land, "*"), os.path.join(tmp, "state"), os.path.join(tmp, "ck"))
     q2.awaitTermination(300)
-    assert read_current(spark, os.path.join(tmp, "state")).count() == batch.count()
+    assert SJ.read_changes_state(spark, os.path.join(tmp, "state")).count() == batch.count()
 
 
 def test_route_scores_replay_safe(spark, tmp):
@@ -53,3 +52,43 @@ def test_windowed_counts_stream(spark, tmp):
     q.awaitTermination(120)
     got = spark.sql("select ip, events from bursts").collect()
     assert [(r.ip, r.events) for r in got] == [("1.2.3.4", 7)]
+
+
+def _cdc(spark, rows):
+    """Landed messages from (op, id, lsn, status) or raw text."""
+    import json
+    out = []
+    for r in rows:
+        if isinstance(r, str):
+            out.append(("pay.public.transactions", None, r, None))
+            continue
+        op, key, lsn, status = r
+        image = {"transaction_id": key, "status": status}
+        value = {"before": image if op == "d" else None, "after": None if op == "d" else image, "source": {"lsn": lsn}, "op": op}
+        out.append(("pay.public.transactions", str(key), json.dumps(value), dt.datetime(2024, 1, 1)))
+    return spark.createDataFrame(out, "topic string, key string, value string, ingested_at timestamp_ntz")
+
+
+def test_late_create_after_delete_and_bad_messages(spark, tmp):
+    land, state = os.path.join(tmp, "land"), os.path.join(tmp, "state")
+
+    def arrive(rows):
+        _cdc(spark, rows).coalesce(1).write.mode("append").json(land)
+        SJ.run_cdc_to_state(spark, land, state, os.path.join(tmp, "ck")).awaitTermination(300)
+        return sorted((r.transaction_id, r.status) for r in SJ.read_changes_state(spark, state).collect())
+
+    assert arrive([("c", 1, 1, "pending"), ("c", 2, 2, "pending"), "{not json", '{"op": "c"}', '{"after": {"transaction_id": 9}}']) \
+        == [(1, "pending"), (2, "pending")]
+    assert arrive([("d", 1, 9, None)]) == [(2, "pending")]
+    assert arrive([("u", 1, 5, "succeeded"), ("u", 2, 3, "succeeded")]) == [(2, "succeeded")]    # late change: no revival
+
+
+def test_latest_prediction_wins(spark, tmp):
+    from payflow.sources.sinks import read_state
+    fn = SJ.upsert_predictions_batch(os.path.join(tmp, "p"))
+    make = lambda *rows: spark.createDataFrame(rows, "transaction_id long, score double, predicted_at int")
+    fn(make((1, 0.2, 5), (1, 0.4, 7), (2, 0.1, 1)), 0)
+    fn(make((1, 0.9, 6),), 1)
+    fn(make((2, 0.8, 3),), 2)
+    got = read_state(spark, os.path.join(tmp, "p"), ["transaction_id"], [F.col("predicted_at")])
+    assert sorted((r.transaction_id, r.score) for r in got.collect()) == [(1, 0.4), (2, 0.8)]
