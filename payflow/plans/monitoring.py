@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from payflow.operators.ranks import global_running_sums
+
 from payflow import constants as K
 from payflow.plans.bindings import Views
 from payflow.plans.marts import Marts
@@ -43,13 +45,13 @@ DRIFT_FEATURES = ["amount_zscore", "avg_amount_30d", "ip_reputation_score", "tra
 
 
 def feature_drift(feats: DataFrame, as_of: Column | None = None, window_days: int = 365, bins: int = 10,
-                  psi_limit: float = 0.2, ks_limit: float = 0.1, ks_bins: int = 1000) -> DataFrame:
-    """PSI (equal-width bins over the reference range) and KS (largest CDF gap on a
-    ``ks_bins`` grid) per feature between the reference period and the last
-    ``window_days``. Retrain when > 3 features drift.
+                  psi_limit: float = 0.2, ks_limit: float = 0.1) -> DataFrame:
+    """PSI (equal-width bins over the reference range, with one bin below and one above
+    it) and exact KS (largest CDF gap over all values) per feature between the reference
+    period and the last ``window_days``. Retrain when > 3 features drift.
 
-    Long format (feature, value, period): histograms are partial aggregates; windows run
-    over bins of one feature, never over its raw values.
+    Long format (feature, value, period): histograms are partial aggregates; the CDFs are
+    distributed running sums over the distinct values (to 9 places).
     """
     as_of = as_of if as_of is not None else latest(feats, "computed_at")
     cur = F.col("computed_at") >= as_of - F.expr(f"INTERVAL {window_days} DAYS")
@@ -62,8 +64,8 @@ def feature_drift(feats: DataFrame, as_of: Column | None = None, window_days: in
                                                                        F.max("value").alias("hi"))
     b = long.join(F.broadcast(rng), "feature")          # one row per feature
     width = F.col("hi") - F.col("lo")
-    bin_ = F.when(width == 0, 0).otherwise(F.least(F.greatest(
-        F.floor((F.col("value") - F.col("lo")) / width * bins), F.lit(0)), F.lit(bins - 1)))
+    bin_ = (F.when(F.col("value") < F.col("lo"), -1).when(F.col("value") > F.col("hi"), bins).when(width == 0, 0)
+            .otherwise(F.least(F.floor((F.col("value") - F.col("lo")) / width * bins), F.lit(bins - 1))))
     h = (b.withColumn("bin", bin_.cast("int")).groupBy("feature", "bin")
          .agg(F.count_if(F.col("period") == "ref").alias("r"), F.count_if(F.col("period") == "cur").alias("c")))
     tot = Window.partitionBy("feature")
@@ -71,16 +73,15 @@ def feature_drift(feats: DataFrame, as_of: Column | None = None, window_days: in
     pr = F.greatest(F.col("r") / F.sum("r").over(tot), F.lit(eps))
     pc = F.greatest(F.col("c") / F.sum("c").over(tot), F.lit(eps))
     psi = h.withColumn("t", (pc - pr) * F.log(pc / pr)).groupBy("feature").agg(F.sum("t").alias("psi"))
-    # KS on a fixed grid of ks_bins cells over the reference range (values outside fall in
-    # the end cells): the running sums see at most ks_bins rows per feature whatever the data
-    cell = F.when(width == 0, 0).otherwise(F.least(F.greatest(
-        F.floor((F.col("value") - F.col("lo")) / width * ks_bins), F.lit(0)), F.lit(ks_bins - 1)))
-    d = (b.withColumn("cell", cell.cast("int")).groupBy("feature", "cell")
+    d = (b.groupBy("feature", F.round("value", 9).alias("value"))
          .agg(F.count_if(F.col("period") == "ref").alias("r"), F.count_if(F.col("period") == "cur").alias("c")))
-    w = Window.partitionBy("feature").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    ks = (d.withColumn("cdf_r", F.sum("r").over(w) / F.sum("r").over(tot))
-          .withColumn("cdf_c", F.sum("c").over(w) / F.sum("c").over(tot))
-          .groupBy("feature").agg(F.max(F.abs(F.col("cdf_r") - F.col("cdf_c"))).alias("ks")))
+    run = global_running_sums(d, ["feature", "value"], {"r": ("run_r", "_r"), "c": ("run_c", "_c")})
+    sizes = d.groupBy("feature").agg(F.sum("r").alias("n_r"), F.sum("c").alias("n_c"))     # one row per feature
+    earlier = Window.orderBy("feature").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("o_r", F.coalesce(F.sum("n_r").over(earlier), F.lit(0))) \
+        .withColumn("o_c", F.coalesce(F.sum("n_c").over(earlier), F.lit(0)))
+    gap = F.abs((F.col("run_r") - F.col("o_r")) / F.col("n_r") - (F.col("run_c") - F.col("o_c")) / F.col("n_c"))
+    ks = run.join(F.broadcast(sizes), "feature").groupBy("feature").agg(F.max(gap).alias("ks"))
     out = psi.join(ks, "feature").select("feature", F.round("psi", 4).alias("psi"), F.round("ks", 4).alias("ks"),
                                          ((F.col("psi") > psi_limit) | (F.col("ks") > ks_limit)).alias("drifting"))
     n_drift = F.sum(F.col("drifting").cast("int")).over(Window.partitionBy())    # <= 5 rows

@@ -79,22 +79,19 @@ def erase_star(dim_customer: DataFrame, ids: DataFrame) -> DataFrame:
             .drop("_erase"))
 
 
-def erasure_residue(ids: DataFrame, customers: DataFrame, tx: DataFrame, sessions: DataFrame,
-                    feedback: DataFrame, dim_customer: DataFrame) -> DataFrame:
-    """M4: identifying values left for erased ids, per store (all must be 0)."""
-    k = ids.select("customer_id").distinct()
-
-    def cnt(name: str, df: DataFrame, cond: Column) -> DataFrame:
-        return df.join(k, "customer_id", "left_semi").filter(cond).agg(F.count(F.lit(1)).alias("residue")) \
-            .select(F.lit(name).alias("store"), "residue")
+def erasure_residue(ids: DataFrame, stores: dict[str, tuple[DataFrame, DataFrame, str, Column]]) -> DataFrame:
+    """M4: rows of erased customers that still identify them, per store (all must be 0).
 
-    parts = [cnt("customers.email", customers, ~F.col("email").startswith("erased+")),
-             cnt("transactions.ip_or_city", tx, F.col("ip_address").isNotNull() | F.col("geo_city").isNotNull()),
-             cnt("sessions", sessions, F.lit(True)), cnt("feedback.customer_id", feedback, F.lit(True)),
-             cnt("dim_customer", dim_customer, F.lit(True))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    ``stores`` maps a name to (rows before, rows after, key, condition). Whose a row was is
+    looked up in the rows before the erasure, and found again by a key that the erasure
+    keeps, so a column that was left set is seen even where the customer id is gone."""
+    k = ids.select("customer_id").distinct()
+    out = None
+    for name, (before, after, key, still) in stores.items():
+        theirs = before.join(k, "customer_id", "left_semi").select(key).distinct()
+        found = (after.join(theirs, key, "left_semi").filter(still).agg(F.count(F.lit(1)).alias("residue"))
+                 .select(F.lit(name).alias("store"), "residue"))
+        out = found if out is None else out.unionByName(found)
     return out
 
 
@@ -106,14 +103,35 @@ def erased_customers_report(v: Views) -> DataFrame:
     return c.select("customer_id", "email", "country_code", "deleted_at")
 
 
-def erasure_residue_report(v: Views) -> DataFrame:
+def erased_stores(v: Views, features: DataFrame, dim_customer: DataFrame) -> dict[str, tuple[DataFrame, DataFrame, str, Column]]:
+    """Every store before and after the erasure, as ``erasure_residue`` takes them."""
     ids = erasure_requests(v)
-    as_of = latest(v.audit_logs, "created_at")
-    feats_stub = v.feedback.select("customer_id")
-    s, fb, _ = erase_documents(v.sessions, v.feedback, feats_stub, ids)
-    dim = v.customers.select("customer_id", F.lit("x").alias("email_hash"))
-    return erasure_residue(ids, erase_customers(v.customers, ids, as_of), erase_transactions(v.tx, ids), s, fb,
-                           erase_star(dim, ids))
+    s, fb, ft = erase_documents(v.sessions, v.feedback, features, ids)
+    named = F.col("customer_id").isNotNull()
+    return {
+        "customers.email": (v.customers, erase_customers(v.customers, ids, latest(v.audit_logs, "created_at")), "customer_id",
+                            ~F.col("email").startswith("erased+")),
+        "transactions.ip_or_city": (v.tx, erase_transactions(v.tx, ids), "transaction_id",
+                                    F.col("ip_address").isNotNull() | F.col("geo_city").isNotNull()),
+        "sessions": (v.sessions, s, "session_id", F.lit(True)),
+        "feedback.customer_id": (v.feedback, fb, "feedback_id", named),
+        "ml_features.customer_id": (features, ft, "transaction_id", named),
+        "dim_customer": (dim_customer, erase_star(dim_customer, ids), "customer_sk", named | F.col("email_hash").isNotNull()),
+    }
+
+
+def erasure_residue_report(v: Views, features: DataFrame, dim_customer: DataFrame) -> DataFrame:
+    return erasure_residue(erasure_requests(v), erased_stores(v, features, dim_customer))
+
+
+def erased_payment_methods(v: Views) -> DataFrame:
+    """Registered form of M1 for instruments: what stays after the erasure."""
+    return erase_payment_methods(v.payment_methods, v.tx, erasure_requests(v)).select("payment_method_id", "customer_id")
+
+
+def erasure_audit(v: Views) -> DataFrame:
+    """Registered form of M1's audit rows: one per erased customer."""
+    return erasure_audit_rows(erasure_requests(v), latest(v.audit_logs, "created_at"))
 
 
 # ----------------------------------------------------------------------------- retention (M6)
@@ -146,16 +164,21 @@ def retention_summary(v: Views) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- PAN scan (M7)
-PAN_PATTERN = r"(?:\d[ -]?){12,18}\d"
+DIGIT_RUN = r"\d(?:[ -]?\d){12,}"
 
 
 def find_card_numbers(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Candidate card numbers in free text (13-19 digits, spaces/dashes allowed) that pass
-    the Luhn check. The whole text is scanned; one row per (document, number)."""
-    cands = df.select(id_col, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(PAN_PATTERN), 0)).alias("raw"))
-    digits = F.regexp_replace("raw", r"[ -]", "")
-    return (cands.select(id_col, digits.alias("pan"))
-            .filter((F.length("pan") >= 13) & (F.length("pan") <= 19) & F.call_function("luhn_check", F.col("pan")))
+    """Card numbers in free text: 13-19 digits that pass the Luhn check, written in one or more
+    groups with single spaces or dashes between. Of a run of digit groups every window of
+    consecutive groups is tested, so a card is found beside other numbers. The whole text is
+    scanned; one row per (document, number found)."""
+    runs = df.select(id_col, F.explode(F.regexp_extract_all(F.col(text_col), F.lit(DIGIT_RUN), 0)).alias("raw"))
+    groups = F.split("raw", "[ -]")
+    windows = F.flatten(F.transform(F.sequence(F.lit(1), F.size("g")), lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(19), F.size("g") - i + 1)), lambda n: F.array_join(F.slice("g", i, n), ""))))
+    cands = (runs.select(id_col, groups.alias("g"))
+             .select(id_col, F.explode(F.filter(windows, lambda w: F.length(w).between(13, 19))).alias("pan")))
+    return (cands.filter(F.call_function("luhn_check", F.col("pan")))
             .select(id_col, F.concat(F.substring("pan", 1, 6), F.lit("******"),
                                      F.substring(F.col("pan"), -4, 4)).alias("masked_pan"),
                     F.length("pan").alias("digits")))
@@ -169,12 +192,18 @@ def documents_with_cards(v: Views) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- residency, access (M8, M9)
-def residency_check(v: Views) -> DataFrame:
-    """M8: customers per data region, and rows whose stored region differs from the
-    region of their country (must be 0)."""
-    c = v.customers.join(F.broadcast(v.countries.select("country_code", "data_region")), "country_code", "left")
-    return (c.groupBy("data_region").agg(F.count(F.lit(1)).alias("customers"),
-                                          F.count_if(F.col("data_region").isNull()).alias("misplaced")))
+def residency_check(dim_customer: DataFrame, countries: DataFrame) -> DataFrame:
+    """M8: customers per data region as stored in the dimension, and those stored in another
+    region than their country's (must be 0)."""
+    want = F.broadcast(countries.select("country_code", F.col("data_region").alias("_want")))     # one row per country
+    return (dim_customer.join(want, "country_code", "left").groupBy("data_region")
+            .agg(F.count(F.lit(1)).alias("customers"),
+                 F.count_if(~F.col("data_region").eqNullSafe(F.col("_want"))).alias("misplaced")))
+
+
+def split_by_region(df: DataFrame, path: str, region_col: str = "data_region") -> None:
+    """M8: one folder per data region below ``path``, so a region's rows can be kept in its own store."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(region_col).parquet(path))
 
 
 def off_hours_access(v: Views, start_hour: int = 0, end_hour: int = 6) -> DataFrame:

@@ -85,10 +85,14 @@ def reports() -> dict[str, Job]:
         "quality_report": lambda spark, sf: J.quality_report(stored_marts(spark, sf), stored_features(spark, sf)),
         "volume_anomalies_daily": lambda spark, sf: J.volume_anomalies_daily(stored_views(spark, sf).tx),
         "erased_customers": _v(P.erased_customers_report),
-        "erasure_residue": _v(P.erasure_residue_report),
+        "erasure_residue": lambda spark, sf: P.erasure_residue_report(
+            stored_views(spark, sf), stored_features(spark, sf), stored_marts(spark, sf).dim_customer),
+        "erased_payment_methods": _v(P.erased_payment_methods),
+        "erasure_audit": _v(P.erasure_audit),
         "retention_summary": _v(P.retention_summary),
         "documents_with_cards": _v(P.documents_with_cards),
-        "residency_check": _v(P.residency_check),
+        "residency_check": lambda spark, sf: P.residency_check(
+            stored_marts(spark, sf).dim_customer, stored_views(spark, sf).countries),
         "off_hours_access": _v(P.off_hours_access),
         "subject_access_export": _v(P.subject_access_export),
         # model evaluation and monitoring

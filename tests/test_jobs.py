@@ -29,9 +29,43 @@ def test_preaggregates_agree(spark):
     assert rows and all(r.all_equal for r in rows)
 
 
-def test_erasure_no_residue(spark):
-    res = P.erasure_residue_report(Views(spark, SF_SMALL)).collect()
-    assert len(res) == 5 and all(r.residue == 0 for r in res)
+def test_erasure_residue_sees_every_kept_column(spark):
+    from payflow.plans.store import stored_features, stored_marts, stored_views
+    v = stored_views(spark, SF_SMALL)
+    stores = P.erased_stores(v, stored_features(spark, SF_SMALL), stored_marts(spark, SF_SMALL).dim_customer)
+    ids = P.erasure_requests(v)
+    assert ids.count() > 0
+    assert {r.store: r.residue for r in P.erasure_residue(ids, stores).collect()} == dict.fromkeys(stores, 0)
+    for name, (before, after, key, still) in stores.items():
+        kept = {**stores, name: (before, before, key, still)}            # this store was not erased
+        got = {r.store: r.residue for r in P.erasure_residue(ids, kept).collect()}
+        assert got[name] > 0 and sum(got.values()) == got[name]
+    before, after, key, still = stores["dim_customer"]
+    half = before.withColumn("customer_id", F.lit(None).cast("long"))    # the id is gone, the email hash stayed
+    assert P.erasure_residue(ids, {"dim_customer": (before, half, key, still)}).collect()[0].residue > 0
+
+
+def test_cards_beside_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"{card} 12/27", f"{card} 123", f"{card} 5500-0000-0000-0004", "4111111111111111", "41111111111111110000", "no 1234",
+             "4111 1111 1111 1112", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got: dict = {}
+    for r in P.find_card_numbers(df, "doc_id", "text").collect():
+        got.setdefault(r.doc_id, set()).add(r.masked_pan)
+    assert "411111******1111" in got[0] & got[1] & got[2] & got[3] and "550000******0004" in got[2]
+    assert not {4, 5, 7, 8} & set(got)
+
+
+def test_residency_and_split(spark, tmp):
+    from payflow.plans.store import stored_marts
+    m = stored_marts(spark, SF_SMALL)
+    countries = m.v.countries
+    assert all(r.misplaced == 0 for r in P.residency_check(m.dim_customer, countries).collect())
+    moved = m.dim_customer.withColumn("data_region", F.lit("EU"))
+    assert sum(r.misplaced for r in P.residency_check(moved, countries).collect()) > 0
+    P.split_by_region(m.dim_customer, f"{tmp}/r")
+    assert spark.read.parquet(f"{tmp}/r").count() == m.dim_customer.count()
 
 
 def test_guarded_refunds_never_exceed(spark):
