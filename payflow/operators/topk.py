@@ -15,22 +15,16 @@ def first_k_by(df: DataFrame, keys: list[str], order: list[str], value: str, k:
                name: str | None = None) -> DataFrame:
     """Per group of ``keys``, the first ``k`` values of ``value`` in ``order`` (ascending), as an array.
 
-    Each round is a partial ``min(struct)`` aggregate (one candidate per key per map
-    task) followed by a join back on the keys, so a hot group costs k passes, not a
-    sort or a list of the whole group. ``order`` must make rows unique.
+    A row number kept up to ``k``: Spark limits every group to k rows in each map task before
+    the shuffle (window group limit), so a hot group moves tasks x k rows, and the array that
+    is gathered has k entries. ``order`` must make rows unique.
     """
     name = name or value
-    rec = F.struct(*[F.col(c) for c in order], F.col(value).alias("_v"))
-    base = df.select(*keys, rec.alias("_r"))
-    picked = None
-    rest = base
-    for i in range(k):
-        m = rest.groupBy(*keys).agg(F.min("_r").alias(f"_m{i}"))
-        picked = m if picked is None else picked.join(m, keys, "left")
-        if i + 1 < k:
-            rest = rest.join(m, keys).filter(F.col("_r") > F.col(f"_m{i}")).drop(f"_m{i}")
-    arr = F.filter(F.array(*[F.col(f"_m{i}._v") for i in range(k)]), lambda x: x.isNotNull())
-    return picked.select(*keys, arr.alias(name))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    top = df.select(*keys, *[c for c in dict.fromkeys([*order, value]) if c not in keys]) \
+        .withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k)
+    got = F.array_sort(F.collect_list(F.struct("_k", F.col(value).alias("_v"))))
+    return top.groupBy(*keys).agg(F.filter(F.transform(got, lambda x: x["_v"]), lambda x: x.isNotNull()).alias(name))
 
 
 def top_n_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:

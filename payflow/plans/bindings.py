@@ -69,7 +69,8 @@ class Views:
                                   F.lit(dec).cast("int").alias("decimal_places"),
                                   F.lit(Decimal(rate)).cast("decimal(18,8)").alias("base_rate"))
                          for code, name, dec, rate in K.CURRENCIES])
-        return self.spark.range(1).select(F.inline(rows))
+        known = self.countries.select("currency_code").distinct()          # those that the nations use
+        return known.join(F.broadcast(self.spark.range(1).select(F.inline(rows))), "currency_code")
 
     @cached_property
     def fx(self) -> DataFrame:

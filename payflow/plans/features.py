@@ -21,7 +21,9 @@ HOUR, DAY = 3600, 86400
 
 
 def fraud_features(v: Views) -> DataFrame:
-    """Eleven features per transaction, using only rows at or before it."""
+    """Eleven features per transaction. Counts, averages and first uses see only rows at or
+    before it; ``amount_zscore`` alone is against the currency's offline mean and deviation over
+    the whole table, which includes later rows, so it must not be read as point-in-time."""
     tx = v.tx
     stats = tx.groupBy("currency_code").agg(F.avg(F.col("amount").cast("double")).alias("_mu"),
                                             F.stddev_samp(F.col("amount").cast("double")).alias("_sd"))

@@ -186,6 +186,15 @@ def quality_report(m: Marts, feats: DataFrame | None = None, as_of: Column | Non
                                                             > F.col("_next"))), overlaps=n))
     vals.update(stats(v.disputes, dispute_rule=F.count_if(F.col("status").isin("won", "lost")
                                                           != F.col("resolved_at").isNotNull())))
+    vals.update(stats(v.disputes, dispute_status=F.count_if(~F.col("status").isin(*K.DISPUTE_STATUSES))))
+    vals.update(stats(v.subscriptions,
+                      period_rule=F.count_if(~(F.col("current_period_end") > F.col("current_period_start"))),
+                      subscription_status=F.count_if(~F.col("status").isin("active", "past_due", "canceled"))))
+    vals.update(stats(v.fx.groupBy("rate_date", "currency_code").agg(n.alias("_n")), dup_rates=F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))))
+    vals.update(stats(v.refunds.join(tx, "transaction_id", "left_anti"), fk_refund=n))
+    vals.update(stats(v.disputes.join(tx, "transaction_id", "left_anti"), fk_dispute=n))
+    vals.update(stats(tx.join(v.customers, "customer_id", "left_anti"), fk_customer=n))
+    vals.update(stats(fact.join(m.dim_customer, "customer_sk", "left_anti"), fk_dim_customer=n))
     vals.update(stats(v.logs, bad_dates=F.count_if(F.col("timestamp").isNull())))
     if feats is not None:
         vals.update(stats(feats, n_feat=n))
@@ -200,6 +209,11 @@ def quality_report(m: Marts, feats: DataFrame | None = None, as_of: Column | Non
         ("oltp_amount_positive", F.col("non_positive_amount") == 0, F.col("non_positive_amount")),
         ("oltp_failed_iff_reason", F.col("reason_rule") == 0, F.col("reason_rule")),
         ("oltp_dispute_resolved_iff_closed", F.col("dispute_rule") == 0, F.col("dispute_rule")),
+        *[(name, F.col(c) == 0, F.col(c)) for name, c in (
+            ("oltp_subscription_period_forward", "period_rule"), ("oltp_subscription_status_accepted_values", "subscription_status"),
+            ("oltp_dispute_status_accepted_values", "dispute_status"), ("oltp_fx_day_currency_unique", "dup_rates"),
+            ("oltp_refund_fk", "fk_refund"), ("oltp_dispute_fk", "fk_dispute"), ("oltp_transaction_customer_fk", "fk_customer"),
+            ("olap_fact_customer_fk", "fk_dim_customer"))],
         ("olap_fact_matches_oltp", F.col("n_fact") == F.col("n"), F.col("n_fact") - F.col("n")),
         ("olap_fact_unique_transaction_id", F.col("dup_ids") == 0, F.col("dup_ids")),
         ("olap_amount_usd_non_negative", F.col("neg_usd") == 0, F.col("neg_usd")),

@@ -89,16 +89,17 @@ def feature_drift(feats: DataFrame, as_of: Column | None = None, window_days: in
 
 
 def fairness_block_rate(v: Views, max_ratio: float = 2.0) -> DataFrame:
-    """Block rate per device and per country vs the overall rate; flag ratio > 2."""
+    """Block rate per device, country and customer segment vs the overall rate; flag ratio > 2."""
     s = Views.score_of(F.col("transaction_id"))
-    t = v.tx.select("device_type", "geo_country_code", (s >= 0.85).alias("blocked"))
+    segment = v.customers.select("customer_id", F.col("market_segment").alias("segment"))
+    t = v.tx.join(segment, "customer_id", "left").select("device_type", "geo_country_code", "segment", (s >= 0.85).alias("blocked"))
     overall = t.agg(F.avg(F.col("blocked").cast("double"))).scalar()
     parts = []
-    for dim in ("device_type", "geo_country_code"):
+    for dim in ("device_type", "geo_country_code", "segment"):
         parts.append(t.groupBy(F.col(dim).alias("value")).agg(F.count(F.lit(1)).alias("n"),
                                                               F.count_if("blocked").alias("blocked"))
                      .withColumn("dimension", F.lit(dim)))
-    g = parts[0].unionByName(parts[1])
+    g = parts[0].unionByName(parts[1]).unionByName(parts[2])
     rate = F.col("blocked") / F.col("n")
     return g.select("dimension", "value", "n", "blocked", F.round(rate * 100, 3).alias("block_rate_pct"),
                     F.round(rate / overall, 4).alias("ratio_to_overall"), (rate / overall > max_ratio).alias("flagged"))

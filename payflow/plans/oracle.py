@@ -84,7 +84,8 @@ countries AS (
          r.r_name = 'EUROPE' AS gdpr_applies
   FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey),
 currencies AS (
-  SELECT * FROM (VALUES {CUR_VALUES}) t(currency_code, name, decimal_places, base_rate, pos)),
+  SELECT * FROM (VALUES {CUR_VALUES}) t(currency_code, name, decimal_places, base_rate, pos)
+  WHERE pos - 1 IN (SELECT n_nationkey % {len(K.CURRENCIES)} FROM nation)),
 tx AS (
   SELECT o.o_orderkey AS transaction_id, o.o_orderkey % 10 AS merchant_id, o.o_custkey AS customer_id,
          o.o_custkey * 2 + o.o_orderkey % 2 AS payment_method_id, o.o_orderkey % 200 AS product_id,
@@ -166,7 +167,8 @@ products AS (
 subscriptions AS (
   SELECT transaction_id AS subscription_id, customer_id, merchant_id, product_id,
          CASE WHEN (transaction_id // 12) % 10 <= 6 THEN 'active' WHEN (transaction_id // 12) % 10 = 7 THEN 'past_due'
-              ELSE 'canceled' END AS status
+              ELSE 'canceled' END AS status,
+         created_at::DATE AS period_start, (created_at + INTERVAL 1 MONTH)::DATE AS period_end
   FROM tx WHERE transaction_id % 12 = 5),
 analyst_reviews AS (
   SELECT transaction_id, transaction_id % 3 = 0 AS is_fraud,

@@ -129,6 +129,7 @@ def reports() -> dict[str, Job]:
         "top_products_per_merchant": _m(EN.top_products_per_merchant),
         "merchant_name_drift": _v(EN.merchant_name_drift),
         "fact_feedback": _m(EN.fact_feedback),
+        "fact_sessions": _m(EN.fact_sessions),
         "document_schema_violations": _v(EN.document_schema_violations),
         "overdue_privacy_requests": _v(P.overdue_requests),
         # marts
