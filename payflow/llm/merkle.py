@@ -152,7 +152,8 @@ def edited_fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame
                         F.struct(F.col("before").alias("part"), F.lit(1).alias("extra"))))
                 .otherwise(F.array(F.struct(F.col("part"), F.lit(0).alias("extra"))))).alias("at"))
             .select("doc_id", "text", "at.part", "at.extra"))
-    rows = rows.repartition("part").sortWithinPartitions("part", "extra", F.desc_nulls_last("doc_id"), "text")
+    # ranges hold about as many rows each, so dealing them out in order loads the tasks evenly
+    rows = rows.repartitionByRange("part").sortWithinPartitions("part", "extra", F.desc_nulls_last("doc_id"), "text")
     return rows.mapInPandas(_edit, SCHEMA)
 
 
