@@ -16,7 +16,7 @@ from payflow.plans import privacy as P
 from payflow.plans import reports_oltp as T
 from payflow.plans.bindings import Views
 from payflow.plans.marts import Marts
-from payflow.plans.store import stored_features, stored_marts, stored_views
+from payflow.plans.store import input_state, stored_features, stored_marts, stored_views
 
 Job = Callable[[SparkSession, str], DataFrame]
 
@@ -102,8 +102,8 @@ def reports() -> dict[str, Job]:
         "classification_report": lambda spark, sf: ML.classification_report(ML.labeled(stored_features(spark, sf))),
         "champion_challenger": lambda spark, sf: ML.champion_challenger(stored_features(spark, sf)),
         "training_set_summary": lambda spark, sf: ML.training_set_summary(stored_features(spark, sf)),
-        "fraud_model_evaluation": lambda spark, sf: ML.model_evaluation(stored_features(spark, sf), key=sf),
-        "fraud_feature_importance": lambda spark, sf: ML.feature_importance(stored_features(spark, sf), key=sf),
+        "fraud_model_evaluation": lambda spark, sf: ML.model_evaluation(stored_features(spark, sf), key=input_state(spark, sf)),
+        "fraud_feature_importance": lambda spark, sf: ML.feature_importance(stored_features(spark, sf), key=input_state(spark, sf)),
         "recommended_methods": _v(ML.recommend_methods),
         "interaction_matrix": _v(ML.interaction_matrix),
         "canary_assignment": _v(ML.canary_assignment),

@@ -41,10 +41,28 @@ _lock = threading.Lock()
 _built: dict[tuple[str, str], "StoredMarts"] = {}
 
 
-def _root(spark: SparkSession, sf_dir: str) -> str:
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    tag = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
-    return f"{base}/payflow-marts/{spark.sparkContext.applicationId}/{tag}"
+INPUTS = ["nation", "region", "customer", "supplier", "part", "orders", "lineitem", "events"]
+
+
+def input_state(spark: SparkSession, sf_dir: str) -> str:
+    """Digest of the input tables' files (path, length, time of change), from their folder
+    listing: what is kept under it is not used again once an input has changed."""
+    jvm = spark.sparkContext._jvm
+    seen = []
+    for name in INPUTS:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            seen += [f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in fs.listStatus(path)]
+    return hashlib.sha1("\n".join([sf_dir.rstrip("/"), *sorted(seen)]).encode()).hexdigest()[:12]
+
+
+def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    return spark.sparkContext.applicationId, input_state(spark, sf_dir)
+
+
+def _root(spark: SparkSession, key: tuple[str, str]) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/payflow-marts/{key[0]}/{key[1]}"
 
 
 class StoredMarts(Marts):
@@ -92,11 +110,11 @@ _vlock = threading.Lock()
 def stored_views(spark: SparkSession, sf_dir: str) -> Views:
     """Payment views whose staged ``tx`` table is written once per application (it feeds
     about ten marts and most reports; without it each would redo orders x customer)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = _key(spark, sf_dir)
     with _vlock:
         if key not in _views:
             v = Views(spark, sf_dir)
-            path = f"{_root(spark, sf_dir)}/tx"
+            path = f"{_root(spark, key)}/tx"
             v.tx.write.mode("overwrite").parquet(path)
             v.__dict__["tx"] = spark.read.parquet(path)
             _views[key] = v
@@ -105,10 +123,10 @@ def stored_views(spark: SparkSession, sf_dir: str) -> Views:
 
 def stored_marts(spark: SparkSession, sf_dir: str) -> StoredMarts:
     """The materialized star for ``sf_dir`` (built on first use in this application)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = _key(spark, sf_dir)
     with _lock:
         if key not in _built:
-            root = _root(spark, sf_dir)
+            root = _root(spark, key)
             views = stored_views(spark, sf_dir)
             write_marts(Marts(views), root)
             _built[key] = StoredMarts(views, root)
@@ -123,10 +141,10 @@ def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Materialized feature documents (the feature store) for ``sf_dir``. Built from the
     views only, so it does not wait for the star (see ``build_all``)."""
     from payflow.plans.features import ml_features
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = _key(spark, sf_dir)
     with _flock:
         if key not in _features:
-            path = f"{_root(spark, sf_dir)}/ml_features"
+            path = f"{_root(spark, key)}/ml_features"
             ml_features(stored_views(spark, sf_dir)).sortWithinPartitions(F.col("computed_at")) \
                 .write.mode("overwrite").parquet(path)
             _features[key] = spark.read.parquet(path)

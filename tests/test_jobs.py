@@ -84,3 +84,18 @@ def test_every_registered_job_has_stable_schema(spark):
         a = all_jobs()[name](spark, SF_SMALL)
         b = all_jobs()[name](spark, SF_SMALL)
         assert a.schema == b.schema
+
+
+def test_changed_input_is_seen_in_the_same_application(spark, tmp):
+    import os
+    import shutil
+
+    from payflow.plans.store import stored_views
+    for name in os.listdir(SF_SMALL):
+        shutil.copyfile(os.path.join(SF_SMALL, name), os.path.join(tmp, name))
+    before = stored_views(spark, tmp).tx.count()
+    assert stored_views(spark, tmp) is stored_views(spark, tmp)
+    half = spark.read.parquet(f"{SF_SMALL}/orders.parquet").filter("o_orderkey % 2 = 0").toPandas()
+    half.to_parquet(os.path.join(tmp, "orders.parquet"))
+    after = stored_views(spark, tmp).tx.count()
+    assert 0 < after < before
