@@ -95,7 +95,7 @@ def test_changed_input_is_seen_in_the_same_application(spark, tmp):
         shutil.copyfile(os.path.join(SF_SMALL, name), os.path.join(tmp, name))
     before = stored_views(spark, tmp).tx.count()
     assert stored_views(spark, tmp) is stored_views(spark, tmp)
-    half = spark.read.parquet(f"{SF_SMALL}/orders.parquet").filter("o_orderkey % 2 = 0").toPandas()
-    half.to_parquet(os.path.join(tmp, "orders.parquet"))
+    os.remove(os.path.join(tmp, "orders.parquet"))
+    spark.read.parquet(f"{SF_SMALL}/orders.parquet").filter("o_orderkey % 2 = 0").write.parquet(os.path.join(tmp, "orders.parquet"))
     after = stored_views(spark, tmp).tx.count()
     assert 0 < after < before
