@@ -5,7 +5,8 @@ after one whose digest starts with a low byte (content-defined, about every 16th
 edit moves only the borders near it. Section digests hash their paragraphs' digests, the
 root hashes the sections': roots are equal exactly for equal texts. Below a paragraph the
 leaves are content-defined chunks of about four words, cut after a word whose last bytes
-hash low, so half a changed paragraph still shares leaves.
+hash low, so half a changed paragraph still shares leaves; in texts of under ``SHORT_BYTES``
+every word is a leaf.
 
 The fingerprint is a string: root, ``:``, then the sections joined by ``;`` as
 ``digest=paragraph,paragraph``, a paragraph being its leaves' 4-digit hashes. ``likeness``
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 
 SECTION_BYTE = 16          # a paragraph digest whose first byte is below this closes a section
 CHUNK_MASK = 3             # one word in four ends a chunk
+SHORT_BYTES = 240          # below this every word is a chunk
 CHUNK_BYTES = 512          # longer chunks are cut at this length
 LEAF_BYTES = 2
 
@@ -54,7 +56,7 @@ class Tree:
         at = np.flatnonzero((marks == 32) | (marks == 10))
         before = np.concatenate((np.zeros(3, dtype=np.uint32), marks.astype(np.uint32)))
         mix = before[at + 2] * 2654435761 + before[at + 1] * 40503 + before[at] * 10007
-        cuts = at[((mix >> 13) & CHUNK_MASK == 0) | (marks[at] == 10)].tolist()
+        cuts = at[((mix >> 13) & CHUNK_MASK == 0) | (marks[at] == 10) | (len(data) < SHORT_BYTES)].tolist()
         leaf, whole = xxhash.xxh3_64_digest, hashlib.sha256
         sections, root, leaves = [], whole(), []
         section, paragraphs, chunks = whole(), [], []
