@@ -5,13 +5,15 @@ after one whose digest starts with a low byte (content-defined, about every 16th
 edit moves only the borders near it. Section digests hash their paragraphs' digests, the
 root hashes the sections': roots are equal exactly for equal texts. Below a paragraph the
 leaves are content-defined chunks of about four words, cut after a word whose last bytes
-hash low, so half a changed paragraph still shares leaves; in texts of under ``SHORT_BYTES``
-every word is a leaf.
+hash low, by the same rule at every length, so half a changed paragraph still shares leaves.
+Texts of under ``SHORT_BYTES`` have few chunks; their words are kept beside the tree.
 
 The fingerprint is a string: root, ``:``, then the sections joined by ``;`` as
-``digest=paragraph,paragraph``, a paragraph being its leaves' 4-digit hashes. ``likeness``
-is the share of leaves that two fingerprints have in common (twice the shared number over
-the sum; 1 for equal roots), ``first_difference`` descends only branches whose digests differ.
+``digest=paragraph,paragraph``, a paragraph being its leaves' 4-digit hashes; a short text
+has ``:`` and its words' hashes after that. ``likeness`` is the share of units that two
+fingerprints have in common (twice the shared number over the sum; 1 for equal roots). The
+units are words if both have them, else the chunks of both, so a text is never measured in
+words against another's chunks. ``first_difference`` descends only branches whose digests differ.
 
 Neighbours in descending doc_id order are found without a one-task window: rows are cut
 into ranges of ids, every range is sorted by its task, and the first row of each range is
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 SECTION_BYTE = 16          # a paragraph digest whose first byte is below this closes a section
 CHUNK_MASK = 3             # one word in four ends a chunk
-SHORT_BYTES = 240          # below this every word is a chunk
+SHORT_BYTES = 240          # below this the words are kept beside the chunks
 CHUNK_BYTES = 512          # longer chunks are cut at this length
 LEAF_BYTES = 2
 
@@ -46,9 +48,10 @@ SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 
 
 class Tree:
-    """Merkle tree of one text: ``root`` (hex), ``sections`` [(hex, [paragraph leaves])] and a leaf count."""
+    """Merkle tree of one text: ``root`` (hex), ``sections`` [(hex, [paragraph leaves])], a leaf
+    count, and for short texts the words (hex) and their count."""
 
-    __slots__ = ("root", "sections", "leaves")
+    __slots__ = ("root", "sections", "leaves", "words", "units")
 
     def __init__(self, text: str):
         data = text.encode("utf-8", "surrogatepass")
@@ -56,7 +59,7 @@ class Tree:
         at = np.flatnonzero((marks == 32) | (marks == 10))
         before = np.concatenate((np.zeros(3, dtype=np.uint32), marks.astype(np.uint32)))
         mix = before[at + 2] * 2654435761 + before[at + 1] * 40503 + before[at] * 10007
-        cuts = at[((mix >> 13) & CHUNK_MASK == 0) | (marks[at] == 10) | (len(data) < SHORT_BYTES)].tolist()
+        cuts = at[((mix >> 13) & CHUNK_MASK == 0) | (marks[at] == 10)].tolist()
         leaf, whole = xxhash.xxh3_64_digest, hashlib.sha256
         sections, root, leaves = [], whole(), []
         section, paragraphs, chunks = whole(), [], []
@@ -81,29 +84,40 @@ class Tree:
                 line = stop + 1
             start = stop + 1
         self.root, self.sections, self.leaves = root.hexdigest()[:32], sections, Counter(leaves)
+        self.words = self.units = None
+        if len(data) < SHORT_BYTES:
+            words = [leaf(w)[:LEAF_BYTES] for w in data.replace(b"\n", b" ").split(b" ") if w]
+            self.words, self.units = b"".join(words).hex(), Counter(words)
 
     def __str__(self) -> str:
-        return f"{self.root}:" + ";".join(f"{d}={','.join(p)}" for d, p in self.sections)
+        tree = f"{self.root}:" + ";".join(f"{d}={','.join(p)}" for d, p in self.sections)
+        return tree if self.words is None else f"{tree}:{self.words}"
 
 
 def parse(fingerprint: str) -> tuple[str, list[tuple[str, list[str]]]]:
-    root, _, body = fingerprint.partition(":")
+    root, body, *_ = fingerprint.split(":")
     return root, [(s[:8], s[9:].split(",")) for s in body.split(";")]
 
 
-def shared(a: Counter, b: Counter, equal: bool) -> float:
+def shared(a: tuple[Counter, Counter | None], b: tuple[Counter, Counter | None], equal: bool) -> float:
+    """Common share of two (chunks, words): of words if both have them, else of chunks."""
     if equal:
         return 1.0
-    total = a.total() + b.total()
-    return 2.0 * (a & b).total() / total if total else 1.0
+    x, y = (a[0], b[0]) if a[1] is None or b[1] is None else (a[1], b[1])
+    total = x.total() + y.total()
+    return 2.0 * (x & y).total() / total if total else 1.0
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of common leaves of two fingerprint strings, 0 to 1."""
-    (ra, sa), (rb, sb) = parse(a), parse(b)
+    """Share of common units of two fingerprint strings, 0 to 1."""
     step = 2 * LEAF_BYTES
-    of = lambda s: Counter(p[i:i + step] for _, ps in s for p in ps for i in range(0, len(p), step))
-    return shared(of(sa), of(sb), ra == rb)
+    count = lambda hashes: Counter(p[i:i + step] for p in hashes for i in range(0, len(p), step))
+
+    def units(fingerprint: str) -> tuple[Counter, Counter | None]:
+        words = fingerprint.split(":")[2:]
+        return count(p for _, ps in parse(fingerprint)[1] for p in ps), count(words) if words else None
+
+    return shared(units(a), units(b), parse(a)[0] == parse(b)[0])
 
 
 def first_difference(a: tuple[str, list], b: tuple[str, list]) -> int | None:
@@ -185,6 +199,6 @@ def _row(own: tuple, following: tuple) -> tuple:
     new = Tree(edited) if edited != text else tree
     return (None if pd.isna(doc_id) else int(doc_id), len(text),
             hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), str(tree), str(new),
-            shared(tree.leaves, new.leaves, tree.root == new.root),
-            shared(tree.leaves, following[2].leaves, tree.root == following[2].root),
+            shared((tree.leaves, tree.units), (new.leaves, new.units), tree.root == new.root),
+            shared((tree.leaves, tree.units), (following[2].leaves, following[2].units), tree.root == following[2].root),
             first_difference((tree.root, tree.sections), (new.root, new.sections)))

@@ -47,3 +47,14 @@ def test_roots_and_branches(prose):
     moved = {d for d, _ in merkle.parse(a)[1]} & {d for d, _ in merkle.parse(b)[1]}
     assert len(moved) >= len(merkle.parse(a)[1]) - 2                  # only sections near the edit differ
     assert merkle.likeness(str(merkle.Tree("")), str(merkle.Tree(""))) == 1.0
+
+
+def test_likeness_across_the_short_limit(docs_of, prose):
+    for seed in range(15):
+        text = prose(60, seed)[:240 + seed]                           # just above the limit
+        below = text[:200].rsplit(" ", 1)[0]                          # the same without its last words
+        assert merkle.likeness(str(merkle.Tree(text)), str(merkle.Tree(below))) > 0.6
+        long, shorter = prose(60, seed)[:300], prose(60, seed + 50)[:40]
+        rows = merkle.edited_fingerprints(docs_of([(2, long), (1, shorter)]), 2).collect()
+        (r,) = [r for r in rows if r["doc_id"] == 2]                  # the edited text has 190 bytes
+        assert r["near_edited"] > 0.3
