@@ -9,11 +9,13 @@ hash low, by the same rule at every length, so half a changed paragraph still sh
 Texts of under ``SHORT_BYTES`` have few chunks; their words are kept beside the tree.
 
 The fingerprint is a string: root, ``:``, then the sections joined by ``;`` as
-``digest=paragraph,paragraph``, a paragraph being its leaves' 4-digit hashes; a short text
+``digest=paragraph,paragraph``, a paragraph being its leaves' 8-digit hashes; a short text
 has ``:`` and its words' hashes after that. ``likeness`` is the share of units that two
 fingerprints have in common (twice the shared number over the sum; 1 for equal roots). The
 units are words if both have them, else the chunks of both, so a text is never measured in
 words against another's chunks. ``first_difference`` descends only branches whose digests differ.
+The query's columns are computed on the entire digests (64 bits a leaf, SHA-256 a paragraph),
+not on the shortened ones of the string.
 
 Neighbours in descending doc_id order are found without a one-task window: rows are cut
 into ranges of ids, every range is sorted by its task, and the first row of each range is
@@ -41,17 +43,18 @@ SECTION_BYTE = 16          # a paragraph digest whose first byte is below this c
 CHUNK_MASK = 3             # one word in four ends a chunk
 SHORT_BYTES = 240          # below this the words are kept beside the chunks
 CHUNK_BYTES = 512          # longer chunks are cut at this length
-LEAF_BYTES = 2
+LEAF_BYTES = 4             # of a leaf's 8 bytes, those in the fingerprint string
 
 SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
           "near_edited double, near_next double, edited_paragraph long")
 
 
 class Tree:
-    """Merkle tree of one text: ``root`` (hex), ``sections`` [(hex, [paragraph leaves])], a leaf
-    count, and for short texts the words (hex) and their count."""
+    """Merkle tree of one text: ``root`` (hex), ``sections`` [(hex, [paragraph leaves])],
+    ``digests`` [(digest, [paragraph digest])] of the same in full, a leaf count, and for short
+    texts the words (hex) and their count."""
 
-    __slots__ = ("root", "sections", "leaves", "words", "units")
+    __slots__ = ("root", "sections", "digests", "leaves", "words", "units")
 
     def __init__(self, text: str):
         data = text.encode("utf-8", "surrogatepass")
@@ -61,39 +64,46 @@ class Tree:
         mix = before[at + 2] * 2654435761 + before[at + 1] * 40503 + before[at] * 10007
         cuts = at[((mix >> 13) & CHUNK_MASK == 0) | (marks[at] == 10)].tolist()
         leaf, whole = xxhash.xxh3_64_digest, hashlib.sha256
-        sections, root, leaves = [], whole(), []
-        section, paragraphs, chunks = whole(), [], []
+        sections, digests, root, leaves = [], [], whole(), []
+        section, paragraphs, marked, chunks = whole(), [], [], []
         start = line = 0
         for stop in [*cuts, len(data)]:
             if stop > start:
                 if stop - start > CHUNK_BYTES:
-                    chunks += [leaf(data[i:min(i + CHUNK_BYTES, stop)])[:LEAF_BYTES] for i in range(start, stop, CHUNK_BYTES)]
+                    chunks += [leaf(data[i:min(i + CHUNK_BYTES, stop)]) for i in range(start, stop, CHUNK_BYTES)]
                 else:
-                    chunks.append(leaf(data[start:stop])[:LEAF_BYTES])
+                    chunks.append(leaf(data[start:stop]))
             last = stop == len(data)
             if last or data[stop] == 10:
                 digest = whole(data[line:stop]).digest()
                 section.update(digest)
-                paragraphs.append(b"".join(chunks).hex())
+                marked.append(digest)
+                paragraphs.append(_hex(chunks))
                 leaves += chunks
                 chunks = []
                 if last or stop == line or digest[0] < SECTION_BYTE:
                     sections.append((section.hexdigest()[:8], paragraphs))
+                    digests.append((section.digest(), marked))
                     root.update(section.digest())
-                    section, paragraphs = whole(), []
+                    section, paragraphs, marked = whole(), [], []
                 line = stop + 1
             start = stop + 1
-        self.root, self.sections, self.leaves = root.hexdigest()[:32], sections, Counter(leaves)
+        self.root, self.sections, self.digests = root.hexdigest()[:32], sections, digests
+        self.leaves = Counter(leaves)
         self.words = self.units = None
         if len(data) < SHORT_BYTES:
-            words = [leaf(w)[:LEAF_BYTES] for w in data.replace(b"\n", b" ").split(b" ") if w]
-            self.words, self.units = b"".join(words).hex(), Counter(words)
+            words = [leaf(w) for w in data.replace(b"\n", b" ").split(b" ") if w]
+            self.words, self.units = _hex(words), Counter(words)
 
     def __str__(self) -> str:
         tree = f"{self.root}:" + ";".join(f"{d}={','.join(p)}" for d, p in self.sections)
         return tree if self.words is None else f"{tree}:{self.words}"
 
 
+def _hex(leaves: list[bytes]) -> str:
+    return b"".join([x[:LEAF_BYTES] for x in leaves]).hex()
+
+
 def parse(fingerprint: str) -> tuple[str, list[tuple[str, list[str]]]]:
     root, body, *_ = fingerprint.split(":")
     return root, [(s[:8], s[9:].split(",")) for s in body.split(";")]
@@ -201,4 +211,4 @@ def _row(own: tuple, following: tuple) -> tuple:
             hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), str(tree), str(new),
             shared((tree.leaves, tree.units), (new.leaves, new.units), tree.root == new.root),
             shared((tree.leaves, tree.units), (following[2].leaves, following[2].units), tree.root == following[2].root),
-            first_difference((tree.root, tree.sections), (new.root, new.sections)))
+            first_difference((tree.root, tree.digests), (new.root, new.digests)))

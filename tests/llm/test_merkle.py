@@ -58,3 +58,20 @@ def test_likeness_across_the_short_limit(docs_of, prose):
         rows = merkle.edited_fingerprints(docs_of([(2, long), (1, shorter)]), 2).collect()
         (r,) = [r for r in rows if r["doc_id"] == 2]                  # the edited text has 190 bytes
         assert r["near_edited"] > 0.3
+
+
+def test_long_unrelated_texts_share_nothing(docs_of):
+    import random
+    words = lambda seed: " ".join("".join(c) for c in zip(*[iter(random.Random(seed).choices("abcdefghijklmnop", k=400_000))] * 8))
+    a, b = words(1), words(2)
+    assert merkle.likeness(str(merkle.Tree(a)), str(merkle.Tree(b))) < 0.001
+    rows = merkle.edited_fingerprints(docs_of([(2, a), (1, b)]), 2).collect()
+    assert {round(r["near_next"], 3) for r in rows} == {0.0} and all(0.49 < r["near_edited"] < 0.51 for r in rows)
+
+
+def test_first_difference_sees_blanks(docs_of):
+    lines = ["one two", "three  four", "five six"]
+    (r,) = [r for r in merkle.edited_fingerprints(docs_of([(2, "\n".join(lines)), (1, "x")])).collect() if r["doc_id"] == 2]
+    assert r["edited_paragraph"] == 1
+    a, b = (merkle.Tree("\n".join(x)) for x in (lines, [lines[0], "three four", lines[2]]))
+    assert merkle.first_difference((a.root, a.digests), (b.root, b.digests)) == 1
