@@ -1,4 +1,10 @@
-"""Public licence texts, names, notices and equivalent spellings."""
+"""Public licence texts, names, notices and equivalent spellings.
+
+The long texts lie in ``license_bodies``, one file per SPDX name, and are read by the driver only.
+"""
+
+import re
+from pathlib import Path
 
 MIT = """MIT License
 
@@ -83,7 +89,17 @@ BODIES = {
     "BSD-3-Clause": BSD_START.format(title="BSD 3-Clause License") + BSD_NAMES + BSD_END,
     "Zlib": ZLIB,
     "Unlicense": UNLICENSE,
-}
+} | {p.stem: p.read_text(encoding="utf-8") for p in sorted(Path(__file__).with_name("license_bodies").glob("*.txt"))}
+
+#: Long licences are also given without the advice on their use that follows this line.
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+BODY_VARIANTS = [(name, text[:text.index(END_OF_TERMS) + len(END_OF_TERMS)])
+                 for name, text in BODIES.items() if END_OF_TERMS in text]
+
+#: What follows "copyright" or "(c)" in the prose of licences: a line that begins so is no copyright notice.
+PROSE_WORDS = {"holder", "holders", "notice", "notices", "owner", "owners", "law", "laws", "license", "licence"} | {
+    word for text in BODIES.values() for found in re.findall(r"(?:copyright|\(c\))[^a-z0-9]+([a-z]+)", text.lower())
+    for word in (found, found.replace("licens", "licenc"))} - {"c", "year", "yyyy"}
 
 #: How notices call a licence.
 NAMES = {
@@ -110,8 +126,23 @@ NOTICES = ["Released under {}.", "Licensed under {}.", "Distributed under {}.",
            "This software is licensed under {}.", "This project is licensed under {}.",
            "This program is licensed under {}.", "This work is released under {}."]
 
-#: Canonical spelling: what else is written for it (after lower case, marks as blanks).
+#: What is dropped after "under", longest first.
+UNDER = ["under the terms of the", "under terms of the", "under the terms of", "under terms of", "under the", "under an", "under a"]
+
+
+def _over_line_end(phrases: list[str]) -> str:
+    """Pattern for the phrases with one of their blanks at a line's end."""
+    return "|".join(" ".join(words[:i]) + r" *\n *" + " ".join(words[i:])
+                    for words in map(str.split, phrases) for i in range(1, len(words)))
+
+
+#: Canonical spelling: what else is written for it (after lower case, marks as blanks). Over a line's end the break stays.
 SPELLINGS = {
+    "sublicense\n": _over_line_end(["sub license", "sub licence"]),
+    "noncommercial\n": _over_line_end(["non commercial"]),
+    "noninfringement\n": _over_line_end(["non infringement"]),
+    "sharealike\n": _over_line_end(["share alike"]),
+    "under\n": _over_line_end(UNDER),
     "license": "licence",
     "licensed": "licenced",
     "sublicense": "sub license|sublicence|sub licence",

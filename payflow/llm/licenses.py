@@ -1,6 +1,6 @@
 """Licence scan by canonical digests, in DataFrame functions only.
 
-A text is brought to a canonical form (lower case, copyright lines gone, equivalent
+A text is brought to a canonical form (lower case, copyright notices gone, equivalent
 spellings unified, punctuation and white space as single blanks) and hashed. Two units are
 looked up: the entire text of a document (a licence file), and every entire line of it (a
 licence notice). A unit matches if its digest is that of a known text, so the lookup is
@@ -8,6 +8,10 @@ one equi-join. The known texts are a table of bounded size (below: the bodies in
 ``BODIES`` and notices made from ``NAMES`` and ``NOTICES``), which is broadcast; a caller's own table has
 no hint, so Spark broadcasts it only under its size threshold and AQE splits a hot digest otherwise.
 
+A copyright notice is a line that begins with "copyright", "(c)" or the sign and goes on with a
+year, "(c)" or a holder, that is with anything but a word that follows there in the prose of the
+known bodies (``PROSE_WORDS``): a wrapped line "copyright holders be liable" stays.
+
 Rows: null text is empty; empty units match nothing. A line that a document repeats is
 reported once per line. Repeated rows and null ids are reported as they are. Empty tables
 give no rows. Extra columns are not read.
@@ -16,14 +20,32 @@ give no rows. Extra columns are not read.
 from __future__ import annotations
 
 from itertools import product
+from string import ascii_lowercase, digits
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from payflow.llm.license_texts import BODIES, NAMES, NOTICES, SPELLINGS
+from payflow.llm.license_texts import BODIES, BODY_VARIANTS, NAMES, NOTICES, PROSE_WORDS, SPELLINGS
+
+
+def _rest_but(words: set[str], first: bool = True) -> str:
+    """Pattern for the rest of a line whose first word is none of ``words`` (RE2 has no look-ahead)."""
+    heads = "".join(sorted({w[0] for w in words if w}))
+    branches = [h + _rest_but({w[1:] for w in words if w[:1] == h}, False) for h in heads]
+    if first:
+        other = [rf"[^\P{{L}}{heads}][^\n]*", r"\p{N}[^\n]*"]
+    elif "" in words:                      # the word may not end here
+        other = ["[" + "".join(c for c in ascii_lowercase + digits if c not in heads) + r"][^\n]*"]
+    else:
+        other = [rf"[^{heads}\n][^\n]*", "$"]
+    return "(?:" + "|".join(branches + other) + ")"
+
 
 #: Lines that only name who holds a copyright, and the marks that become one blank.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©)[^\n]*"
+COPYRIGHT_LINE = (r"(?m)^[^\p{L}\p{N}\n]*(?:copyrighted[^\p{L}\p{N}\n]+(?:c\)|\p{N})[^\n]*|"
+                  r"(?:copyrights?[^\p{L}\p{N}\n]+|(?:\(c\)|©)[^\p{L}\p{N}\n]*)"
+                  r"(?:the [^\n]*(?:authors|contributors|developers|foundation)[^\n]*|[^\n]*all rights reserved[^\n]*|"
+                  + _rest_but(PROSE_WORDS) + "))")
 MARKS = r"[^\p{L}\p{N}\n]+"
 
 
@@ -43,7 +65,7 @@ def canonical(lines: Column) -> Column:
 
 def known_texts() -> list[tuple[str, str, str]]:
     """(licence, kind, text) of all known bodies and notices."""
-    out = [(name, "body", text) for name, text in BODIES.items()]
+    out = [(name, "body", text) for name, text in [*BODIES.items(), *BODY_VARIANTS]]
     out += [(name, "notice", notice.format(label))
             for (name, labels), notice in product(NAMES.items(), NOTICES) for label in labels]
     return out + [(name, "notice", f"SPDX-License-Identifier: {name}") for name in NAMES]

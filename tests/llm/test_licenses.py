@@ -1,3 +1,6 @@
+import re
+import textwrap
+
 import duckdb
 
 from payflow.llm import licenses as L
@@ -37,3 +40,52 @@ def test_equals_oracle(spark, docs_of, prose, odd):
 def test_no_python_in_the_plan(docs_of, prose):
     plan = L.license_matches(docs_of(texts(prose)))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def rewrapped(body, width):
+    """The body with its prose wrapped anew, copyright notices on lines of their own."""
+    out, held = [], []
+
+    def flush():
+        if held:
+            out.append(textwrap.fill(" ".join(held), width, break_long_words=False, break_on_hyphens=False))
+            held.clear()
+
+    for line in body.splitlines():
+        notice = re.match(r"\W*copyright (\(c\)|\[yyyy\])", line.lower())
+        if notice or not line.strip():
+            flush()
+            out.append(line)
+        else:
+            held.append(line.strip())
+    flush()
+    return "\n".join(out)
+
+
+def test_wrapped_and_long_bodies(docs_of):
+    rows, want = [], set()
+    for name, body in BODIES.items():
+        for width in (40, 57, 60, 64, 70, 72, 77, 79, 80, 100, 10_000):
+            want.add((len(rows), name))
+            rows.append((len(rows), rewrapped(body, width)))
+    for liable in range(20, 120):         # a wrapped line begins with 'copyright holders be liable' for some widths
+        want.add((len(rows), "MIT"))
+        rows.append((len(rows), rewrapped(BODIES["MIT"], liable)))
+    assert any(re.search(r"(?m)^copyright holders be", t.lower()) for _, t in rows)
+    assert {"Apache-2.0", "MPL-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-3.0-only", "CC0-1.0"} <= {n for _, n in want}
+    for notice in ("Copyright Some One", "Copyright (c) Some One", "© Some One", "(c) 2019 Some One", "Copyright 2019-2021, Some One",
+                   "Copyright: Noël", "Copyrighted 2010 by X", "Copyrights 2010 X", "Copyright 漢字", "Copyright The Foo Authors", "copyright by Orla", "Copyright Lawson and Sons",
+                   "Copyright Noti", "Copyright ACME. All rights reserved."):
+        want.add((len(rows), "MIT"))
+        rows.append((len(rows), BODIES["MIT"].replace("Copyright (c) <year> <holder>", notice)))
+    apache = BODIES["Apache-2.0"]
+    want |= {(len(rows), "Apache-2.0"), (len(rows) + 1, "Apache-2.0")}
+    rows += [(len(rows), apache.replace("[yyyy] [name of copyright owner]", "2020 Some One")),
+             (len(rows) + 1, apache[:apache.index("APPENDIX")])]
+    got = L.license_matches(docs_of(rows)).where("unit = 'text'").select("doc_id", "license", "digest").collect()
+    assert {(r[0], r[1]) for r in got} == want
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    theirs = con.execute(f"SELECT doc_id, license, digest FROM ({L.oracle_sql()}) WHERE unit = 'text'").fetchall()
+    assert sorted(map(tuple, got)) == sorted(theirs)
