@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from payflow.operators.ranks import global_running_sums
+from payflow.operators.ranks import dense_key, global_running_sums
 
 from payflow.plans.bindings import Views
 from payflow.plans.features import weighted_score
@@ -170,22 +170,40 @@ def interaction_matrix(v: Views) -> DataFrame:
 
 
 def recommend_methods(v: Views, k: int = 3, rank: int = 2, seed: int = 7) -> DataFrame:
-    """Implicit-feedback ALS on the interaction matrix; top-k payment types per customer,
-    with the segment's most converted type as fallback for customers without history."""
+    """Implicit-feedback ALS on the interaction matrix; top-k payment types per customer. Customers
+    that ALS gives none (no payments) get their market segment's types, most converted first, or
+    all customers' types where the segment has no payments.
+
+    ALS takes 32-bit ids only, so customers are numbered densely for it; more than 2^31 - 1
+    customers with payments fail instead of wrapping."""
     from pyspark.ml.recommendation import ALS
-    im = interaction_matrix(v)
+    im = interaction_matrix(v).filter(F.col("customer_id").isNotNull())
     types = F.array(*[F.lit(t) for t in ("card", "bank_transfer", "wallet")])
     im = im.withColumn("item", F.array_position(types, F.col("type")).cast("int"))
     # the factor rank cannot exceed the number of items (3 payment types), or the
     # per-user normal equations become singular
     if rank > 3:
         raise ValueError(f"rank {rank}: there are only 3 payment types")
-    als = ALS(userCol="customer_id", itemCol="item", ratingCol="weight", implicitPrefs=True,
+    number = F.when(F.col("_n") < 2**31, F.col("_n").cast("int")).otherwise(
+        F.raise_error(F.lit("more customers than ALS has ids")).cast("int"))
+    users = dense_key(im.select("customer_id").distinct(), ["customer_id"], "_n").select("customer_id", number.alias("user"))
+    als = ALS(userCol="user", itemCol="item", ratingCol="weight", implicitPrefs=True,
               rank=rank, regParam=0.1, maxIter=10, seed=seed, coldStartStrategy="drop")
-    model = als.fit(im.withColumn("customer_id", F.col("customer_id").cast("int")))
-    recs = model.recommendForAllUsers(k)
-    return recs.select(F.col("customer_id").cast("long"),
-                       F.transform("recommendations", lambda r: F.element_at(types, r["item"])).alias("methods"))
+    recs = (als.fit(im.join(users, "customer_id")).recommendForAllUsers(k).join(users, "user")
+            .select("customer_id", F.transform("recommendations", lambda r: F.element_at(types, r["item"])).alias("methods")))
+
+    def best(by: list[str], name: str) -> DataFrame:
+        g = seen.groupBy(*by, "type").agg(F.sum("conversions").alias("_c"))
+        order = F.array_sort(F.collect_list(F.struct((-F.col("_c")).alias("_c"), "type")))     # at most three types
+        return g.groupBy(*by).agg(F.slice(order["type"], 1, k).alias(name))
+
+    everyone = v.customers.select("customer_id", "market_segment")
+    seen = im.join(everyone, "customer_id", "left")
+    return (everyone.select("customer_id").union(users.select("customer_id")).distinct()
+            .join(everyone, "customer_id", "left").join(recs, "customer_id", "left")
+            .join(F.broadcast(best(["market_segment"], "_segment")), "market_segment", "left")   # one row per segment
+            .crossJoin(F.broadcast(best([], "_all")))
+            .select("customer_id", F.coalesce("methods", "_segment", "_all").alias("methods")))
 
 
 def canary_assignment(v: Views, pct: int = 5) -> DataFrame:

@@ -99,3 +99,22 @@ def test_changed_input_is_seen_in_the_same_application(spark, tmp):
     spark.read.parquet(f"{SF_SMALL}/orders.parquet").filter("o_orderkey % 2 = 0").write.parquet(os.path.join(tmp, "orders.parquet"))
     after = stored_views(spark, tmp).tx.count()
     assert 0 < after < before
+
+
+def test_recommended_methods_of_large_ids_and_without_history(spark):
+    from types import SimpleNamespace
+
+    from payflow.plans import ml as ML
+    a, b = 5, 5 + 2**32                                                  # one id after a cast to int
+    ids = [(a, "x"), (b, "x"), (7, "x"), (8, "y"), (9, "z"), (10, "y")]
+    pays = [(a, 1)] * 9 + [(b, 2)] * 5 + [(10, 3)] * 3
+    v = SimpleNamespace(
+        customers=spark.createDataFrame(ids, "customer_id long, market_segment string"),
+        payment_methods=spark.createDataFrame([(1, "card"), (2, "wallet"), (3, "bank_transfer")], "payment_method_id long, type string"),
+        tx=spark.createDataFrame([(c, m, "succeeded", 100) for c, m in pays], "customer_id long, payment_method_id long, status string, amount long"))
+    rows = ML.recommend_methods(v).collect()
+    got = {r.customer_id: r.methods for r in rows}
+    assert len(rows) == len(ids) and set(got) == {c for c, _ in ids}
+    assert (got[a][0], got[b][0], got[10][0]) == ("card", "wallet", "bank_transfer")
+    assert got[7] == ["card", "wallet"] and got[8] == ["bank_transfer"]    # no payments: the segment's types
+    assert got[9] == ["card", "wallet", "bank_transfer"]                   # nor has the segment any
