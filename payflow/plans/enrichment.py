@@ -140,3 +140,17 @@ def document_schema_violations(v: Views) -> DataFrame:
         "feedback.nps_0_10": F.col("nps_score").between(0, 10),
         "feedback.required_fields": F.col("feedback_id").isNotNull() & F.col("submitted_at").isNotNull()})
     return s.unionByName(fb)
+
+
+def feature_schema_violations(feats: DataFrame) -> DataFrame:
+    """Validator rules of the feature documents (``ml_features``) as violation counts."""
+    from payflow.operators.checks import rule_violations
+    need = ["transaction_id", "computed_at", "model_target", "features", "prediction",
+            "prediction.fraud_probability", "prediction.risk_level", "prediction.model_version"]
+    required = F.lit(True)
+    for c in need:
+        required = required & F.col(c).isNotNull()
+    return rule_violations(feats, {
+        "ml_features.required_fields": required,
+        "ml_features.fraud_probability_0_1": F.col("prediction.fraud_probability").between(0, 1),
+        "ml_features.risk_level_enum": F.col("prediction.risk_level").isin("low", "medium", "high", "critical")})

@@ -163,6 +163,17 @@ def retention_summary(v: Views) -> DataFrame:
                                 F.count_if(F.col("customer_id").isNull()).alias("rows_anonymized"))))
 
 
+def feature_retention(v: Views, feats: DataFrame) -> DataFrame:
+    """The rule of the feature documents (24 months with customer_id, then anonymize; never
+    deleted): rows kept / anonymized, and old rows that still name a customer after it (must be 0)."""
+    as_of = v.tx_as_of
+    after = apply_retention(feats, "computed_at", 2 * 365, "anonymize", as_of)
+    old = F.col("computed_at") < as_of - F.expr("INTERVAL 730 DAYS")
+    return after.agg(F.lit("ml_features").alias("collection"), F.count(F.lit(1)).alias("rows_kept"),
+                     F.count_if(F.col("customer_id").isNull()).alias("rows_anonymized"),
+                     F.count_if(old & F.col("customer_id").isNotNull()).alias("overdue_rows"))
+
+
 # ----------------------------------------------------------------------------- PAN scan (M7)
 DIGIT_RUN = r"\d(?:[ -]?\d){12,}"
 

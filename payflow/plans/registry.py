@@ -90,6 +90,7 @@ def reports() -> dict[str, Job]:
         "erased_payment_methods": _v(P.erased_payment_methods),
         "erasure_audit": _v(P.erasure_audit),
         "retention_summary": _v(P.retention_summary),
+        "feature_retention": lambda spark, sf: P.feature_retention(stored_views(spark, sf), stored_features(spark, sf)),
         "documents_with_cards": _v(P.documents_with_cards),
         "residency_check": lambda spark, sf: P.residency_check(
             stored_marts(spark, sf).dim_customer, stored_views(spark, sf).countries),
@@ -131,6 +132,7 @@ def reports() -> dict[str, Job]:
         "fact_feedback": _m(EN.fact_feedback),
         "fact_sessions": _m(EN.fact_sessions),
         "document_schema_violations": _v(EN.document_schema_violations),
+        "feature_schema_violations": lambda spark, sf: EN.feature_schema_violations(stored_features(spark, sf)),
         "overdue_privacy_requests": _v(P.overdue_requests),
         # marts
         "dim_date": _mart("dim_date"),

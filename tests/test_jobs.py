@@ -118,3 +118,23 @@ def test_recommended_methods_of_large_ids_and_without_history(spark):
     assert (got[a][0], got[b][0], got[10][0]) == ("card", "wallet", "bank_transfer")
     assert got[7] == ["card", "wallet"] and got[8] == ["bank_transfer"]    # no payments: the segment's types
     assert got[9] == ["card", "wallet", "bank_transfer"]                   # nor has the segment any
+
+
+def test_feature_retention_and_validator(spark):
+    from datetime import datetime
+    from types import SimpleNamespace
+
+    from payflow.plans import enrichment as EN
+    doc = "transaction_id long, customer_id long, computed_at timestamp_ntz, model_target string, features struct<x: int>, " \
+          "prediction struct<fraud_probability: double, risk_level: string, model_version: string>"
+    day = datetime(2024, 1, 1)
+    feats = spark.createDataFrame([
+        (1, 7, datetime(2021, 12, 31), "t", (1,), (0.5, "low", "v")), (2, 7, datetime(2022, 1, 1), "t", (1,), (1.5, "low", "v")),
+        (3, 8, day, "t", (1,), (1.0, "odd", "v")), (4, 8, day, None, (1,), (0.0, "high", "v")), (5, 8, day, "t", (1,), (0.0, "high", None))], doc)
+    v = SimpleNamespace(tx_as_of=F.lit(day).cast("timestamp_ntz"))
+    (r,) = P.feature_retention(v, feats).collect()
+    assert tuple(r) == ("ml_features", 5, 1, 0)
+    got = {x.rule: x.violations for x in EN.feature_schema_violations(feats).collect()}
+    assert got == {"ml_features.required_fields": 2, "ml_features.fraud_probability_0_1": 1, "ml_features.risk_level_enum": 1}
+    for name in ("feature_retention", "feature_schema_violations"):
+        assert all_jobs()[name](spark, SF_SMALL).count() in (1, 3)
