@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from payflow.llm import (decontaminate, html_crf, licenses, merkle, packing, quality, simhash, token_files, toxicity,
-                         warc)
+from payflow.llm import (decontaminate, html_crf, licenses, manifest, merkle, packing, quality, simhash, spelling,
+                         token_files, toxicity, vector_search, warc)
 from payflow.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,8 +29,12 @@ def llm_queries() -> dict[str, Query]:
         "op8_simhash": _on(simhash.near_duplicates, "documents"),
         "op9_toxicity": _on(toxicity.toxicity_scores, "documents", "labels"),
         "op10_packing": _on(packing.pack_documents, "documents"),
+        "op11_spelling": _on(spelling.spelling_variants, "documents"),
+        "op12_neighbours": _on(vector_search.nearest, "embeddings"),
+        "op13_manifest": _on(manifest.dataset_manifest, "documents"),
     }
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op1_warc": warc.oracle_sql(), "op5_licenses": licenses.oracle_sql()}
+    return {"op1_warc": warc.oracle_sql(), "op5_licenses": licenses.oracle_sql(),
+            "op11_spelling": spelling.oracle_sql(), "op13_manifest": manifest.oracle_sql()}
