@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from payflow import constants as K
 from payflow.operators.fold import greedy_cap
 from payflow.operators.windows import latest_per_key
-from payflow.sources.readers import TOPIC_PREFIX
+from payflow.sources.readers import TOPIC_PREFIX, parse_messages
 from payflow.plans.bindings import Views
 from payflow.plans.marts import Marts
 from payflow.plans.reports_oltp import latest
@@ -86,7 +86,9 @@ def cdc_messages(v: Views) -> DataFrame:
     Per payment: create (status pending, lsn 10k+1), update to the final status
     (lsn 10k+2, missing when k % 11 = 0), delete (lsn 10k+3) when k % 50 = 7. The
     update arrives before the create when k % 9 = 0; the create is replayed twice when
-    k % 13 = 0. Columns: topic, key, value (JSON), ingested_at.
+    k % 13 = 0. Of the replayed creates that are due after 900 s, those with k % 17 = 3 are cut off,
+    k % 19 = 4 have no operation, k % 23 = 5 no position and k % 29 = 6 no image: dead letters.
+    Columns: topic, key, value (JSON), ingested_at.
     """
     t = v.tx
     k = F.col("transaction_id")
@@ -108,29 +110,34 @@ def cdc_messages(v: Views) -> DataFrame:
                                      F.lit(None).cast(AFTER_SCHEMA).alias("after"),
                                      F.timestamp_add("SECOND", F.lit(300), base).alias("ingested_at"))),
     )
-    e = t.select(F.explode(ev).alias("e")).filter(F.col("e").isNotNull()).select("e.*")
+    e = t.select(k.alias("k"), F.explode(ev).alias("e")).filter(F.col("e").isNotNull()).select("k", "e.*")
     value = F.to_json(F.struct("before", "after", F.struct(F.col("lsn")).alias("source"), "op"), JSON_OPTS)
-    key = F.coalesce(F.col("after.transaction_id"), F.col("before.transaction_id"))
-    return e.select(F.lit(f"{TOPIC_PREFIX}.public.transactions").alias("topic"), key.cast("string").alias("key"),
-                    value.alias("value"), "ingested_at")
+    topic = F.lit(f"{TOPIC_PREFIX}.public.transactions").alias("topic")
+    good = e.select(topic, F.col("k").cast("string").alias("key"), value.alias("value"), "ingested_at")
+    image, source = F.struct(pending.alias("after")), F.struct(F.struct((k * 10 + 1).alias("lsn")).alias("source"))
+    broken = (F.when(k % 17 == 3, F.substring(F.to_json(image, JSON_OPTS), 1, 40))
+              .when(k % 19 == 4, F.to_json(F.struct(image["after"].alias("after"), source["source"].alias("source")), JSON_OPTS))
+              .when(k % 23 == 5, F.to_json(F.struct(image["after"].alias("after"), F.lit("c").alias("op")), JSON_OPTS))
+              .when(k % 29 == 6, F.to_json(F.struct(source["source"].alias("source"), F.lit("c").alias("op")), JSON_OPTS)))
+    bad = t.select(topic, k.cast("string").alias("key"), broken.alias("value"),
+                   F.timestamp_add("SECOND", F.lit(900), base).alias("ingested_at")).filter(F.col("value").isNotNull())
+    return good.unionByName(bad)
 
 
-def parse_cdc(msgs: DataFrame) -> DataFrame:
-    """A4 / K1: envelope -> typed rows (id, after.*, lsn, op). Messages that do not parse, or
-    have no operation, position or key, are left out; ``sources.readers.split_dlq`` gives them
-    as dead letters."""
-    env = F.from_json("value", ENVELOPE, {"mode": "PERMISSIVE", **JSON_OPTS})
-    # parse once per message: a filter on a plain projected column would be pushed below
-    # the projection and inline (re-run) the parser; it cannot move below a generator
-    p = msgs.select("*", F.explode(F.array(env)).alias("_env"))
+def usable_changes(parsed: DataFrame) -> DataFrame:
+    """Typed rows (id, after.*, lsn, op) of the usable messages among ``readers.parse_messages``' rows."""
     img = F.coalesce(F.col("_env.after"), F.col("_env.before"))
-    usable = (F.col("_env.op").isNotNull() & F.col("_env.source.lsn").isNotNull()
-              & img["transaction_id"].isNotNull())
-    return p.filter(usable).select(
+    return parsed.filter(F.col("_cause").isNull()).select(
         *[img[f.name].alias(f.name) for f in AFTER_SCHEMA.fields],
         F.col("_env.source.lsn").alias("lsn"), F.col("_env.op").alias("op"), "ingested_at")
 
 
+def parse_cdc(msgs: DataFrame) -> DataFrame:
+    """A4 / K1: envelope -> typed rows (id, after.*, lsn, op); the other messages are
+    ``readers.dead_letters``."""
+    return usable_changes(parse_messages(msgs, ENVELOPE, options=JSON_OPTS))
+
+
 def stage_transactions(rows: DataFrame, ignore_deletes: bool = False) -> DataFrame:
     """Latest image per payment by highest LSN; a payment whose latest change is a
     delete is dropped (``ignore_deletes=True`` filters deletes before ranking instead,
@@ -141,12 +148,22 @@ def stage_transactions(rows: DataFrame, ignore_deletes: bool = False) -> DataFra
     return last.filter(F.col("op") != "d")
 
 
-def staged(v: Views) -> DataFrame:
-    s = stage_transactions(parse_cdc(cdc_messages(v)))
+def staged(v: Views, msgs: DataFrame | None = None) -> DataFrame:
+    """The staged payments of the landed messages ``msgs``."""
+    s = stage_transactions(parse_cdc(msgs if msgs is not None else cdc_messages(v)))
     return s.select(*[c.name for c in AFTER_SCHEMA.fields if c.name != "amount"],
                     F.col("amount").cast("double").alias("amount"), "lsn", "op")
 
 
+def dead_letter_report(msgs: DataFrame) -> DataFrame:
+    """Every message is usable or dead: messages by topic and cause (null for the usable ones),
+    their number of distinct keys and their span of arrival."""
+    parsed = parse_messages(msgs, ENVELOPE, options=JSON_OPTS)
+    return (parsed.groupBy("topic", F.col("_cause").alias("error"))
+            .agg(F.count(F.lit(1)).alias("messages"), F.countDistinct("key").alias("keys"),
+                 F.min("ingested_at").alias("first_at"), F.max("ingested_at").alias("last_at")))
+
+
 # ----------------------------------------------------------------------------- quality (L)
 def quality_report(m: Marts, feats: DataFrame | None = None, as_of: Column | None = None) -> DataFrame:
     """Blocking checks as one table (check_name, ok, observed). Every check is a partial

@@ -16,7 +16,7 @@ from payflow.plans import privacy as P
 from payflow.plans import reports_oltp as T
 from payflow.plans.bindings import Views
 from payflow.plans.marts import Marts
-from payflow.plans.store import input_state, stored_features, stored_marts, stored_views
+from payflow.plans.store import input_state, landed_messages, stored_features, stored_marts, stored_views
 
 Job = Callable[[SparkSession, str], DataFrame]
 
@@ -81,7 +81,8 @@ def reports() -> dict[str, Job]:
         "critical_latest": _f(D.critical_latest),
         # batch jobs: refunds fold, CDC staging, quality gate, privacy
         "guarded_refunds": _v(J.guarded_refunds),
-        "stage_transactions": _v(J.staged),
+        "stage_transactions": lambda spark, sf: J.staged(stored_views(spark, sf), landed_messages(spark, sf)),
+        "dead_letter_report": lambda spark, sf: J.dead_letter_report(landed_messages(spark, sf)),
         "quality_report": lambda spark, sf: J.quality_report(stored_marts(spark, sf), stored_features(spark, sf)),
         "volume_anomalies_daily": lambda spark, sf: J.volume_anomalies_daily(stored_views(spark, sf).tx),
         "erased_customers": _v(P.erased_customers_report),

@@ -121,6 +121,23 @@ def stored_views(spark: SparkSession, sf_dir: str) -> Views:
         return _views[key]
 
 
+_messages: dict[tuple[str, str], DataFrame] = {}
+_mlock = threading.Lock()
+
+
+def landed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change messages of the payments, landed once as JSON lines and read as any landed folder is."""
+    from payflow.plans.jobs import cdc_messages
+    from payflow.sources.readers import read_cdc
+    key = _key(spark, sf_dir)
+    with _mlock:
+        if key not in _messages:
+            path = f"{_root(spark, key)}/landing"
+            cdc_messages(stored_views(spark, sf_dir)).write.mode("overwrite").json(path)
+            _messages[key] = read_cdc(spark, path)
+        return _messages[key]
+
+
 def stored_marts(spark: SparkSession, sf_dir: str) -> StoredMarts:
     """The materialized star for ``sf_dir`` (built on first use in this application)."""
     key = _key(spark, sf_dir)

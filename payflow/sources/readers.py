@@ -62,16 +62,34 @@ def route_topic(df: DataFrame, col: str = "topic", prefix: str = TOPIC_PREFIX) -
     return df.withColumn(col, F.regexp_replace(col, rf"^{re.escape(prefix)}\.public\.(.*)$", f"{prefix}.$1"))
 
 
+def parse_messages(msgs: DataFrame, envelope: T.StructType, key_field: str = "transaction_id",
+                   options: dict[str, str] | None = None) -> DataFrame:
+    """``msgs`` with the parsed envelope ``_env`` and ``_cause``, null for a usable message, else why it
+    is dead: ``unparsable`` value, ``no_operation``, ``no_position`` or ``no_key``."""
+    corrupt = "_corrupt_record"
+    schema = T.StructType([*envelope.fields, T.StructField(corrupt, T.StringType())])
+    env = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt, **(options or {})})
+    # parse once per message: a filter on a plain projected column would be pushed below
+    # the projection and inline (re-run) the parser; it cannot move below a generator
+    parsed = msgs.select("*", F.explode(F.array(env)).alias("_env"))
+    key = F.coalesce(F.col(f"_env.after.{key_field}"), F.col(f"_env.before.{key_field}"))
+    return parsed.withColumn("_cause", F.when(F.col("value").isNull() | F.col("_env").isNull()
+                                              | F.col(f"_env.{corrupt}").isNotNull(), "unparsable")
+                             .when(F.col("_env.op").isNull(), "no_operation")
+                             .when(F.col("_env.source.lsn").isNull(), "no_position")
+                             .when(key.isNull(), "no_key"))
+
+
+def dead_letters(parsed: DataFrame) -> DataFrame:
+    """The dead messages of ``parse_messages`` as they came, with topic, key, raw value, time and cause."""
+    return parsed.filter(F.col("_cause").isNotNull()).select("topic", "key", "value", "ingested_at",
+                                                             F.col("_cause").alias("error"))
+
+
 def split_dlq(msgs: DataFrame, envelope: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(parsed, dead letters). A message is dead when its value does not parse or has no
-    operation, position or key; dead letters keep topic, key, raw value and an error label."""
-    p = msgs.withColumn("_env", F.from_json("value", envelope, {"mode": "PERMISSIVE"}))
-    key = F.coalesce(F.col("_env.after.transaction_id"), F.col("_env.before.transaction_id"))
-    bad = F.col("_env.op").isNull() | F.col("_env.source.lsn").isNull() | key.isNull()
-    ok = p.filter(~bad)
-    dlq = p.filter(bad).select("topic", "key", "value", "ingested_at",
-                               F.lit("unparsable_or_incomplete").alias("error"))
-    return ok, dlq
+    """(parsed, dead letters); every message is in exactly one of them."""
+    parsed = parse_messages(msgs, envelope)
+    return parsed.filter(F.col("_cause").isNull()).drop("_cause"), dead_letters(parsed)
 
 
 def load_fx(payloads: DataFrame, col: str = "payload") -> DataFrame:

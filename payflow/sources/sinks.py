@@ -1,15 +1,17 @@
 """Sinks: mart writes, month-partitioned transactions, archive, change-log state, compaction.
 
-Keyed state is an append-only change log: a batch only adds its own rows, in key buckets,
-and readers take the latest row per key. Deletes stay in the log as tombstones and are
-hidden on read, so a late older change never revives a key, and there is no pointer that
-could be lost: every state of the folder between two writes reads as a valid table.
+Keyed state is a change log in levels: a batch adds its own rows as a run of level 0, in key
+buckets, and when a level holds ``RUNS_PER_LEVEL`` runs they are merged into one of the next
+level, so readers take the latest row per key over about log(batches) runs. Deletes stay in the
+log as tombstones and are hidden on read, so a late older change never revives a key, and there is
+no pointer that could be lost: every state of the folder between two writes reads as a valid table.
 Partition-scoped merges use dynamic partition overwrite, so only touched months are
 rewritten.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +63,8 @@ def archive_months(spark: SparkSession, path: str, archive_path: str, cutoff_mon
 
 
 STATE_BUCKETS = 64
+RUNS_PER_LEVEL = 4
+RETIRED = "_retired"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -68,46 +72,102 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def log_runs(spark: SparkSession, base: str, retired: bool = False) -> dict[int, list[str]]:
+    """The runs of a change log by level, as folder paths: those in use, or those already merged
+    into another run and kept for readers that began before. Names only, about
+    ``RUNS_PER_LEVEL * log(batches)`` of them."""
+    fs, _ = _fs(spark, base)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found: dict[int, list[str]] = {}
+    for run in fs.globStatus(path(f"{base.rstrip('/')}/level=*/batch=*")) or []:
+        inside = {f.getPath().getName() for f in fs.listStatus(run.getPath())}
+        if any(n.startswith("bucket=") for n in inside) and (RETIRED in inside) == retired:
+            own = run.getPath()
+            found.setdefault(int(own.getParent().getName().split("=")[1]), []).append(own.toString())
+    return {level: sorted(runs) for level, runs in sorted(found.items())}
+
+
+def _read_runs(spark: SparkSession, base: str, runs: list[str]) -> DataFrame:
+    return spark.read.option("mergeSchema", True).option("basePath", base).parquet(*runs)
+
+
+def _write_run(rows: DataFrame, base: str, level: int, name: str, keys: list[str], buckets: int) -> None:
+    """One run: latest rows by key bucket, sorted by key. Written again, it replaces itself."""
+    (rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).sortWithinPartitions("bucket", *keys)
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{base.rstrip('/')}/level={level}/batch={name}"))
+
+
 def upsert(spark: SparkSession, base: str, batch: DataFrame, keys: list[str], order: list[Column],
-           batch_id: str | int | None = None, buckets: int = STATE_BUCKETS) -> str:
+           batch_id: str | int | None = None, buckets: int = STATE_BUCKETS, run: str = "",
+           fan: int | None = RUNS_PER_LEVEL) -> str:
     """Add a batch's changes to the log below ``base``; returns the batch name.
 
-    Of several changes of one key in the batch only the latest by ``order`` is kept. A batch
-    written again under the same ``batch_id`` replaces itself. Nothing else is read or
-    rewritten, so the cost of a batch does not grow with the history."""
-    name = f"b{uuid.uuid4().hex}" if batch_id is None else f"b{batch_id}"
-    latest = latest_per_key(batch, keys, order).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    (latest.withColumn("batch", F.lit(name)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch", "bucket").parquet(base))
+    Of several changes of one key in the batch only the latest by ``order`` is kept. A batch is
+    named by ``run`` (the identity of the stream or job that numbers its batches) and
+    ``batch_id``: written again under the same name it replaces itself, and another run's batches
+    with the same numbers stay apart. Then full levels are merged (``compact_levels``; None: not
+    now), so a row is rewritten about log(batches) times over the life of the log."""
+    name = f"b{uuid.uuid4().hex}" if batch_id is None else f"b{run}-{batch_id}"
+    _write_run(latest_per_key(batch, keys, order), base, 0, name, keys, buckets)
+    if fan:
+        compact_levels(spark, base, keys, order, fan, buckets)
     return name
 
 
 def read_log(spark: SparkSession, base: str) -> DataFrame | None:
     """All rows of the change log, tombstones included; columns that a batch lacks are null."""
-    return spark.read.option("mergeSchema", True).parquet(base) if _exists(spark, base) else None
+    runs = [r for level in log_runs(spark, base).values() for r in level] if _exists(spark, base) else []
+    return _read_runs(spark, base, runs) if runs else None
 
 
 def read_state(spark: SparkSession, base: str, keys: list[str], order: list[Column],
                delete_col: str | None = None) -> DataFrame | None:
-    """Latest row per key by ``order`` over the whole log, without keys whose latest row is a tombstone."""
+    """Latest row per key by ``order`` over the runs in use, without keys whose latest row is a tombstone."""
     log = read_log(spark, base)
     if log is None:
         return None
-    win = latest_per_key(log.drop("batch", "bucket"), keys, order)
+    win = latest_per_key(log.drop("level", "batch", "bucket"), keys, order)
     return win.filter(~F.coalesce(F.col(delete_col), F.lit(False))) if delete_col else win
 
 
+def compact_levels(spark: SparkSession, base: str, keys: list[str], order: list[Column],
+                   fan: int = RUNS_PER_LEVEL, buckets: int = STATE_BUCKETS) -> list[str]:
+    """Merge every level that holds ``fan`` runs into one run of the next level; returns the new runs.
+
+    Only the runs of that level are read, the latest row per key is kept, tombstones too. A crash at
+    any step leaves a right table: the rows of a half-written run are true changes that
+    its inputs still hold, and rows found twice change no latest row. Merged runs are marked and deleted
+    by the next call, so a reader that listed them before can still read them. One writer at a time
+    may merge a log."""
+    fs, _ = _fs(spark, base)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for runs in log_runs(spark, base, retired=True).values():
+        for r in runs:
+            fs.delete(path(r), True)
+    written = []
+    while True:
+        level, runs = next(((lv, r) for lv, r in log_runs(spark, base).items() if len(r) >= fan), (None, []))
+        if level is None:
+            return written
+        name = "m" + hashlib.sha1("\n".join(r.rsplit("/", 1)[1] for r in runs).encode()).hexdigest()[:20]
+        rows = _read_runs(spark, base, runs).drop("level", "batch", "bucket")
+        _write_run(latest_per_key(rows, keys, order), base, level + 1, name, keys, buckets)
+        written.append(f"{base.rstrip('/')}/level={level + 1}/batch={name}")
+        for r in runs:
+            fs.create(path(f"{r}/{RETIRED}"), True).close()
+
+
 def compact_state(spark: SparkSession, base: str, keys: list[str], order: list[Column]) -> None:
-    """Replace the log's batches by one with the latest row per key; tombstones are kept. The new
-    batch is complete before the old ones go, and a reader in between sees the same state."""
-    log = read_log(spark, base)
-    if log is None:
+    """Merge all runs into one a level above them, whatever their number (maintenance by hand)."""
+    levels = log_runs(spark, base)
+    runs = [r for level in levels.values() for r in level]
+    if len(runs) < 2:
         return
-    old = [r[0] for r in log.select("batch").distinct().collect()]           # batch names, not data
-    upsert(spark, base, log.drop("batch", "bucket"), keys, order)
     fs, _ = _fs(spark, base)
-    for name in old:
-        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/batch={name}"), True)
+    rows = _read_runs(spark, base, runs).drop("level", "batch", "bucket")
+    _write_run(latest_per_key(rows, keys, order), base, max(levels) + 1, f"m{uuid.uuid4().hex[:20]}", keys, STATE_BUCKETS)
+    for r in runs:
+        fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{r}/{RETIRED}"), True).close()
 
 
 def merge_partitions(spark: SparkSession, path: str, batch: DataFrame, keys: list[str], order: list[Column],

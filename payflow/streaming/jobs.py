@@ -16,17 +16,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from payflow.functions import risk_action, risk_level
-from payflow.plans.jobs import ENVELOPE, parse_cdc
+from payflow.plans.jobs import ENVELOPE, JSON_OPTS, parse_cdc, usable_changes
+from payflow.sources.readers import dead_letters, parse_messages
 from payflow.sources.schemas import CDC_MESSAGE
 from payflow.sources.sinks import read_state, upsert
 
 
-def cdc_stream(spark: SparkSession, src: str, max_files: int | None = None) -> DataFrame:
-    """K1: landed change messages -> typed rows (same parser as the batch path)."""
+def message_stream(spark: SparkSession, src: str, max_files: int | None = None) -> DataFrame:
+    """Landed change messages as they are (topic, key, value, ingested_at)."""
     r = spark.readStream.schema(CDC_MESSAGE)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return parse_cdc(r.json(src))
+    return r.json(src)
+
+
+def cdc_stream(spark: SparkSession, src: str, max_files: int | None = None) -> DataFrame:
+    """K1: landed change messages -> typed rows (same parser as the batch path)."""
+    return parse_cdc(message_stream(spark, src, max_files))
+
+
+def run_identity(spark: SparkSession) -> str:
+    """Identity of the stream whose micro-batch runs now, kept in its checkpoint: the same after a restart,
+    another one with another checkpoint. Empty outside a stream."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+
+
+def batch_key(spark: SparkSession, batch_id: int, run: str | None = None) -> str:
+    """Name of a micro-batch, unique over all streams that write to one target."""
+    return f"{run_identity(spark) if run is None else run}-{batch_id}"
 
 
 def dedupe_stream(df: DataFrame, keys: list[str], ts: str = "ingested_at", delay: str = "1 hour") -> DataFrame:
@@ -34,23 +51,45 @@ def dedupe_stream(df: DataFrame, keys: list[str], ts: str = "ingested_at", delay
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def apply_changes_batch(target: str, key: str = "transaction_id", order_col: str = "lsn"
+def apply_changes_batch(target: str, key: str = "transaction_id", order_col: str = "lsn", run: str | None = None
                         ) -> Callable[[DataFrame, int], None]:
     """K3: changes into the change-log state, last writer wins by LSN; deletes are tombstones.
-    A micro-batch that runs again replaces its own rows."""
+    A micro-batch that runs again replaces its own rows; batches of other streams (a new
+    checkpoint on the same target) are kept apart by the stream's identity, or by ``run``."""
 
     def fn(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         b = batch.withColumn("_deleted", F.col("op") == "d").drop("ingested_at")
-        upsert(batch.sparkSession, target, b, [key], [F.col(order_col)], batch_id)
+        upsert(spark, target, b, [key], [F.col(order_col)], batch_id, run=run_identity(spark) if run is None else run)
 
     return fn
 
 
-def upsert_predictions_batch(target: str, key: str = "transaction_id") -> Callable[[DataFrame, int], None]:
+def land_messages_batch(target: str, dead_path: str, key: str = "transaction_id", order_col: str = "lsn",
+                        run: str | None = None) -> Callable[[DataFrame, int], None]:
+    """K3 + A7: raw messages of a micro-batch, parsed once: usable changes go to the state, the others
+    with topic, key, raw value and cause to ``dead_path``, both under the batch's name, so a batch that runs
+    again replaces both."""
+    apply = apply_changes_batch(target, key, order_col, run)
+
+    def fn(batch: DataFrame, batch_id: int) -> None:
+        parsed = parse_messages(batch, ENVELOPE, key, JSON_OPTS).persist()
+        try:
+            (dead_letters(parsed).write.mode("overwrite")
+             .parquet(f"{dead_path.rstrip('/')}/batch={batch_key(batch.sparkSession, batch_id, run)}"))
+            apply(usable_changes(parsed), batch_id)
+        finally:
+            parsed.unpersist()
+
+    return fn
+
+
+def upsert_predictions_batch(target: str, key: str = "transaction_id", run: str | None = None) -> Callable[[DataFrame, int], None]:
     """K4: the latest scoring of a payment wins (ordered by ``predicted_at``)."""
 
     def fn(batch: DataFrame, batch_id: int) -> None:
-        upsert(batch.sparkSession, target, batch, [key], [F.col("predicted_at")], batch_id)
+        spark = batch.sparkSession
+        upsert(spark, target, batch, [key], [F.col("predicted_at")], batch_id, run=run_identity(spark) if run is None else run)
 
     return fn
 
@@ -61,13 +100,15 @@ def read_changes_state(spark: SparkSession, target: str, key: str = "transaction
 
 
 def run_cdc_to_state(spark: SparkSession, src: str, target: str, checkpoint: str,
-                     available_now: bool = True) -> StreamingQuery:
-    """K1 + K3: stream the landing folder into the state. Replays need no watermark here (K2,
+                     available_now: bool = True, dead_path: str | None = None, max_files: int | None = None) -> StreamingQuery:
+    """K1 + K3 + A7: stream the landing folder into the state; messages that cannot be used land in
+    ``dead_path`` (default: ``<target>-dead``). Replays need no watermark here (K2,
     ``dedupe_stream``, is for append-only sinks): the state keeps one row per key, whatever
     arrives again or late. ``availableNow`` processes everything present and stops (backfill /
     scheduled runs); otherwise a processing-time trigger keeps it running."""
-    s = cdc_stream(spark, src)
-    w = s.writeStream.foreachBatch(apply_changes_batch(target)).option("checkpointLocation", checkpoint)
+    s = message_stream(spark, src, max_files)
+    land = land_messages_batch(target, dead_path or f"{target.rstrip('/')}-dead")
+    w = s.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
 
@@ -78,13 +119,14 @@ def score_stream(df: DataFrame, prob_col: str = "fraud_probability") -> DataFram
     return df.withColumn("risk_level", risk_level(p)).withColumn("action_taken", risk_action(p))
 
 
-def route_scores_batch(alerts_path: str, indicators_path: str) -> Callable[[DataFrame, int], None]:
+def route_scores_batch(alerts_path: str, indicators_path: str, run: str | None = None) -> Callable[[DataFrame, int], None]:
     """One micro-batch writes both outputs under its batch id: critical rows to
     alerts, medium-and-above to fraud indicators. A replayed batch overwrites its own
-    ``batch_id`` partition in both, so the pair is never half-written twice."""
+    ``batch_id`` partition in both, so the pair is never half-written twice; the partition's name
+    holds the stream's identity (or ``run``), so another stream's batches are never overwritten."""
 
     def fn(batch: DataFrame, batch_id: int) -> None:
-        b = batch.withColumn("batch_id", F.lit(batch_id)).persist()
+        b = batch.withColumn("batch_id", F.lit(f"b{batch_key(batch.sparkSession, batch_id, run)}")).persist()
         try:
             for path, cond in ((indicators_path, F.col("risk_level") != "low"),
                                (alerts_path, F.col("risk_level") == "critical")):

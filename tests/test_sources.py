@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import os
+import shutil
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -96,6 +97,64 @@ def test_change_log_state(spark, tmp):
     assert state() == [(1, "a2")]
 
 
+def _log_rows(n, seed):
+    import random
+    r = random.Random(seed)
+    return [(r.randrange(40), n * 100 + i, f"v{n}.{i}", r.random() < 0.2) for i in range(12)]
+
+
+def _latest(batches):
+    last = {}
+    for k, lsn, v, d in sorted((row for b in batches for row in b), key=lambda x: x[1]):
+        last[k] = (v, d)
+    return sorted((k, v) for k, (v, d) in last.items() if not d)
+
+
+def test_levels_keep_reads_short_and_tombstones(spark, tmp):
+    base, order, schema = os.path.join(tmp, "log"), [F.col("lsn")], "id long, lsn long, v string, d boolean"
+    batches, n = [], 22
+    for i in range(n):
+        batches.append(_log_rows(n - i, i))                             # older and older changes arrive
+        S.upsert(spark, base, spark.createDataFrame(batches[-1], schema), ["id"], order, i, buckets=3, fan=3)
+        runs = S.log_runs(spark, base)
+        assert all(len(r) < 3 for r in runs.values()) and sum(map(len, runs.values())) <= 2 * (len(runs) + 1)
+    assert max(runs) == 2                                                # 3 levels hold 22 batches
+    got = sorted((r.id, r.v) for r in S.read_state(spark, base, ["id"], order, "d").collect())
+    assert got == _latest(batches)
+    S.compact_state(spark, base, ["id"], order)
+    S.compact_levels(spark, base, ["id"], order)                        # takes the marked runs away
+    assert sum(map(len, S.log_runs(spark, base).values())) == 1 and not S.log_runs(spark, base, retired=True)
+    assert sorted((r.id, r.v) for r in S.read_state(spark, base, ["id"], order, "d").collect()) == _latest(batches)
+
+
+def test_crash_at_any_step_of_a_merge(spark, tmp, monkeypatch):
+    order, schema = [F.col("lsn")], "id long, lsn long, v string, d boolean"
+    state = lambda base: sorted((r.id, r.v) for r in S.read_state(spark, base, ["id"], order, "d").collect())
+
+    def filled(name):
+        base, batches = os.path.join(tmp, name), [_log_rows(i, 50 + i) for i in range(3)]
+        for i, b in enumerate(batches):
+            S.upsert(spark, base, spark.createDataFrame(b, schema), ["id"], order, i, buckets=3, fan=None)
+        return base, _latest(batches)
+
+    # the merged run is only half there: some of its buckets, no input marked
+    base, wanted = filled("half")
+    merged = S.compact_levels(spark, base, ["id"], order, 3, 3)[0]
+    for r in S.log_runs(spark, base, retired=True)[0]:
+        os.remove(os.path.join(r.removeprefix("file:"), S.RETIRED))
+    shutil.rmtree(os.path.join(merged, "bucket=1"))
+    assert state(base) == wanted
+    S.compact_levels(spark, base, ["id"], order, 3, 3)                  # runs again, under the same name
+    assert state(base) == wanted and sum(map(len, S.log_runs(spark, base).values())) == 1
+    # the merged run is complete, only some inputs are marked; another batch comes before the next merge
+    base, wanted = filled("marks")
+    S.compact_levels(spark, base, ["id"], order, 3, 3)
+    os.remove(os.path.join(S.log_runs(spark, base, retired=True)[0][0].removeprefix("file:"), S.RETIRED))
+    assert state(base) == wanted
+    S.upsert(spark, base, spark.createDataFrame([(1, 9999, "new", False)], schema), ["id"], order, 3, buckets=3, fan=2)
+    assert dict(state(base))[1] == "new" and {k: v for k, v in state(base) if k != 1} == {k: v for k, v in wanted if k != 1}
+
+
 def test_merge_keeps_rows_when_columns_differ(spark, tmp):
     path = os.path.join(tmp, "m")
     old = spark.createDataFrame([(1, "a", "2024-01"), (2, "b", "2024-01"), (3, "c", "2024-02")], "id long, v string, year_month string")

@@ -92,3 +92,47 @@ def test_latest_prediction_wins(spark, tmp):
     fn(make((2, 0.8, 3),), 2)
     got = read_state(spark, os.path.join(tmp, "p"), ["transaction_id"], [F.col("predicted_at")])
     assert sorted((r.transaction_id, r.score) for r in got.collect()) == [(1, 0.4), (2, 0.8)]
+
+
+def test_two_checkpoints_on_one_target_lose_nothing(spark, tmp):
+    state = os.path.join(tmp, "state")
+
+    def run(name, rows):
+        land = os.path.join(tmp, name)
+        _cdc(spark, rows).coalesce(1).write.json(land)
+        SJ.run_cdc_to_state(spark, land, state, os.path.join(tmp, f"ck-{name}")).awaitTermination(300)
+
+    run("a", [("c", i, 1, "pending") for i in range(200)])
+    run("b", [("c", i, 1, "pending") for i in range(200, 400)])
+    assert SJ.read_changes_state(spark, state).count() == 400
+    scored = SJ.score_stream(spark.createDataFrame([(i, 0.95) for i in range(3)], "transaction_id long, fraud_probability double"))
+    for run_name in ("one", "two"):
+        SJ.route_scores_batch(os.path.join(tmp, "al"), os.path.join(tmp, "in"), run=run_name)(scored, 0)
+    assert spark.read.parquet(os.path.join(tmp, "al")).count() == 6
+
+
+def test_a_batch_that_runs_again_replaces_itself(spark, tmp):
+    land, state, ck = (os.path.join(tmp, n) for n in ("land", "state", "ck"))
+    _cdc(spark, [("c", 1, 1, "pending"), "{bad"]).coalesce(1).write.json(land)
+    SJ.run_cdc_to_state(spark, land, state, ck).awaitTermination(300)
+    for f in os.listdir(os.path.join(ck, "commits")):                  # the stream ended before it noted its commit
+        os.remove(os.path.join(ck, "commits", f))
+    SJ.run_cdc_to_state(spark, land, state, ck).awaitTermination(300)
+    assert SJ.read_changes_state(spark, state).count() == 1
+    assert spark.read.parquet(f"{state}-dead").count() == 1
+    assert len(os.listdir(os.path.join(state, "level=0"))) == 1
+
+
+def test_dead_letters_of_the_stream_add_up(spark, tmp):
+    land, state, dead = (os.path.join(tmp, n) for n in ("land", "state", "dead"))
+    good = [("c", i, 1, "pending") for i in range(20)]
+    bad = ["{not json", '{"op": "c", "source": {"lsn": 3}}', '{"op": "c", "after": {"transaction_id": 9}}',
+           '{"source": {"lsn": 3}, "after": {"transaction_id": 9}}', None]
+    rows = _cdc(spark, good + [b for b in bad if b]).collect() + [("pay.public.transactions", "k", None, dt.datetime(2024, 1, 1))]
+    spark.createDataFrame(rows, "topic string, key string, value string, ingested_at timestamp_ntz").repartition(3) \
+        .write.option("ignoreNullFields", "false").json(land)
+    SJ.run_cdc_to_state(spark, land, state, os.path.join(tmp, "ck"), dead_path=dead, max_files=1).awaitTermination(300)
+    letters = spark.read.parquet(dead).collect()
+    assert sorted(r.error for r in letters) == ["no_key", "no_operation", "no_position", "unparsable", "unparsable"]
+    assert {r.value for r in letters} == set(bad) and {r.topic for r in letters} == {"pay.public.transactions"}
+    assert SJ.read_changes_state(spark, state).count() + len(letters) == len(good) + len(bad)
