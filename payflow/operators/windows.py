@@ -209,3 +209,32 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
     agg = (df.groupBy(*keys)
            .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), sort_key).alias("_row")))
     return agg.select("_row.*")
+
+
+def burst_starts(df: DataFrame, keys: list[str], ts: str, window_s: int, more_than: int,
+                 bucket_s: int | None = None) -> DataFrame:
+    """Bursts of more than ``more_than`` rows of one key within ``window_s`` seconds, each once: (keys,
+    first_event, detected_at, events) at the first time whose frame ``[t - window, t]`` is over the number
+    while the time before it, if inside the frame, was not. Linear in the rows; a hot key is split by time
+    bucket. Rows at one time count together."""
+    w_us = int(window_s) * 1_000_000
+    # the row before lies inside the window and has a whole frame of its own: twice the window as context
+    x = _bucketed(df.select(*keys, ts), ts, 2 * w_us, bucket_s, max(window_s * 8, 86_400))
+    at = x.groupBy(*keys, "_b", "_t", "_ctx").agg(F.count(F.lit(1)).alias("_n"))
+    part = [*keys, "_b"]
+    events = (at.withColumn("_ev", F.lit(0)).unionByName(
+        at.withColumns({"_t": F.col("_t") + w_us, "_ev": F.lit(1)})))
+    upto = Window.partitionBy(*part).orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*part).orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+    rows = lambda ev, w: F.coalesce(F.sum(F.when(F.col("_ev") == ev, F.col("_n"))).over(w), F.lit(0))
+    counted = events.withColumn("events", rows(0, upto) - rows(1, before)).filter(F.col("_ev") == 0)
+    order = Window.partitionBy(*part).orderBy("_t")
+    last_t, last_n = F.lag("_t").over(order), F.lag("events").over(order)
+    # where a burst starts, the row before is not over the number: the frame has few earlier times
+    near = F.collect_list("_t").over(order.rowsBetween(-more_than, 0))
+    marked = counted.withColumns({"_last_t": last_t, "_last_n": last_n, "_near": near})
+    first = F.array_min(F.filter("_near", lambda t: t >= F.col("_t") - w_us))
+    fresh = F.col("_last_t").isNull() | (F.col("_last_t") < F.col("_t") - w_us) | (F.col("_last_n") <= more_than)
+    return (marked.filter(~F.col("_ctx") & (F.col("events") > more_than) & fresh)
+            .select(*keys, F.timestamp_micros(first).cast("timestamp_ntz").alias("first_event"),
+                    F.timestamp_micros("_t").cast("timestamp_ntz").alias("detected_at"), "events"))

@@ -294,6 +294,18 @@ class Views:
                                     (F.col("event_id") % 256).cast("string")).alias("ip_address"),
                         F.col("ts").alias("created_at"))
 
+    @cached_property
+    def access_events(self) -> DataFrame:
+        """Audit events as dense as production traffic, for the burst detectors: the month of
+        events runs 200 times as fast, and 40 users share one office address."""
+        start, office = F.lit(1704067200000000), (F.col("user_id") / 40).cast("long")
+        e = self.table("events").filter(F.col("event_type").isin("signup", "purchase"))
+        return e.select(F.when(F.col("event_type") == "signup", "LOGIN_FAILED").otherwise("EXPORT").alias("event_type"), "user_id",
+                        F.concat_ws(".", F.lit("192.168"), (office / 256).cast("long").cast("string"),
+                                    (office % 256).cast("string")).alias("ip_address"),
+                        F.timestamp_micros(start + ((F.unix_micros(F.col("ts").cast("timestamp")) - start) / 200).cast("long"))
+                        .cast("timestamp_ntz").alias("created_at"))
+
     @cached_property
     def logs(self) -> DataFrame:
         e = self.table("events")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from payflow.operators.ranks import global_running_sums
 
 from payflow import constants as K
+from payflow.operators.windows import burst_starts
 from payflow.plans.bindings import Views
 from payflow.plans.marts import Marts
 from payflow.plans.reports_oltp import latest
@@ -180,21 +181,16 @@ def lag_report(m: Marts) -> DataFrame:
     return f.groupBy("year", "month").agg(F.count(F.lit(1)).alias("rows"), F.max(lag).alias("max_lag_s"))
 
 
-def burst_detector(df: DataFrame, key: str, ts: str, window: str, min_count: int) -> DataFrame:
-    """K9 / K10 batch twin: tumbling windows per key with more than ``min_count`` events."""
-    return (df.groupBy(key, F.window(ts, window).alias("w")).agg(F.count(F.lit(1)).alias("events"))
-            .filter(F.col("events") > min_count)
-            .select(key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "events"))
+def login_failure_bursts(v: Views, window_s: int = 60, more_than: int = 5) -> DataFrame:
+    """K9: more than five failed logins of one address within a minute, each burst once."""
+    a = v.access_events.filter(F.col("event_type") == "LOGIN_FAILED")
+    return burst_starts(a, ["ip_address"], "created_at", window_s, more_than)
 
 
-def login_failure_bursts(v: Views, window: str = "1 day", min_count: int = 2) -> DataFrame:
-    a = v.audit_logs.filter(F.col("event_type") == "LOGIN_FAILED")
-    return burst_detector(a, "user_id", "created_at", window, min_count)
-
-
-def export_bursts(v: Views, window: str = "1 day", min_count: int = 2) -> DataFrame:
-    a = v.audit_logs.filter(F.col("event_type") == "EXPORT")
-    return burst_detector(a, "user_id", "created_at", window, min_count)
+def export_bursts(v: Views, window_s: int = 3600, more_than: int = 3) -> DataFrame:
+    """More than three exports of one user within an hour, each burst once."""
+    a = v.access_events.filter(F.col("event_type") == "EXPORT")
+    return burst_starts(a, ["user_id"], "created_at", window_s, more_than)
 
 
 def revenue_yoy_quarterly(m: Marts) -> DataFrame:

@@ -181,6 +181,11 @@ audit_logs AS (
          CASE WHEN event_type <> 'signup' THEN {_pick(K.AUDIT_TABLES, 'user_id')} END AS table_name,
          user_id, {_pick(K.AUDIT_ROLES, 'user_id')} AS user_role, ts AS created_at
   FROM events),
+access_events AS (
+  SELECT CASE event_type WHEN 'signup' THEN 'LOGIN_FAILED' ELSE 'EXPORT' END AS event_type, user_id,
+         '192.168.' || (user_id // 40 // 256) || '.' || (user_id // 40 % 256) AS ip_address,
+         make_timestamp(1704067200000000 + (epoch_us(ts) - 1704067200000000) // 200) AS created_at
+  FROM events WHERE event_type IN ('signup', 'purchase')),
 logs AS (
   SELECT event_id AS log_id, ts AS "timestamp", {_pick(K.LOG_SERVICES, 'user_id')} AS service,
          CASE WHEN event_type = 'signup' THEN 'audit' ELSE 'access' END AS type,

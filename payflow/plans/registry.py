@@ -47,7 +47,7 @@ def reports() -> dict[str, Job]:
         "tx_high_risk_recent": _v(T.tx_high_risk_recent),
         "merchant_failure_rate": _v(T.merchant_failure_rate),
         "merchant_usd_volume": _v(T.merchant_usd_volume),
-        "velocity_bursts": lambda spark, sf: T.velocity_bursts(T.attempts(stored_views(spark, sf)), 6 * 3600, 3, 15),
+        "velocity_bursts": lambda spark, sf: T.velocity_bursts(T.attempts(stored_views(spark, sf)), 3600, 3, 15),
         "risky_accounts": _v(T.risky_accounts),
         "shared_cards": _v(T.shared_cards),
         "mrr_usd": _v(T.mrr_usd),

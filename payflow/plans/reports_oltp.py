@@ -16,6 +16,7 @@ from payflow.operators.aggregates import mode_of
 from payflow.operators.lists import chunked_string_agg
 from payflow.operators.windows import count_in_range
 from payflow.plans.bindings import Views
+from payflow.session import ensure_checkpoint_dir
 
 
 def latest(df: DataFrame, ts: str) -> Column:
@@ -100,7 +101,8 @@ def velocity_bursts(df: DataFrame, window_s: int = 3600, min_n: int = 3, k: int
     in chunks of at most 1000 ids (``id_chunk``), so a hot pair never lands in one row.
     """
     w = count_in_range(df, ["customer_id", "merchant_id"], "created_at", window_s, "tx_in_window")
-    hot = w.filter(F.col("tx_in_window") >= min_n)
+    ensure_checkpoint_dir(df.sparkSession)
+    hot = w.filter(F.col("tx_in_window") >= min_n).checkpoint(eager=True)      # read twice: for the winners, for their ids
     g = (hot.groupBy("customer_id", "merchant_id")
          .agg(F.min("created_at").alias("burst_start"), F.max("created_at").alias("burst_end"),
               F.count(F.lit(1)).alias("transactions_in_burst"),
