@@ -48,9 +48,9 @@ def holistic_view(v: Views, feats: DataFrame) -> DataFrame:
     return t.join(p, "transaction_id", "left").join(fb, "transaction_id", "left")
 
 
-def fact_feedback(m: Marts) -> DataFrame:
-    """Feedback documents flattened into a fact with the star's keys."""
-    fb = m.v.feedback
+def fact_feedback(m: Marts, documents: DataFrame | None = None) -> DataFrame:
+    """Feedback documents (default: the views') flattened into a fact with the star's keys."""
+    fb = documents if documents is not None else m.v.feedback
     mer = m.dim_merchant.filter("is_current").select("merchant_id", "merchant_sk")
     cus = m.dim_customer.select("customer_id", "customer_sk")
     d = F.broadcast(m.dim_date.select(F.col("full_date").alias("_d"), "date_sk"))
@@ -60,11 +60,12 @@ def fact_feedback(m: Marts) -> DataFrame:
                     F.col("scores.overall").alias("overall"), "nps_score", F.size("tags").alias("n_tags")))
 
 
-def fact_sessions(m: Marts) -> DataFrame:
-    """Session documents flattened into a fact with the star's keys."""
+def fact_sessions(m: Marts, documents: DataFrame | None = None) -> DataFrame:
+    """Session documents (default: the views') flattened into a fact with the star's keys."""
+    sessions = documents if documents is not None else m.v.sessions
     cus = m.dim_customer.filter("is_current").select("customer_id", "customer_sk")
     d = F.broadcast(m.dim_date.select(F.col("full_date").alias("_d"), "date_sk"))       # one row per day
-    return (m.v.sessions.join(cus, "customer_id", "left").join(d, F.to_date("session_start") == F.col("_d"), "left")
+    return (sessions.join(cus, "customer_id", "left").join(d, F.to_date("session_start") == F.col("_d"), "left")
             .select("session_id", "date_sk", "customer_sk", "device_type", "event_count", "pay_clicks", "converted",
                     "duration_seconds"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from payflow.plans import reports_docs as D
 from payflow.plans import reports_olap as O
+from payflow.plans import documents as DC
 from payflow.plans import enrichment as EN
 from payflow.plans import jobs as J
 from payflow.plans import ml as ML
@@ -16,7 +17,7 @@ from payflow.plans import privacy as P
 from payflow.plans import reports_oltp as T
 from payflow.plans.bindings import Views
 from payflow.plans.marts import Marts
-from payflow.plans.store import input_state, landed_messages, stored_features, stored_marts, stored_views
+from payflow.plans.store import document_streams, input_state, landed_messages, stored_features, stored_marts, stored_views
 
 Job = Callable[[SparkSession, str], DataFrame]
 
@@ -132,6 +133,10 @@ def reports() -> dict[str, Job]:
         "merchant_name_drift": _v(EN.merchant_name_drift),
         "fact_feedback": _m(EN.fact_feedback),
         "fact_sessions": _m(EN.fact_sessions),
+        "session_stream": lambda spark, sf: EN.fact_sessions(
+            stored_marts(spark, sf), DC.streamed_sessions(spark, f"{document_streams(spark, sf)}/sessions")),
+        "feedback_stream": lambda spark, sf: EN.fact_feedback(
+            stored_marts(spark, sf), DC.streamed_feedback(spark, f"{document_streams(spark, sf)}/feedback")),
         "document_schema_violations": _v(EN.document_schema_violations),
         "feature_schema_violations": lambda spark, sf: EN.feature_schema_violations(stored_features(spark, sf)),
         "overdue_privacy_requests": _v(P.overdue_requests),

@@ -138,6 +138,27 @@ def landed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _messages[key]
 
 
+_streams: dict[tuple[str, str], str] = {}
+_slock = threading.Lock()
+
+
+def document_streams(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with the states that the document change streams keep: changes are landed once, and
+    both streams are run over all of them (``sessions`` and ``feedback`` below the folder)."""
+    from payflow.plans import documents as DC
+    key = _key(spark, sf_dir)
+    with _slock:
+        if key not in _streams:
+            root = f"{_root(spark, key)}/documents"
+            DC.document_changes(stored_views(spark, sf_dir)).write.mode("overwrite").text(f"{root}/landing")
+            runs = [DC.run_session_stream(spark, f"{root}/landing", f"{root}/sessions", f"{root}/ck-sessions"),
+                    DC.run_feedback_stream(spark, f"{root}/landing", f"{root}/feedback", f"{root}/dead", f"{root}/ck-feedback")]
+            for q in runs:
+                q.awaitTermination()
+            _streams[key] = root
+        return _streams[key]
+
+
 def stored_marts(spark: SparkSession, sf_dir: str) -> StoredMarts:
     """The materialized star for ``sf_dir`` (built on first use in this application)."""
     key = _key(spark, sf_dir)

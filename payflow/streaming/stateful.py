@@ -191,9 +191,13 @@ class SessionFold(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         last, head = None, None
         for r in rows:
+            if r["event_id"] is None:              # a heartbeat: it only moved the watermark
+                continue
             self.events.updateValue((r["event_id"],), (r["_t"], r["element"] == "pay_button", bool(r["completes"])))
             last = r["_t"] if last is None else max(last, r["_t"])
             head = head or (r["customer_id"], r["device_type"])
+        if last is None:
+            return iter(())
         known = self.header.get() if self.header.exists() else None
         closes = last + self.gap
         if known is not None:
