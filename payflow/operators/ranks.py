@@ -106,6 +106,27 @@ def group_row_number(df: DataFrame, keys: list[str], order: list[Column | str],
     return out.drop("_pid", "_mid", "_m0", "_off")
 
 
+def group_running_sum(df: DataFrame, keys: list[str], order: list[Column | str], value: str, name: str,
+                      number: str | None = None, num_partitions: int | None = None) -> DataFrame:
+    """``SUM(value) OVER (PARTITION BY keys ORDER BY order)`` (and the row number, if ``number`` is given) that
+    splits a hot group as ``group_row_number`` does: local sums inside range partitions, plus the
+    totals of the group's earlier partitions. ``order`` must make rows unique in a group."""
+    n = num_partitions or _default_parts(df)
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    ensure_checkpoint_dir(df.sparkSession)
+    local = df.repartitionByRange(n, *[F.col(c) for c in keys], *order).withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    own = Window.partitionBy(*keys, "_pid").orderBy(*order)
+    local = local.withColumns({name: F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, 0)), "_i": F.row_number().over(own)})
+    totals = local.groupBy(*keys, "_pid").agg(F.sum(value).alias("_t"), F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_pid", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"),
+                            F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_oc"))
+    out = local.join(offsets, [*keys, "_pid"]).withColumn(name, F.col(name) + F.col("_o"))
+    if number:
+        out = out.withColumn(number, F.col("_i") + F.col("_oc"))
+    return out.drop("_pid", "_i", "_o", "_oc")
+
+
 def global_running_sums(df: DataFrame, order: list[Column | str], sums: dict[str, tuple[str, str]],
                         num_partitions: int | None = None) -> DataFrame:
     """``SUM(x) OVER (ORDER BY order)`` and the grand total of several columns without a one-task

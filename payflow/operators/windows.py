@@ -6,7 +6,7 @@ in one task. ``range_frame_aggs`` splits each key by time bucket instead: every
 is processed in its own bucket, and the rows of the previous bucket that fall inside
 the look-back are copied in as context (read-only) rows. A bucket is at least as wide
 as the look-back, so each frame is complete; the copy overhead is look-back / width.
-Inside a (key, bucket), counts and distinct counts are running sums of time-line events
+Inside a (key, bucket), counts, sums and distinct counts are running sums of time-line events
 (``_frame_events``), linear in the rows; other aggregates use Spark's sliding frame.
 """
 
@@ -69,9 +69,15 @@ def _run_events(x: DataFrame, part: list[str], col: str, lb: int, start_code: in
             .select(*part, "_e._t", "_e._ev"))
 
 
+def frame_sum(col: str) -> tuple[str, str]:
+    """Frame builder marker: the sum of a DECIMAL (or integer) ``col`` over the frame, exact and linear: a running
+    sum of values minus a running sum of expired ones (see ``_frame_events``); 0 in an empty frame."""
+    return ("sum", col)
+
+
 def _frame_events(x: DataFrame, keys: list[str], counts: dict[str, tuple[int, bool]],
-                  distinct: dict[str, tuple[int, str]]) -> DataFrame:
-    """Range-frame counts and distinct counts without a sliding frame, in one shuffle.
+                  distinct: dict[str, tuple[int, str]], sums: dict[str, tuple[int, bool, str]]) -> DataFrame:
+    """Range-frame counts, sums and distinct counts without a sliding frame, in one shuffle.
 
     Spark evaluates a sliding RANGE frame by re-aggregating the rows in the frame for every
     output row, so a dense key costs rows x frame size. Here every frame becomes events
@@ -79,18 +85,21 @@ def _frame_events(x: DataFrame, keys: list[str], counts: dict[str, tuple[int, bo
 
     * count over ``[t - L, t]``: row j leaves the frame of later rows once ``t > t_j + L``,
       so it gets an expiry event at ``t_j + L``; count = rows at or before t (before t
-      when the current instant is excluded) - expiries before t;
+      when the current instant is excluded) - expiries before t; a sum adds up the values
+      that rows and their expiry events carry instead;
     * distinct values: merged coverage intervals (``_run_events``); count = interval
       starts at or before t - interval ends before t (one value's intervals are disjoint).
 
-    Data rows and all events are one union, shuffled once on (key, bucket); every term is
-    a running sum (unbounded preceding), which Spark updates incrementally: linear per
-    partition. ``counts``: name -> (look-back micros, include_current); ``distinct``:
-    name -> (look-back micros, column)."""
+    Data rows and all events (one expiry a row for each distinct look-back) are one union, shuffled
+    once on (key, bucket); every term is a running sum (unbounded preceding), which Spark updates
+    incrementally: linear per partition. ``counts``: name -> (look-back micros, include_current);
+    ``distinct``: name -> (look-back micros, column); ``sums``: name -> (look-back, include_current, column)."""
     part = [*keys, "_b"]
     u = x.withColumn("_ev", F.lit(-1))
-    for i, (lb, _) in enumerate(counts.values()):
-        u = u.unionByName(x.select(*part, (F.col("_t") + lb).alias("_t"), F.lit(i).alias("_ev")),
+    backs = sorted({lb for lb, _ in counts.values()} | {lb for lb, _, _ in sums.values()})
+    for i, lb in enumerate(backs):
+        carried = sorted({c for own, _, c in sums.values() if own == lb})
+        u = u.unionByName(x.select(*part, (F.col("_t") + lb).alias("_t"), F.lit(i).alias("_ev"), *carried),
                           allowMissingColumns=True)
     for j, (lb, col) in enumerate(distinct.values()):
         u = u.unionByName(_run_events(x, part, col, lb, 1000 + 2 * j, 1001 + 2 * j), allowMissingColumns=True)
@@ -100,27 +109,34 @@ def _frame_events(x: DataFrame, keys: list[str], counts: dict[str, tuple[int, bo
     def n(code: int, w: Window) -> Column:          # events of one code in the frame (empty frame: 0)
         return F.coalesce(F.sum((F.col("_ev") == code).cast("long")).over(w), F.lit(0))
 
-    for i, (name, (_, incl)) in enumerate(counts.items()):
-        u = u.withColumn(name, n(-1, upto if incl else before) - n(i, before))
+    def total(code: int, col: str, w: Window) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("_ev") == code, F.col(col))).over(w), F.lit(0))
+
+    found = {}
+    for name, (lb, incl) in counts.items():
+        found[name] = n(-1, upto if incl else before) - n(backs.index(lb), before)
+    for name, (lb, incl, col) in sums.items():
+        found[name] = total(-1, col, upto if incl else before) - total(backs.index(lb), col, before)
     for j, name in enumerate(distinct):
-        u = u.withColumn(name, n(1000 + 2 * j, upto) - n(1001 + 2 * j, before))
-    return u.filter(F.col("_ev") == -1).drop("_ev")
+        found[name] = n(1000 + 2 * j, upto) - n(1001 + 2 * j, before)
+    return u.withColumns(found).filter(F.col("_ev") == -1).drop("_ev")
 
 
 def _apply_frames(x: DataFrame, keys: list[str], frames: dict[str, tuple[int, bool, object]],
                   peer_order: str | None) -> DataFrame:
     counts = {n: (lb, incl) for n, (lb, incl, fn) in frames.items() if isinstance(fn, str) and fn == COUNT}
+    sums = {n: (lb, incl, fn[1]) for n, (lb, incl, fn) in frames.items() if isinstance(fn, tuple) and fn[0] == "sum"}
     distinct = {}
     for n, (lb, incl, fn) in frames.items():
         if isinstance(fn, tuple) and fn[0] == "distinct":
             if not incl:
                 raise ValueError("distinct_count frames include the current row")
             distinct[n] = (lb, fn[1])
-    if counts or distinct:
-        x = _frame_events(x, keys, counts, distinct)
+    if counts or distinct or sums:
+        x = _frame_events(x, keys, counts, distinct, sums)
     base = Window.partitionBy(*keys, "_b").orderBy("_t")
     for name, (lb, incl, fn) in frames.items():
-        if name not in counts and name not in distinct:
+        if name not in counts and name not in distinct and name not in sums:
             x = x.withColumn(name, fn(base.rangeBetween(-lb, 0 if incl else -1)))
     if peer_order:
         x = x.withColumn("_peer_rn", F.row_number().over(
@@ -149,7 +165,7 @@ def multi_range_frame_aggs(df: DataFrame, keys: list[str], ts: str,
                            bucket_s: int | None = None, peer_order: str | None = None) -> DataFrame:
     """Several range frames of different look-backs in one pass (one shuffle).
 
-    ``frames`` maps name -> (lookback_s, include_current, builder or ``COUNT``). The bucket
+    ``frames`` maps name -> (lookback_s, include_current, ``COUNT``, ``frame_sum``, ``distinct_count`` or a builder). The bucket
     width is at least the largest look-back, so every frame is complete.
     """
     L_max = max(lb for lb, _, _ in frames.values())

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from payflow import constants as K
 from payflow.functions import risk_action, risk_level, sigmoid
-from payflow.operators.windows import COUNT, distinct_count, multi_range_frame_aggs, seen_before
+from payflow.operators.windows import COUNT, distinct_count, frame_sum, multi_range_frame_aggs, seen_before
 from payflow.plans.bindings import Views
 from payflow.plans.reports_oltp import latest
 
@@ -38,7 +38,8 @@ def fraud_features(v: Views) -> DataFrame:
     w = multi_range_frame_aggs(base, ["customer_id"], "created_at", {
         "_n1h": (HOUR, False, COUNT),
         "_n24h": (DAY, False, COUNT),
-        "_avg30": (30 * DAY, True, lambda w: F.avg(F.col("amount").cast("double")).over(w)),
+        "_n30": (30 * DAY, True, COUNT),
+        "_sum30": (30 * DAY, True, frame_sum("amount")),
         "_cty30": (30 * DAY, True, distinct_count("geo_country_code")),
     }, peer_order="transaction_id")
     w = w.withColumn("transactions_last_1h", (F.col("_n1h") + F.col("_peer_rn") - 1).cast("int")) \
@@ -50,7 +51,8 @@ def fraud_features(v: Views) -> DataFrame:
         "transaction_id", "customer_id", "merchant_id", "created_at", "status",
         F.round(z, 3).alias("amount_zscore"),
         "transactions_last_1h", "transactions_last_24h",
-        F.round("_avg30", 2).alias("avg_amount_30d"),
+        # exact: cents rounded half up with integers, then a double
+        F.expr("CAST((2 * CAST(_sum30 * 100 AS DECIMAL(38,0)) + _n30) DIV (2 * _n30) AS DOUBLE) / 100").alias("avg_amount_30d"),
         F.col("_cty30").cast("int").alias("distinct_countries_30d"),
         (F.col("geo_country_code") != F.col("customer_country_code")).alias("geo_mismatch"),
         (F.hour("created_at") < 6).alias("night_transaction"),

@@ -368,8 +368,10 @@ fw AS (
          count(*) OVER (PARTITION BY customer_id ORDER BY created_at RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW)
            - count(*) OVER (PARTITION BY customer_id, created_at)
            + row_number() OVER (PARTITION BY customer_id, created_at ORDER BY transaction_id) - 1 AS n24h,
-         avg(CAST(amount AS DOUBLE)) OVER (PARTITION BY customer_id ORDER BY created_at
-                                           RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW) AS avg30,
+         sum(CAST(amount * 100 AS BIGINT)) OVER (PARTITION BY customer_id ORDER BY created_at
+                                                 RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW) AS cents30,
+         count(*) OVER (PARTITION BY customer_id ORDER BY created_at
+                        RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW) AS n30,
          count(DISTINCT geo_country_code) OVER (PARTITION BY customer_id ORDER BY created_at
                                                 RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW) AS cty30,
          row_number() OVER (PARTITION BY customer_id, device_type ORDER BY created_at, transaction_id) > 1 AS device_seen_before
@@ -378,7 +380,7 @@ fraud_features AS (
   SELECT w.transaction_id, w.customer_id, w.merchant_id, w.created_at, w.status,
          ROUND((CAST(w.amount AS DOUBLE) - s.mu) / s.sd, 3) AS amount_zscore,
          CAST(w.n1h AS INTEGER) AS transactions_last_1h, CAST(w.n24h AS INTEGER) AS transactions_last_24h,
-         ROUND(w.avg30, 2) AS avg_amount_30d, CAST(w.cty30 AS INTEGER) AS distinct_countries_30d,
+         CAST((2 * w.cents30 + w.n30) // (2 * w.n30) AS DOUBLE) / 100 AS avg_amount_30d, CAST(w.cty30 AS INTEGER) AS distinct_countries_30d,
          w.geo_country_code <> w.customer_country_code AS geo_mismatch, hour(w.created_at) < 6 AS night_transaction,
          ROUND(least(1.0, w.n1h / 5.0), 3) AS velocity_score, w.device_seen_before,
          COALESCE(pm.fingerprint IN (SELECT fingerprint FROM shared_fp), false) AS shared_card_fingerprint,

@@ -6,6 +6,7 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from payflow.operators.aggregates import histogram_percentile
@@ -113,6 +114,58 @@ def test_greedy_cap_rejected_items_do_not_count(spark):
     assert got == {(1, 1): True, (1, 2): False, (1, 3): True, (2, 1): True}   # equal to the remaining: accepted
 
 
+def _greedy(rows):
+    """Decisions by a plain loop: (key, seq) -> (accepted, total)."""
+    used, out = {}, {}
+    for k, seq, a, cap in sorted(rows, key=lambda r: (r[0], r[1])):
+        fits = a is not None and used.get(k, 0) + a <= cap
+        used[k] = used.get(k, 0) + (a if fits else 0)
+        out[k, seq] = (fits, used[k])
+    return out
+
+
+@pytest.mark.parametrize("chunk", [25, 50_000])
+def test_greedy_cap_like_a_plain_loop_with_hot_keys(spark, chunk):
+    r = np.random.default_rng(chunk)
+    rows = []
+    for k, n, cap in ((1, 90, 60), (2, 60, 500), (3, 4, 10), (4, 1, 0), (5, 40, 0), (6, 70, 35)):
+        low = -2 if k == 6 else 1                                     # key 6 gives room back now and then
+        rows += [(k, i, Decimal(int(r.integers(low, 12))), Decimal(cap)) for i in r.permutation(n).tolist()]
+    rows.append((3, 99, None, Decimal(10)))
+    df = spark.createDataFrame([(k, int(i), a, c) for k, i, a, c in rows], "k long, seq long, amt decimal(14,2), cap decimal(14,2)")
+    got = {(x.k, x.seq): (x.accepted, x.accepted_total_after) for x in greedy_cap(df, "k", ["seq"], "amt", "cap", [], chunk).collect()}
+    assert got == _greedy(rows)
+    assert greedy_cap(df.limit(0), "k", ["seq"], "amt", "cap", [], chunk).count() == 0
+
+
+def test_greedy_cap_one_payment_with_many_requests(spark):
+    n = 120_000
+    df = spark.range(n).select(F.lit("p").alias("k"), F.col("id").alias("seq"), ((F.col("id") * 7919) % 1000 + 1).cast("decimal(14,2)").alias("amt"),
+                               F.lit(Decimal(250_000)).cast("decimal(14,2)").alias("cap"))
+    got = greedy_cap(df, "k", ["seq"], "amt", "cap", [], 20_000)
+    used, accepted = 0, 0
+    for i in range(n):
+        a = (i * 7919) % 1000 + 1
+        if used + a <= 250_000:
+            used, accepted = used + a, accepted + 1
+    assert tuple(got.agg(F.count_if("accepted"), F.max("accepted_total_after"), F.count("*")).first()) == (accepted, used, n)
+
+
+def test_frame_sums_are_exact(spark):
+    from payflow.operators.windows import COUNT, frame_sum, multi_range_frame_aggs
+    r = np.random.default_rng(4)
+    rows = [(int(r.integers(3)), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=int(r.integers(600))), Decimal(int(r.integers(1, 10**9))) / 100)
+            for _ in range(300)] + [(0, dt.datetime(2024, 1, 1), None)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "id long, k int, ts timestamp_ntz, amt decimal(14,2)")
+    got = multi_range_frame_aggs(df, ["k"], "ts", {"s": (3600, True, frame_sum("amt")), "p": (1800, False, frame_sum("amt")),
+                                                   "n": (3600, True, COUNT)}, bucket_s=7200).collect()
+    for g in got:
+        inside = lambda lo, incl: [a or 0 for k, t, a in rows if k == g.k and (g.ts - t).total_seconds() <= lo  # noqa: E731, B023
+                                   and (t <= g.ts if incl else t < g.ts)]  # noqa: B023
+        assert (g.s, g.p, g.n) == (sum(inside(3600, True)), sum(inside(1800, False)), len(inside(3600, True)))
+    assert len(got) == len(rows)
+
+
 def test_scd2_versions_apply_and_as_of(spark):
     snaps = spark.createDataFrame(
         [(1, "saas", dt.date(2024, 1, 1)), (1, "saas", dt.date(2024, 2, 1)), (1, "retail", dt.date(2024, 3, 1)),
