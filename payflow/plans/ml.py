@@ -8,10 +8,11 @@ definition of average precision.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payflow.operators.ranks import dense_key, global_running_sums
+from payflow.operators.similar import similar_vectors
 
 from payflow.plans.bindings import Views
 from payflow.plans.features import weighted_score
@@ -254,54 +255,8 @@ def feature_skew(offline: DataFrame, online: DataFrame, key: str, cols: list[str
     return agg.select(F.inline(arr)).withColumn("ok", F.col("skew_rate") < 0.001)
 
 
-def similar_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
-                    vec_col: str = "embedding", block: int = 2_000) -> DataFrame:
-    """Top-k cosine neighbours of each query vector among all vectors (ties: smaller id).
-
-    The query set is taken in blocks of ``block`` vectors, each sent to the tasks as one
-    matrix, so any number of queries works. A task keeps k candidates per query of the
-    vectors it has seen; one window over those (tasks x k rows per query) gives the result."""
-    import numpy as np
-    import pandas as pd
-
-    schema = f"query_id {queries.schema[id_col].dataType.simpleString()}, match_id {vectors.schema[id_col].dataType.simpleString()}, cosine double"
-
-    def candidates(ids: list, matrix: np.ndarray):
-        def run(batches):
-            best: dict = {}
-            for batch in batches:
-                if not len(batch):
-                    continue
-                own = np.array(batch[vec_col].tolist(), dtype=float)
-                own = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)
-                names = batch[id_col].tolist()
-                for qi, row in zip(ids, matrix @ own.T):
-                    top = np.argpartition(-row, min(k + 1, len(row) - 1))[:k + 1] if len(row) > k + 1 else range(len(row))
-                    floor = min(row[i] for i in top)
-                    got = [(-row[i], names[i]) for i in np.flatnonzero(row >= floor) if names[i] != qi]
-                    best[qi] = sorted(best.get(qi, []) + got)[:k]
-            yield pd.DataFrame([(qi, m, -c) for qi, own in best.items() for c, m in own],
-                               columns=["query_id", "match_id", "cosine"])
-
-        return run
-
-    out, held = None, []
-
-    def flush():
-        nonlocal out
-        matrix = np.array([v for _, v in held], dtype=float)
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        part = vectors.select(id_col, vec_col).mapInPandas(candidates([i for i, _ in held], matrix), schema)
-        out = part if out is None else out.unionByName(part)
-        held.clear()
-
-    for r in queries.select(id_col, vec_col).toLocalIterator():
-        held.append((r[0], r[1]))
-        if len(held) == block:
-            flush()
-    if held or out is None:
-        if not held:
-            return vectors.sparkSession.createDataFrame([], schema.replace(", cosine double", ", rank int, cosine double"))
-        flush()
-    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "match_id")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "match_id", "rank", "cosine")
+def similar_embeddings(spark: SparkSession, sf_dir: str, k: int = 5, every: int = 50) -> DataFrame:
+    """The k embeddings most similar to each whose id is divisible by ``every``."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    out = similar_vectors(e, e.filter(F.col("vec_id") % every == 0), k)
+    return out.withColumn("cosine", F.round("cosine", 6))

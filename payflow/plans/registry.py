@@ -109,6 +109,7 @@ def reports() -> dict[str, Job]:
         "fraud_feature_importance": lambda spark, sf: ML.feature_importance(stored_features(spark, sf), key=input_state(spark, sf)),
         "recommended_methods": _v(ML.recommend_methods),
         "interaction_matrix": _v(ML.interaction_matrix),
+        "similar_embeddings": ML.similar_embeddings,
         "canary_assignment": _v(ML.canary_assignment),
         "recommendation_uplift": _v(ML.recommendation_uplift),
         "hard_rule_summary": lambda spark, sf: MO.hard_rule_summary(stored_views(spark, sf), stored_features(spark, sf)),

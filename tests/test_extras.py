@@ -5,6 +5,7 @@ import math
 import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from payflow.operators.checks import check_append_only, require_parent, rule_violations, store_failures
@@ -66,19 +67,56 @@ def test_segment_migrations_and_refresh(spark, tmp):
     assert got == {20240101: 1.0, 20240102: 2.0, 20240103: 14.0}
 
 
-def test_similar_vectors_matches_brute_force(spark):
+def _nearest(items, queries, k):
+    ids, x = np.array([i for i, _ in items]), np.array([v for _, v in items], dtype=float)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    own = dict(zip(ids.tolist(), x))
+    out = {}
+    for q in queries:
+        s = (x * own[q]).sum(axis=1)
+        out[q] = [(int(ids[j]), round(float(s[j]), 9)) for j in np.lexsort((ids, -s)) if ids[j] != q][:k]
+    return out
+
+
+@pytest.mark.parametrize("kind, unit_rows", [("random", 50_000), ("random", 40), ("clusters", 60), ("one", 50)])
+def test_similar_vectors_matches_brute_force(spark, kind, unit_rows):
     rng = np.random.default_rng(0)
-    vecs = rng.normal(size=(60, 8)).astype(float)
-    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>")
-    q = df.filter(F.col("vec_id") < 5)
+    vecs = rng.normal(size=(600, 8))
+    if kind == "clusters":
+        vecs = rng.normal(size=(12, 8))[rng.integers(12, size=600)] * 4 + vecs * 0.1
+    if kind == "one":                                                # a third are one vector
+        vecs[::3] = vecs[0]
+    items = list(enumerate(vecs.tolist()))
+    odd = [(900, None), (901, []), (902, [0.0] * 8), (903, [float("nan")] * 8)]
+    df = spark.createDataFrame(items + odd, "vec_id long, embedding array<double>").repartition(5)
     got: dict = {}
-    for r in ML.similar_vectors(df.repartition(5), q, k=3, block=2).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append(r.match_id)
-    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
-    for i in range(5):
-        s = unit @ unit[i]
-        s[i] = -math.inf
-        assert got[i] == [int(j) for j in np.argsort(-s, kind="stable")[:3]]
+    for r in ML.similar_vectors(df, df.filter(F.col("vec_id") % 20 == 0), k=3, unit_rows=unit_rows).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.match_id, round(r.cosine, 9)))
+    assert got == _nearest(items, range(0, 600, 20), 3)
+
+
+def test_similar_vectors_prune_clusters_and_small_tables(spark):
+    from payflow.operators import similar
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r)[:3] for r in similar.similar_vectors(few, few, k=5).orderBy("query_id").collect()] == [(0, 1, 1), (1, 0, 1)]
+    assert similar.similar_vectors(few.limit(0), few.limit(0)).count() == 0
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 16))
+    vecs = centres[rng.integers(40, size=4000)] * 5 + rng.normal(size=(4000, 16)) * 0.05
+    df = spark.createDataFrame(list(enumerate(vecs.tolist())), "vec_id long, embedding array<double>")
+    seen = {}
+    search = similar._search
+
+    def counting(asked, *rest):
+        seen[len(seen)] = asked.select(F.sum(F.octet_length("clusters") / 4)).first()[0]
+        return search(asked, *rest)
+
+    similar._search = counting
+    try:
+        similar.similar_vectors(df, df.filter("vec_id % 50 = 0")).count()
+    finally:
+        similar._search = search
+    assert seen[1] < 80 * 63 / 4                                     # of all clusters, most are never opened
 
 
 def test_feature_skew(spark):
