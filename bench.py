@@ -23,7 +23,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
 # model fits (200-round boosted trees, ALS), timed only with BENCH_TRAINING=1
-TRAINING = {"fraud_model_evaluation", "fraud_feature_importance", "recommended_methods"}
+TRAINING = {"fraud_model_evaluation", "fraud_feature_importance", "recommended_methods", "fraud_permutation_importance",
+            "merchant_segment_methods"}
 
 
 def main() -> None:

@@ -306,6 +306,18 @@ class Views:
                         F.timestamp_micros(start + ((F.unix_micros(F.col("ts").cast("timestamp")) - start) / 200).cast("long"))
                         .cast("timestamp_ntz").alias("created_at"))
 
+    @cached_property
+    def ip_blocklist(self) -> DataFrame:
+        """Blocked networks of three feeds, nested in each other: of nations, of customers' /24, and of the first
+        half of some of those."""
+        n, c = self.table("nation"), self.table("customer")
+        key, nation = F.col("c_custkey"), F.col("c_nationkey")
+        net = lambda host, bits: F.concat_ws(".", F.lit("10"), nation.cast("string"), (key % 256).cast("string"), F.lit(f"{host}/{bits}"))
+        return (n.filter(F.col("n_nationkey") % 6 == 5)
+                .select(F.concat(F.lit("10."), F.col("n_nationkey").cast("string"), F.lit(".0.0/16")).alias("cidr"), F.lit("country").alias("feed"))
+                .union(c.filter(key % 61 == 7).select(net(0, 24), F.lit("account")))
+                .union(c.filter(key % 122 == 7).select(net(0, 25), F.lit("host"))).distinct())
+
     @cached_property
     def logs(self) -> DataFrame:
         e = self.table("events")

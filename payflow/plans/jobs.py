@@ -212,6 +212,22 @@ def quality_report(m: Marts, feats: DataFrame | None = None, as_of: Column | Non
     vals.update(stats(v.disputes.join(tx, "transaction_id", "left_anti"), fk_dispute=n))
     vals.update(stats(tx.join(v.customers, "customer_id", "left_anti"), fk_customer=n))
     vals.update(stats(fact.join(m.dim_customer, "customer_sk", "left_anti"), fk_dim_customer=n))
+    actions = [a for _, _, a in K.RISK_THRESHOLDS] + [K.RISK_TOP[1]]
+    vals.update(stats(v.refunds.select("transaction_id", F.col("amount").alias("_r"), F.col("status").alias("_s"))
+                      .join(tx.select("transaction_id", F.col("amount").alias("_t")), "transaction_id", "left"),
+                      refund_amount=F.count_if(F.col("_t").isNotNull() & ~((F.col("_r") > 0) & (F.col("_r") <= F.col("_t")))),
+                      refund_status=F.count_if(~F.col("_s").isin("pending", "succeeded", "failed"))))
+    vals.update(stats(v.fx, fx_rate=F.count_if(~(F.col("rate_to_usd") > 0))))
+    vals.update(stats(v.fraud_indicators, score_range=F.count_if(~F.col("anomaly_score").between(0, 1)),
+                      action=F.count_if(~F.col("action_taken").isin(*actions))))
+    vals.update(stats(v.payment_methods, instrument=F.count_if(~F.col("type").isin(*K.PAYMENT_TYPES))))
+    vals.update(stats(v.products, interval=F.count_if(F.col("billing_interval").isNotNull()
+                                                      & ~F.col("billing_interval").isin("month", "year"))))
+    for parent, own, name in ((v.products, "product_id", "fk_product"), (v.payment_methods, "payment_method_id", "fk_instrument"),
+                              (v.countries.withColumnRenamed("country_code", "geo_country_code"), "geo_country_code", "fk_geography"),
+                              (v.currencies, "currency_code", "fk_currency")):
+        orphans = tx.filter(F.col(own).isNotNull()).join(parent.select(own), own, "left_anti")
+        vals.update(stats(orphans, **{name: n}))
     vals.update(stats(v.logs, bad_dates=F.count_if(F.col("timestamp").isNull())))
     if feats is not None:
         vals.update(stats(feats, n_feat=n))
@@ -230,7 +246,12 @@ def quality_report(m: Marts, feats: DataFrame | None = None, as_of: Column | Non
             ("oltp_subscription_period_forward", "period_rule"), ("oltp_subscription_status_accepted_values", "subscription_status"),
             ("oltp_dispute_status_accepted_values", "dispute_status"), ("oltp_fx_day_currency_unique", "dup_rates"),
             ("oltp_refund_fk", "fk_refund"), ("oltp_dispute_fk", "fk_dispute"), ("oltp_transaction_customer_fk", "fk_customer"),
-            ("olap_fact_customer_fk", "fk_dim_customer"))],
+            ("oltp_refund_amount_in_bounds", "refund_amount"), ("oltp_refund_status_accepted_values", "refund_status"),
+            ("oltp_fx_rate_positive", "fx_rate"), ("oltp_score_in_unit_range", "score_range"),
+            ("oltp_action_accepted_values", "action"), ("oltp_instrument_type_accepted_values", "instrument"),
+            ("oltp_billing_interval_accepted_values", "interval"), ("oltp_transaction_product_fk", "fk_product"),
+            ("oltp_transaction_instrument_fk", "fk_instrument"), ("oltp_transaction_geography_fk", "fk_geography"),
+            ("oltp_transaction_currency_fk", "fk_currency"), ("olap_fact_customer_fk", "fk_dim_customer"))],
         ("olap_fact_matches_oltp", F.col("n_fact") == F.col("n"), F.col("n_fact") - F.col("n")),
         ("olap_fact_unique_transaction_id", F.col("dup_ids") == 0, F.col("dup_ids")),
         ("olap_amount_usd_non_negative", F.col("neg_usd") == 0, F.col("neg_usd")),

@@ -8,12 +8,14 @@ definition of average precision.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from payflow.operators.ranks import dense_key, global_running_sums
+from payflow.operators.ranks import dense_key, global_row_number, global_running_sums, group_row_number
 from payflow.operators.similar import similar_vectors
-
+from payflow.operators.tables import stored
 from payflow.plans.bindings import Views
 from payflow.plans.features import weighted_score
 from payflow.functions import risk_level
@@ -150,13 +152,71 @@ def model_evaluation(feats: DataFrame, max_iter: int = 200, key: str = "default"
 
 def feature_importance(feats: DataFrame, max_iter: int = 200, key: str = "default") -> DataFrame:
     """Global importance of each feature from the fitted ensemble (gain based; a
-    re-aim of per-row SHAP values, which need a tree-explainer library)."""
+    re-aim of per-row SHAP values, which need a tree-explainer library). Permutation importance of
+    any scorer: ``permutation_importance``."""
     model, _ = fitted_model(feats, key, max_iter)
     imp = model.stages[-1].featureImportances.toArray().tolist()
     spark = feats.sparkSession
     return spark.createDataFrame(list(zip(FEATURES, [float(x) for x in imp])), "feature string, importance double")
 
 
+def shuffle_key(id_col: Column, feature: int, repeat: int, seed: int = 1) -> Column:
+    """Order of the rows in one permutation: the id times an odd number of its own, modulo 2^32."""
+    return F.pmod(id_col * F.lit(2_654_435_761 + 2 * (7919 * (feature + 1) + 104_729 * repeat + 15_485_863 * seed)), F.lit(2**32))
+
+
+def grouped_auc(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, auc): ROC AUC per group, ties counting one half, from counts per distinct score (with 4 decimals
+    at most 10 001 a group, whatever the number of rows)."""
+    hist = rows.groupBy(*by, "score").agg(F.count_if("label").alias("p"), F.count_if(~F.col("label")).alias("n"))
+    below = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    return hist.groupBy(*by).agg((F.sum(F.col("p") * (2 * F.col("below") + F.col("n"))) / (2 * F.sum("p") * F.sum("n"))).alias("auc"))
+
+
+def permutation_importance(rows: DataFrame, features: list[str], score: Callable[[DataFrame], DataFrame], key: str = "transaction_id",
+                           label: str = "label", repeats: int = 3, seed: int = 1) -> DataFrame:
+    """How much the ROC AUC of ``score`` (adds a column ``score``, rounded here to 4 decimals) falls when one
+    feature's values are dealt out anew among the rows: (feature, base_auc, mean_drop, spread over the repeats).
+
+    All permutations are made in one pass: rows are numbered by ``key`` once; every (feature, repeat) numbers the same
+    values in an order of its own, and value and row meet on equal numbers. The numbering splits its
+    groups over tasks, so no column is gathered."""
+    base = stored(global_row_number(rows.select(key, label, *features), [key], "_at"), "permutation-rows")
+    kinds = {f: base.schema[f].dataType for f in features}
+    deals = F.array(*[F.struct(F.lit(i).alias("_f"), F.lit(r).alias("_r"), shuffle_key(F.col(key), i, r, seed).alias("_h"),
+                               F.col(f).cast("string").alias("_v")) for i, f in enumerate(features) for r in range(repeats)])
+    dealt = stored(base.select(key, F.explode(deals).alias("d")).select(key, "d.*"), "permutation-values")
+    dealt = group_row_number(dealt, ["_f", "_r"], ["_h", key], "_at").select("_f", "_r", "_at", "_v")
+    swapped = base.join(dealt, "_at").withColumns({
+        f: F.when(F.col("_f") == i, F.col("_v").cast(kinds[f])).otherwise(F.col(f)) for i, f in enumerate(features)})
+    every = score(base.withColumns({"_f": F.lit(-1), "_r": F.lit(0)}).select("_f", "_r", label, *features)
+                  .unionByName(swapped.select("_f", "_r", label, *features)))
+    auc = grouped_auc(every.select("_f", "_r", F.round("score", 4).alias("score"), F.col(label).alias("label")), ["_f", "_r"])
+    auc = stored(auc, "permutation-auc")                                # features x repeats rows
+    names = F.array(*[F.lit(f) for f in features])
+    drop = F.col("base_auc") - F.col("auc")
+    return (auc.filter("_f >= 0").withColumn("base_auc", auc.filter("_f < 0").select("auc").scalar())
+            .groupBy(F.element_at(names, F.col("_f") + 1).alias("feature"))
+            .agg(F.round(F.first("base_auc"), 6).alias("base_auc"), F.round(F.avg(drop), 6).alias("mean_drop"),
+                 F.round(F.stddev_samp(drop), 6).alias("spread")))
+
+
+def reference_importance(feats: DataFrame) -> DataFrame:
+    """Permutation importance of the reference weighted score on the labelled rows."""
+    rows = feats.filter(F.col("label.is_fraud").isNotNull()).select("transaction_id", "features.*", F.col("label.is_fraud").alias("label"))
+    return permutation_importance(rows, FEATURES, lambda df: df.withColumn("score", weighted_score(df)))
+
+
+def model_importance(feats: DataFrame, max_iter: int = 200, key: str = "default", repeats: int = 3) -> DataFrame:
+    """Permutation importance of the fitted ensemble on its held-out rows."""
+    from pyspark.ml.functions import vector_to_array
+    model, test = fitted_model(feats, key, max_iter)
+    rows = test.withColumn("label", F.col("y") == 1)
+    return permutation_importance(rows, FEATURES, lambda df: model.transform(df).withColumn(
+        "score", vector_to_array("probability")[1]), repeats=repeats)
+
+
 # ----------------------------------------------------------------------------- recommendation inputs
 def interaction_matrix(v: Views) -> DataFrame:
     """Customer x payment type, weighted by conversion and amount."""
@@ -177,7 +237,6 @@ def recommend_methods(v: Views, k: int = 3, rank: int = 2, seed: int = 7) -> Dat
 
     ALS takes 32-bit ids only, so customers are numbered densely for it; more than 2^31 - 1
     customers with payments fail instead of wrapping."""
-    from pyspark.ml.recommendation import ALS
     im = interaction_matrix(v).filter(F.col("customer_id").isNotNull())
     types = F.array(*[F.lit(t) for t in ("card", "bank_transfer", "wallet")])
     im = im.withColumn("item", F.array_position(types, F.col("type")).cast("int"))
@@ -185,26 +244,86 @@ def recommend_methods(v: Views, k: int = 3, rank: int = 2, seed: int = 7) -> Dat
     # per-user normal equations become singular
     if rank > 3:
         raise ValueError(f"rank {rank}: there are only 3 payment types")
+    model, users = _factors(im, rank, seed)
+    recs = (model.recommendForAllUsers(k).join(users, "user")
+            .select("customer_id", F.transform("recommendations", lambda r: F.element_at(types, r["item"])).alias("methods")))
+    everyone = v.customers.select("customer_id", "market_segment")
+    seen = im.join(everyone, "customer_id", "left")
+    return (everyone.select("customer_id").union(users.select("customer_id")).distinct()
+            .join(everyone, "customer_id", "left").join(recs, "customer_id", "left")
+            .join(F.broadcast(_most_converted(seen, ["market_segment"], "_segment", k)), "market_segment", "left")   # one row per segment
+            .crossJoin(F.broadcast(_most_converted(seen, [], "_all", k)))
+            .select("customer_id", F.coalesce("methods", "_segment", "_all").alias("methods")))
+
+
+def _factors(im: DataFrame, rank: int, seed: int):
+    """(ALS model, customers' dense numbers) on the interaction matrix with its column ``item``."""
+    from pyspark.ml.recommendation import ALS
     number = F.when(F.col("_n") < 2**31, F.col("_n").cast("int")).otherwise(
         F.raise_error(F.lit("more customers than ALS has ids")).cast("int"))
     users = dense_key(im.select("customer_id").distinct(), ["customer_id"], "_n").select("customer_id", number.alias("user"))
     als = ALS(userCol="user", itemCol="item", ratingCol="weight", implicitPrefs=True,
               rank=rank, regParam=0.1, maxIter=10, seed=seed, coldStartStrategy="drop")
-    recs = (als.fit(im.join(users, "customer_id")).recommendForAllUsers(k).join(users, "user")
-            .select("customer_id", F.transform("recommendations", lambda r: F.element_at(types, r["item"])).alias("methods")))
+    return als.fit(im.join(users, "customer_id")), users
 
-    def best(by: list[str], name: str) -> DataFrame:
-        g = seen.groupBy(*by, "type").agg(F.sum("conversions").alias("_c"))
-        order = F.array_sort(F.collect_list(F.struct((-F.col("_c")).alias("_c"), "type")))     # at most three types
-        return g.groupBy(*by).agg(F.slice(order["type"], 1, k).alias(name))
 
-    everyone = v.customers.select("customer_id", "market_segment")
-    seen = im.join(everyone, "customer_id", "left")
-    return (everyone.select("customer_id").union(users.select("customer_id")).distinct()
-            .join(everyone, "customer_id", "left").join(recs, "customer_id", "left")
-            .join(F.broadcast(best(["market_segment"], "_segment")), "market_segment", "left")   # one row per segment
-            .crossJoin(F.broadcast(best([], "_all")))
-            .select("customer_id", F.coalesce("methods", "_segment", "_all").alias("methods")))
+def _most_converted(seen: DataFrame, by: list[str], name: str, k: int) -> DataFrame:
+    """The k types with most conversions per group, ties by name."""
+    g = seen.groupBy(*by, "type").agg(F.sum("conversions").alias("_c"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("_c")).alias("_c"), "type")))     # at most three types
+    return g.groupBy(*by).agg(F.slice(order["type"], 1, k).alias(name))
+
+
+def _merchant_segments(v: Views) -> DataFrame:
+    """Every merchant with every market segment of the customers (a handful of names)."""
+    names = v.customers.filter("market_segment IS NOT NULL").agg(F.array_sort(F.collect_set("market_segment"))).scalar()
+    return v.merchants.select("merchant_id", F.explode(names).alias("market_segment"))
+
+
+def _merchant_payments(v: Views) -> DataFrame:
+    return (v.tx.join(v.payment_methods.select("payment_method_id", "type"), "payment_method_id")
+            .join(v.customers.select("customer_id", "market_segment"), "customer_id")
+            .select("merchant_id", "market_segment", "customer_id", "type", (F.col("status") == "succeeded").cast("long").alias("conversions")))
+
+
+def merchant_segment_fallback(v: Views, k: int = 3) -> DataFrame:
+    """The payment types a (merchant, segment) gets without factors: its own most converted ones, else the
+    merchant's, else the segment's, else everyone's; ``source`` says which."""
+    seen = _merchant_payments(v)
+    out = (_merchant_segments(v)
+           .join(_most_converted(seen, ["merchant_id", "market_segment"], "_pair", k), ["merchant_id", "market_segment"], "left")
+           .join(_most_converted(seen, ["merchant_id"], "_merchant", k), "merchant_id", "left")
+           .join(F.broadcast(_most_converted(seen, ["market_segment"], "_segment", k)), "market_segment", "left")
+           .crossJoin(F.broadcast(_most_converted(seen, [], "_all", k))))
+    source = (F.when(F.col("_pair").isNotNull(), "pair").when(F.col("_merchant").isNotNull(), "merchant")
+              .when(F.col("_segment").isNotNull(), "segment").otherwise("all"))
+    return out.select("merchant_id", "market_segment", F.coalesce("_pair", "_merchant", "_segment", "_all").alias("methods"),
+                      source.alias("source"))
+
+
+def recommend_by_merchant_segment(v: Views, k: int = 3, rank: int = 2, seed: int = 7) -> DataFrame:
+    """Top-k payment types of every merchant x market segment. The factor vectors of the segment's customers who
+    paid the merchant are averaged (each customer once) and types ranked by their dot product with the
+    average; a pair without such customers takes ``merchant_segment_fallback``. ``source`` is factors or the fallback's."""
+    types = ["card", "bank_transfer", "wallet"]
+    im = interaction_matrix(v).filter(F.col("customer_id").isNotNull())
+    im = im.withColumn("item", F.array_position(F.array(*[F.lit(t) for t in types]), F.col("type")).cast("int"))
+    model, users = _factors(im, rank, seed)
+    factors = model.userFactors.join(users, F.col("id") == F.col("user")).select("customer_id", "features")
+    pairs = _merchant_payments(v).select("merchant_id", "market_segment", "customer_id").distinct()
+    mean = (pairs.join(factors, "customer_id").groupBy("merchant_id", "market_segment")
+            .agg(F.array(*[F.avg(F.col("features")[i].cast("double")) for i in range(rank)]).alias("mean")))
+    items = {r["id"]: r["features"] for r in model.itemFactors.collect()}            # at most three payment types
+    scored = F.array(*[F.struct((-sum((F.col("mean")[i] * F.lit(float(x)) for i, x in enumerate(f)), F.lit(0.0))).alias("s"),
+                                F.lit(types[item - 1]).alias("type")) for item, f in sorted(items.items())])
+    best = mean.select("merchant_id", "market_segment", F.slice(F.array_sort(scored)["type"], 1, k).alias("_own"))
+    return (merchant_segment_fallback(v, k).join(best, ["merchant_id", "market_segment"], "left")
+            .select("merchant_id", "market_segment", F.coalesce("_own", "methods").alias("methods"),
+                    F.when(F.col("_own").isNotNull(), "factors").otherwise(F.col("source")).alias("source")))
+
+
+def joined_methods(df: DataFrame) -> DataFrame:
+    return df.withColumn("methods", F.array_join("methods", ","))
 
 
 def canary_assignment(v: Views, pct: int = 5) -> DataFrame:
@@ -230,12 +349,15 @@ def recommendation_uplift(v: Views) -> DataFrame:
 
 # ----------------------------------------------------------------------------- N12 cache, N18, N23
 _models: dict = {}
+MODELS_KEPT = 4                        # the oldest goes when another is fitted
 
 
 def fitted_model(feats: DataFrame, key: str, max_iter: int = 200):
     """One fit per (application, input) shared by evaluation and importance."""
     k = (feats.sparkSession.sparkContext.applicationId, key, max_iter)
     if k not in _models:
+        while len(_models) >= MODELS_KEPT:
+            _models.pop(next(iter(_models)))
         _models[k] = train_fraud_model(feats, max_iter=max_iter)
     return _models[k]
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from payflow.operators.ranks import global_running_sums
 
 from payflow import constants as K
+from payflow.operators.ranges import cidr_range, ipv4_number, narrowest_range
 from payflow.operators.windows import burst_starts
 from payflow.plans.bindings import Views
 from payflow.plans.marts import Marts
@@ -21,7 +22,8 @@ SANCTIONED_COUNTRIES = ("C12", "C20")     # parameter of the hard rules (countri
 def hard_rule_blocks(v: Views, feats: DataFrame, max_per_hour: int = 20,
                      sanctioned: tuple[str, ...] = SANCTIONED_COUNTRIES) -> DataFrame:
     """Payments blocked before scoring: blocklisted card fingerprint (shared across
-    customers), sanctioned geo country, or more than ``max_per_hour`` prior attempts in 1 h."""
+    customers), address in a blocked network, sanctioned geo country, or more than ``max_per_hour``
+    prior attempts in 1 h."""
     pm = v.payment_methods
     blocked_fp = (pm.filter(F.col("fingerprint").isNotNull()).groupBy("fingerprint")
                   .agg(F.countDistinct("customer_id").alias("n")).filter("n >= 2").select("fingerprint"))
@@ -29,14 +31,29 @@ def hard_rule_blocks(v: Views, feats: DataFrame, max_per_hour: int = 20,
                                                                    F.lit(True).alias("_fp"))
     t = (v.tx.select("transaction_id", "payment_method_id", "geo_country_code")
          .join(bad_pm, "payment_method_id", "left")
+         .join(blocked_addresses(v).select("transaction_id", F.lit(True).alias("_ip")), "transaction_id", "left")
          .join(feats.select("transaction_id", F.col("features.transactions_last_1h").alias("_v1h")),
                "transaction_id", "left"))
     rule = (F.when(F.col("_fp"), "blocklisted_fingerprint")
+            .when(F.col("_ip"), "blocklisted_ip")
             .when(F.col("geo_country_code").isin(*sanctioned), "sanctioned_country")
             .when(F.col("_v1h") > max_per_hour, "velocity"))
     return t.select("transaction_id", rule.alias("rule")).filter(F.col("rule").isNotNull())
 
 
+def blocked_addresses(v: Views) -> DataFrame:
+    """(transaction_id, cidr, feed) of the payments whose address lies in a blocked network, with the narrowest one."""
+    lo, hi = cidr_range(F.col("cidr"))
+    ranges = v.ip_blocklist.select("cidr", "feed", lo.alias("lo"), hi.alias("hi"))
+    points = v.tx.select("transaction_id", ipv4_number(F.col("ip_address")).alias("ip"))
+    return narrowest_range(points, ranges, "transaction_id", "ip", ["cidr", "feed"]).drop("ip")
+
+
+def ip_blocklist_hits(v: Views) -> DataFrame:
+    """Payments per blocked network, each counted at its narrowest."""
+    return blocked_addresses(v).groupBy("cidr", "feed").agg(F.count(F.lit(1)).alias("payments"))
+
+
 def hard_rule_summary(v: Views, feats: DataFrame) -> DataFrame:
     return hard_rule_blocks(v, feats).groupBy("rule").agg(F.count(F.lit(1)).alias("blocked"))
 
@@ -174,11 +191,22 @@ def region_volume_anomalies(m: Marts, sigma: float = 3.0, weeks: int = 8) -> Dat
                     F.round(z, 3).alias("z"), F.coalesce(F.abs(z) > sigma, F.lit(False)).alias("anomaly")))
 
 
-def lag_report(m: Marts) -> DataFrame:
-    """Load lag of the fact (loaded_at - created_at, both stored in it) by month."""
-    f = m.fact_transactions.join(F.broadcast(m.dim_date.select("date_sk", "year", "month")), "date_sk")
-    lag = F.timestamp_diff("SECOND", F.col("created_at"), F.col("loaded_at"))
-    return f.groupBy("year", "month").agg(F.count(F.lit(1)).alias("rows"), F.max(lag).alias("max_lag_s"))
+def lag_report(changes: DataFrame) -> DataFrame:
+    """Load lag by month of payment: from the payment to the arrival of its last change, over the staged rows of
+    the landed messages (``transaction_id, created_at, lsn, ingested_at``)."""
+    first = -F.unix_micros(F.col("ingested_at").cast("timestamp"))              # of a replayed change its first arrival
+    last = (changes.groupBy("transaction_id")
+            .agg(F.max_by(F.struct("created_at", "ingested_at"), F.struct(F.col("lsn"), first)).alias("c")).select("c.*"))
+    lag = F.timestamp_diff("SECOND", F.col("created_at"), F.col("ingested_at"))
+    return (last.groupBy(F.year("created_at").alias("year"), F.month("created_at").alias("month"))
+            .agg(F.count(F.lit(1)).alias("rows"), F.max(lag).alias("max_lag_s"), F.round(F.avg(lag), 3).alias("avg_lag_s"),
+                 F.count_if(lag > 100).alias("late_rows")))
+
+
+def load_recency(loaded: DataFrame, now: Column, most_s: int = 900) -> DataFrame:
+    """Age of the newest load (``loaded_at``, see ``sources.readers.with_load_time``) and whether it is recent."""
+    age = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.max("loaded_at"))
+    return loaded.agg(F.max("loaded_at").alias("last_load"), age.alias("age_s"), F.coalesce(age <= most_s, F.lit(False)).alias("ok"))
 
 
 def login_failure_bursts(v: Views, window_s: int = 60, more_than: int = 5) -> DataFrame:

@@ -107,7 +107,11 @@ def reports() -> dict[str, Job]:
         "training_set_summary": lambda spark, sf: ML.training_set_summary(stored_features(spark, sf)),
         "fraud_model_evaluation": lambda spark, sf: ML.model_evaluation(stored_features(spark, sf), key=input_state(spark, sf)),
         "fraud_feature_importance": lambda spark, sf: ML.feature_importance(stored_features(spark, sf), key=input_state(spark, sf)),
+        "reference_feature_importance": lambda spark, sf: ML.reference_importance(stored_features(spark, sf)),
+        "fraud_permutation_importance": lambda spark, sf: ML.model_importance(stored_features(spark, sf), key=input_state(spark, sf)),
         "recommended_methods": _v(ML.recommend_methods),
+        "merchant_segment_methods": _v(lambda v: ML.joined_methods(ML.recommend_by_merchant_segment(v))),
+        "merchant_segment_fallback": _v(lambda v: ML.joined_methods(ML.merchant_segment_fallback(v))),
         "interaction_matrix": _v(ML.interaction_matrix),
         "similar_embeddings": ML.similar_embeddings,
         "canary_assignment": _v(ML.canary_assignment),
@@ -118,7 +122,8 @@ def reports() -> dict[str, Job]:
         "proxy_rate_alerts": _v(MO.proxy_rate_alerts),
         "merchant_churn_features": _m(MO.merchant_churn_features),
         "region_volume_anomalies": _m(MO.region_volume_anomalies),
-        "lag_report": _m(MO.lag_report),
+        "lag_report": lambda spark, sf: MO.lag_report(J.parse_cdc(landed_messages(spark, sf))),
+        "ip_blocklist_hits": _v(MO.ip_blocklist_hits),
         "login_failure_bursts": _v(MO.login_failure_bursts),
         "export_bursts": _v(MO.export_bursts),
         "revenue_yoy_quarterly": _m(MO.revenue_yoy_quarterly),

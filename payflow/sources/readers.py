@@ -49,6 +49,11 @@ def read_cdc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CDC_MESSAGE).json(path)
 
 
+def with_load_time(df: DataFrame, name: str = "loaded_at") -> DataFrame:
+    """Rows of a file source with the time at which their file was committed."""
+    return df.select("*", F.col("_metadata.file_modification_time").alias(name))
+
+
 def exclude_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     """A5: personal columns never leave the source (dropped before any sink)."""
     return df.drop(*cols)

@@ -119,6 +119,54 @@ def test_similar_vectors_prune_clusters_and_small_tables(spark):
     assert seen[1] < 80 * 63 / 4                                     # of all clusters, most are never opened
 
 
+def _auc(score, label):
+    p, n = score[label], score[~label]
+    return ((p[:, None] > n[None]).sum() + 0.5 * (p[:, None] == n[None]).sum()) / (len(p) * len(n))
+
+
+def test_permutation_importance_equals_a_plain_one(spark):
+    rng = np.random.default_rng(5)
+    n = 120
+    a, b, flag = rng.normal(size=n), rng.integers(0, 5, size=n), rng.random(n) < 0.4
+    label = a + 0.3 * b + rng.normal(size=n) > 0.8
+    ids = rng.permutation(10_000)[:n] * 1_000_003
+    df = spark.createDataFrame([(int(i), float(x), int(y), bool(z), bool(t)) for i, x, y, z, t in zip(ids, a, b, flag, label)],
+                               "transaction_id long, a double, b long, flag boolean, label boolean").repartition(5)
+    score = lambda d: d.withColumn("score", 1 / (1 + F.exp(-(F.col("a") + 0.3 * F.col("b") + 0.1 * F.col("flag").cast("int")))))
+    got = {r.feature: tuple(r)[1:] for r in ML.permutation_importance(df, ["a", "b", "flag"], score, repeats=4, seed=3).collect()}
+    order = np.argsort(ids)
+    cols = {"a": a[order], "b": b[order], "flag": flag[order]}
+    ids, label = ids[order], label[order]
+    plain = lambda c: _auc(np.round(1 / (1 + np.exp(-(c["a"] + 0.3 * c["b"] + 0.1 * c["flag"]))), 4), label)
+    base = plain(cols)
+    for i, f in enumerate(cols):
+        drops = []
+        for r in range(4):
+            m = 2_654_435_761 + 2 * (7919 * (i + 1) + 104_729 * r + 15_485_863 * 3)
+            dealt = np.argsort([int(x) * m % 2**32 for x in ids], kind="stable")
+            drops.append(base - plain({**cols, f: cols[f][dealt]}))
+        assert np.allclose(got[f], (base, np.mean(drops), np.std(drops, ddof=1)), atol=2e-6)
+    assert got["a"][1] > got["flag"][1]
+
+
+def test_methods_per_merchant_and_segment(spark):
+    from types import SimpleNamespace
+    customers = [(i, "x" if i < 6 else "y") for i in range(12)] + [(99, "z")]
+    pays = [(c, 1, 1) for c in range(6) for _ in range(4)] + [(c, 1, 2) for c in range(6, 12) for _ in range(4)] + [(0, 2, 3)]
+    v = SimpleNamespace(
+        customers=spark.createDataFrame(customers, "customer_id long, market_segment string"),
+        merchants=spark.createDataFrame([(1,), (2,), (3,)], "merchant_id long"),
+        payment_methods=spark.createDataFrame([(1, "card"), (2, "wallet"), (3, "bank_transfer")], "payment_method_id long, type string"),
+        tx=spark.createDataFrame([(c, m, p, "succeeded", 100) for c, m, p in pays],
+                                 "customer_id long, merchant_id long, payment_method_id long, status string, amount long"))
+    got = {(r.merchant_id, r.market_segment): (r.methods, r.source) for r in ML.recommend_by_merchant_segment(v).collect()}
+    assert len(got) == 9 and all(1 <= len(m) <= 3 for m, _ in got.values())
+    assert got[1, "x"][0][0] == "card" and got[1, "y"][0][0] == "wallet" and got[1, "x"][1] == got[2, "x"][1] == "factors"
+    fall = {(r.merchant_id, r.market_segment): (r.methods, r.source) for r in ML.merchant_segment_fallback(v).collect()}
+    assert fall[2, "y"] == (["bank_transfer"], "merchant") and fall[3, "x"][1] == "segment" and fall[3, "z"][1] == "all"
+    assert fall[1, "x"] == (["card"], "pair") and {got[k] == fall[k] for k in got if got[k][1] != "factors"} == {True}
+
+
 def test_feature_skew(spark):
     off = spark.createDataFrame([(1, 1.0), (2, 2.0)], "id long, f double")
     on = spark.createDataFrame([(1, 1.0), (2, 2.5)], "id long, f double")

@@ -1,6 +1,8 @@
 """Job-level invariants on sf0.001: quality gate green, erasure leaves no residue,
 pre-aggregates agree, refunds never exceed the payment, entry schema is stable."""
 
+import os
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -138,3 +140,61 @@ def test_feature_retention_and_validator(spark):
     assert got == {"ml_features.required_fields": 2, "ml_features.fraud_probability_0_1": 1, "ml_features.risk_level_enum": 1}
     for name in ("feature_retention", "feature_schema_violations"):
         assert all_jobs()[name](spark, SF_SMALL).count() in (1, 3)
+
+
+def test_every_new_quality_rule_can_fail(spark):
+    from decimal import Decimal
+
+    from payflow.plans.bindings import Views
+    from payflow.plans.jobs import quality_report
+    from payflow.plans.store import stored_marts
+    good = stored_marts(spark, SF_SMALL)
+    v = Views(spark, SF_SMALL)
+    names = ("oltp_refund_amount_in_bounds", "oltp_refund_status_accepted_values", "oltp_fx_rate_positive", "oltp_score_in_unit_range",
+             "oltp_action_accepted_values", "oltp_instrument_type_accepted_values", "oltp_billing_interval_accepted_values",
+             "oltp_transaction_product_fk", "oltp_transaction_instrument_fk", "oltp_transaction_geography_fk",
+             "oltp_transaction_currency_fk")
+    before = {r.check_name: r for r in quality_report(good).collect()}
+    assert all(before[n].ok and before[n].observed == 0 for n in names)
+
+    def one(df, **cols):
+        """``df`` with one row more, a copy of its first with other values."""
+        return df.union(df.limit(1).withColumns({k: F.lit(x).cast(df.schema[k].dataType) for k, x in cols.items()}))
+
+    v.__dict__.update(
+        refunds=one(one(good.v.refunds, amount=Decimal("999999999.00")), status="odd"), fx=one(good.v.fx, rate_to_usd=Decimal(0)),
+        fraud_indicators=one(one(good.v.fraud_indicators, anomaly_score=Decimal("1.5")), action_taken="odd"),
+        payment_methods=one(good.v.payment_methods, type="odd"), products=one(good.v.products, billing_interval="week"),
+        tx=one(one(one(one(good.v.tx, product_id=-1), payment_method_id=-1), geo_country_code="ZZ"), currency_code="ZZZ"))
+    bad = type(good)(v, good.root)
+    after = {r.check_name: r for r in quality_report(bad).collect()}
+    assert {n: (after[n].ok, after[n].observed) for n in names} == {n: (False, 1.0) for n in names}
+
+
+def test_recency_sees_an_old_file(spark, tmp):
+    import datetime as dt
+    import time
+
+    from payflow.plans.monitoring import load_recency
+    from payflow.sources.readers import with_load_time
+    path = os.path.join(tmp, "t")
+    spark.range(10).coalesce(1).write.parquet(path)
+    now = F.lit(dt.datetime.now(dt.timezone.utc))
+    fresh = load_recency(with_load_time(spark.read.parquet(path)), now).first()
+    assert fresh.ok and fresh.age_s < 300
+    for f in os.listdir(path):
+        os.utime(os.path.join(path, f), (time.time() - 7200,) * 2)
+    spark.catalog.refreshByPath(path)
+    old = load_recency(with_load_time(spark.read.parquet(path)), now).first()
+    assert not old.ok and old.age_s >= 7100
+
+
+def test_narrowest_network_of_an_address(spark):
+    from payflow.operators.ranges import cidr_range, ipv4_number, narrowest_range
+    nets = ["10.0.0.0/8", "10.1.0.0/16", "10.1.2.0/24", "10.1.2.128/25", "10.1.2.200/32", "0.0.0.0/0", "10.1.2.77/24", "bad", "1.2.3.4/40", "300.1.1.1/8"]
+    ips = ["10.1.2.200", "10.1.2.201", "10.1.2.3", "10.1.9.9", "10.9.9.9", "9.9.9.9", "255.255.255.255", "1.2.3", None, "1.2.3.256"]
+    lo, hi = cidr_range(F.col("cidr"))
+    ranges = spark.createDataFrame([(n,) for n in nets], "cidr string").select("cidr", lo.alias("lo"), hi.alias("hi"))
+    points = spark.createDataFrame(list(enumerate(ips)), "id long, ip string").select("id", ipv4_number(F.col("ip")).alias("n"))
+    got = {r.id: r.cidr for r in narrowest_range(points, ranges, "id", "n", ["cidr"]).collect()}
+    assert got == {0: "10.1.2.200/32", 1: "10.1.2.128/25", 2: "10.1.2.0/24", 3: "10.1.0.0/16", 4: "10.0.0.0/8", 5: "0.0.0.0/0", 6: "0.0.0.0/0"}
