@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from payflow.plans import reports_docs as D
 from payflow.plans import reports_olap as O
@@ -17,7 +18,8 @@ from payflow.plans import privacy as P
 from payflow.plans import reports_oltp as T
 from payflow.plans.bindings import Views
 from payflow.plans.marts import Marts
-from payflow.plans.store import document_streams, input_state, landed_messages, stored_features, stored_marts, stored_views
+from payflow.streaming import marts as SM
+from payflow.plans.store import document_streams, input_state, landed_messages, revenue_deltas, stored_features, stored_marts, stored_views
 
 Job = Callable[[SparkSession, str], DataFrame]
 
@@ -141,6 +143,8 @@ def reports() -> dict[str, Job]:
         "fact_sessions": _m(EN.fact_sessions),
         "session_stream": lambda spark, sf: EN.fact_sessions(
             stored_marts(spark, sf), DC.streamed_sessions(spark, f"{document_streams(spark, sf)}/sessions")),
+        "daily_revenue_stream": lambda spark, sf: SM.read_mart(spark, revenue_deltas(spark, sf)).withColumn(
+            "total_amount", F.col("total_amount").cast("double")),
         "feedback_stream": lambda spark, sf: EN.fact_feedback(
             stored_marts(spark, sf), DC.streamed_feedback(spark, f"{document_streams(spark, sf)}/feedback")),
         "document_schema_violations": _v(EN.document_schema_violations),

@@ -159,6 +159,24 @@ def document_streams(spark: SparkSession, sf_dir: str) -> str:
         return _streams[key]
 
 
+_deltas: dict[tuple[str, str], str] = {}
+_dlock = threading.Lock()
+
+
+def revenue_deltas(spark: SparkSession, sf_dir: str, batches: int = 3) -> str:
+    """Folder of the daily revenue deltas that the landed changes leave in about ``batches`` micro-batches."""
+    from payflow.streaming.marts import run_marts_stream
+    key = _key(spark, sf_dir)
+    files = len(landed_messages(spark, sf_dir).inputFiles())
+    with _dlock:
+        if key not in _deltas:
+            root = f"{_root(spark, key)}/revenue"
+            run_marts_stream(spark, f"{_root(spark, key)}/landing", f"{root}/state", f"{root}/deltas", f"{root}/ck",
+                             max(1, -(-files // batches))).awaitTermination()
+            _deltas[key] = f"{root}/deltas"
+        return _deltas[key]
+
+
 def stored_marts(spark: SparkSession, sf_dir: str) -> StoredMarts:
     """The materialized star for ``sf_dir`` (built on first use in this application)."""
     key = _key(spark, sf_dir)

@@ -176,12 +176,4 @@ def land_raw(df: DataFrame, path: str, checkpoint: str, ts: str = "ingested_at",
             .partitionBy("dt", "hh").trigger(processingTime=every).start())
 
 
-def run_marts_stream(spark: SparkSession, src: str, checkpoint: str,
-                     build: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Micro-batch marts: each batch of staged rows runs the same batch function."""
-    s = cdc_stream(spark, src)
-    return (s.writeStream.foreachBatch(build).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
-
-
 ENVELOPE_SCHEMA = ENVELOPE
