@@ -11,6 +11,7 @@ from payflow.operators.ranks import global_running_sums
 
 from payflow import constants as K
 from payflow.operators.ranges import cidr_range, ipv4_number, narrowest_range
+from payflow.operators.tables import stored
 from payflow.operators.windows import burst_starts
 from payflow.plans.bindings import Views
 from payflow.plans.marts import Marts
@@ -84,17 +85,18 @@ def feature_drift(feats: DataFrame, as_of: Column | None = None, window_days: in
     width = F.col("hi") - F.col("lo")
     bin_ = (F.when(F.col("value") < F.col("lo"), -1).when(F.col("value") > F.col("hi"), bins).when(width == 0, 0)
             .otherwise(F.least(F.floor((F.col("value") - F.col("lo")) / width * bins), F.lit(bins - 1))))
-    h = (b.withColumn("bin", bin_.cast("int")).groupBy("feature", "bin")
-         .agg(F.count_if(F.col("period") == "ref").alias("r"), F.count_if(F.col("period") == "cur").alias("c")))
+    # one pass over the rows: counts per distinct value, from which histogram and distribution both follow
+    each = stored(b.groupBy("feature", "value", "lo", "hi")
+                  .agg(F.count_if(F.col("period") == "ref").alias("r"), F.count_if(F.col("period") == "cur").alias("c")), "drift-values")
+    h = each.withColumn("bin", bin_.cast("int")).groupBy("feature", "bin").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     tot = Window.partitionBy("feature")
     eps = 1e-4
     pr = F.greatest(F.col("r") / F.sum("r").over(tot), F.lit(eps))
     pc = F.greatest(F.col("c") / F.sum("c").over(tot), F.lit(eps))
     psi = h.withColumn("t", (pc - pr) * F.log(pc / pr)).groupBy("feature").agg(F.sum("t").alias("psi"))
-    d = (b.groupBy("feature", F.round("value", 9).alias("value"))
-         .agg(F.count_if(F.col("period") == "ref").alias("r"), F.count_if(F.col("period") == "cur").alias("c")))
+    d = each.groupBy("feature", F.round("value", 9).alias("value")).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
     run = global_running_sums(d, ["feature", "value"], {"r": ("run_r", "_r"), "c": ("run_c", "_c")})
-    sizes = d.groupBy("feature").agg(F.sum("r").alias("n_r"), F.sum("c").alias("n_c"))     # one row per feature
+    sizes = each.groupBy("feature").agg(F.sum("r").alias("n_r"), F.sum("c").alias("n_c"))     # one row per feature
     earlier = Window.orderBy("feature").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("o_r", F.coalesce(F.sum("n_r").over(earlier), F.lit(0))) \
         .withColumn("o_c", F.coalesce(F.sum("n_c").over(earlier), F.lit(0)))

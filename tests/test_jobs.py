@@ -198,3 +198,14 @@ def test_narrowest_network_of_an_address(spark):
     points = spark.createDataFrame(list(enumerate(ips)), "id long, ip string").select("id", ipv4_number(F.col("ip")).alias("n"))
     got = {r.id: r.cidr for r in narrowest_range(points, ranges, "id", "n", ["cidr"]).collect()}
     assert got == {0: "10.1.2.200/32", 1: "10.1.2.128/25", 2: "10.1.2.0/24", 3: "10.1.0.0/16", 4: "10.0.0.0/8", 5: "0.0.0.0/0", 6: "0.0.0.0/0"}
+
+
+def test_compliance_archive_keeps_each_month_and_replaces_a_rerun(spark, tmp):
+    report = spark.createDataFrame([("a", 1)], "metric string, value long")
+    checks = spark.createDataFrame([("c", True)], "check_name string, ok boolean")
+    P.archive_compliance(report, checks, tmp, "2024-01")
+    P.archive_compliance(report, checks, tmp, "2024-02")
+    P.archive_compliance(report.withColumn("value", F.lit(9).cast("long")), checks, tmp, "2024-01")     # a rerun
+    rows = sorted((str(r.run_date), r.value) for r in spark.read.parquet(os.path.join(tmp, "report")).collect())
+    assert rows == [("2024-01", 9), ("2024-02", 1)]
+    assert spark.read.parquet(os.path.join(tmp, "checks")).count() == 2

@@ -136,3 +136,18 @@ def test_dead_letters_of_the_stream_add_up(spark, tmp):
     assert sorted(r.error for r in letters) == ["no_key", "no_operation", "no_position", "unparsable", "unparsable"]
     assert {r.value for r in letters} == set(bad) and {r.topic for r in letters} == {"pay.public.transactions"}
     assert SJ.read_changes_state(spark, state).count() + len(letters) == len(good) + len(bad)
+
+
+def test_raw_landing_by_hour(spark, tmp):
+    src, out = os.path.join(tmp, "in"), os.path.join(tmp, "raw")
+    hours = [dt.datetime(2024, 1, 1, 5, 59), dt.datetime(2024, 1, 1, 6, 0), dt.datetime(2024, 1, 2, 6, 30), None]
+    schema = "key string, ingested_at timestamp_ntz"
+    spark.createDataFrame([(str(i), h) for i, h in enumerate(hours)], schema).write.parquet(src)
+    q = SJ.land_raw(spark.readStream.schema(schema).parquet(src), out, os.path.join(tmp, "ck"), every="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {(str(r.dt), None if r.hh is None else int(r.hh)): r.n for r in spark.read.parquet(out).groupBy("dt", "hh").agg(F.count("*").alias("n")).collect()}
+    assert got == {("2024-01-01", 5): 1, ("2024-01-01", 6): 1, ("2024-01-02", 6): 1, ("None", None): 1}
+    assert os.path.isdir(os.path.join(out, "dt=2024-01-01", "hh=05"))
