@@ -18,7 +18,8 @@ An empty table gives no rows. Extra columns are not read.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Collection, Iterable, Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -43,11 +44,17 @@ TRAINING_PAGES = 400
 
 
 class Blocks(HTMLParser):
-    """Collects (text, features, label) of the leaf blocks; labels only where ``MARK`` is set."""
+    """Collects (text, features, label) of the leaf blocks; labels only where ``MARK`` is set. Features of the open
+    elements are counted as they open and close, so a block costs its own features however deep it lies;
+    with ``known`` only those features are kept."""
 
-    def __init__(self):
+    def __init__(self, known: Collection[str] | None = None):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, list[str], str | None]] = []
+        self.known = known
+        self.open: list[tuple[str, list[str], str | None]] = []      # tag, its features, label in force
+        self.tags: Counter[str] = Counter()
+        self.above: dict[str, int] = {}
+        self.parents: list[str] = []
         self.text: list[str] = []
         self.linked = self.link_depth = self.unseen = 0
         self.out: list[tuple[str, list[str], str | None]] = []
@@ -60,12 +67,19 @@ class Blocks(HTMLParser):
             if tag == "br":
                 self.text.append(" ")
             return
-        names, label = (), None
+        own, label = [f"tag {tag}"] if tag not in ("html", "body") else [], self.open[-1][2] if self.open else None
         if attrs:
             got = dict(attrs)
-            names = [w for k in ("class", "id", "role") if got.get(k) for w in NAME.findall(got[k].lower())]
-            label = got.get(MARK)
-        self.open.append((tag, names, label))
+            own += [f"name {w}" for k in ("class", "id", "role") if got.get(k) for w in NAME.findall(got[k].lower())]
+            label = got.get(MARK, label)
+        if self.known is not None:
+            own = [f for f in own if f in self.known]
+        self.open.append((tag, own, label))
+        self.tags[tag] += 1
+        for f in own:
+            self.above[f] = self.above.get(f, 0) + 1
+        if tag not in INLINE:
+            self.parents.append(tag)
         self.unseen += tag in UNSEEN
         self.link_depth += tag == "a"
 
@@ -78,6 +92,8 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.flush()
+        if not self.tags[tag]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 self._cut(i)
@@ -96,13 +112,22 @@ class Blocks(HTMLParser):
         self.flush()
 
     def _cut(self, i: int) -> None:
-        for tag, _, _ in self.open[i:]:
+        for tag, own, _ in self.open[i:]:
             self.unseen -= tag in UNSEEN
             self.link_depth -= tag == "a"
+            self.tags[tag] -= 1
+            for f in own:
+                self.above[f] -= 1
+                if not self.above[f]:
+                    del self.above[f]
+            if tag not in INLINE:
+                self.parents.pop()
         del self.open[i:]
 
     def _close_implied(self, tag: str) -> None:
         ends = CLOSES.get(tag, set()) | {"p"}           # any block-level tag ends an open paragraph
+        if not any(self.tags[t] for t in ends):
+            return None
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] in ends:
                 return self._cut(i)
@@ -113,31 +138,28 @@ class Blocks(HTMLParser):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                label = next((m for _, _, m in reversed(self.open) if m is not None), None)
-                self.out.append((text, features(text, self.open, self.linked), label))
+                parent = self.parents[-1] if self.parents else ""
+                self.out.append((text, features(text, self.above, parent, self.linked), self.open[-1][2] if self.open else None))
             self.text.clear()
             self.linked = 0
 
 
-def features(text: str, above: list[tuple[str, list[str], str | None]], linked: int) -> list[str]:
-    out = {f"tag {t}" for t, _, _ in above if t not in ("html", "body")}
-    out |= {f"name {w}" for _, names, _ in above for w in names}
-    block = [t for t, _, _ in above if t not in INLINE]
-    out.add(f"parent {block[-1] if block else ''}")
+def features(text: str, above: Iterable[str], parent: str, linked: int) -> list[str]:
+    out = [f"parent {parent}"]
     n = len(text)
-    out.add(f"length {min(9, n.bit_length())}")
-    out.add(f"linked {min(3, 4 * linked // (n + 1))}")
-    out.add(f"ends {'stop' if text[-1] in '.!?' else 'mark' if not text[-1].isalnum() else 'letter'}")
-    out.add(f"stops {min(3, text.count('. ') + text.count('? ') + text.count('! '))}")
+    out.append(f"length {min(9, n.bit_length())}")
+    out.append(f"linked {min(3, 4 * linked // (n + 1))}")
+    out.append(f"ends {'stop' if text[-1] in '.!?' else 'mark' if not text[-1].isalnum() else 'letter'}")
+    out.append(f"stops {min(3, text.count('. ') + text.count('? ') + text.count('! '))}")
     if "\N{COPYRIGHT SIGN}" in text:
-        out.add("copyright sign")
-    if len(DIGIT.findall(text, 0, 200)) * 5 > min(n, 200):
-        out.add("many digits")
-    return ["always", *sorted(out)]
+        out.append("copyright sign")
+    if len(DIGIT.findall(text)) * 5 > n:
+        out.append("many digits")
+    return ["always", *sorted([*out, *above])]
 
 
-def blocks(html: str | None) -> list[tuple[str, list[str], str | None]]:
-    parser = Blocks()
+def blocks(html: str | None, known: Collection[str] | None = None) -> list[tuple[str, list[str], str | None]]:
+    parser = Blocks(known)
     parser.feed(html or "")
     parser.close()
     return parser.out
@@ -225,7 +247,7 @@ def trained() -> Crf:
 
 
 def main_text(crf: Crf, html: str | None) -> str:
-    own = blocks(html)
+    own = blocks(html, crf.of)
     keep = crf.decode([f for _, f, _ in own])
     return "\n".join(text for (text, _, _), k in zip(own, keep) if k)
 

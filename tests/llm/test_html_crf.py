@@ -52,3 +52,25 @@ def test_odd_pages(spark):
     assert len(got) == len(rows) and (got["text"].str.len() == got["n_chars"]).all()
     assert got.set_index("url")["n_chars"][["u", "y"]].tolist() == [0, 5 * 60_000 - 1]
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_deep_and_unclosed_pages_cost_their_length():
+    import time
+    crf = H.trained()
+    for html in ("<div>x" * 50_000, "<div>" * 30_000 + "x" + "</span></em></div>" * 30_000, "<center><b>y " * 30_000 + "</i>" * 30_000,
+                 "<p>one. two. " * 30_000, "".join(f"<div class=c{i}>x" for i in range(20_000))):
+        began = time.process_time()
+        H.main_text(crf, html)
+        assert time.process_time() - began < 8
+
+
+def test_digits_are_counted_in_the_whole_block():
+    found = lambda text: H.blocks(f"<p>{text}</p>")[0][1]
+    assert "many digits" in found("word " * 60 + "123456789 " * 60) and "many digits" not in found("123 " * 40 + "words only here " * 60)
+
+
+def test_known_features_do_not_change_the_result():
+    crf = H.trained()
+    for html in H.labelled_pages(30):
+        own = H.blocks(html)
+        assert H.main_text(crf, html) == "\n".join(t for (t, _, _), k in zip(own, crf.decode([f for _, f, _ in own])) if k)
