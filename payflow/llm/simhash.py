@@ -17,9 +17,10 @@ one row (member, smallest linked member) per member.
 
 Skew: exact copies collapse into one fingerprint before the search. A top node with more
 than ``node_rows`` fingerprints is cut into chunks and every pair of chunks is searched by
-a task of its own, so all links are found with bounded memory. At a fixed block width the
-top nodes grow with the input; ``blocks`` (more, narrower blocks, of which any
-``blocks - distance`` agree) keeps them small on larger corpora.
+a task of its own, so all links are found with bounded memory. Top nodes must not grow with
+the input, or the pairs of their chunks would: ``blocks`` (narrower blocks, of which any
+``blocks - distance`` agree and lead an order together) is picked from the counted number of distinct
+fingerprints, so that an even top node stays well below ``node_rows``. It changes the work, not the result.
 
 Rows: null text is empty; a text without words has fingerprint zero, which links like any
 other. Null ids never name a component (a group of only null ids gets null). Repeated rows
@@ -97,6 +98,12 @@ def block_masks(distance: int, blocks: int) -> list[int]:
     return [sum(c) for c in combinations(one, blocks - distance)]
 
 
+def pick_blocks(n: int, distance: int = DISTANCE, node_rows: int = NODE_ROWS) -> int:
+    """The fewest blocks whose orders' leading bits cut ``n`` fingerprints into top nodes of ``node_rows`` / 4 at most."""
+    most = 2 * distance + 1
+    return next((b for b in range(distance + 1, most) if n >> (BITS // b * (b - distance)) <= node_rows // 4), most)
+
+
 class GrayIndex:
     """Fingerprints in Gray order below a hierarchy of shared masked bit patterns."""
 
@@ -177,7 +184,7 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def links(prints: DataFrame, distance: int = DISTANCE, blocks: int | None = None,
           node_rows: int = NODE_ROWS) -> DataFrame:
     """Edges (a, b) over the distinct fingerprints ``prints.fp`` whose components are those of all links."""
-    masks = block_masks(distance, blocks or distance + 1)
+    masks = block_masks(distance, blocks or pick_blocks(prints.count(), distance, node_rows))
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     rows = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed]))
                          .alias("ord", "top"))

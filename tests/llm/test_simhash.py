@@ -88,3 +88,11 @@ def test_rows_equal_brute_force(docs_of, prose, odd):
 
 def test_empty(docs_of):
     assert S.near_duplicates(docs_of([])).count() == 0 and S.drop_near_duplicates(docs_of([])).count() == 0
+
+
+def test_blocks_grow_with_the_number_of_prints():
+    picked = [S.pick_blocks(n) for n in (0, 10**4, 10**7, 10**9, 10**11, 10**13)]
+    assert picked == sorted(picked) and picked[0] == 5 and picked[3] > 5
+    for n, b in zip((10**7, 10**9, 10**11), picked[2:]):
+        leading = min(bin(m).count("1") for m in S.block_masks(4, b))
+        assert n / 2**leading <= S.NODE_ROWS
