@@ -8,16 +8,19 @@ edits of it. By the q-gram lemma such a stretch shares at least
 minus item position) that differ by ``budget`` at most.
 
 1. All q-grams of a batch of documents are hashed with a few vector operations and looked
-   up in a bit table of the benchmark's q-grams.
+   up in a bit table of the benchmark's q-grams. Short items take a shorter q (the bound above must be
+   positive), items too short for an edit are looked up whole. Hits are taken in overlapping slices of the
+   documents, so a gram that repeats in both needs no more memory than any other.
 2. Hits are counted per (document, item, diagonal band). Bands are ``2 * budget`` wide and
    overlap by half, so every stretch lies in one of them whole. Bands without enough hits
    within one window's length are dropped.
 3. The retained regions are verified by alignment inside the band, all item windows of a
    region at once; what is within the budget is reported.
 
-The benchmark is the stated query set: it is taken in blocks of at most ``block_bytes`` of
-text, each sent to the tasks whole, and every block meets all documents, so neither side's
-size is limited and documents are never shuffled. Equal item texts are searched once.
+The benchmark is the stated query set: tasks write it in blocks of at most about ``block_bytes`` of
+memory to the shared folder, and every block meets all documents, so neither side's
+size is limited and documents are never shuffled; the driver holds the names of the files only, a worker
+one block. Equal item texts are searched once.
 
 Rows: null and empty texts or items match nothing; an item without letters or digits
 neither. Repeated document rows are found each, repeated item rows too. An empty table on
@@ -26,26 +29,32 @@ either side gives no matches. Extra columns are not read, or kept by ``drop_cont
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from payflow.llm.common import slices
+from payflow.llm.common import shared_folder, slices, stored
+from payflow.llm.files import open_fs, write_file
 
 Q = 10
 WINDOW = 80
 RATE = 0.08
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 128_000_000             # of memory, tables included
+TABLE_BYTES = 41                      # of memory for a byte of text
 TABLE_BITS = 24
 BATCH_UNITS = 2_000_000
+MOST_HITS = 1_000_000                 # looked at together
 
 MATCH = ("item_id long, matched_chars long, item_chars long, edits long, doc_start long, doc_end long, "
          "exact boolean")
 
+FOUND = MATCH.replace("item_id long", "name string")
+
 #: ASCII: capitals to small letters, everything that is no letter or digit to a blank.
 FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -76,52 +85,86 @@ def qgram_hashes(units: np.ndarray, q: int) -> np.ndarray:
             power = power * power
 
 
-class Benchmark:
-    """The q-grams of one block of items: distinct folded texts, each with its item ids."""
+class Grams:
+    """The ``q``-grams of some items (numbers into ``texts``), sorted by hash, behind a bit table."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], q: int, window: int, rate: float):
-        by_text: dict[bytes, list] = {}
-        for item_id, text in items:
-            if units := folded(text):
-                by_text.setdefault(units, []).append(item_id)
-        self.q, self.texts, self.ids = q, list(by_text), list(by_text.values())
-        self.window = [min(window, len(t)) for t in self.texts]
-        self.budget = [int(rate * w) for w in self.window]
-        self.need = [max(1, w + 1 - q * (e + 1)) for w, e in zip(self.window, self.budget)]
-        hashes, owners, places = [], [], []
-        for k, t in enumerate(self.texts):
-            h = qgram_hashes(np.frombuffer(t, dtype=np.uint8), q)
-            hashes.append(h)
-            owners.append(np.full(len(h), k))
-            places.append(np.arange(len(h)))
-        if hashes:
-            h = np.concatenate(hashes)
-            order = np.argsort(h, kind="stable")
-            self.hashes, self.owner, self.place = h[order], np.concatenate(owners)[order], np.concatenate(places)[order]
-        else:
-            self.hashes, self.owner, self.place = np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int)
-        self.table = np.zeros(1 << TABLE_BITS, dtype=bool)
+    def __init__(self, q: int, texts: list[bytes], items: list[int]):
+        self.q = q
+        hashes = [qgram_hashes(np.frombuffer(texts[k], dtype=np.uint8), q) for k in items]
+        h = np.concatenate(hashes)
+        order = np.argsort(h, kind="stable")
+        self.hashes = h[order]
+        self.owner = np.repeat(np.array(items), [len(x) for x in hashes])[order]
+        self.place = np.concatenate([np.arange(len(x)) for x in hashes])[order]
+        self.bits = int(min(TABLE_BITS, max(10, np.ceil(np.log2(64 * len(h) + 1)))))
+        self.table = np.zeros(1 << self.bits, dtype=bool)
         self.table[self._slot(self.hashes)] = True
 
-    @staticmethod
-    def _slot(h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def hits(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document position, item, item position) of all shared q-grams."""
+    def hits(self, units: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(text position, item, item position) of all shared q-grams, in slices of about ``MOST_HITS`` hits;
+        slices overlap by ``reach`` positions, so whatever lies within that reach lies in one of them whole."""
         h = qgram_hashes(units, self.q)
         at = np.flatnonzero(self.table[self._slot(h)])
         h = h[at]
-        a, b = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        n = b - a
-        entry = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        return np.repeat(at, n), self.owner[entry], self.place[entry]
-
-    def regions(self, units: np.ndarray, doc_of: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(document, item, lowest diagonal, first and last item position) of every retained band."""
-        pos, item, place = self.hits(units)
-        if not len(pos):
-            return
+        a = np.searchsorted(self.hashes, h, "left")
+        n = np.searchsorted(self.hashes, h, "right") - a
+        real = n > 0
+        at, a, n = at[real], a[real], n[real]
+        total = np.cumsum(n)
+        i = 0
+        while i < len(at):
+            j = max(int(np.searchsorted(total, MOST_HITS + (total[i - 1] if i else 0), "right")),
+                    int(np.searchsorted(at, at[i] + 2 * reach + 1)))
+            j = min(j, len(at))
+            own = n[i:j]
+            entry = np.repeat(a[i:j] - np.cumsum(own) + own, own) + np.arange(own.sum())
+            yield np.repeat(at[i:j], own), self.owner[entry], self.place[entry]
+            if j == len(at):
+                return
+            i = int(np.searchsorted(at, at[j] - reach))
+
+
+class Benchmark:
+    """One block of items: distinct folded texts, each with its names, and their q-grams.
+
+    An item's ``q`` is as long as the lemma allows: a window of w units with e edits shares at least
+    ``w + 1 - q * (e + 1)`` q-grams, so q is at most w / (e + 1). Items that allow no edit and are no longer than
+    a window are looked up as one gram each."""
+
+    def __init__(self, items: list[tuple[str | int | None, str | None]], q: int, window: int, rate: float):
+        by_text: dict[bytes, list] = {}
+        for name, text in items:
+            if units := folded(text):
+                by_text.setdefault(units, []).append(name)
+        self.texts, self.ids = list(by_text), list(by_text.values())
+        self.window = [min(window, len(t)) for t in self.texts]
+        self.budget = [int(rate * w) for w in self.window]
+        whole = [e == 0 and len(t) == w for t, w, e in zip(self.texts, self.window, self.budget)]
+        self.q = [w if one else max(1, min(q, w // (e + 1))) for w, e, one in zip(self.window, self.budget, whole)]
+        self.need = [w + 1 - own * (e + 1) for w, e, own in zip(self.window, self.budget, self.q)]
+        groups: dict[tuple[bool, int], list[int]] = {}
+        for k, key in enumerate(zip(whole, self.q)):
+            groups.setdefault(key, []).append(k)
+        self.exact = [Grams(own, self.texts, ks) for (one, own), ks in sorted(groups.items()) if one]
+        self.grams = [Grams(own, self.texts, ks) for (one, own), ks in sorted(groups.items()) if not one]
+
+    def regions(self, units: np.ndarray, doc_of: np.ndarray, done: set[tuple[int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(document, item, lowest diagonal, first and last item position) of every retained band; pairs of
+        (document, item) that are ``done`` are left out."""
+        for grams in self.grams:
+            reach = max(self.window[k] + self.budget[k] for k in set(grams.owner.tolist())) + grams.q
+            for pos, item, place in grams.hits(units, reach):
+                if done:
+                    ended = np.array([d * len(self.texts) + k for d, k in done])
+                    rest = ~np.isin(doc_of[pos] * len(self.texts) + item, ended)
+                    pos, item, place = pos[rest], item[rest], place[rest]
+                if len(pos):
+                    yield from self._bands(grams.q, pos, item, place, doc_of)
+
+    def _bands(self, q: int, pos: np.ndarray, item: np.ndarray, place: np.ndarray, doc_of: np.ndarray) -> Iterator[tuple]:
         budget, need, window = (np.array(x)[item] for x in (self.budget, self.need, self.window))
         half = np.maximum(budget, 1)
         diagonal = pos - place
@@ -143,7 +186,7 @@ class Benchmark:
         # a hit opens a window with enough hits if the hit `need` places on is near enough
         later = np.arange(len(doc)) + need - 1
         inside = later < stops[group]
-        dense = inside & (pos[np.minimum(later, len(doc) - 1)] - pos + self.q <= length)
+        dense = inside & (pos[np.minimum(later, len(doc) - 1)] - pos + q <= length)
         for g in np.unique(group[dense]).tolist():
             a, b = int(starts[g]), int(stops[g])
             yield int(doc[a]), int(item[a]), int(band[a] * half[a]), int(place[a:b].min()), int(place[a:b].max())
@@ -192,21 +235,34 @@ def find(bench: Benchmark, texts: list[str | None]) -> list[list[tuple]]:
         begin = np.cumsum([0] + [len(u) + 1 for u in units[a:b - 1]])
         doc_of = np.repeat(np.arange(b - a), [len(u) + 1 for u in units[a:b]])[:len(line)]
         best: dict[tuple[int, int], tuple] = {}
-        for doc, item, diagonal, low, high in bench.regions(line, doc_of):
+        for grams in bench.exact:
+            for pos, item, _ in grams.hits(line, grams.q):
+                _, first = np.unique(doc_of[pos] * len(bench.texts) + item, return_index=True)
+                for at, k in zip(pos[first].tolist(), item[first].tolist()):
+                    doc = int(doc_of[at])
+                    start = at - int(begin[doc])
+                    if (doc, k) not in best and units[a + doc][start:start + grams.q] == bench.texts[k]:
+                        best[doc, k] = grams.q, 0, start, start + grams.q
+        done: set[tuple[int, int]] = set()
+        for doc, item, diagonal, low, high in bench.regions(line, doc_of, done):
+            if (doc, item) in done:
+                continue
             got = verify(bench, units[a + doc], item, diagonal - int(begin[doc]), low, high)
-            if got and (doc, item) not in best or got and got[0] > best[doc, item][0]:
+            if got and ((doc, item) not in best or got[0] > best[doc, item][0]):
                 best[doc, item] = got
+                if got[0] == len(bench.texts[item]) and not got[1]:
+                    done.add((doc, item))
         for (doc, item), (covered, edits, start, stop) in sorted(best.items()):
-            for item_id in bench.ids[item]:
+            for name in bench.ids[item]:
                 n = len(bench.texts[item])
-                out[a + doc].append((item_id, covered, n, edits, start, stop, edits == 0 and covered == n))
+                out[a + doc].append((name, covered, n, edits, start, stop, edits == 0 and covered == n))
     return out
 
 
 def verify(bench: Benchmark, text: bytes, item: int, diagonal: int, low: int, high: int) -> tuple | None:
     whole, window, budget = bench.texts[item], bench.window[item], bench.budget[item]
     # the part of the item that windows with these hits can reach
-    low, high = max(0, low - window), min(len(whole), high + bench.q + window)
+    low, high = max(0, low - window), min(len(whole), high + bench.q[item] + window)
     part = whole[low:high]
     width = 2 * max(budget, 1)
     for d in range(diagonal, diagonal + width):                              # all of the item without an edit
@@ -218,23 +274,40 @@ def verify(bench: Benchmark, text: bytes, item: int, diagonal: int, low: int, hi
 
 
 def benchmark_blocks(benchmark: DataFrame, q: int = Q, window: int = WINDOW, rate: float = RATE,
-                     block_bytes: int = BLOCK_BYTES) -> list[Benchmark]:
-    """The benchmark in blocks of at most ``block_bytes`` of text (one item at least), in item order."""
-    blocks, held, size = [], [], 0
-    for r in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        n = len(r["text"] or "")
-        if held and size + n > block_bytes:
-            blocks.append(Benchmark(held, q, window, rate))
-            held, size = [], 0
-        held.append((r["item_id"], r["text"]))
-        size += n
-    return blocks + [Benchmark(held, q, window, rate)]
-
-
-def _matches(bench: Benchmark):
-    @F.pandas_udf(f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in MATCH.split(', '))}>>")
+                     block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[str]]:
+    """(item_id, name) of the items with a text, and the files of the blocks. Tasks write the blocks to the shared
+    folder; a block's distinct texts, named by their md5, take about ``block_bytes`` of memory with their q-grams."""
+    items = stored(benchmark.select("item_id", "text").where(F.col("text").isNotNull())
+                   .withColumn("name", F.md5("text")), "benchmark")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    count = max(1, -(-size * TABLE_BYTES // block_bytes))
+    folder = shared_folder(benchmark.sparkSession, "benchmark-blocks")
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        path = f"{folder}/{int(rows['block'].iloc[0])}.block"
+        write_file(path, pickle.dumps(Benchmark(list(zip(rows["name"], rows["text"])), q, window, rate)))
+        return pd.DataFrame({"path": [path]})
+
+    texts = items.groupBy("name").agg(F.first("text").alias("text"))
+    files = (texts.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(count)).cast("int"))
+             .groupBy("block").applyInPandas(write, "path string").collect())                  # file names, one a block
+    return items.select("item_id", "name"), sorted(r["path"] for r in files)
+
+
+@lru_cache(maxsize=1)
+def _block(path: str) -> Benchmark:
+    """One block at a time in a worker's memory."""
+    system, own = open_fs(path)
+    with system.open_input_file(own) as f:
+        return pickle.loads(f.read())
+
+
+def _matches(path: str):
+    """Matches per text against the block in the file ``path``."""
+    @F.pandas_udf(f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in FOUND.split(', '))}>>")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        names = [x.split()[0] for x in MATCH.split(", ")]
+        names = [x.split()[0] for x in FOUND.split(", ")]
+        bench = _block(path)
         for texts in batches:
             yield pd.Series([[dict(zip(names, m)) for m in own] for own in find(bench, list(texts))])
 
@@ -244,15 +317,17 @@ def _matches(bench: Benchmark):
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, window: int = WINDOW, rate: float = RATE,
                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document and item found in it: doc_id and ``MATCH`` (offsets in the folded text)."""
+    items, files = benchmark_blocks(benchmark, q, window, rate, block_bytes)
     rows = docs.select("doc_id", "text")
-    return reduce(DataFrame.unionByName, [
-        rows.select("doc_id", F.explode(_matches(b)).alias("m")).select("doc_id", "m.*")
-        for b in benchmark_blocks(benchmark, q, window, rate, block_bytes)])
+    found = [rows.select("doc_id", F.explode(_matches(f)).alias("m")).select("doc_id", "m.*") for f in files]
+    if not found:
+        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {MATCH}")
+    return reduce(DataFrame.unionByName, found).join(items, "name").select("doc_id", *[x.split()[0] for x in MATCH.split(", ")])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, window: int = WINDOW, rate: float = RATE,
                       block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows that hold a passage of any item; all columns stay."""
-    for b in benchmark_blocks(benchmark, q, window, rate, block_bytes):
-        docs = docs.where(F.size(_matches(b)) == 0)
+    for f in benchmark_blocks(benchmark, q, window, rate, block_bytes)[1]:
+        docs = docs.where(F.size(_matches(f)) == 0)
     return docs

@@ -76,3 +76,42 @@ def test_filter_keeps_columns_and_clean_rows(spark, docs_of, prose, odd):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.drop_contaminated(df, none).count() == df.count() and D.contaminated(df, none).count() == 0
     assert D.contaminated(docs_of([]), bench).count() == 0
+
+
+def test_items_of_every_length(prose):
+    r = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    for n in range(1, 81):
+        item = "".join(r.choices(letters, k=n))
+        bench = D.Benchmark([(1, item)], D.Q, D.WINDOW, D.RATE)
+        budget = bench.budget[0]
+        spots = r.sample(range(n), budget)
+        edited = "".join("#" if i in spots else c for i, c in enumerate(item)).replace("#", "%s") % tuple(
+            r.choice([x for x in letters if x != item[i]]) for i in sorted(spots))
+        worse = "".join(chr(ord("A") + i % 26) for i in range(n)).lower()[::-1]
+        texts = [f"{prose(8, n)} {item}", f"{prose(8, n)} {edited} {prose(5, n)}", item, prose(8, n) if n > 12 else "...", worse if n > 30 else ""]
+        found = [bool(m) for m in D.find(bench, texts)]
+        assert found[:3] == [True, True, True] and found[3:] == [False, False], n
+
+
+def test_runs_and_repeats_need_bounded_hits(monkeypatch):
+    monkeypatch.setattr(D, "MOST_HITS", 20_000)
+    run, mixed = "a" * 400, "a" * 150 + "bcdefghij" + "a" * 150
+    bench = D.Benchmark([(1, run), (2, mixed), (3, "0" * 200)], D.Q, D.WINDOW, D.RATE)
+    sizes = []
+    bands = D.Benchmark._bands
+    monkeypatch.setattr(D.Benchmark, "_bands", lambda self, q, pos, *rest: sizes.append(len(pos)) or bands(self, q, pos, *rest))
+    texts = ["x " + "a" * 700 + " y", "a" * 60, "0 " * 1_000, "bcd " + mixed]
+    found = [{m[0] for m in own} for own in D.find(bench, texts)]
+    assert found[0] == {1, 2} and found[1] == set() and found[2] == set() and found[3] >= {1, 2}
+    assert len(sizes) > 4 and max(sizes) < 2 * 97 * 700
+
+
+def test_slices_find_what_one_slice_finds(prose, monkeypatch):
+    docs, items = cases(prose)
+    bench = D.Benchmark(items, D.Q, D.WINDOW, D.RATE)
+    texts = [t for _, t in docs] * 3
+    whole = D.find(bench, texts)
+    monkeypatch.setattr(D, "MOST_HITS", 50)
+    pairs = lambda found: [{m[0] for m in own} for own in found]
+    assert pairs(D.find(bench, texts)) == pairs(whole)
