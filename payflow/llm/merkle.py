@@ -4,16 +4,15 @@ A text is cut at line breaks into paragraphs. A section ends after an empty para
 after one whose digest starts with a low byte (content-defined, about every 16th), so an
 edit moves only the borders near it. Section digests hash their paragraphs' digests, the
 root hashes the sections': roots are equal exactly for equal texts. Below a paragraph the
-leaves are content-defined chunks of about four words, cut after a word whose last bytes
-hash low, by the same rule at every length, so half a changed paragraph still shares leaves.
-Texts of under ``SHORT_BYTES`` have few chunks; their words are kept beside the tree.
+leaves are content-defined chunks, by one rule for texts of every length and script: a cut
+after a word (white space follows) whose last bytes hash low, about every other word, and, where no white space
+comes for ``RUN_BYTES``, after a byte at which the last four bytes hash low (Chinese and Japanese text, minified code).
+Every cut depends on the bytes just before it only, so an edit changes the leaves it touches and no others.
 
 The fingerprint is a string: root, ``:``, then the sections joined by ``;`` as
-``digest=paragraph,paragraph``, a paragraph being its leaves' 8-digit hashes; a short text
-has ``:`` and its words' hashes after that. ``likeness`` is the share of units that two
-fingerprints have in common (twice the shared number over the sum; 1 for equal roots). The
-units are words if both have them, else the chunks of both, so a text is never measured in
-words against another's chunks. ``first_difference`` descends only branches whose digests differ.
+``digest=paragraph,paragraph``, a paragraph being its leaves' 8-digit hashes. ``likeness`` is the share of
+leaves that two fingerprints have in common (twice the shared number over the sum; 1 for equal
+roots). ``first_difference`` descends only branches whose digests differ.
 The query's columns are computed on the entire digests (64 bits a leaf, SHA-256 a paragraph),
 not on the shortened ones of the string.
 
@@ -40,29 +39,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SECTION_BYTE = 16          # a paragraph digest whose first byte is below this closes a section
-CHUNK_MASK = 3             # one word in four ends a chunk
-SHORT_BYTES = 240          # below this the words are kept beside the chunks
-CHUNK_BYTES = 512          # longer chunks are cut at this length
+CHUNK_MASK = 1             # one word in two ends a chunk
+RUN_BYTES = 24             # so long without white space, one byte in ``RUN_MASK + 1`` does
+RUN_MASK = 31
+CHUNK_BYTES = 512          # chunks without any such byte (runs of one letter) are cut at this length
+BLANK = np.zeros(256, dtype=bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
 LEAF_BYTES = 4             # of a leaf's 8 bytes, those in the fingerprint string
 
 SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
           "near_edited double, near_next double, edited_paragraph long")
 
 
+def _cuts(marks: np.ndarray) -> list[int]:
+    """Where chunks end: positions of the white space that follows them, or of the first byte after them."""
+    n = len(marks)
+    before = np.concatenate((np.zeros(4, dtype=np.uint32), marks.astype(np.uint32)))       # before[i + 4] is marks[i]
+    blank = BLANK[marks]
+    at = np.flatnonzero(blank)
+    mix = before[at + 3] * 2654435761 + before[at + 2] * 40503 + before[at + 1] * 10007
+    cuts = at[((mix >> 13) & CHUNK_MASK == 0) | (marks[at] == 10)]
+    gaps = np.diff(np.concatenate(([-1], at, [n])))
+    if (gaps > RUN_BYTES).any():
+        places = np.arange(n)
+        last = np.maximum.accumulate(np.where(blank, places, -1))
+        far = np.flatnonzero(places - last > RUN_BYTES)
+        mix = before[far + 3] * 2654435761 + before[far + 2] * 40503 + before[far + 1] * 10007 + before[far] * 73856093
+        cuts = np.union1d(cuts, far[(mix >> 13) & RUN_MASK == 0])
+    return cuts.tolist()
+
+
 class Tree:
     """Merkle tree of one text: ``root`` (hex), ``sections`` [(hex, [paragraph leaves])],
-    ``digests`` [(digest, [paragraph digest])] of the same in full, a leaf count, and for short
-    texts the words (hex) and their count."""
+    ``digests`` [(digest, [paragraph digest])] of the same in full, and a leaf count."""
 
-    __slots__ = ("root", "sections", "digests", "leaves", "words", "units")
+    __slots__ = ("root", "sections", "digests", "leaves")
 
     def __init__(self, text: str):
         data = text.encode("utf-8", "surrogatepass")
-        marks = np.frombuffer(data, dtype=np.uint8)
-        at = np.flatnonzero((marks == 32) | (marks == 10))
-        before = np.concatenate((np.zeros(3, dtype=np.uint32), marks.astype(np.uint32)))
-        mix = before[at + 2] * 2654435761 + before[at + 1] * 40503 + before[at] * 10007
-        cuts = at[((mix >> 13) & CHUNK_MASK == 0) | (marks[at] == 10)].tolist()
+        cuts = _cuts(np.frombuffer(data, dtype=np.uint8))
         leaf, whole = xxhash.xxh3_64_digest, hashlib.sha256
         sections, digests, root, leaves = [], [], whole(), []
         section, paragraphs, marked, chunks = whole(), [], [], []
@@ -87,17 +102,12 @@ class Tree:
                     root.update(section.digest())
                     section, paragraphs, marked = whole(), [], []
                 line = stop + 1
-            start = stop + 1
+            start = stop + 1 if last or BLANK[data[stop]] else stop
         self.root, self.sections, self.digests = root.hexdigest()[:32], sections, digests
         self.leaves = Counter(leaves)
-        self.words = self.units = None
-        if len(data) < SHORT_BYTES:
-            words = [leaf(w) for w in data.replace(b"\n", b" ").split(b" ") if w]
-            self.words, self.units = _hex(words), Counter(words)
 
     def __str__(self) -> str:
-        tree = f"{self.root}:" + ";".join(f"{d}={','.join(p)}" for d, p in self.sections)
-        return tree if self.words is None else f"{tree}:{self.words}"
+        return f"{self.root}:" + ";".join(f"{d}={','.join(p)}" for d, p in self.sections)
 
 
 def _hex(leaves: list[bytes]) -> str:
@@ -105,29 +115,23 @@ def _hex(leaves: list[bytes]) -> str:
 
 
 def parse(fingerprint: str) -> tuple[str, list[tuple[str, list[str]]]]:
-    root, body, *_ = fingerprint.split(":")
+    root, body = fingerprint.split(":")
     return root, [(s[:8], s[9:].split(",")) for s in body.split(";")]
 
 
-def shared(a: tuple[Counter, Counter | None], b: tuple[Counter, Counter | None], equal: bool) -> float:
-    """Common share of two (chunks, words): of words if both have them, else of chunks."""
+def shared(a: Counter, b: Counter, equal: bool) -> float:
+    """Common share of two leaf counts."""
     if equal:
         return 1.0
-    x, y = (a[0], b[0]) if a[1] is None or b[1] is None else (a[1], b[1])
-    total = x.total() + y.total()
-    return 2.0 * (x & y).total() / total if total else 1.0
+    total = a.total() + b.total()
+    return 2.0 * (a & b).total() / total if total else 1.0
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of common units of two fingerprint strings, 0 to 1."""
+    """Share of common leaves of two fingerprint strings, 0 to 1."""
     step = 2 * LEAF_BYTES
-    count = lambda hashes: Counter(p[i:i + step] for p in hashes for i in range(0, len(p), step))
-
-    def units(fingerprint: str) -> tuple[Counter, Counter | None]:
-        words = fingerprint.split(":")[2:]
-        return count(p for _, ps in parse(fingerprint)[1] for p in ps), count(words) if words else None
-
-    return shared(units(a), units(b), parse(a)[0] == parse(b)[0])
+    leaves = lambda f: Counter(p[i:i + step] for _, ps in parse(f)[1] for p in ps for i in range(0, len(p), step))
+    return shared(leaves(a), leaves(b), parse(a)[0] == parse(b)[0])
 
 
 def first_difference(a: tuple[str, list], b: tuple[str, list]) -> int | None:
@@ -209,6 +213,6 @@ def _row(own: tuple, following: tuple) -> tuple:
     new = Tree(edited) if edited != text else tree
     return (None if pd.isna(doc_id) else int(doc_id), len(text),
             hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), str(tree), str(new),
-            shared((tree.leaves, tree.units), (new.leaves, new.units), tree.root == new.root),
-            shared((tree.leaves, tree.units), (following[2].leaves, following[2].units), tree.root == following[2].root),
+            shared(tree.leaves, new.leaves, tree.root == new.root),
+            shared(tree.leaves, following[2].leaves, tree.root == following[2].root),
             first_difference((tree.root, tree.digests), (new.root, new.digests)))
