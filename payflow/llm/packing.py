@@ -1,12 +1,17 @@
 """Cost-balanced packing of tokenised documents into sequences of a fixed length.
 
 Every document is its token ids plus one end id. The documents of a scan task are packed
-in groups of about ``group_tokens`` tokens, so nothing is shuffled, a task holds one group
-and a lost task is simply run again. In a group of T tokens the sequences are fixed
-beforehand: T // capacity full ones and, for the rest, one sequence per set bit of
-T % capacity. Those short ones have a power of two as length and need no padding, so all
+in groups of about ``group_tokens`` tokens; a task holds one group. In a group of T tokens the
+sequences are fixed beforehand: T // capacity full ones and, for the rest, one sequence per
+set bit of T % capacity. Those short ones have a power of two as length and need no padding, so all
 sequences end up exactly full.
 
+Only full sequences stay as the scan tasks made them. The pieces of a group's short ones (less than
+``capacity`` tokens) go to a second round, where those of all tasks are shuffled together into groups
+of ``group_tokens`` and packed by the same rule. So short sequences come at the end of large groups only, at most
+log2(capacity) of them, however the input is split into files. The first round's pieces are written to
+the shared folder once, so both rounds see the same ones when executors are lost.
+
 Assignment: the longest piece goes first, to the sequence with the lowest estimated cost
 (``linear * n + quadratic * n * n`` summed over its pieces; attention is per piece) among
 those with room for all of it. Where no sequence has room, the piece fills the cheapest
@@ -29,6 +34,9 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from payflow.llm.common import stored
 
 CAPACITY = 2048
 END_ID = 1
@@ -134,6 +142,25 @@ def pack(lengths: list[int], capacity: int = CAPACITY, linear: float = LINEAR,
     return out
 
 
+_ROUND = PIECE_SCHEMA + ", ids binary, full boolean"
+
+
+def _packed(keys: list, starts: list[int], ids: list[bytes], totals: list[int], first: int, capacity: int, linear: float,
+            quadratic: float) -> tuple[pd.DataFrame, int]:
+    """The pieces of one group as rows of ``_ROUND`` and the number of its sequences. ``starts`` and ``totals``: where a
+    document's ids begin and how many it has in all."""
+    lengths = [len(x) // 4 for x in ids]
+    pieces = pack(lengths, capacity, linear, quadratic)
+    cut = [ids[d][4 * a:4 * (a + n)] for d, a, n, _, _ in pieces]
+    full = sum(lengths) // capacity
+    return pd.DataFrame({
+        "doc_id": pd.array([keys[p[0]] for p in pieces], dtype="Int64"),
+        "start": [starts[p[0]] + p[1] for p in pieces], "length": [p[2] for p in pieces],
+        "ids_crc32": [zlib.crc32(x) for x in cut], "doc_tokens": [totals[p[0]] for p in pieces],
+        "sequence_id": [first + p[3] for p in pieces], "offset": [p[4] for p in pieces], "ids": cut,
+        "full": [p[3] < full for p in pieces]}), len(sequence_lengths(sum(lengths), capacity))
+
+
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY,
                    end_id: int = END_ID, linear: float = LINEAR, quadratic: float = QUADRATIC,
                    group_tokens: int = GROUP_TOKENS, with_ids: bool = False) -> DataFrame:
@@ -141,39 +168,48 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     little-endian uint32 bytes). ``capacity`` must be a power of two times one."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = TaskContext.get().partitionId() << 33
-        ids: list[bytes] = []
-        keys: list = []
-        held = 0
-
-        def flush() -> pd.DataFrame:
-            nonlocal first, held
-            lengths = [len(x) // 4 for x in ids]
-            pieces = pack(lengths, capacity, linear, quadratic)
-            cut = [ids[d][4 * a:4 * (a + n)] for d, a, n, _, _ in pieces]
-            out = pd.DataFrame({
-                "doc_id": pd.array([keys[p[0]] for p in pieces], dtype="Int64"),
-                "start": [p[1] for p in pieces], "length": [p[2] for p in pieces],
-                "ids_crc32": [zlib.crc32(x) for x in cut], "doc_tokens": [lengths[p[0]] for p in pieces],
-                "sequence_id": [first + p[3] for p in pieces], "offset": [p[4] for p in pieces]})
-            if with_ids:
-                out["ids"] = cut
-            first += len(sequence_lengths(sum(lengths), capacity))
-            ids.clear()
-            keys.clear()
-            held = 0
-            return out
-
+    def groups(rows: Iterator[tuple], first: int) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        size = 0
+        for row in rows:
+            held.append(row)
+            size += len(row[2]) // 4
+            if size >= group_tokens:
+                out, n = _packed(*map(list, zip(*held)), first, capacity, linear, quadratic)
+                first, held, size = first + n, [], 0
+                yield out
+        if held:
+            yield _packed(*map(list, zip(*held)), first, capacity, linear, quadratic)[0]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer).encode
-        for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                keys.append(None if pd.isna(doc_id) else int(doc_id))
-                ids.append(encode(text or "") + end)
-                held += len(ids[-1]) // 4
-                if held >= group_tokens:
-                    yield flush()
-        if ids:
-            yield flush()
-
-    return docs.select("doc_id", "text").mapInPandas(rows, PIECE_SCHEMA + (", ids binary" if with_ids else ""))
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for doc_id, text in zip(batch["doc_id"], batch["text"]):
+                    ids = encode(text or "") + end
+                    yield None if pd.isna(doc_id) else int(doc_id), 0, ids, len(ids) // 4
+
+        for out in groups(rows(), TaskContext.get().partitionId() << 34):
+            if not with_ids:
+                out["ids"] = out["ids"].where(~out["full"], None)      # only pieces of the second round carry theirs
+            yield out
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((None if pd.isna(d) else int(d), a, x, n) for batch in batches
+                for d, a, x, n in zip(batch["doc_id"], batch["start"], batch["ids"], batch["doc_tokens"]))
+        yield from groups(rows, TaskContext.get().partitionId() << 34 | 1 << 33)
+
+    pieces = stored(docs.select("doc_id", "text").mapInPandas(scan, _ROUND), "packing")
+    rest = pieces.where(~F.col("full"))
+    size = rest.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    spread = F.xxhash64("doc_id", "start", "ids_crc32", "sequence_id")
+    mixed = rest.repartition(max(1, -(-size // group_tokens)), spread).mapInPandas(again, _ROUND)
+    names = [x.split()[0] for x in PIECE_SCHEMA.split(", ")] + ["ids"] * with_ids
+    return pieces.where("full").select(names).unionByName(mixed.select(names))
+
+
+def short_share(pieces: DataFrame, capacity: int = CAPACITY) -> float:
+    """Share of the sequences of ``pieces`` that are shorter than ``capacity``."""
+    size = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"))
+    return size.agg(F.coalesce(F.avg((F.col("n") < capacity).cast("double")), F.lit(0.0))).first()[0]

@@ -65,3 +65,43 @@ def test_costs_are_balanced():
             at, n = at + take, n - take
     full = fill == P.CAPACITY
     assert cost[full].std() < plain[full].std() and len(in_order)
+
+
+def plain_pack(lengths, capacity=P.CAPACITY):
+    """The stated rule by plain loops: (document, start, length, sequence) in the order of assignment."""
+    total = sum(lengths)
+    room = [capacity] * (total // capacity) + [1 << b for b in range(20, -1, -1) if total % capacity >> b & 1]
+    cost, out = [0.0] * len(room), []
+    line = [(n, d, 0) for d, n in enumerate(lengths) if n]
+    while line:
+        line.sort(key=lambda x: (-x[0], x[1], x[2]))
+        n, d, start = line.pop(0)
+        able = [s for s in range(len(room)) if room[s] >= n] or [s for s in range(len(room)) if room[s]]
+        s = min(able, key=lambda s: (cost[s], s))
+        take = min(n, room[s])
+        out.append((d, start, take, s))
+        room[s] -= take
+        cost[s] += P.LINEAR * take + P.QUADRATIC * take * take
+        if n > take:
+            line.append((n - take, d, start + take))
+    return out
+
+
+def test_assignment_like_the_stated_rule():
+    r = np.random.default_rng(2)
+    for lengths in ([1], [2048], [2049, 1], [700, 700, 700], r.integers(1, 900, 60).tolist(), [5000, 3, 3, 2048, 77]):
+        assert [p[:4] for p in P.pack(lengths)] == plain_pack(lengths)
+
+
+def test_many_small_files_give_few_short_sequences(spark, docs_of, prose):
+    docs = [(i, prose(90, i)) for i in range(300)]
+    split, whole = docs_of(docs).repartition(60, "doc_id"), docs_of(docs).coalesce(1)
+    packed = {}
+    for name, df in (("split", split), ("whole", whole)):
+        got = P.pack_documents(df).toPandas()
+        size = got.groupby("sequence_id")["length"].sum()
+        assert ((size & (size - 1)) == 0).all() and size.max() == P.CAPACITY
+        assert (size < P.CAPACITY).sum() <= 11 and got["length"].sum() == got.drop_duplicates("doc_id")["doc_tokens"].sum()
+        packed[name] = len(size)
+    assert abs(packed["split"] - packed["whole"]) <= 11
+    assert P.short_share(P.pack_documents(split)) < 0.5
