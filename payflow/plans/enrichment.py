@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from payflow.operators.scd2 import scd2_apply
 from payflow.plans.bindings import Views
 from payflow.plans.marts import Marts
+from payflow.sources.sinks import _fs
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -98,12 +99,21 @@ def segment_migrations(dim_before: DataFrame, segments_now: DataFrame, as_of: st
 
 def refresh_agg(fact: DataFrame, agg_fn, path: str, days: int = 2, as_of: Column | None = None) -> None:
     """Recompute only the last ``days`` days of a ``date_sk``-partitioned aggregate and
-    replace just those partitions (late data within the window is picked up)."""
+    replace just those partitions (late data within the window is picked up); a day of the window
+    that has no rows any more loses its partition."""
     as_of = as_of if as_of is not None else fact.agg(F.max("loaded_at")).scalar()
     lo = F.date_format(F.date_sub(F.to_date(as_of), days - 1), "yyyyMMdd").cast("int")
     recent = agg_fn(fact.filter(F.col("date_sk") >= lo))
     (recent.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date_sk")
      .parquet(path))
+    spark = fact.sparkSession
+    first = spark.range(1).select(lo.alias("lo")).first()["lo"]
+    kept = {r["date_sk"] for r in fact.filter(F.col("date_sk") >= lo).select("date_sk").distinct().collect()}     # days
+    fs, p = _fs(spark, path)
+    for day in fs.listStatus(p):
+        name = day.getPath().getName()
+        if name.startswith("date_sk=") and name[8:].isdigit() and int(name[8:]) >= first and int(name[8:]) not in kept:
+            fs.delete(day.getPath(), True)
 
 
 def top_products_per_merchant(m: Marts, k: int = 3) -> DataFrame:

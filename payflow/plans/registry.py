@@ -19,7 +19,7 @@ from payflow.plans import reports_oltp as T
 from payflow.plans.bindings import Views
 from payflow.plans.marts import Marts
 from payflow.streaming import marts as SM
-from payflow.plans.store import document_streams, input_state, landed_messages, revenue_deltas, stored_features, stored_marts, stored_views
+from payflow.plans.store import document_streams, input_state, landed_messages, revenue_deltas, stored_months, stored_features, stored_marts, stored_views
 
 Job = Callable[[SparkSession, str], DataFrame]
 
@@ -55,7 +55,7 @@ def reports() -> dict[str, Job]:
         "shared_cards": _v(T.shared_cards),
         "mrr_usd": _v(T.mrr_usd),
         "sensitive_access": _v(T.sensitive_access),
-        "failed_last": lambda spark, sf: T.failed_last(stored_views(spark, sf).tx),
+        "failed_last": lambda spark, sf: T.failed_last(stored_months(spark, sf)),
         # analytical (star)
         "rev_monthly_cumulative": _m(O.rev_monthly_cumulative),
         "spend_deciles": _m(O.spend_deciles),

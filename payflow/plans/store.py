@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from payflow.plans.bindings import Views
 from payflow.plans.marts import Marts
 from payflow.session import ensure_checkpoint_dir
+from payflow.sources.sinks import write_transactions
 
 # mart name -> columns to sort rows by inside each file (zone maps for range filters)
 TABLES = {
@@ -121,6 +122,21 @@ def stored_views(spark: SparkSession, sf_dir: str) -> Views:
         return _views[key]
 
 
+_months: dict[tuple[str, str], DataFrame] = {}
+_molock = threading.Lock()
+
+
+def stored_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payments partitioned by month (``sinks.write_transactions``), for reports that prune by it."""
+    key = _key(spark, sf_dir)
+    with _molock:
+        if key not in _months:
+            path = f"{_root(spark, key)}/tx_by_month"
+            write_transactions(stored_views(spark, sf_dir).tx, path)
+            _months[key] = spark.read.parquet(path)
+        return _months[key]
+
+
 _messages: dict[tuple[str, str], DataFrame] = {}
 _mlock = threading.Lock()
 

@@ -65,6 +65,10 @@ def test_segment_migrations_and_refresh(spark, tmp):
     refresh_agg(late, agg, path, days=2)
     got = {r.date_sk: r.v for r in spark.read.parquet(path).collect()}
     assert got == {20240101: 1.0, 20240102: 2.0, 20240103: 14.0}
+    gone = late.filter("date_sk <> 20240102")                         # a day of the window became empty
+    refresh_agg(gone, agg, path, days=2)
+    spark.catalog.refreshByPath(path)
+    assert {r.date_sk: r.v for r in spark.read.parquet(path).collect()} == {20240101: 1.0, 20240103: 14.0}
 
 
 def _nearest(items, queries, k):
