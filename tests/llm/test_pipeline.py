@@ -43,6 +43,46 @@ def test_stages_keep_the_columns_of_documents(spark):
         assert stage(spark, docs, SF).schema == docs.schema, name
 
 
+def _folder(spark, path, docs, labels, items):
+    """Tables of a small corpus, with extra columns whose names the operators use."""
+    spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "x", 1, 0.5) for i, t in docs],
+                          "doc_id long, text string, lang string, source string, n_chars long, fp string, y int, score double"
+                          ).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_odd_rows_through_all_stages(spark, tmp_path, prose, odd):
+    import corpus_pipeline
+    passage = prose(40, 900)
+    docs = odd + [(100 + i, prose(30 + i, i)) for i in range(40)] + [(300, prose(30, 1)), (300, prose(30, 1)), (301, prose(9_000, 77)),
+                                                                     (302, prose(20, 5) + " " + passage), (None, None), (303, None)]
+    sf = _folder(spark, tmp_path, docs, [], [(1, passage), (None, None), (2, "")])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        own = spark.read.parquet(f"{sf}/documents.parquet")
+        assert stage(spark, own, sf).schema == own.schema, name
+    got = corpus_pipeline.run(spark, sf).toPandas()
+    kept = set(got["doc_id"].dropna().astype(int))
+    assert {100 + i for i in range(40) if i != 1} <= kept and 301 in kept and 302 not in kept
+    assert len(kept & {101, 300}) >= 1 and (got[got["doc_id"] == 300].groupby("start").size() == 1).all()
+    whole = got.groupby("doc_id")["length"].sum()
+    assert (whole == got.drop_duplicates("doc_id").set_index("doc_id")["doc_tokens"].loc[whole.index]).all()
+    empty = [d for d, t in docs if d is not None and not (t or "").split()]
+    assert len(kept & set(empty)) == 1                                # empty texts are near duplicates of each other
+
+
+def test_empty_tables_through_all_stages(spark, tmp_path, prose):
+    import corpus_pipeline
+    none = _folder(spark, tmp_path / "none", [], [], [])
+    assert corpus_pipeline.run(spark, none).count() == 0
+    few = [(i, prose(40, i)) for i in range(12)]
+    bare = _folder(spark, tmp_path / "bare", few, [], [])
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, bare).collect()} == set(range(12))
+    only = _folder(spark, tmp_path / "only", [], [(1, 1, 0), (2, 0, 1)], [(1, prose(30, 3))])
+    assert corpus_pipeline.run(spark, only).count() == 0
+
+
 def test_entry_without_the_subpackage(monkeypatch):
     import __spark_entry__ as entry
     assert "op8_simhash" in entry.queries() and "pipeline" in entry.queries() and "op5_licenses" in entry.oracle_sql()
