@@ -1,4 +1,11 @@
-"""From raw documents to packed sequences: every stage applies one operator to all it gets."""
+"""From raw documents to packed sequences: every stage applies one operator to all it gets.
+
+Rows: null and empty texts pass the classifiers or not by their score as empty texts, are near duplicates of
+each other (one of them stays) and are packed as their end id alone. Of repeated rows one stays. Rows with a null
+doc_id are kept apart from the others; of a group of only such rows one stays. Without labels nothing is rejected
+by the classifiers; without a benchmark nothing is contaminated; an empty documents table gives no pieces. Extra columns
+of documents, clashing names included, pass every stage but the last, which returns the pieces.
+"""
 
 from __future__ import annotations
 
