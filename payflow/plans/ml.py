@@ -160,9 +160,9 @@ def feature_importance(feats: DataFrame, max_iter: int = 200, key: str = "defaul
     return spark.createDataFrame(list(zip(FEATURES, [float(x) for x in imp])), "feature string, importance double")
 
 
-def shuffle_key(id_col: Column, feature: int, repeat: int, seed: int = 1) -> Column:
+def shuffle_key(id_col: Column, repeat: int, seed: int = 1) -> Column:
     """Order of the rows in one permutation: the id times an odd number of its own, modulo 2^32."""
-    return F.pmod(id_col * F.lit(2_654_435_761 + 2 * (7919 * (feature + 1) + 104_729 * repeat + 15_485_863 * seed)), F.lit(2**32))
+    return F.pmod(id_col * F.lit(2_654_435_761 + 2 * (104_729 * repeat + 15_485_863 * seed)), F.lit(2**32))
 
 
 def grouped_auc(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -179,17 +179,16 @@ def permutation_importance(rows: DataFrame, features: list[str], score: Callable
     """How much the ROC AUC of ``score`` (adds a column ``score``, rounded here to 4 decimals) falls when one
     feature's values are dealt out anew among the rows: (feature, base_auc, mean_drop, spread over the repeats).
 
-    All permutations are made in one pass: rows are numbered by ``key`` once; every (feature, repeat) numbers the same
-    values in an order of its own, and value and row meet on equal numbers. The numbering splits its
-    groups over tasks, so no column is gathered."""
+    All permutations are made in one pass: rows are numbered by ``key`` once and in an order of its own for every repeat;
+    row and donor meet on equal numbers, and each feature in turn is taken from the donor. The numbering
+    splits its groups over tasks, so no column is gathered."""
     base = stored(global_row_number(rows.select(key, label, *features), [key], "_at"), "permutation-rows")
-    kinds = {f: base.schema[f].dataType for f in features}
-    deals = F.array(*[F.struct(F.lit(i).alias("_f"), F.lit(r).alias("_r"), shuffle_key(F.col(key), i, r, seed).alias("_h"),
-                               F.col(f).cast("string").alias("_v")) for i, f in enumerate(features) for r in range(repeats)])
-    dealt = stored(base.select(key, F.explode(deals).alias("d")).select(key, "d.*"), "permutation-values")
-    dealt = group_row_number(dealt, ["_f", "_r"], ["_h", key], "_at").select("_f", "_r", "_at", "_v")
-    swapped = base.join(dealt, "_at").withColumns({
-        f: F.when(F.col("_f") == i, F.col("_v").cast(kinds[f])).otherwise(F.col(f)) for i, f in enumerate(features)})
+    deals = F.array(*[F.struct(F.lit(r).alias("_r"), shuffle_key(F.col(key), r, seed).alias("_h")) for r in range(repeats)])
+    dealt = base.select(key, *[F.col(f).alias(f"_new_{f}") for f in features], F.explode(deals).alias("d")).select("*", "d.*").drop("d")
+    dealt = group_row_number(dealt, ["_r"], ["_h", key], "_at").drop(key, "_h")
+    which = F.explode(F.array(*[F.lit(i) for i in range(len(features))])).alias("_f")
+    swapped = base.join(dealt, "_at").select("*", which).withColumns({
+        f: F.when(F.col("_f") == i, F.col(f"_new_{f}")).otherwise(F.col(f)) for i, f in enumerate(features)})
     every = score(base.withColumns({"_f": F.lit(-1), "_r": F.lit(0)}).select("_f", "_r", label, *features)
                   .unionByName(swapped.select("_f", "_r", label, *features)))
     auc = grouped_auc(every.select("_f", "_r", F.round("score", 4).alias("score"), F.col(label).alias("label")), ["_f", "_r"])

@@ -143,10 +143,10 @@ def test_permutation_importance_equals_a_plain_one(spark):
     ids, label = ids[order], label[order]
     plain = lambda c: _auc(np.round(1 / (1 + np.exp(-(c["a"] + 0.3 * c["b"] + 0.1 * c["flag"]))), 4), label)
     base = plain(cols)
-    for i, f in enumerate(cols):
+    for f in cols:
         drops = []
         for r in range(4):
-            m = 2_654_435_761 + 2 * (7919 * (i + 1) + 104_729 * r + 15_485_863 * 3)
+            m = 2_654_435_761 + 2 * (104_729 * r + 15_485_863 * 3)
             dealt = np.argsort([int(x) * m % 2**32 for x in ids], kind="stable")
             drops.append(base - plain({**cols, f: cols[f][dealt]}))
         assert np.allclose(got[f], (base, np.mean(drops), np.std(drops, ddof=1)), atol=2e-6)
