@@ -278,3 +278,28 @@ def test_running_sums_equal_a_window(spark):
         run += n
         assert got[x] == (run, total)
     assert dict(dense_key(df, ["x"], "k").dtypes)["k"] == "bigint"       # keys do not wrap past 2^31
+
+
+def test_frames_are_whole_across_batches_nulls_and_equal_times(spark, monkeypatch):
+    """A group longer than the rows worked on together, equal times at the cut, null keys, times, values and amounts."""
+    from payflow.operators import windows as W
+    monkeypatch.setattr(W, "FRAME_ROWS", 7)
+    rnd = random.Random(9)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, rnd.choice(["a", "a", "a", "b", None]), None if i % 37 == 0 else base + dt.timedelta(hours=rnd.randint(0, 150)),
+             rnd.choice(["x", "y", "z", None]), None if i % 11 == 0 else Decimal(rnd.randint(-10**13, 10**13)) / 100) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz, c string, amt decimal(16,2)").coalesce(1)
+    frames = {"n1": (3600, False, W.COUNT), "n9": (9 * 3600, True, W.COUNT), "s": (30 * 3600, True, W.frame_sum("amt")),
+              "d": (20 * 3600, True, W.distinct_count("c"))}
+    out = W.multi_range_frame_aggs(df, ["k"], "ts", frames, bucket_s=60 * 3600, peer_order="id")
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()          # one pass, no copies of the rows as events
+    got = {r.id: r for r in out.collect()}
+    assert len(got) == len(rows)
+    for i, k, t, _, _ in rows:
+        def inside(hours, now=True, k=k, t=t):
+            return [r for r in rows if t and r[1] == k and r[2] and t - dt.timedelta(hours=hours) <= r[2] and (r[2] <= t if now else r[2] < t)]
+        peers = sum(r[1] == k and r[2] == t and r[0] <= i for r in rows)
+        g = got[i]
+        assert (g.n1, g.n9, g.s, g.d, g._peer_rn) == (
+            len(inside(1, False)), len(inside(9)), sum((r[4] or 0 for r in inside(30)), Decimal(0)),
+            len({r[3] for r in inside(20)} - {None}), peers), i
