@@ -209,3 +209,24 @@ def test_compliance_archive_keeps_each_month_and_replaces_a_rerun(spark, tmp):
     rows = sorted((str(r.run_date), r.value) for r in spark.read.parquet(os.path.join(tmp, "report")).collect())
     assert rows == [("2024-01", 9), ("2024-02", 1)]
     assert spark.read.parquet(os.path.join(tmp, "checks")).count() == 2
+
+
+def test_landed_messages_are_compressed_in_bounded_files(spark):
+    from payflow.plans import store
+    files = store.landed_messages(spark, SF_SMALL).inputFiles()
+    assert files and all(f.endswith(".json.gz") for f in files)
+
+
+def test_fact_is_not_shuffled_by_instrument_or_whole_dimensions(spark):
+    from payflow.plans.marts import Marts
+    from payflow.plans.bindings import Views
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        m = Marts(Views(spark, SF_SMALL))
+        plan = m.fact_transactions._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(payment_method_id" not in plan
+        used = m._in_use(m.dim_product, "product_id")
+        assert used.count() == m.v.tx.select("product_id").distinct().join(m.dim_product, "product_id").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
