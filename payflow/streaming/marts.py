@@ -63,8 +63,8 @@ def apply_delta(batch: DataFrame, name: str, state: str, deltas: str, run: str =
     spark = batch.sparkSession
     changes = batch.withColumn("_deleted", F.col("op") == "d").drop("ingested_at")
     path = f"{deltas.rstrip('/')}/batch={run}-{name}"
+    changes = changes.persist()                              # parsed once, for the delta and for the state
     if not _exists(spark, f"{path}/_SUCCESS"):
-        changes = changes.persist()
         latest = latest_per_key(changes, [KEY], [F.col(ORDER)])
         touched = [r[0] for r in changes.select(F.pmod(F.xxhash64(KEY), F.lit(buckets))).distinct().collect()]   # bucket numbers
         log = read_log(spark, state)
@@ -76,8 +76,8 @@ def apply_delta(batch: DataFrame, name: str, state: str, deltas: str, run: str =
             new = latest_per_key(old.unionByName(latest), [KEY], [F.col(ORDER)])
             add = contributions(new).unionByName(contributions(old, -1))
         _summed(add).write.mode("overwrite").parquet(path)
-        changes.unpersist()
     upsert(spark, state, changes, [KEY], [F.col(ORDER)], name, buckets, run)
+    changes.unpersist()
 
 
 def _bases(spark: SparkSession, deltas: str) -> tuple[str | None, set[str]]:

@@ -89,3 +89,18 @@ def test_crashes_between_the_steps(spark, tmp, monkeypatch):
     assert M.read_mart(spark, deltas) is None
     M.apply_delta(_rows(spark, rows[40:]), "1", state, os.path.join(tmp, "d2"), "r", 4)
     assert _mart(M.read_mart(spark, os.path.join(tmp, "d2"))) == []    # nothing new against the state
+
+
+def test_a_batch_is_read_once(spark, tmp):
+    """The delta and the state take the same parsed rows: parsing is the dear step of a batch."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = _changes(40)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    M.apply_delta(_rows(spark, rows).mapInArrow(count, SCHEMA), "0", f"{tmp}/s", f"{tmp}/d")
+    assert seen.value == len(rows)
+    assert _mart(M.read_mart(spark, f"{tmp}/d")) == _expected(rows)
