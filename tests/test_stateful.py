@@ -114,3 +114,54 @@ def test_sessions_with_replays_and_late_pushes(spark, tmp):
     assert sorted(tuple(r) for r in got.collect()) == [
         ("s1", 7, "mobile", T0, T0 + 5 * minute, 3, 1, True, 300), ("s2", 8, "mobile", T0 + minute, T0 + minute, 1, 0, False, 0),
         ("s3", 9, "mobile", T0 + 60 * minute, T0 + 60 * minute, 1, 0, False, 0)]
+
+
+def test_a_session_takes_its_events_in_one_state_call():
+    """Every state call is a round trip: their number must not grow with the events of a batch."""
+    from payflow.streaming.stateful import SessionFold
+    calls, kept = [], []
+
+    class State:
+        def __init__(self):
+            self.value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return iter(kept) if self.value is None else self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def appendList(self, rows):
+            calls.append("append")
+            kept.extend(rows)
+
+        def updateValue(self, key, value):
+            calls.append("updateValue")
+
+        def clear(self):
+            kept.clear()
+
+    class Handle:
+        def getListState(self, *_):
+            return State()
+
+        getMapState = getValueState = getListState
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+        def deleteTimer(self, at):
+            calls.append("timer")
+
+    fold = SessionFold(1_000_000)
+    fold.init(Handle())
+    row = {"customer_id": 1, "device_type": "web", "element": "pay_button", "completes": False}
+    list(fold.handleInputRows(("s",), iter([{**row, "event_id": i % 50, "_t": (i % 50) * 1_000_000} for i in range(100)]), None))
+    list(fold.handleInputRows(("s",), iter([{**row, "event_id": 7, "_t": 7_000_000, "completes": True}]), None))
+    assert len(calls) < 10
+    (out,) = fold.handleExpiredTimer(("s",), None, None)
+    assert (out["event_count"], out["pay_clicks"], out["converted"], out["duration_seconds"]) == (50, 50, True, 49)
