@@ -26,6 +26,8 @@ from payflow.operators.tables import stored
 CENTRES = 512
 UNIT_ROWS = 50_000
 SLACK = 1e-6                           # angles, for rounding
+TOGETHER = 64                          # queries whose products with a unit's rows are made at once
+CLOSE = 1e-9                           # scores this near to the k-th are worked out again one by one
 
 
 def _unit(vecs: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +119,7 @@ def _search(asked: DataFrame, rows: DataFrame, deal: _Deal, centres: np.ndarray,
             asked = batch[~is_row]
             q = np.frombuffer(b"".join(asked["vec"]), dtype=float).reshape(len(asked), -1)
             to_centre = _angles(q, centres)
-            out = []
+            out, products, first = [], None, 0
             for i, (query, bound, visits) in enumerate(zip(asked["id"].tolist(), asked["angle"], asked["clusters"])):
                 near = []
                 for c in np.frombuffer(visits, dtype=np.int32).tolist():
@@ -128,6 +130,12 @@ def _search(asked: DataFrame, rows: DataFrame, deal: _Deal, centres: np.ndarray,
                 at = at[ids[at] != query]
                 if not len(at):
                     continue
+                if products is None or i - first >= TOGETHER:
+                    first = i - i % TOGETHER
+                    products = q[first:first + TOGETHER] @ x.T
+                rough = products[i - first][at]
+                if len(at) > k:
+                    at = at[rough >= np.partition(rough, len(at) - k)[len(at) - k] - CLOSE]
                 score = (x[at] * q[i]).sum(axis=1)
                 if len(at) > k:
                     top = np.flatnonzero(score >= np.partition(score, len(at) - k)[len(at) - k])

@@ -207,3 +207,21 @@ def test_dedupe_velocity_and_orphans_streams(spark, tmp):
     q.awaitTermination(120)
     got = {r.k: r.orphan for r in spark.sql("select * from orph").collect()}
     assert got.get(1) is False and got.get(2) is True
+
+
+def test_similar_vectors_work_out_few_scores_one_by_one(spark, monkeypatch):
+    """Rows are ruled out by products of many queries at once; without that, every query copies every row it visits."""
+    from payflow.operators import similar
+    monkeypatch.setattr(similar, "TOGETHER", 3)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 8))
+    x[100:140] = x[7]                                                    # ties at the k-th place
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in similar.similar_vectors(df, df.filter("vec_id % 10 = 7 or vec_id < 10"), k=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.match_id)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    for q, ids in got.items():
+        score = (u * u[q]).sum(axis=1)
+        assert ids == [i for i in np.lexsort((np.arange(300), -score.round(12))) if i != q][:4]
+    assert len(got) == 39
