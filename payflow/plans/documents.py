@@ -110,6 +110,14 @@ def session_changes(parsed: DataFrame) -> DataFrame:
             .select("document_id", "customer_id", "device_type", "e.event_id", "e.element", "e.completes", "e.at"))
 
 
+def feedback_changes(parsed: DataFrame) -> DataFrame:
+    """What the feedback stream keeps of parsed changes: its documents, and what cannot be used of any collection with
+    its raw ``line``. Sessions, most of the changes, and the raw text of usable ones are left out before the rows are cached."""
+    dead = F.col("_cause").isNotNull()
+    return (parsed.filter(dead | (F.col("ns") == "feedback"))
+            .select(F.when(dead, F.col("line")).alias("line"), "document_id", "token", "op", "feedback", "_cause"))
+
+
 def run_session_stream(spark: SparkSession, src: str, target: str, checkpoint: str, max_files: int | None = None) -> StreamingQuery:
     """Closed sessions of the landed changes below ``src`` into the state at ``target``."""
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -129,11 +137,11 @@ def run_feedback_stream(spark: SparkSession, src: str, target: str, dead_path: s
     """Feedback documents into the state at ``target``; changes of any collection that cannot be used to ``dead_path``."""
     def write(batch: DataFrame, batch_id: int) -> None:
         run = run_identity(spark)
-        parsed = parse_changes(batch).persist()
+        parsed = feedback_changes(parse_changes(batch)).persist()
         try:
             (parsed.filter(F.col("_cause").isNotNull()).select("line", F.col("_cause").alias("error"))
              .write.mode("overwrite").parquet(f"{dead_path.rstrip('/')}/batch={run}-{batch_id}"))
-            docs = (parsed.filter(F.col("_cause").isNull() & (F.col("ns") == "feedback"))
+            docs = (parsed.filter(F.col("_cause").isNull())
                     .select("document_id", "token", (F.col("op") == "delete").alias("_deleted"), "feedback.*"))
             upsert(spark, target, docs, ["document_id"], [F.col("token")], batch_id, run=run)
         finally:

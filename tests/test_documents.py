@@ -56,3 +56,13 @@ def test_feedback_equals_the_table_and_bad_changes_are_kept(spark, tmp, landed):
     _same(v.feedback, DC.streamed_feedback(spark, state))
     errors = sorted((r.error, r.line[:9]) for r in spark.read.parquet(dead).collect())
     assert [e for e, _ in errors] == ["no_body", "no_body", "no_position", "unparsable"] and errors[-1][1] == "{cut"
+
+
+def test_feedback_stream_caches_only_its_documents_and_dead_lines(spark, landed):
+    _, src = landed
+    parsed = DC.parse_changes(spark.read.text(src).withColumnRenamed("value", "line"))
+    kept = DC.feedback_changes(parsed)
+    assert "session" not in kept.columns
+    assert kept.filter("_cause IS NULL").count() == parsed.filter("_cause IS NULL AND ns = 'feedback'").count() > 0
+    assert kept.filter("_cause IS NULL AND line IS NOT NULL").count() == 0
+    assert kept.filter("line IS NOT NULL").count() == parsed.filter("_cause IS NOT NULL").count() == 4

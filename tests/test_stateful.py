@@ -165,3 +165,74 @@ def test_a_session_takes_its_events_in_one_state_call():
     assert len(calls) < 10
     (out,) = fold.handleExpiredTimer(("s",), None, None)
     assert (out["event_count"], out["pay_clicks"], out["converted"], out["duration_seconds"]) == (50, 50, True, 49)
+
+
+def test_sessions_of_a_group_share_their_state_calls():
+    """The number of state calls must not grow with the sessions of a group; open sessions stay, closed ones are given out."""
+    from payflow.streaming.stateful import SessionFold
+    calls = []
+
+    class State:
+        value, rows = None, ()
+
+        def exists(self):
+            calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            calls.append("get")
+            return iter(self.rows) if self.value is None else self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def appendList(self, rows):
+            calls.append("append")
+            self.rows = [*self.rows, *rows]
+
+        def put(self, rows):
+            calls.append("put")
+            self.rows = list(rows)
+
+        def clear(self):
+            calls.append("clear")
+            self.value, self.rows = None, ()
+
+    class Handle:
+        timers = []
+
+        def getListState(self, *_):
+            return State()
+
+        getValueState = getListState
+
+        def registerTimer(self, at):
+            calls.append("timer")
+            self.timers.append(at)
+
+        def deleteTimer(self, at):
+            calls.append("timer")
+            self.timers.remove(at)
+
+    class Clock:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    fold, handle = SessionFold(10_000_000, "document_id"), Handle()
+    fold.init(handle)
+    event = {"customer_id": 1, "device_type": "web", "element": "pay_button", "completes": False}
+    rows = [{**event, "document_id": f"s{i}", "event_id": j, "_t": (i + j) * 1_000_000} for i in range(100) for j in range(3)]
+    assert not list(fold.handleInputRows((5,), iter(rows), Clock(0))) and handle.timers == [12_000]
+    list(fold.handleInputRows((5,), iter([{**event, "document_id": "s0", "event_id": 9, "_t": 9_000_000},
+                                          {**event, "document_id": "beat", "event_id": None, "_t": 0}]), Clock(0)))
+    handle.timers.clear()
+    early = list(fold.handleExpiredTimer((5,), Clock(18_999), None))
+    assert sorted(r["session_id"] for r in early) == [f"s{i}" for i in range(1, 7)] and handle.timers == [19_000]
+    late = list(fold.handleExpiredTimer((5,), Clock(1_000_000), None))
+    assert len(calls) < 30 and len(late) == 94 and fold.events.rows == ()
+    (first,) = [r for r in late if r["session_id"] == "s0"]
+    assert (first["event_count"], first["duration_seconds"]) == (4, 9)
