@@ -153,6 +153,58 @@ def test_permutation_importance_equals_a_plain_one(spark):
     assert got["a"][1] > got["flag"][1]
 
 
+def test_model_importance_scores_no_row_anew_for_each_feature(spark, monkeypatch):
+    from types import SimpleNamespace
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    rng = np.random.default_rng(8)
+    n = 300
+    x = {f: rng.normal(size=n).round(1) if i % 3 else rng.integers(0, 3, n).astype(float) for i, f in enumerate(ML.FEATURES)}
+    x["velocity_score"] = np.zeros(n)                                              # no tree uses it
+    y = (x["amount_zscore"] + x["geo_mismatch"] + 0.5 * rng.normal(size=n) > 1).astype(float)
+    rows = [(int(i) * 7_919, *[None if f == "geo_mismatch" and i % 11 == 0 else float(x[f][i]) for f in ML.FEATURES], float(y[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "transaction_id long, " + ", ".join(f"{f} double" for f in ML.FEATURES) + ", y double").repartition(3)
+    model = Pipeline(stages=[VectorAssembler(inputCols=ML.FEATURES, outputCol="x", handleInvalid="keep"),
+                             GBTClassifier(featuresCol="x", labelCol="y", maxIter=12, maxDepth=4, stepSize=0.3, seed=4)]).fit(df.fillna(0.0))
+    scored = []
+    transform = lambda d: scored.append(1) or model.transform(d)
+    monkeypatch.setattr(ML, "fitted_model", lambda *a: (SimpleNamespace(transform=transform, stages=model.stages), df))
+    got = {r.feature: tuple(r)[1:] for r in ML.model_importance(df).collect()}
+    assert not scored
+    plain = ML.permutation_importance(df.withColumn("label", F.col("y") == 1), ML.FEATURES, lambda d: model.transform(d).withColumn(
+        "score", vector_to_array("probability")[1]))
+    assert got == {r.feature: tuple(r)[1:] for r in plain.collect()} and len(got) == 11
+    assert got["amount_zscore"][1] > 0 and got["velocity_score"][1:] == (0, 0)
+
+
+def test_tree_tables_follow_the_trees():
+    from payflow.operators import trees
+    text = """GBTClassificationModel: uid = g, numTrees=2, numClasses=2, numFeatures=3
+  Tree 0 (weight 1.0):
+    If (feature 0 <= 0.5)
+     If (feature 2 <= 1.0E-4)
+      Predict: -1.0
+     Else (feature 2 > 1.0E-4)
+      Predict: 2.0
+    Else (feature 0 > 0.5)
+     If (feature 0 <= 3.0)
+      Predict: 4.0
+     Else (feature 0 > 3.0)
+      Predict: 8.0
+  Tree 1 (weight 0.1):
+    Predict: 5.0
+"""
+    t = trees.TreeTables(trees.read_trees(text), 3)
+    values = [np.array([0.5, 0.0, 3.0, np.nan]), np.zeros(4), np.array([1e-4, np.nan, 0.0, 0.0])]
+    own = [t.bins(f, v) for f, v in enumerate(values)]
+    base, swapped = t.margins(own, [np.zeros(4, int)] * 3)                         # donors below all thresholds
+    assert base.tolist() == [-0.5, 2.5, 4.5, 8.5] and sorted(swapped) == [0, 2]
+    assert swapped[0].tolist() == [-0.5, 2.5, -0.5, -0.5] and swapped[2].tolist() == [-0.5, -0.5, 4.5, 8.5]
+    assert trees.rounded(np.array([0.12345, 0.00005, 0.123449, 1.0])).tolist() == [1235, 1, 1234, 10000]
+
+
 def test_methods_per_merchant_and_segment(spark):
     from types import SimpleNamespace
     customers = [(i, "x" if i < 6 else "y") for i in range(12)] + [(99, "z")]
